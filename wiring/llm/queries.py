@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiring.llm import bpe, chat, cws, dac, langid, pii
+from wiring.llm import bpe, chat, cws, dac, langid, lines, pii
 from wiring.llm.common import table
 
 
@@ -42,6 +42,10 @@ FROM marked GROUP BY conv_id
 """
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
     "op3_language_id": op3_language_id,
     "op4_chat_format": op4_chat_format,
+    "op5_line_dedup": op5_line_dedup,
     "op6_weighted_sampling": op6_weighted_sampling,
     "op7_personal_data": op7_personal_data,
     "op10_byte_bpe": op10_byte_bpe,
