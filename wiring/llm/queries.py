@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiring.llm import bpe, chat, cws, dac, langid, lines, neardup, pii
+from wiring.llm import bpe, chat, cws, dac, decontam, langid, lines, neardup, pii
 from wiring.llm.common import table
 
 
@@ -79,12 +79,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.screen(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = dac.write(table(spark, sf_dir, "documents"), dac.new_store(spark))
     return dac.digests(spark, path)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_store": op2_token_store,
     "op3_language_id": op3_language_id,
     "op4_chat_format": op4_chat_format,
