@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiring.llm import bpe, chat, cws, dac, decontam, langid, lines, neardup, pii
+from wiring.llm import bpe, chat, cws, dac, decontam, html, langid, lines, neardup, pii
 from wiring.llm.common import table
 
 
@@ -69,6 +69,10 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), round_trip=True)
     return coded.select(
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_weighted_sampling": op6_weighted_sampling,
     "op7_personal_data": op7_personal_data,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_main_text": op9_main_text,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
