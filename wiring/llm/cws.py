@@ -26,9 +26,8 @@ from wiring.llm.common import materialise
 SAMPLES = 64
 #: White space between words.
 SPACE = "[ \t\n\u000b\f\r]+"
-#: ln a is moved into the positive numbers and kept to 2**-25.
-_SHIFT, _FINE, _LOW = 64.0, float(1 << 25), 31
-_UNIT = float(1 << 24)
+#: ln a is moved into the positive numbers and kept to 2**-24.
+_SHIFT, _FINE, _LOW = 96.0, float(1 << 24), 31
 
 
 def terms(text: Column) -> Column:
@@ -39,38 +38,61 @@ def terms(text: Column) -> Column:
 
 def _uniform(bits: Column, shift: int) -> Column:
     """24 of the 64 bits as a number in (0, 1)."""
-    return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << 24) - 1)) + F.lit(0.5)) / F.lit(_UNIT)
+    return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << 24) - 1)) + F.lit(0.5)) * F.lit(2.0**-24)
 
 
 def draw(term: Column, log_weight: Column, k: int) -> Column:
     """Sample ``k`` of one weighted term: the packed pair of ln a and a hash of (term, t)."""
     one, two = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
     r = -F.log(_uniform(one, 0) * _uniform(one, 24))
-    c = -F.log(_uniform(two, 0) * _uniform(two, 24))
-    b = (F.shiftrightunsigned(one, 48) * F.lit(65536) + F.shiftrightunsigned(two, 48)) / F.lit(float(1 << 32))
+    log_c = F.log(-F.log(_uniform(two, 0) * _uniform(two, 24)))
+    b = (F.shiftrightunsigned(one, 48) * F.lit(65536) + F.shiftrightunsigned(two, 48)) * F.lit(2.0**-32)
     t = F.floor(log_weight / r + b)
-    ln_a = F.log(c) - r * (t - b + F.lit(1.0))
-    place = ((F.greatest(ln_a, F.lit(-_SHIFT)) + F.lit(_SHIFT)) * F.lit(_FINE)).cast("long")
-    mark = F.xxhash64(term, t).bitwiseAND(F.lit((1 << _LOW) - 1))
+    # uniforms of 24 bits keep ln a above -17 - 35 - ln w, so the shift keeps it positive
+    place = ((log_c - r * (t - b + F.lit(1.0)) + F.lit(_SHIFT)) * F.lit(_FINE)).cast("long")
+    mark = F.shiftrightunsigned(one, 8).bitwiseXOR(t * F.lit(0x9E3779B1)).bitwiseAND(F.lit((1 << _LOW) - 1))
     return F.shiftleft(place, _LOW).bitwiseOR(mark)
 
 
-def signatures(rows: DataFrame, keys: list[str], text_col: str, samples: int = SAMPLES) -> DataFrame:
-    """``keys`` and ``signature array<long>``, one row per key.
+def signatures(rows: DataFrame, keys: list[str], first: str, second: str, samples: int = SAMPLES) -> DataFrame:
+    """``keys`` and ``first_signature``, ``second_signature`` (``array<long>``) of two texts, one row per key.
 
-    Occurrences are counted inside each row: equal hashes of a sorted array stand together, so the
-    places where a new one starts give the terms and their numbers.
+    Occurrences are counted inside each row: the hashes of both texts' terms are sorted together, the
+    lowest bit telling the text, so equal ones stand together and a new one starts a run.  A term that
+    occurs as often in both texts goes on as one row and is drawn once.
     """
-    hashed = rows.select(*keys, F.sort_array(F.transform(terms(F.col(text_col)), lambda p: F.xxhash64(p["a"], p["b"]))).alias("h"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: ~F.get(F.col("h"), i).eqNullSafe(F.get(F.col("h"), i - 1)))
-    placed = hashed.select(*keys, "h", starts.alias("at"))
-    ends = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.size("h")))
-    counted = placed.select(*keys, F.explode(F.arrays_zip(
-        F.transform("at", lambda i: F.get(F.col("h"), i)).alias("term"), F.zip_with("at", ends, lambda i, j: j - i).alias("count"))).alias("one"))
-    weighted = counted.select(*keys, F.col("one.term").alias("term"), F.log(F.col("one.count").cast("double")).alias("log_weight"))
-    found = weighted.groupBy(*keys).agg(*[F.min(draw(F.col("term"), F.col("log_weight"), k)).alias(f"s{k}") for k in range(samples)])
+
+    def hashes(text: str, side: int) -> Column:
+        odd = lambda p: F.xxhash64(p["a"], p["b"])
+        return F.transform(terms(F.col(text)), (lambda p: odd(p).bitwiseOR(F.lit(1).cast("long"))) if side else (lambda p: odd(p).bitwiseAND(F.lit(-2).cast("long"))))
+
+    h, at, runs = F.col("h"), F.col("at"), F.col("runs")
+    step = rows.select(*keys, F.sort_array(F.concat(hashes(first, 0), hashes(second, 1))).alias("h"))
+    step = step.select(*keys, "h", F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: ~F.get(h, i).eqNullSafe(F.get(h, i - 1))).alias("at"))
+    step = step.select(*keys, F.transform(F.sequence(F.lit(0), F.size(at) - 1), lambda j: F.struct(
+        F.get(h, F.get(at, j)).alias("value"), (F.coalesce(F.get(at, j + 1), F.size(h)) - F.get(at, j)).alias("count"))).alias("runs"))
+
+    def twin(one: Column, other: Column, apart: int) -> Column:
+        return F.coalesce((other["value"] == one["value"] + apart) & (other["count"] == one["count"]), F.lit(False))
+
+    def merged(one: Column, j: Column) -> Column:
+        second_side = one["value"].bitwiseAND(F.lit(1).cast("long")) == 1
+        return F.struct(one["value"].alias("value"), one["count"].alias("count"), second_side.alias("second"),
+                        (~second_side & twin(one, F.get(runs, j + 1), 1)).alias("both"), (second_side & twin(one, F.get(runs, j - 1), -1)).alias("told"))
+
+    step = step.select(*keys, F.explode(F.filter(F.transform(runs, merged), lambda r: ~r["told"])).alias("one"))
+    away = F.lit((1 << 63) - 1)
+    drawn = step.select(
+        *keys, F.shiftright("one.value", 1).alias("term"), F.log(F.col("one.count").cast("double")).alias("log_weight"),
+        F.when(F.col("one.second"), away).otherwise(F.lit(0).cast("long")).alias("not_first"),
+        F.when(F.col("one.second") | F.col("one.both"), F.lit(0).cast("long")).otherwise(away).alias("not_second"))
+    values = [draw(F.col("term"), F.col("log_weight"), k) for k in range(samples)]
+    found = drawn.groupBy(*keys).agg(
+        *[F.min(v.bitwiseOR(F.col("not_first"))).alias(f"a{k}") for k, v in enumerate(values)],
+        *[F.min(v.bitwiseOR(F.col("not_second"))).alias(f"b{k}") for k, v in enumerate(values)])
     low = F.lit((1 << 16) - 1)
-    return found.select(*keys, F.array(*[F.col(f"s{k}").bitwiseAND(low) for k in range(samples)]).alias("signature"))
+    return found.select(*keys, *[F.array(*[F.col(f"{c}{k}").bitwiseAND(low) for k in range(samples)]).alias(f"{name}_signature")
+                                 for c, name in (("a", "first"), ("b", "second"))])
 
 
 def written(signature: Column) -> Column:
@@ -127,12 +149,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``."""
     both, order = edited(df, id_col, text_col)
     keys = ["key", "row", "n_chars", "edited_sha256"]
-    sides = both.select(*keys[:3], F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("one"))
-    found = signatures(sides.select(*keys, "one.side", "one.text"), [*keys, "side"], "text", samples)
-    found = found.select(*keys, "side", written(F.col("signature")).alias("print"))
-    found = found.groupBy(*keys).agg(F.max(F.when(F.col("side") == 0, F.col("print"))).alias("fingerprint"),
-                                     F.max(F.when(F.col("side") == 1, F.col("print"))).alias("edited_fingerprint"))
+    both = both.select(*keys[:3], F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
+    found = signatures(both, keys, "text", "edited", samples).select(
+        *keys, written(F.col("first_signature")).alias("fingerprint"), written(F.col("second_signature")).alias("edited_fingerprint"))
     found = materialise(found, "fingerprints")
     after = found.groupBy("key").agg(F.min_by("fingerprint", "row").alias("next_print"))
     after = order.join(after, order["next_key"] == after["key"]).select(order["key"].alias("before"), "next_print")
