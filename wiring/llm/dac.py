@@ -39,10 +39,24 @@ _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _BLOCK = 64  # bytes of bitmap for each count of the rank directory
 
 #: White space other than these four makes the place of a safe cut depend on the pattern's details.
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_ODD = re.compile("[%s]" % "".join(map(chr, [11, 12, *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])))
 _PIECE = re.compile(r"[ \n\r\t]+[^ \n\r\t]*|[^ \n\r\t]+")
 
 
+#: Latin letters after at most one blank, then signs other than the apostrophe (which may open a contraction).
+_WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _shown() -> dict[int, int]:
+    """Byte to the character that stands for it in byte-level vocabularies: itself if printable, else from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
+
+
+_SHOWN = _shown()
+
+
 # --- encoding of texts ------------------------------------------------------------------------
 
 
@@ -72,8 +86,25 @@ class PieceEncoder:
         self.library = tokenizer(path)
         self.kept: dict[str, bytes] = {}
 
-    def _ask(self, pieces: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _word(self, word: str) -> bytes:
+        """Of a word with at most one blank before it: one pre-token, so the model can be asked at once."""
+        got = self.kept.get(word)
+        if got is None:
+            tokens = self.library.model.tokenize(word.encode().decode("latin-1").translate(_SHOWN))
+            got = self.kept[word] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        return got
+
+    def _ask(self, pieces: list[str]) -> None:
+        """Learn the ids of pieces; a word and the signs after it are two pre-tokens and are kept apart."""
+        rest = []
+        for p in pieces:
+            m = _WORD.fullmatch(p)
+            if m is None:
+                rest.append(p)
+            else:
+                self.kept[p] = self._word(m[1]) + (self._word(m[2]) if m[2] else b"")
+        for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.kept[p] = np.asarray(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Of each text the ids as little-endian unsigned 32-bit integers."""
@@ -82,7 +113,7 @@ class PieceEncoder:
             self.kept = {}
         new = [p for p in set().union(*cut).difference(self.kept) if p]
         kept = self.kept
-        kept.update(zip(new, self._ask(new), strict=True))
+        self._ask(new)
         out = [b"".join(map(kept.__getitem__, c)) for c in cut]
         for p in new:
             if len(p) > self.LONGEST:
