@@ -30,10 +30,16 @@ SPACE = "[ \t\n\u000b\f\r]+"
 _SHIFT, _FINE, _LOW = 96.0, float(1 << 24), 31
 
 
-def terms(text: Column) -> Column:
-    """Pairs of neighbouring words, ends marked; empty for a text without words."""
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    return F.arrays_zip(F.concat(F.array(F.lit("")), words).alias("a"), F.concat(words, F.array(F.lit(""))).alias("b"))
+def term_hashes(text: Column, side: int) -> Column:
+    """A hash for each pair of neighbouring words, ends marked; the lowest bit is ``side``."""
+    words = F.array_remove(F.split(text, SPACE), "")
+    mark = F.array(F.lit(""))
+
+    def pair(a: Column, b: Column) -> Column:
+        h = F.xxhash64(a, b)
+        return h.bitwiseOR(F.lit(1).cast("long")) if side else h.bitwiseAND(F.lit(-2).cast("long"))
+
+    return F.zip_with(F.concat(mark, words), F.concat(words, mark), pair)
 
 
 def _uniform(bits: Column, shift: int) -> Column:
@@ -62,30 +68,32 @@ def signatures(rows: DataFrame, keys: list[str], first: str, second: str, sample
     occurs as often in both texts goes on as one row and is drawn once.
     """
 
-    def hashes(text: str, side: int) -> Column:
-        odd = lambda p: F.xxhash64(p["a"], p["b"])
-        return F.transform(terms(F.col(text)), (lambda p: odd(p).bitwiseOR(F.lit(1).cast("long"))) if side else (lambda p: odd(p).bitwiseAND(F.lit(-2).cast("long"))))
-
-    h, at, runs = F.col("h"), F.col("at"), F.col("runs")
-    step = rows.select(*keys, F.sort_array(F.concat(hashes(first, 0), hashes(second, 1))).alias("h"))
+    h, at, value, count = (F.col(c) for c in ("h", "at", "value", "count"))
+    step = rows.select(*keys, F.sort_array(F.concat(term_hashes(F.col(first), 0), term_hashes(F.col(second), 1))).alias("h"))
     step = step.select(*keys, "h", F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: ~F.get(h, i).eqNullSafe(F.get(h, i - 1))).alias("at"))
-    step = step.select(*keys, F.transform(F.sequence(F.lit(0), F.size(at) - 1), lambda j: F.struct(
-        F.get(h, F.get(at, j)).alias("value"), (F.coalesce(F.get(at, j + 1), F.size(h)) - F.get(at, j)).alias("count"))).alias("runs"))
+    ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(h)))
+    step = step.select(*keys, F.transform(at, lambda i: F.get(h, i)).alias("value"), F.zip_with(ends, at, lambda e, s: e - s).alias("count"))
+
+    def moved(c: Column, kind: str, by: int) -> Column:
+        none = F.array(F.lit(None).cast(kind))
+        return F.concat(F.slice(c, F.lit(2), F.size(c)), none) if by > 0 else F.concat(none, F.slice(c, F.lit(1), F.size(c) - 1))
 
-    def twin(one: Column, other: Column, apart: int) -> Column:
-        return F.coalesce((other["value"] == one["value"] + apart) & (other["count"] == one["count"]), F.lit(False))
+    step = step.select(*keys, F.explode(F.arrays_zip(
+        value, count, moved(value, "long", 1).alias("next_value"), moved(count, "int", 1).alias("next_count"),
+        moved(value, "long", -1).alias("last_value"), moved(count, "int", -1).alias("last_count"))).alias("one"))
+    second_side = F.col("one.value").bitwiseAND(F.lit(1).cast("long")) == 1
 
-    def merged(one: Column, j: Column) -> Column:
-        second_side = one["value"].bitwiseAND(F.lit(1).cast("long")) == 1
-        return F.struct(one["value"].alias("value"), one["count"].alias("count"), second_side.alias("second"),
-                        (~second_side & twin(one, F.get(runs, j + 1), 1)).alias("both"), (second_side & twin(one, F.get(runs, j - 1), -1)).alias("told"))
+    def twin(name: str) -> Column:  # the same term, as often, in the other text
+        same = F.col(f"one.{name}_value").bitwiseXOR(F.lit(1).cast("long")).eqNullSafe(F.col("one.value"))
+        return same & F.col(f"one.{name}_count").eqNullSafe(F.col("one.count"))
 
-    step = step.select(*keys, F.explode(F.filter(F.transform(runs, merged), lambda r: ~r["told"])).alias("one"))
+    step = step.select(*keys, F.col("one.value").alias("value"), F.col("one.count").alias("count"), second_side.alias("second"),
+                       (~second_side & twin("next")).alias("both"), (second_side & twin("last")).alias("told")).where("NOT told")
     away = F.lit((1 << 63) - 1)
     drawn = step.select(
-        *keys, F.shiftright("one.value", 1).alias("term"), F.log(F.col("one.count").cast("double")).alias("log_weight"),
-        F.when(F.col("one.second"), away).otherwise(F.lit(0).cast("long")).alias("not_first"),
-        F.when(F.col("one.second") | F.col("one.both"), F.lit(0).cast("long")).otherwise(away).alias("not_second"))
+        *keys, F.shiftright("value", 1).alias("term"), F.log(F.col("count").cast("double")).alias("log_weight"),
+        F.when(F.col("second"), away).otherwise(F.lit(0).cast("long")).alias("not_first"),
+        F.when(F.col("second") | F.col("both"), F.lit(0).cast("long")).otherwise(away).alias("not_second"))
     values = [draw(F.col("term"), F.col("log_weight"), k) for k in range(samples)]
     found = drawn.groupBy(*keys).agg(
         *[F.min(v.bitwiseOR(F.col("not_first"))).alias(f"a{k}") for k, v in enumerate(values)],
