@@ -115,3 +115,27 @@ def ranked_by_category(df: DataFrame, column: str, levels: list[str], tie: str)
     """``category_order`` as a number of each row within its category."""
     place = F.nullif(F.array_position(F.array(*map(F.lit, levels)), F.col(column)), F.lit(0))
     return df.withColumns({"place": place, "rank": F.row_number().over(Window.partitionBy(column).orderBy(tie)).cast("long")})
+
+
+def outgoing_type_share(deg: DataFrame) -> DataFrame:
+    """Excitatory share of outgoing synapses normed by their total to both types."""
+    total = F.col("ex_out_synapses") + F.col("inh_out_synapses")
+    return deg.withColumns({"n_syn_to_both": total, "ex_out_share": ratio(F.col("ex_out_synapses"), total)})
+
+
+def subnet_spine_ratio(edges: DataFrame, tagged: DataFrame, ids: DataFrame, pre: str, post: str, feature: str = "spine") -> DataFrame:
+    """``typed_spine_ratio`` of the neurons in ``ids`` with their number of targets within the block, zero without any."""
+    block = edges.where((F.col("pre_type") == pre) & (F.col("post_type") == post) & (F.col("n_syn") > 0))
+    out = block.select("pre_id", "post_id").distinct().groupBy(F.col("pre_id").alias("root_id")).agg(F.count(F.lit(1)).alias("block_degree"))
+    found = typed_spine_ratio(tagged.join(ids.select(F.col("root_id").alias("pre_id")), "pre_id", "left_semi"), ids.select("root_id"), pre, post, feature)
+    return found.join(out, "root_id", "left").withColumn("block_degree", F.coalesce("block_degree", F.lit(0)))
+
+
+def cleaned_types(types: DataFrame, ids: DataFrame, leave: tuple[str, ...], key: str = "pt_root_id", system: str = "classification_system") -> DataFrame:
+    """Annotations of known neurons: systems in ``leave`` go, missing ones stay, key 0 and every repeated key go."""
+    from wiring.functions.numeric import differs
+
+    rows = types.where(F.col(key) != 0)
+    for value in leave:
+        rows = rows.where(differs(F.col(system), value))
+    return only_unique(rows, key).join(ids.select(F.col("root_id").alias(key)), key, "left_semi")

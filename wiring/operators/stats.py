@@ -120,3 +120,8 @@ def end_shares(df: DataFrame, column: str) -> DataFrame:
     """Shares of rows at zero and at infinity; missing values stay below the line."""
     n = F.count(F.lit(1))
     return df.agg(n.alias("n"), (F.count_if(F.col(column) == 0) / n).alias("at_zero"), (F.count_if(F.col(column) == float("inf")) / n).alias("at_infinity"))
+
+
+def p_label(p: Column) -> Column:
+    """A p-value as figures print it: one digit and an exponent below 0.001, else three decimals."""
+    return F.when(p < 0.001, F.format_string("p = %.1e", p)).otherwise(F.format_string("p = %.3f", p))

@@ -431,3 +431,35 @@ def mesh_shading(fx):
     v = _chain(fx).select(F.col("root_id").alias("seg_id"), "vid", "x", "y", "z")
     faces = v.where("vid >= 2").select("seg_id", F.col("vid").alias("fid"), (F.col("vid") - 2).alias("v0"), (F.col("vid") - 1).alias("v1"), F.col("vid").alias("v2"))
     return geometry.shading(geometry.triangles(faces, v)).select("seg_id", "fid", "shade")
+
+
+@query(" UNION ALL ".join(f"SELECT '{y}' AS series, bin, round(avg({y}), 6) AS mean, round(coalesce(stddev_samp({y}), 0), 6) AS error, count(*) AS n FROM gb GROUP BY bin" for y in ("ins", "inn", "outs")),
+       DEG + ", " + DEGREES + f", gb AS (SELECT *, {clamp(TREND, 'dl')} AS bin FROM g)")
+def binned_trends(fx):
+    return pr.binned_trends(_g(fx), "dl", ["ins", "inn", "outs"], TREND, "std").select("series", "bin", *r6("mean", "error"), "n")
+
+
+@query("SELECT root_id, coalesce(b.es, 0) + coalesce(b.ins, 0) AS n_syn_to_both, round(b.es::DOUBLE / nullif(b.es + b.ins, 0), 6) AS ex_out_share FROM fx_neurons LEFT JOIN post b ON root_id = b.id", DEG)
+def outgoing_type_share(fx):
+    return ft.outgoing_type_share(graph.degrees(fx.edges, fx.neurons.select("root_id"))).select("root_id", "n_syn_to_both", *r6("ex_out_share"))
+
+
+@query("SELECT root_id, round(s::DOUBLE / n, 6) AS ratio, coalesce(n, 0) AS n_syn, coalesce(e.d, 0) AS block_degree FROM fx_neurons LEFT JOIN a ON root_id = a.pre_id LEFT JOIN e ON root_id = e.pre_id WHERE root_id % 2 = 0",
+       "a AS (SELECT pre_id, count(*) AS n, count(*) FILTER (tag = 'shaft') AS s FROM fx_tagged WHERE pre_clf_type = 'E' AND post_clf_type = 'I' GROUP BY 1), e AS (SELECT pre_id, count(*) AS d FROM fx_edges WHERE pre_type = 'E' AND post_type = 'I' GROUP BY 1)")
+def subnet_spine_ratio(fx):
+    ids = fx.neurons.where("root_id % 2 = 0")
+    return ft.subnet_spine_ratio(fx.edges, fx.tagged, ids, "E", "I", "shaft").select("root_id", *r6("ratio"), "n_syn", "block_degree")
+
+
+@query("SELECT c_custkey AS pt_root_id, c_mktsegment AS cell_type FROM customer WHERE c_custkey <> 0 AND c_custkey % 50 <> 0 AND c_nationkey <> 3 AND c_custkey % 7 <> 0")
+def cleaned_types(fx):
+    c = fx.table("customer")
+    types = c.select(F.col("c_custkey").alias("pt_root_id"), F.col("c_mktsegment").alias("cell_type"), F.when(F.col("c_nationkey") == 3, "nonneuron").when(F.col("c_nationkey") > 5, "neuron").alias("classification_system"))
+    types = types.unionByName(types.where("pt_root_id % 50 = 0"))
+    return ft.cleaned_types(types, fx.neurons.where("root_id % 7 <> 0"), ("nonneuron", "unclear")).select("pt_root_id", "cell_type")
+
+
+@query()
+def figure_labels(fx):
+    rows = st.regression(_g(fx), "dl", "ins", ("clf_type",), with_p=True)
+    return rows.select("clf_type", F.format_string("r = %.2f", "r").alias("r"), st.p_label(F.col("p")).alias("p"), "stars")
