@@ -3,14 +3,15 @@
 1. A document's set is its distinct word shingles, hashed to 64 bits.  Of ``BANDS * ROWS`` minima the
    lowest two bits are packed into a signature, and each band of ``ROWS`` minima is hashed to a key.
 2. Documents with equal sets are one class, named by its least id; only classes go on.
-3. Each band key names its least class as hub.  A class is paired with its hubs, so a bucket of n
-   gives n - 1 pairs.  Bit counts of signatures, corrected for chance agreement, and the sizes of the
+3. Each band key names one class as hub: the one whose keys are shared most, as that is nearest the
+   middle of its group.  A class is paired with its hubs, so a bucket of n gives n - 1 pairs.  Bit counts of signatures, corrected for chance agreement, and the sizes of the
    sets drop hopeless pairs (five standard errors below the threshold).
 4. Links are confirmed on full sets: first one pair for each class, then the pairs whose ends are
    still in different components.
 5. Buckets that still hold several components are compared member by member through their
-   signatures, in blocks, and only pairs across components go to the full sets.  So no link between
-   different texts that share a band key is lost, and no group's pairs are all emitted.
+   signatures, in blocks, and only pairs across components go to the full sets: first each member's
+   likeliest pair, then what is still across.  So no link between different texts that share a band
+   key is lost, and no group's pairs are all emitted.
 6. Components are labelled with their least id by hooking and pointer jumping; every round is written
    in the shared folder.
 
@@ -216,11 +217,12 @@ def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la <> lb")
 
 
-def across(members: DataFrame, threshold: int) -> DataFrame:
+def across(members: DataFrame, threshold: int, likeliest: bool) -> DataFrame:
     """Pairs of a bucket's members in different components whose signatures leave hope.
 
     ``members`` has ``band, cnt, id, label, n, sig``.  A bucket is dealt in blocks of ``_BLOCK``; each
-    two blocks meet in one group, so no task holds more than two.
+    two blocks meet in one group, so no task holds more than two.  With ``likeliest`` a member gives
+    one pair in each group at most.
     """
     least, chance = hopeful(threshold), 1 / (1 << BITS)
     blocks = F.ceil(F.col("cnt") / _BLOCK).cast("int")
@@ -236,12 +238,13 @@ def across(members: DataFrame, threshold: int) -> DataFrame:
         rights = lefts if single else np.flatnonzero(own != own.min())
         a, b = [], []
         for i in lefts:
-            right = rights[rights > i] if single else rights
+            right = rights if not single or likeliest else rights[rights > i]
             right = right[(labels[right] != labels[i]) & (np.minimum(n[right], n[i]) * 100 >= threshold * np.maximum(n[right], n[i]))]
             if len(right):
                 x = sig[right] ^ sig[i]
                 same = 1 - np.bitwise_count((x | (x >> _U64(1))) & _U64(0x5555555555555555)).sum(1) / MINIMA
-                right = right[(same - chance) / (1 - chance) >= least]
+                est = (same - chance) / (1 - chance)
+                right = right[[est.argmax()]] if likeliest and est.max() >= least else right[est >= least]
                 a += np.maximum(ids[right], ids[i]).tolist()
                 b += np.minimum(ids[right], ids[i]).tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -256,8 +259,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = materialise(classes.select("k1", "k2", "id", "s.n", "s.sig", "s.bands"), "classes")
 
     keys = classes.select("id", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
-    buckets = materialise(keys.join(shared.hint("merge"), "band"), "buckets")
+    shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
+    placed = materialise(keys.join(shared.hint("merge"), "band"), "shared-keys")
+    middle = placed.groupBy("id").agg(F.sum("cnt").alias("middle"))
+    hubs = placed.join(middle.hint("merge"), "id").groupBy("band").agg(F.max(F.struct("middle", (-F.col("id")).alias("back"))).alias("m"))
+    buckets = materialise(placed.join(hubs.select("band", (-F.col("m.back")).alias("hub")).hint("merge"), "band"), "buckets")
     known = classes.select("id", "n", "sig")
     stars = buckets.where("id <> hub").groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
     ka, kb = (known.select(*[F.col(c).alias(f"{c}_{k}") for c in known.columns]) for k in "ab")
@@ -272,16 +278,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels = components(None, confirmed(first, sets, threshold))
     labels = components(labels, confirmed(between(pairs, labels), sets, threshold))
 
-    placed = buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    split = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    members = placed.join(split.hint("merge"), "band").join(known.hint("merge"), "id").select("band", "cnt", "id", "label", "n", "sig")
-    rest = across(members, threshold).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    labels = components(labels, confirmed(rest, sets, threshold))
+    tested = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    for likeliest in (True, False):
+        named = buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        split = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+        members = named.join(split.hint("merge"), "band").join(known.hint("merge"), "id").select("band", "cnt", "id", "label", "n", "sig")
+        rest = materialise(across(members, threshold, likeliest).join(tested, ["a", "b"], "left_anti"), "rest")
+        labels = components(labels, confirmed(rest, sets, threshold))
+        tested = tested.unionByName(rest)
 
     named = classes.join(labels, "id", "left").select("k1", "k2", F.coalesce("label", "id").alias("component_id"))
     done = materialise(base.join(named.hint("merge"), ["k1", "k2"], "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), "id").alias("component_id")), "near-duplicates")
-    for table in (sets, buckets, classes, base, pairs):
+    for table in (sets, placed, buckets, classes, base, pairs):
         discard(table)
     null_id = lambda c: F.when(F.col(c) != _LEAST, F.col(c))
     return done.select(null_id("id").alias("doc_id"), "n_shingles", null_id("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
