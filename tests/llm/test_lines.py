@@ -49,6 +49,24 @@ def test_repeated_runs_go_and_first_places_stay(spark):
         assert run(spark, distinct) == brute(distinct)
 
 
+def test_runs_with_common_lines_inside_are_found(spark):
+    """Each line of a repeated passage also stands alone in earlier documents of its own."""
+    passage = ["a b", "c d", "e f", "g h"]
+    docs = [(4 * k + n, f"only {k} {n}\n{line}\nalone {k} {n}") for n, line in enumerate(passage) for k in range(12)]
+    docs += [(k, "\n".join([f"top {k}", *passage, f"tail {k}"])) for k in (100, 101, 102)]
+    got = run(spark, docs)
+    assert got == brute(docs)
+    assert got[101] == "top 101\ntail 101"
+
+
+def test_equals_brute_force(spark):
+    random.seed(8)
+    pool = [" ".join(random.choices("abc", k=random.choice([1, 1, 2, 3, 5, 6, 7, 9]))) for _ in range(7)] + ["", " "]
+    for _ in range(4):
+        docs = [(i, "\n".join(random.choices(pool, k=random.randint(0, 14)))) for i in range(40)]
+        assert run(spark, docs) == brute(docs)
+
+
 def test_long_line_copies_and_odd_rows(spark):
     long = "w1 w2 w3 w4 w5 w6 w7"
     docs = [(1, f"a\n{long}\nb"), (2, f"{long}"), (3, None), (4, ""), (5, f"x\n\n{long}  \n\ny"), (6, f"{long}\n{long}\n{long}"), (7, "one two"), (8, "one two")]

@@ -1,15 +1,15 @@
-"""Line dedup: winnowed line fingerprints find runs of lines that stand earlier in the corpus.
+"""Line dedup: windows of lines that stand earlier in the corpus.
 
-DataFrame functions only.  A window starts at every line that is not blank and spans just as many
-lines as make up ``min_words`` words; the least line hash of each window is a fingerprint.  Two runs
-of equal lines with ``min_words`` words share a whole window, so they share its fingerprint: no such
-run is missed, whatever its number of lines.  The first place of each fingerprint, by (id, text hash,
-line), is joined to its later places; each such pair of documents and shift is extended both ways as
-far as lines agree, and runs of at least ``min_words`` words are deleted from the later place.  A
-line goes only where an equal one stands earlier, so the first of its kind always stays.
+DataFrame functions only.  A window is a run of lines that are not blank with ``min_words`` words; its
+key is a hash of its lines in turn.  Windows of just as many lines as make up ``min_words`` words, two
+at least, start at every line and end at every line; a line of ``min_words`` words is a window by itself.
+Any two neighbouring lines of a repeated run lie in one of these windows inside the run, and every such
+window has the key of its earlier copy, whatever stands around it or elsewhere.  So the lines from first
+to last of every window that is not the first place of its key, by (id, text hash, line), are just the
+runs of at least ``min_words`` words that stand earlier; these are deleted.  A line goes only where an
+equal one stands earlier, so the first of its kind always stays.
 
-Hot fingerprints and lines are counted before they are dealt, no key's rows are collected, and
-joins on hashes are left to be split where one key has many rows.
+No key's rows are collected, and the join on keys is left to be split where one key has many rows.
 
 Defined results: a null text stays null and has no lines; blank lines never make a run and go only
 inside one; rows that repeat id and text count as one document and share its fate; lines compare
@@ -32,53 +32,61 @@ def _keys(df: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
     return F.coalesce(df[id_col].cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(df[text_col]).alias("th")
 
 
-def line_table(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """A row for each line that is not blank: its place, hash and words, and the fingerprint of the window it starts."""
+def window_table(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """A row for each window: its document, first and last line and key; no window comes twice."""
 
     def one(line: Column) -> Column:
-        bare = F.regexp_replace(line, r"^\s+|\s+$", "")
+        bare = F.btrim(line, F.lit(" \t\n\x0b\f\r"))
         return F.struct(F.xxhash64(bare).alias("h"), F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"\s+"))).alias("words"))
 
     found = df.where(df[text_col].isNotNull()).select(*_keys(df, id_col, text_col), F.transform(F.split(df[text_col], "\n"), one).alias("lines"))
     rows = found.select(*_DOC, F.posexplode("lines").alias("pos", "line")).select(*_DOC, "pos", "line.h", "line.words").where("words > 0")
     rows = rows.repartition(*_DOC).dropDuplicates([*_DOC, "pos"])
     doc = Window.partitionBy(*_DOC)
-    before = F.coalesce(F.sum("words").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumns({"ord": F.row_number().over(doc.orderBy("pos")), "before": before, "total": F.sum("words").over(doc)})
-    pick = F.min(F.struct("h", (-F.col("ord")).alias("back"))).over(doc.orderBy("before").rangeBetween(0, min_words - 1))
-    return rows.select(*_DOC, "pos", "ord", "h", "words", F.when(F.col("total") - F.col("before") >= min_words, pick).alias("pick"))
+    through = F.sum("words").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"through": through, "total": F.sum("words").over(doc)}).withColumn("before", F.col("through") - F.col("words"))
+    ahead, behind = doc.orderBy("before").rangeBetween(0, min_words - 1), doc.orderBy("through").rangeBetween(1 - min_words, 0)
+    following = doc.orderBy("before")
+    rows = rows.withColumns({
+        "ahead": F.collect_list("h").over(ahead), "end": F.max("pos").over(ahead),
+        "next": F.lead("h").over(following), "next_pos": F.lead("pos").over(following)})
+    rows = rows.withColumns({"behind": F.collect_list("h").over(behind), "start": F.min("pos").over(behind), "start_before": F.min("before").over(behind)})
+    long = F.col("words") >= min_words
+
+    def window(when: Column, hashes: Column, first: str, last: str) -> Column:
+        return F.when(when, F.struct(F.xxhash64(hashes).alias("key"), F.col(first).alias("first"), F.col(last).alias("last")))
+
+    windows = F.array(
+        window(long, F.array("h"), "pos", "pos"),
+        window(long & F.col("next").isNotNull(), F.array("h", "next"), "pos", "next_pos"),
+        window(~long & (F.col("total") - F.col("before") >= min_words), F.col("ahead"), "pos", "end"),
+        # a window that ends here, if none of the others starts and ends with it
+        window(~long & (F.col("through") >= min_words) & (F.size("behind") > 2) & (F.col("before") - F.col("start_before") >= min_words), F.col("behind"), "start", "pos"))
+    return rows.select(*_DOC, F.explode(F.array_compact(windows)).alias("window")).select(*_DOC, "window.*")
 
 
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``id, th, first, last`` (line numbers from 0) and ``src_id`` of every run that stands earlier too."""
-    rows = materialise(line_table(df, id_col, text_col, min_words), "lines")
-    prints = rows.where(F.col("pick").isNotNull()).select(*_DOC, F.col("pick.h").alias("h"), (-F.col("pick.back")).alias("ord")).distinct()
-    first = prints.groupBy("h").agg(F.min(F.struct("id", "th", "ord")).alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "src")
-    shifts = (
-        prints.join(first.hint("merge"), "h")
-        .select(*_DOC, F.col("src.id").alias("src_id"), F.col("src.th").alias("src_th"), (F.col("ord") - F.col("src.ord")).alias("shift"))
-        .where((F.col("id") != F.col("src_id")) | (F.col("th") != F.col("src_th")) | (F.col("shift") != 0))
-        .distinct()
-    )
-    twice = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    again = materialise(rows.select(*_DOC, "pos", "ord", "h", "words").join(twice.hint("merge"), "h", "left_semi"), "repeated-lines")
-    theirs = again.select(F.col("id").alias("src_id"), F.col("th").alias("src_th"), F.col("ord").alias("src_ord"), "h")
-    matched = (
-        again.join(shifts.hint("merge"), _DOC)
-        .withColumn("src_ord", F.col("ord") - F.col("shift"))
-        .join(theirs.hint("merge"), ["src_id", "src_th", "src_ord", "h"], "left_semi")
-    )
-    pair = [*_DOC, "src_id", "src_th", "shift"]
-    island = F.col("ord") - F.row_number().over(Window.partitionBy(*pair).orderBy("ord"))
-    runs = matched.withColumn("island", island).groupBy(*pair, "island").agg(
-        F.min("pos").alias("first"), F.max("pos").alias("last"), F.sum("words").alias("words"))
-    return runs.where(F.col("words") >= min_words).select(*_DOC, "first", "last", "src_id")
+    """``id, th, first, last`` (line numbers from 0) and ``src_id`` of every window that stands earlier too."""
+    windows = materialise(window_table(df, id_col, text_col, min_words), "windows")
+    first = windows.groupBy("key").agg(F.min(F.struct("id", "th", "first")).alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "src")
+    again = windows.join(first.hint("merge"), "key").where(F.struct("id", "th", "first") != F.col("src"))
+    return again.select(*_DOC, "first", "last", F.col("src.id").alias("src_id"))
+
+
+def _stretches(runs: DataFrame) -> DataFrame:
+    """``runs`` of each document, those that touch made one."""
+    order = Window.partitionBy(*_DOC).orderBy("first", "last")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("first") > F.col("reach") + 1, F.lit(True)).cast("int")
+    dealt = runs.withColumn("reach", reach).withColumn("stretch", F.sum(begins).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    each = dealt.groupBy(*_DOC, "stretch").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return each.groupBy(*_DOC).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
           min_words: int = MIN_WORDS) -> DataFrame:
     """The columns in ``keep``, ``text`` without repeated runs, ``n_lines`` and ``n_removed``."""
-    runs = repeated_runs(df, id_col, text_col, min_words).groupBy(*_DOC).agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    runs = _stretches(repeated_runs(df, id_col, text_col, min_words))
     docs = df.select(*_keys(df, id_col, text_col), df[text_col].cast("string").alias("__text"), *[df[c].alias(f"__keep_{c}") for c in keep])
     both = docs.join(runs.hint("merge"), _DOC, "left")
     lines = F.split("__text", "\n")
