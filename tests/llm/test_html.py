@@ -59,3 +59,17 @@ def test_odd_rows(spark):
     got = html.extract(df).collect()
     assert len(got) == 4 and all(r.text == "" and r.n_chars == 0 for r in got[:3])
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_self_closed_and_unclosed_raw_elements():
+    def said(page):
+        found = html.nodes_of(html.parse(page))
+        return " ".join(n.text for n in found[0])
+
+    for tag in ("svg", "math"):
+        assert "after" in said(f"<p>before <{tag} width='1'/> after</p>")
+        assert "after" in said(f"<p>before</p><{tag}/><p>after</p><{tag}><title>no</title></{tag}>")
+    for tag in ("object", "video", "audio", "canvas"):
+        assert "after" in said(f"<p>before</p><{tag}><p>after</p>")
+    for tag in ("script", "style", "textarea", "title", "iframe"):
+        assert "after" not in said(f"<p>before</p><{tag}><p>after</p>")

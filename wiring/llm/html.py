@@ -38,6 +38,8 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*
 _TOKEN = re.compile(r"[A-Za-z]+")
 #: Elements whose content is never text of the page.
 _RAW = frozenset("script style template noscript iframe object svg math head title textarea select canvas audio video".split())
+#: Those that run to the end of the page when nothing closes them.
+_TO_END = frozenset("script style textarea title iframe".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: A start tag of the key ends an open element of the value, up to a container.
@@ -121,11 +123,13 @@ def parse(page: str) -> Node:
             elif tag == "p":
                 run = None
             continue
+        if tag in ("svg", "math") and m[3].endswith("/"):
+            continue
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             if end is not None:
                 at = end.end()
-            elif tag not in ("head", "title", "noscript", "select"):
+            elif tag in _TO_END:
                 at = len(page)
             if tag not in _INLINE and tag != "script" and tag != "style":
                 run = None
