@@ -41,3 +41,16 @@ def test_odd_rows(spark):
     assert langid.fit(df.limit(0)).languages == [] and langid.predict(df, langid.fit(df.limit(0))).first().lang_pred == "und"
     assert langid.learn([("en", "the")]).predict("le chat")[0] == "en"
     assert langid.predict(df.limit(0), model).count() == 0
+
+
+def test_every_language_is_learnt(spark):
+    rng = np.random.default_rng(3)
+    rows, pools = [], {}
+    for k in range(70):
+        pools[f"l{k:02}"] = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(6)]
+    for k, (lang, pool) in enumerate(pools.items()):
+        for _ in range(20 - k // 5):
+            rows.append((len(rows), " ".join(rng.choice(pool, 30)), lang))
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(pools) and model.code.shape[1] > 63
+    assert sum(model.predict(" ".join(rng.choice(pool, 30)))[0] == lang for lang, pool in pools.items()) >= 69

@@ -5,8 +5,8 @@ Each language has a codeword of bits.  For each bit a binary classifier over cha
 weighs each bit by how well its classifier did on the sample, adds up the logistic loss of every
 codeword and chooses the nearest; a text whose second-nearest codeword is about as near is flagged.
 
-Learning takes a bounded sample, about ``per_language`` documents of each of the ``max_languages``
-most frequent languages, chosen by a hash of the id.  Prediction sees the whole text and nothing else.
+Learning takes a bounded sample, about ``per_language`` documents of each language
+present, chosen by a hash of the id.  Prediction sees the whole text and nothing else.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; so is every text if
 there is nothing to learn from; a single language is always predicted; rows are kept one to one,
@@ -17,6 +17,7 @@ repeated ones too; an empty table gives an empty table; of other columns only th
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -32,12 +33,13 @@ _OTHER = re.compile(r"[\W\d_]+")
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
-def codewords(n: int, bits: int = 63) -> np.ndarray:
+def codewords(n: int, bits: int | None = None) -> np.ndarray:
     """A row of -1 and 1 for each of ``n`` languages.
 
     Up to seven languages: every way to part them in two.  More: of 200 seeded random codes the one
-    whose nearest two rows are furthest apart.
+    whose nearest two rows are furthest apart.  ``bits`` grow with the logarithm of ``n``, 63 at least.
     """
+    bits = bits or max(63, math.ceil(10.5 * math.log2(max(n, 2))))
     if n <= 7:
         columns = [c for c in itertools.product((-1, 1), repeat=n) if c[0] == 1 and min(c) == -1]
         return np.array(columns, np.float64).T.reshape(n, -1)
@@ -130,12 +132,11 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400,
-        max_languages: int = 64) -> Model:
-    """Learn from a sample of the rows with a language whose id is not held out."""
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400) -> Model:
+    """Learn every language present from a sample of its rows whose id is not held out."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row for each language
     if not counts:
         return learn([])
     # the share of a language's documents that gives about per_language, by a hash of the id
