@@ -80,6 +80,30 @@ def test_estimate_follows_the_similarity():
     assert abs((same - 0.25) / 0.75 - true) < 0.12
 
 
+def test_repeated_ids_are_one_document_and_rows_without_id_each_one(spark):
+    rng = random.Random(3)
+    a, b, c, d = ([f"{k}{i}" for i in range(150)] for k in "abcd")
+    near = lambda w: " ".join(edited(w, 2, rng))
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, near(a)), (7, near(b)), (7, ""), (None, near(a)), (None, " ".join(c)), (None, " ".join(c)), (None, near(c)),
+            (None, "lonely words"), (None, None), (None, ""), (9, " ".join(d)), (9, " ".join(d)), (8, near(d)), (None, " ".join(d))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    full = sorted({(r.doc_id, r.component_id, r.kept) for r in got if r.n_shingles and r.doc_id is not None})
+    assert full == [(5, 5, True), (6, 5, False), (7, 5, False), (8, 8, True), (9, 8, False)]
+    none = [(r.component_id, r.kept) for r in got if r.doc_id is None and r.n_shingles > 1]
+    assert sorted(none, key=str) == [(5, False), (8, False), (None, False), (None, False), (None, True)]
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None and r.n_shingles < 2] == [(None, True)] * 3
+    assert [(r.component_id, r.kept) for r in got if r.doc_id == 7 and not r.n_shingles] == [(7, True)]
+
+
+def test_a_large_group_across_the_threshold_gives_fewer_links_than_members(spark):
+    """Documents about as like each other as the threshold: thousands of hopeful pairs, few links."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    docs = [(i, " ".join(edited(base, rng.choice([2, 3, 4, 5]), rng))) for i in range(160)]
+    assert run(spark, docs, 4) == brute(docs, 4)
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
