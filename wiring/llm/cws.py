@@ -37,7 +37,7 @@ SPACE = "[ \t\n\u000b\f\r]+"
 #: ln a is moved into the positive numbers and kept to 2**-24.
 _SHIFT, _FINE, _LOW = 96.0, float(1 << 24), 31
 #: Terms surely above this, over the total weight, are passed over at first.
-_SURE = 10.0
+_SURE = 13.0
 _MOST = (1 << 63) - 1
 _GROUP = 16
 
@@ -171,7 +171,9 @@ def edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share:
     order = following(docs, "key") if order is None else order
     own, after = docs, docs
     if only is not None:
-        own, order = docs.join(only, ["key", "th"], "left_semi"), order.join(only, "key", "left_semi")
+        # written, so that their sizes are known and the texts need not be dealt again for a few keys
+        order = materialise(order.join(only, "key", "left_semi"), "order")
+        own = docs.join(only, ["key", "th"], "left_semi")
         after = docs.join(order.select(F.col("next_key").alias("key")), "key", "left_semi")
     sizes = own.select("key", (F.length("text") / share).cast("long").alias("need")).groupBy("key").agg(F.max("need").alias("need"))
     wanted = order.join(sizes, "key").select(F.col("key").alias("before"), F.col("next_key").alias("key"), "need")
@@ -198,7 +200,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return found.select(*keys, written(F.col("first_signature")).alias(prints[0]), written(F.col("second_signature")).alias(prints[1]), "whole")
 
     found = materialise(drawn(both, _SURE), "fingerprints")
-    again = found.where("NOT whole").select("key", "th").distinct()
+    again = materialise(found.where("NOT whole").select("key", "th").distinct(), "again")
     if not again.isEmpty():
         every = drawn(edited(df, id_col, text_col, order=order, only=again)[0], None)
         every = every.groupBy("key", "th").agg(*[F.min(p).alias(f"all_{p}") for p in prints])
