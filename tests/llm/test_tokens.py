@@ -13,14 +13,12 @@ from wiring.llm import bpe, dac, queries
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "\n\n a", "don't DON'T 's x's 're'll", "a  b   c \n d", "é  b   \n c d", "x" * 3000, "12ab34 ab_cd!?  (x)  ",
-       "<|endoftext|> plain", "日本語 テキスト 🙂🙂", "tab\tsep\r\nline\x0b\x1c end", "½²Ⅷ a½b", "word, word. (word) 'word' word's", " ünï çödé—dash…", "!'s 's !"]
+       "<|endoftext|> plain", "a <|endoftext|> b", "x<|endoftext|>y  <|endoftext|>", "<|endoftext|",  "日本語 テキスト 🙂🙂", "tab\tsep\r\nline\x0b\x1c end", "½²Ⅷ a½b", "word, word. (word) 'word' word's", " ünï çödé—dash…", "!'s 's !"]
 
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def texts():
@@ -51,13 +49,13 @@ def test_any_id_is_found_without_its_neighbours(levels):
     ids = np.concatenate([rng.integers(0, 50257, 9000), rng.integers(0, 256, 5000), [0, 255, 256, 65535, 65536, 2**32 - 1]]).astype(np.uint32)
     ids = rng.permutation(ids)
     cuts = np.diff(np.concatenate([[0], np.sort(rng.integers(0, len(ids), 40)), [len(ids)]]))
-    shard = dac.Shard(dac.pack(np.arange(41), cuts, ids, levels))
+    shard = dac.Shard(dac.pack(list(range(41)), cuts, ids, levels))
     assert (shard.all() == ids).all()
     for i in [0, len(ids) - 1, *rng.integers(0, len(ids), 500)]:
         assert shard.token(int(i)) == ids[i]
     with pytest.raises(IndexError):
         shard.token(len(ids))
-    empty = dac.Shard(dac.pack(np.zeros(0), np.zeros(0, int), np.zeros(0, np.uint32), levels))
+    empty = dac.Shard(dac.pack([], np.zeros(0, int), np.zeros(0, np.uint32), levels))
     assert empty.n_ids == 0 and len(empty.all()) == 0
 
 
@@ -82,10 +80,36 @@ def test_store_of_odd_rows(spark, library):
     for r in back:
         assert r.ids == library.encode(ODD[r.doc_id] or "", add_special_tokens=False).ids + [2]
     assert [r.start for r in back] == list(np.cumsum([0] + [len(r.ids) for r in back])[:-1])
+    for r in back:
+        assert ODD[r.doc_id] != "a <|endoftext|> b" or 50256 in r.ids  # a special token in a text is that token
+    every = [i for r in back for i in r.ids]
+    places = spark.createDataFrame([(p,) for p in [*range(0, len(every), 7), len(every) - 1, len(every), -1]], "place long")
+    assert {r.place: r.id for r in dac.lookup(spark, path, places).collect()} == {r.place: every[r.place] if 0 <= r.place < len(every) else None for r in places.collect()}
     empty = dac.write(df.limit(0), dac.new_store(spark))
     assert dac.digests(spark, empty).count() == 0
 
 
+def test_rows_without_id_and_one_id_for_many(spark, library):
+    rows = [(None, "b c"), (None, "b c"), (None, None), (7, "x"), (7, "y z"), (7, "x"), (0, "zero"), (-5, "less")]
+    path = dac.write(spark.createDataFrame(rows, "doc_id long, text string"), dac.new_store(spark), partitions=3)
+    back = dac.read(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in back] == [None] * 3 + [-5, 0, 7, 7, 7]
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    assert sorted(((r.doc_id, r.ids) for r in back), key=key) == sorted(((i, library.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in rows), key=key)
+    assert [r.doc_id for r in dac.digests(spark, path).orderBy("start").collect()] == [r.doc_id for r in back]
+
+
+def test_texts_longer_than_a_chunk(spark):
+    random.seed(9)
+    texts = ["".join(random.choices("ab é'1 2.,!\n sdtl", k=200_000)), "x" * 150_000, " " * 90_000 + "end", "12" * 50_000]
+    enc = bpe.encoding(*bpe._paths(None, None))
+    rows = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), round_trip=True).collect()
+    for r in rows:
+        assert r.decoded.decode() == texts[r.doc_id]
+        if r.doc_id == 0:
+            assert r.ids == enc.encode_ordinary(texts[0])
+
+
 def test_round_trip_query(spark):
     docs = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     enc = bpe.encoding(*bpe._paths(None, None))

@@ -5,17 +5,21 @@ id; a bitmap beside it says which ids go on; level 1 holds the next chunk of jus
 The place of an id's next chunk is the number of ones before its bit, which a rank directory (one
 count for each 512 bits) gives with one popcount of at most 64 bytes.
 
-Layout of a shard (little endian): magic ``DAC1``; u32 number of levels; u64 number of documents;
-u64 number of ids; per level: u8 bits, u64 number of chunks; then doc_id (i64 each), the number of
-ids before each document within the shard (u64 each, one more at the end), then per level the
-chunks (u8 or u16 each), the bitmap (bytes) and its rank directory (u32 each).  All shards of a
-store lie in one Parquet folder, a row for each, ascending by first document; the row also has the
-number of ids of all shards before.  Spark's committer writes that folder, so a lost or repeated
-task leaves no half shard.
+Layout of a shard (little endian): magic ``DAC2``; u32 number of levels; u64 number of documents;
+u64 number of ids; per level: u8 bits, u64 number of chunks; then doc_id (i64 each, 0 for none), a
+bitmap of the documents without one (bytes), the number of ids before each document within the shard
+(u64 each, one more at the end), then per level the chunks (u8 or u16 each), the bitmap (bytes) and
+its rank directory (u32 each).  All shards of a store lie in one Parquet folder, a row for each,
+ascending by first document, their payloads neither compressed nor encoded, so ``lookup`` takes any id
+out of the bytes as they lie.  Spark's committer writes that folder, so a lost or repeated task leaves
+no half shard.
+
+Texts are given to the library as they are: a special token that stands in a text is that token.
 
 Defined results: a null or empty text has the end id only; texts of any length are encoded whole;
-rows with the same doc_id each stay, in the order of their text; an empty table gives an empty
-store; other columns, whatever their names, are not carried along.
+documents without a doc_id come first; rows with the same doc_id, or none, each stay, in the order of
+a hash of their text, and may lie in several shards; an empty table gives an empty store; other
+columns, whatever their names, are not carried along.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from wiring.llm.common import scratch_path
 
-MAGIC = b"DAC1"
+MAGIC = b"DAC2"
 #: Bits of each level.  Any id below 2**32 can be coded.
 LEVELS = (8, 8, 16)
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -67,9 +71,7 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 class PieceEncoder:
@@ -137,7 +139,7 @@ def _ranks(bits: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)[:-1]]).astype("<u4") if len(counts) else np.zeros(0, "<u4")
 
 
-def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, levels: tuple[int, ...] = LEVELS) -> bytes:
+def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, levels: tuple[int, ...] = LEVELS) -> bytes:
     """One shard; ``ids`` are those of all documents in turn, ``lengths`` their numbers."""
     rest, parts, sizes = ids.astype(np.uint32), [], []
     for k, bits in enumerate(levels):
@@ -150,7 +152,8 @@ def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, levels: tupl
     head = MAGIC + np.array([len(levels)], "<u4").tobytes() + np.array([len(doc_ids), len(ids)], "<u8").tobytes()
     head += b"".join(np.array([b], "u1").tobytes() + np.array([n], "<u8").tobytes() for b, n in sizes)
     starts = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
-    return head + np.asarray(doc_ids, "<i8").tobytes() + starts.tobytes() + b"".join(parts)
+    none = np.packbits(np.array([i is None for i in doc_ids], bool), bitorder="little")
+    return head + np.array([0 if i is None else i for i in doc_ids], "<i8").tobytes() + none.tobytes() + starts.tobytes() + b"".join(parts)
 
 
 class Shard:
@@ -165,8 +168,11 @@ class Shard:
         for _ in range(n_levels):
             sizes.append((data[at], int(np.frombuffer(data, "<u8", 1, at + 1)[0])))
             at += 9
-        self.doc_ids = np.frombuffer(data, "<i8", self.n_docs, at)
+        ids = np.frombuffer(data, "<i8", self.n_docs, at)
         at += 8 * self.n_docs
+        none = np.unpackbits(np.frombuffer(data, "u1", -(-self.n_docs // 8), at), count=self.n_docs, bitorder="little").astype(bool)
+        at += -(-self.n_docs // 8)
+        self.doc_ids = pa.array(ids, pa.int64(), mask=none)
         self.starts = np.frombuffer(data, "<u8", self.n_docs + 1, at).astype(np.int64)
         at += 8 * (self.n_docs + 1)
         self.levels = []
@@ -216,17 +222,19 @@ def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
           end_id: int | None = 2, shard_ids: int = 8_000_000, partitions: int | None = None) -> str:
     """Encode every text, append ``end_id`` to each and write the store at ``path``, ascending by ``id_col``.
 
-    A shard ends once it has ``shard_ids`` ids.  Documents are dealt by range of their id, so each
-    task holds one range; the number of ranges follows the session's shuffle partitions.
+    A shard ends once it has ``shard_ids`` ids.  Documents are dealt by range of their id and a hash of
+    their text, so each task holds one range, and many rows of one id or none are split; the number of
+    ranges follows the session's shuffle partitions.
     """
     spark = df.sparkSession
     where = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = (
-        df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        .repartitionByRange(n, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("th"))
+        .repartitionByRange(n, "doc_id", "th")
+        .sortWithinPartitions("doc_id", "th", "text")
+        .select("doc_id", "text")
     )
 
     def run(batches):
@@ -234,7 +242,7 @@ def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
 
         def shard():
             ids = np.frombuffer(b"".join(data), "<u4")
-            blob = pack(np.array(keys), np.array(sizes), ids)
+            blob = pack(keys, np.array(sizes), ids)
             return pa.RecordBatch.from_arrays(
                 [pa.array([keys[0]], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([len(ids)], pa.int64()),
                  pa.array([blob], pa.binary())], ["first_doc", "n_docs", "n_ids", "payload"])
@@ -254,9 +262,8 @@ def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
         if keys:
             yield shard()
 
-    dealt.mapInArrow(run, "first_doc long, n_docs long, n_ids long, payload binary").withColumn(
-        "partition", F.spark_partition_id()).withColumn("part", F.monotonically_increasing_id()).write.option(
-        "compression", "zstd").parquet(path)
+    dealt.mapInArrow(run, "first_doc long, n_docs long, n_ids long, payload binary").withColumn("part", F.monotonically_increasing_id()).write.option(
+        "compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(path)
     return path
 
 
@@ -266,7 +273,7 @@ def shards(spark: SparkSession, path: str) -> DataFrame:
     Only the numbers of ids of the shards meet in one task, a few bytes for each shard.
     """
     all_shards = spark.read.schema(
-        "first_doc long, n_docs long, n_ids long, payload binary, partition int, part long").parquet(path)
+        "first_doc long, n_docs long, n_ids long, payload binary, part long").parquet(path)
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = all_shards.select("part", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("start"))
     return all_shards.join(F.broadcast(starts), "part")
@@ -278,6 +285,30 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                          lambda ids: pa.array(ids.tolist(), pa.int64()), pa.list_(pa.int64()))
 
 
+def lookup(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
+    """``place, id`` of the places of a table (column ``place``, counted over the whole store from 0); places outside have none.
+
+    Only the shards that hold a place are read, and of these no id but those asked for is put together.
+    """
+    own = shards(spark, path)
+    wanted = places.select(F.col("place").cast("long").alias("place")).where("place IS NOT NULL")
+    index = own.select("start", (F.col("start") + F.col("n_ids")).alias("stop"))
+    held = wanted.join(F.broadcast(index), (F.col("place") >= F.col("start")) & (F.col("place") < F.col("stop")))  # 16 bytes for each shard
+    asked = held.groupBy("start", F.floor(F.col("place") / _ASKED).alias("piece")).agg(F.collect_set("place").alias("places"))
+
+    def run(batches):
+        for batch in batches:
+            for start, blob, some in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                s = Shard(blob)
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([s.token(p - start) for p in some], pa.int64())], ["place", "id"])
+
+    found = asked.join(own.select("start", "payload"), "start").select("start", "payload", "places").mapInArrow(run, "place long, id long")
+    return wanted.join(found, "place", "left")
+
+
+_ASKED = 1 << 20  # places of a stretch of so many ids are looked up together
+
+
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document: ``doc_id``, ``start``, ``n_tokens`` and the crc32 of its ids as unsigned 32-bit integers."""
 
@@ -289,7 +320,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
                 ends = s.starts.tolist()
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.doc_ids, pa.int64()), pa.array(s.starts[:-1] + start, pa.int64()),
+                    [s.doc_ids, pa.array(s.starts[:-1] + start, pa.int64()),
                      pa.array(np.diff(s.starts), pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -307,7 +338,7 @@ def _per_document(found: DataFrame, schema: str, value, kind) -> DataFrame:
                     to = min(s.n_docs, at + 256)
                     lists = [ids[ends[k] : ends[k + 1]].tolist() for k in range(at, to)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(s.doc_ids[at:to], pa.int64()), pa.array(s.starts[at:to] + start, pa.int64()),
+                        [s.doc_ids.slice(at, to - at), pa.array(s.starts[at:to] + start, pa.int64()),
                          pa.array(lists, kind)], ["doc_id", "start", "ids"])
 
     return found.select("start", "payload").mapInArrow(run, schema)
