@@ -75,3 +75,25 @@ def test_empty_table_and_redaction(spark):
     df = spark.createDataFrame([(1, "to a@b.c now")], "doc_id long, text string")
     found = pii.find(df, keep=("doc_id", "text"))
     assert found.select(pii.redact(found).alias("x")).first().x == "to [EMAIL] now"
+
+
+def test_many_matches_in_one_long_text(spark):
+    import time
+
+    text = "é" + " ".join(f"u{k}@mail.example" for k in range(50_000)) + " phone +1 555 123 4567"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.perf_counter()
+    spans = pii.find(df).first().spans
+    assert time.perf_counter() - start < 60
+    assert [(s.kind, s.start, s.end) for s in spans] == brute(text)
+    assert spans[-1].score == 0.9 and text[spans[700].start : spans[700].end] == "u700@mail.example" == spans[700].match
+
+
+def test_context_across_blocks_and_redaction_of_long_texts(spark):
+    texts = ["x" * k + " card 4111 1111 1111 1111 é. " + "y" * 9000 + " to a@b.c" for k in (4060, 4068, 4085, 4090, 8180, 20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.find(df, keep=("doc_id", "text"))
+    for r in found.select("doc_id", "spans", pii.redact(found).alias("clean")).collect():
+        assert [(s.kind, s.start, s.end) for s in r.spans] == brute(texts[r.doc_id])
+        assert {s.kind: s.score for s in r.spans}["card"] == 1.0
+        assert r.clean == texts[r.doc_id].replace("4111 1111 1111 1111", "[CARD]").replace("a@b.c", "[EMAIL]")

@@ -92,18 +92,50 @@ KINDS = (
 SPAN = "array<struct<start:int,end:int,match:string>>"
 
 
+_CHUNK = 256  # matches that are put in order at once
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """The leftmost non-overlapping matches: start and end in code points, end exclusive, and the string."""
+    """The leftmost non-overlapping matches: start and end in code points, end exclusive, and the string.
+
+    Matches are placed in chunks and the chunks are placed in turn, so no array grows by one element
+    at a time and the work stays near the number of matches.
+    """
     plain = F.translate(text, _OPEN + _CLOSE, _PLAIN * 2)
     pieces = F.split(F.regexp_replace(plain, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN)
-    start = F.struct(F.length(F.element_at(pieces, 1)).alias("at"), F.array().cast(SPAN).alias("found"))
 
-    def add(held: Column, piece: Column) -> Column:
-        match = F.substring_index(piece, _CLOSE, 1)
-        one = F.struct(held["at"].alias("start"), (held["at"] + F.length(match)).alias("end"), match.alias("match"))
-        return F.struct((held["at"] + F.length(piece) - 1).alias("at"), F.concat(held["found"], F.array(one)).alias("found"))
+    def chunk(k: Column) -> Column:  # from 0 on, and how far its pieces reach
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+
+        def add(held: Column, piece: Column) -> Column:
+            match = F.substring_index(piece, _CLOSE, 1)
+            one = F.struct(held["at"].alias("start"), (held["at"] + F.length(match)).alias("end"), match.alias("match"))
+            return F.struct((held["at"] + F.length(piece) - 1).alias("at"), F.concat(held["found"], F.array(one)).alias("found"))
+
+        return F.aggregate(F.slice(pieces, k * _CHUNK + 2, F.lit(_CHUNK)), start, add)
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 2) / _CHUNK).cast("int")), chunk)
+    first = F.struct(F.length(F.element_at(pieces, 1)).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+
+    def join(held: Column, part: Column) -> Column:
+        moved = F.transform(part["found"], lambda m: F.struct((m["start"] + held["at"]).alias("start"), (m["end"] + held["at"]).alias("end"), m["match"].alias("match")))
+        return F.struct((held["at"] + part["at"]).alias("at"), F.concat(held["found"], F.array(moved)).alias("found"))
+
+    return F.when(F.size(pieces) > 1, F.flatten(F.aggregate(chunks, first, join)["found"])).otherwise(F.array().cast(SPAN))
+
 
-    return F.when(F.size(pieces) > 1, F.aggregate(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), start, add)["found"]).otherwise(F.array().cast(SPAN))
+_BLOCK = 4096  # code points of a block of text
+
+
+def blocks_of(text: Column) -> Column:
+    """The text in blocks, so that what stands at a place is found without counting from the beginning."""
+    return F.when(F.length(text) <= _BLOCK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0)))
+
+
+def stretch(blocks: Column, start: Column, length: Column) -> Column:
+    """``length`` code points, at most a block's, from ``start`` on, counted from 0."""
+    k = F.floor(start / _BLOCK).cast("int")
+    return F.substring(F.concat(F.coalesce(F.get(blocks, k), F.lit("")), F.coalesce(F.get(blocks, k + 1), F.lit(""))), start - k * _BLOCK + 1, length)
 
 
 def find(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), near: int = 40, least: float = 0.5) -> DataFrame:
@@ -114,11 +146,12 @@ def find(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id
     """
     text = F.coalesce(F.col("__text"), F.lit(""))
     rows = df.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    rows = rows.select(*keep, "__text", *[_proposed(text, kind).alias(f"__{kind.name}") for kind in KINDS])
+    rows = rows.select(*keep, *[_proposed(text, kind).alias(f"__{kind.name}") for kind in KINDS], blocks_of(text).alias("__blocks"))
+    blocks = F.col("__blocks")
 
     def judged(kind: Kind) -> Column:
         def one(m: Column) -> Column:
-            around = F.lower(F.concat_ws(" ", F.substring(text, F.greatest(m["start"] + 1 - near, F.lit(1)), F.least(m["start"], F.lit(near))), F.substring(text, m["end"] + 1, F.lit(near))))
+            around = F.lower(F.concat_ws(" ", stretch(blocks, F.greatest(m["start"] - near, F.lit(0)), F.least(m["start"], F.lit(near))), stretch(blocks, m["end"], F.lit(near))))
             score = F.lit(kind.score) + F.when(around.rlike(kind.words), 0.2).otherwise(-0.1 if kind.score < 0.5 else 0.0)
             return F.struct(F.lit(kind.name).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"),
                             F.least(F.round(score, 3), F.lit(1.0)).alias("score"), F.lit(kind.base).alias("base"))
@@ -142,14 +175,30 @@ def joined(spans: Column) -> Column:
 
 
 def redact(df: DataFrame, text_col: str = "text", spans_col: str = "spans") -> Column:
-    """The text with each span of the array replaced by ``[KIND]``; of spans that overlap the first counts."""
+    """The text with each span of the array replaced by ``[KIND]``; of spans that overlap the first counts.
+
+    Every block of the text is read once and keeps what no span covers; a span's sign stands in the block where it begins.
+    """
     spans = F.array_sort(F.transform(df[spans_col], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    text = F.coalesce(df[text_col], F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    ends = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("kept"))
+
+    def choose(held: Column, s: Column) -> Column:
+        one = F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["kind"].alias("kind"))
+        return F.when(s["start"] < held["at"], held).otherwise(F.struct(s["end"].cast("int").alias("at"), F.concat(held["kept"], F.array(one)).alias("kept")))
+
+    chosen = F.aggregate(spans, ends, choose)["kept"]
+
+    def block(text: Column, k: Column) -> Column:
+        low = k * _BLOCK
+        own = F.filter(chosen, lambda s: (s["end"] > low) & (s["start"] < low + _BLOCK))
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+        def add(held: Column, s: Column) -> Column:
+            sign = F.when(s["start"] >= low, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
+            said = F.concat(held["out"], F.substring(text, held["at"] + 1, F.greatest(s["start"] - low - held["at"], F.lit(0))), sign)
+            return F.struct(F.least(s["end"] - low, F.lit(_BLOCK)).alias("at"), said.alias("out"))
 
-    def add(held: Column, s: Column) -> Column:
-        said = F.concat(held["out"], F.substring(text, held["at"] + 1, s["start"] - held["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] < held["at"], held).otherwise(F.struct(s["end"].alias("at"), said.alias("out")))
+        done = F.aggregate(own, start, add)
+        return F.concat(done["out"], F.substring(text, done["at"] + 1, F.lit(_BLOCK)))
 
-    done = F.aggregate(spans, start, add)
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+    return F.array_join(F.transform(blocks_of(F.coalesce(df[text_col], F.lit(""))), block), "")
