@@ -54,6 +54,19 @@ def test_markup():
     assert runs("<div>" * 3000 + "deep") == ["deep"]
 
 
+def test_markup_inside_a_paragraph_does_not_cut_it():
+    def runs(page):
+        nodes, _, _ = html.nodes_of(html.parse(page))
+        return [n.text for n in nodes if n.tag is None]
+
+    assert runs("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be real") == ["Let x=1 be real"]
+    assert runs("<p>see <svg><text>drawn</text></svg>the icon<p>next") == ["see the icon", "next"]
+    assert runs("<p>a <noscript>b <i>c</i></noscript> d") == ["a b c d"]
+    assert runs("<p>a <object data='x'>told <b>here</b></object> d") == ["a told here d"]
+    assert runs("<p>a <iframe src='x'>no</iframe>b <video>no</video>c <select><option>no</select>d") == ["a b c d"]
+    assert runs("<div><noscript><p>one</p></noscript><p>two</div>") == ["one", "two"]
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "t"), (2, None, "", "t"), (3, "u", "<p>" * 50, "t"), (3, "u", "x", "t")], "page_id long, url string, html string, text string")
     got = html.extract(df).collect()

@@ -36,8 +36,12 @@ _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _TOKEN = re.compile(r"[A-Za-z]+")
-#: Elements whose content is never text of the page.
-_RAW = frozenset("script style template noscript iframe object svg math head title textarea select canvas audio video".split())
+#: Elements whose content is never text of the page: code, form fields, drawings and what only shows where media fail.
+_RAW = frozenset("script style template iframe svg head title textarea select canvas audio video annotation annotation-xml".split())
+#: Elements that are read as if their tags were not there; formulas and fallbacks inside a paragraph stay in it.
+_CLEAR = frozenset("math mi mo mn ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd semantics mstyle mpadded mphantom menclose mfenced mspace object".split())
+#: Blocks whose text ``noscript`` is part of; elsewhere it is a block of its own.
+_SAYING = frozenset("p li dt dd td th h1 h2 h3 h4 h5 h6 pre blockquote figcaption".split())
 #: Those that run to the end of the page when nothing closes them.
 _TO_END = frozenset("script style textarea title iframe".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -123,7 +127,7 @@ def parse(page: str) -> Node:
             elif tag == "p":
                 run = None
             continue
-        if tag in ("svg", "math") and m[3].endswith("/"):
+        if tag == "svg" and m[3].endswith("/") or tag in _CLEAR or tag == "noscript" and stack[-1][1].tag in _SAYING:
             continue
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -131,7 +135,7 @@ def parse(page: str) -> Node:
                 at = end.end()
             elif tag in _TO_END:
                 at = len(page)
-            if tag not in _INLINE and tag != "script" and tag != "style":
+            if tag in ("head", "title"):
                 run = None
             continue
         if tag in ("html", "body"):
