@@ -51,3 +51,15 @@ def test_equal_texts_repeated_rows_and_odd_rows(spark):
     assert cws.fingerprints(df.limit(0)).count() == 0
     alone = cws.fingerprints(df.where("doc_id = 9")).first()
     assert alone.near_next == 1.0
+
+
+def test_terms_passed_over_change_nothing(spark, monkeypatch):
+    """With a bound that many samples miss, the texts concerned are drawn again with every term."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).unionByName(
+        spark.createDataFrame([(-7, "a a a b", "x", "y", 7), (-7, "a b " * 300, "x", "y", 7)], "doc_id long, text string, lang string, source string, n_chars long"))
+
+    def prints(sure):
+        monkeypatch.setattr(cws, "_SURE", sure)
+        return sorted(cws.fingerprints(docs).select("doc_id", "n_chars", "fingerprint", "edited_fingerprint", "near_next").collect())
+
+    assert prints(0.7) == prints(60.0)

@@ -1,5 +1,7 @@
 """Language identification: held-out accuracy, decoding and odd rows."""
 
+import math
+
 import numpy as np
 
 from wiring.llm import langid, queries
@@ -32,6 +34,28 @@ def test_an_error_in_one_bit_is_corrected():
     assert model.decode(np.zeros(7))[2]
 
 
+def test_decoding_is_the_least_weighted_loss_of_all_codewords():
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 5, 9):
+        code = langid.codewords(n)
+        weights = rng.uniform(0.1, 3, code.shape[1])
+        model = langid.Model([f"l{k}" for k in range(n)], code=code, weights=weights)
+        for _ in range(50):
+            margins = rng.normal(0, 3, code.shape[1])
+            losses = [sum(w * math.log1p(math.exp(-c * m)) for w, c, m in zip(weights, row, margins, strict=True)) for row in code]
+            best, score, unsure = model.decode(margins)
+            order = sorted(losses)
+            assert losses[best] == order[0] and math.isclose(score, 1 / sum(math.exp(order[0] - x) for x in losses), rel_tol=1e-9)
+            assert unsure == (order[1] - order[0] < model.CLEAR * weights.sum())
+
+
+def test_very_long_texts_are_read_whole(spark):
+    model = langid.learn([("en", "the cat sat on the mat"), ("fr", "le chat est sur le tapis")])
+    late = "le chat est sur le tapis " * 100 + "the cat sat on the mat " * 20_000
+    df = spark.createDataFrame([(1, late), (2, "the mat " + "le chat " * 100_000)], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.predict(df, model).orderBy("doc_id").collect()] == ["en", "fr"]
+
+
 def test_odd_rows(spark):
     rows = [(1, "the cat sat on the mat", "en"), (2, "le chat est sur le tapis", "fr"), (3, None, "en"), (4, "123 !?", "fr"), (5, "", None), (6, "the mat", None), (6, "the mat", None)]
     df = spark.createDataFrame([(a, b, c, 0.5) for a, b, c in rows for _ in range(1)], "doc_id long, text string, lang string, score double")

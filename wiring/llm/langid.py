@@ -112,7 +112,7 @@ def learn(samples: list[tuple[str, str]], log2: int = 15, smooth: float = 0.5) -
     counts = np.zeros((len(languages), 1 << log2))
     for lang, text in samples:
         found = np.bincount(grams(text, log2), minlength=1 << log2)
-        counts[languages.index(lang)] += np.minimum(found, 50)  # a text that repeats itself says little more
+        counts[languages.index(lang)] += np.sqrt(found)  # a text that repeats itself says little more
     share = counts + smooth
     share /= share.sum(1, keepdims=True)
     code = codewords(len(languages))
