@@ -178,7 +178,7 @@ def edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share:
     sizes = own.select("key", (F.length("text") / share).cast("long").alias("need")).groupBy("key").agg(F.max("need").alias("need"))
     wanted = order.join(sizes, "key").select(F.col("key").alias("before"), F.col("next_key").alias("key"), "need")
     sent = after.join(wanted.hint("merge"), "key").select(
-        F.col("before").alias("key"), F.struct(F.col("th"), F.substring(F.col("text"), F.lit(1), F.col("need").cast("int")).alias("head")).alias("sent"))
+        F.col("before").alias("key"), F.struct(F.col("th"), F.col("row"), F.substring(F.col("text"), F.lit(1), F.col("need").cast("int")).alias("head")).alias("sent"))  # the same columns as below, so the texts are dealt once
     heads = sent.groupBy("key").agg(F.min("sent").alias("sent")).select("key", F.col("sent.head").alias("head"))
     n = F.length("text")
     cut = F.floor(n / share).cast("int")
