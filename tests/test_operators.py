@@ -108,7 +108,8 @@ def test_features_with_absent_ids_and_odd_tags(spark):
     tagged = features.tag_join(syn, tags)
     ids = spark.createDataFrame([(7,), (8,), (99,)], "root_id long")
     assert {r.root_id: (r.ratio, r.n_syn) for r in features.spine_ratio(tagged, ids).collect()} == {7: (1 / 3, 3), 8: (0.0, 1), 99: (None, 0)}
-    assert features.untagged_targets(tags).count() == 0
+    with pytest.raises(Exception, match="more than once"):
+        features.tag_join(syn, tags.union(tags)).collect()
     twice = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k long, v string")
     assert features.only_unique(twice, "k").collect() == [(2, "c")]
 
@@ -120,9 +121,10 @@ def test_fits_recover_their_parameters(spark):
     got = {r.k: r for r in fit.fits(df, ["k"], "x", "y", "n").collect()}
     assert got["a"].top == pytest.approx(0.82, abs=1e-4) and got["a"].half == pytest.approx(124, abs=0.1) and got["a"].r2 > 0.9999
     assert got["b"].top is None
-    bi = [("a", float(x), float(fit.biphasic(x, 0.1, 0.7, 60.0, 0.2, 300.0, 250.0)), 50) for x in d]
-    two = fit.fits(spark.createDataFrame(bi, df.schema), ["k"], "x", "y", "n", "biphasic").first()
-    assert two.r2 > 0.99
+    for true in ((0.1, 0.7, 160.0, 0.2, 80.0, 40.0), (0.3, 0.9, 110.0, 0.1, 60.0, 25.0), (0.05, 0.75, 250.0, 0.3, 45.0, 15.0)):
+        bi = [("a", float(x), float(fit.biphasic(x, *true)), 50) for x in np.linspace(3, 1190, 200)]
+        two = fit.fits(spark.createDataFrame(bi, df.schema), ["k"], "x", "y", "n", "biphasic").first()
+        assert [two[name] for name, *_ in fit.BIPHASIC] == pytest.approx(true, rel=0.02, abs=0.005) and two.r2 > 0.9999
     with pytest.raises(ValueError):
         fit.fits(df, ["k"], "x", "y", "n", "cubic")
 
@@ -159,7 +161,9 @@ def test_geometry(spark, tmp_path):
     mesh = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0), (1, 1, 1.0, 0.0, 0.0), (1, 2, 0.0, 1.0, 0.0)], "seg_id long, vid int, x double, y double, z double")
     faces = spark.createDataFrame([(1, 0, 0, 1, 2), (1, 1, 0, 0, 1)], "seg_id long, fid int, v0 int, v1 int, v2 int")
     tri = geometry.triangles(faces, mesh)
-    assert {r.fid: r.shade for r in geometry.shading(tri).collect()} == {0: pytest.approx(1.0), 1: pytest.approx(0.3)}
+    assert {r.fid: r.shade for r in geometry.shading(tri, (0.0, 0.0, 1.0)).collect()} == {0: pytest.approx(1.0), 1: pytest.approx(0.3)}
+    assert {r.fid: r.shade for r in geometry.shading(tri, (0.0, 0.0, -1.0)).collect()} == {0: pytest.approx(0.3), 1: pytest.approx(0.3)}  # turned away
+    assert {r.fid: r.shade for r in geometry.shading(tri).collect()}[0] == pytest.approx(0.3 + 0.7 / math.sqrt(0.3**2 + 0.5**2 + 1))
     assert geometry.cropped(tri, (0.5, 2), (-1, 0.5)).count() == 2 and geometry.cropped(tri, (5, 6), (5, 6)).count() == 0
 
 
@@ -173,6 +177,72 @@ def test_nearest_is_that_of_all_pairs(spark):
     assert got == {i: int(((s - x) ** 2).sum(1).argmin()) for i, x in enumerate(p)}
 
 
+def test_nearest_with_odd_rows_and_dense_cells(spark, monkeypatch):
+    monkeypatch.setattr(geometry, "_PIECE", 7)
+    rng = np.random.default_rng(4)
+    p, s = rng.normal(0, 0.01, (60, 3)), rng.normal(0, 0.01, (50, 3))
+    p[:3] = [[50, 50, 50], [-20, 0, 3], [0, 0, 0]]
+    rows = [(i, *map(float, x)) for i, x in enumerate(p)] + [(5, *map(float, p[5])), (100, None, 1.0, 1.0), (101, math.nan, 1.0, 1.0), (102, 1.0, math.inf, 1.0)]
+    points = spark.createDataFrame(rows, "vid long, x double, y double, z double")
+    sites = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(s)] + [(77, None, 0.0, 0.0), (78, math.nan, 0.0, 0.0)], "site_id long, x double, y double, z double")
+    got = sorted((r.vid, -1 if r.site_id is None else r.site_id) for r in geometry.nearest(points, sites, 1.0).collect())
+    want = [(i, int(((s - x) ** 2).sum(1).argmin())) for i, x in enumerate(p)]
+    assert got == sorted([*want, want[5], (100, -1), (101, -1), (102, -1)])
+    assert {r.site_id for r in geometry.nearest(points, sites.limit(0), 1.0).collect()} == {None}
+    assert geometry.nearest(points.limit(0), sites, 1.0).count() == 0
+
+
+def test_places_do_not_hang_on_the_number_of_partitions(spark):
+    rng = np.random.default_rng(6)
+    values = [None if rng.random() < 0.05 else float(rng.integers(0, 300)) for _ in range(3000)]
+    df = spark.createDataFrame([(k, v, int(rng.integers(0, 4))) for k, v in enumerate(values)], "root_id long, v double, k int")
+    import pandas as pd
+
+    known = pd.Series([v for v in values if v is not None])
+    box = {}
+    for parts, shuffle in ((1, "3"), (17, "5"), (4, "64")):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+        try:
+            some = df.repartition(parts)
+            assert {r.root_id: r.matrix_idx for r in graph.matrix_index(some).collect()} == {k: k for k in range(3000)}
+            ranked = {r.v: r.rk for r in stats.ranks(some.where("v IS NOT NULL"), "v", "rk").select("v", "rk").collect()}
+            assert ranked == dict(zip(known, known.rank(), strict=True))
+            box[parts] = sorted(map(tuple, stats.box(some, "v", "k").collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len({repr([[round(x, 9) for x in r] for r in rows]) for rows in box.values()}) == 1
+
+
+def test_valid_network_of_hand_sized_rows(spark):
+    neurons = spark.createDataFrame([(1, "E", 10.0, 5.0, 4, 0.5, 2, 1, 1, 99), (2, "I", 10.0, 5.0, 4, 0.5, 4, 0, 0, 99), (3, "E", 0.0, 5.0, 4, 0.5, 4, 0, 0, 99), (4, "E", 1.0, 1.0, 4, None, 4, 0, 0, 99)],
+                                    "root_id long, clf_type string, dendrite_length double, axon_length double, ds_num_of_incoming_synapses long, ds_spine_ratio double, ds_spine long, ds_shaft long, ds_soma long, in_synapses long")
+    edges = spark.createDataFrame([(1, 2, 3), (2, 1, 2), (1, 3, 7), (1, 1, 1)], "pre_id long, post_id long, n_syn long")
+    typed = graph.typed(edges, neurons)
+    valid, own = features.valid_network(neurons, typed)
+    assert {r.root_id: (r.in_synapses, r.in_neurons, r.ex_in_synapses, r.out_synapses, r.contacts) for r in valid.collect()} == {1: (3, 2, 1, 4, 1.5), 2: (3, 1, 3, 2, 3.0)}
+    assert own.count() == 3 and features.inconsistent(valid, own).count() == 0
+    assert {r.root_id for r in features.inconsistent(valid, typed).collect()} == {1, 3}
+    with pytest.raises(ValueError):
+        features.valid_network(neurons, typed, 2.0)
+
+
+def test_equal_width_bins_labels_and_errors(spark):
+    df = spark.createDataFrame([(float(k), 2.0 * k + 1, None if k % 2 else 5.0) for k in range(16)], "x double, y double, z double")
+    rows = {(r.series, r.bin): r for r in profiles.labelled_trends(df, "x", ["y", "z"], 4).collect()}
+    assert len(rows) == 8 and rows["y", 0].n == 4 and rows["y", 3].n == 4 and rows["z", 0].n == 2
+    assert rows["y", 1].r == pytest.approx(1.0) and rows["y", 1].slope == pytest.approx(2.0) and rows["z", 1].r is None
+    with pytest.raises(ValueError):
+        profiles.equal_edges(df.limit(0), "x", 4)
+
+
+def test_spearman_p(spark):
+    df = spark.createDataFrame([(float(k), float(v)) for k, v in enumerate([1, 3, 2, 5, 4, 7, 6, 9, 8, 10])], "x double, y double")
+    r = stats.spearman(df, "x", "y", with_p=True).first()
+    rho = 1 - 6 * 8 / (10 * 99)
+    t = rho * math.sqrt(8 / (1 - rho * rho))
+    assert r.rho == pytest.approx(rho) and r.stars == "***" and r.p == pytest.approx(2.28e-5, rel=0.01) and t > 8
+
+
 def test_sources_and_stream(spark, tmp_path):
     (tmp_path / "n.csv").write_text(",root_id,center_position\n0,864691135000000001,\"[1, 2, -3.5]\"\n")
     df = readers.positions(readers.csv(spark, str(tmp_path / "n.csv"), "root_id long, center_position string", index_column=True))
@@ -186,3 +256,26 @@ def test_sources_and_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(spark.sql("select * from deg").collect()) == [(1, 2, 5.0), (4, 1, 1.0)]
+
+
+def test_meshes_and_arrays(spark, tmp_path):
+    vertices, faces = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0.5]]), np.array([[0, 1, 2]])
+    readers.write_mesh(spark, str(tmp_path / "m"), 7, vertices, faces)
+    v, f = readers.mesh(spark, str(tmp_path / "m"), 7)
+    assert [tuple(r) for r in v.orderBy("vid").collect()] == [(7, k, *map(float, x)) for k, x in enumerate(vertices)] and f.collect() == [(7, 0, 0, 1, 2)]
+    with pytest.raises(FileNotFoundError):
+        readers.mesh(spark, str(tmp_path / "m"), 8)
+    readers.write_array(v, "x", "vid", str(tmp_path / "x.npy"))
+    assert np.load(tmp_path / "x.npy").tolist() == [0.0, 1.0, 0.0]
+
+
+def test_incoming_synapses_of_nested_records_and_images(spark, tmp_path):
+    rows = [(1, [(10, 2, 1, 5, [4.0, 8.0, 2.0])]), (2, []), (3, None)]
+    objects = spark.createDataFrame(rows, "root_id long, pre_synapses array<struct<id_:long,pre_pt_root_id:long,post_pt_root_id:long,size:long,center_position:array<double>>>")
+    got = readers.incoming_synapses(objects).collect()
+    assert [(r.root_id, r.id_, r.pre_pt_root_id, r.size, r.cell_type) for r in got] == [(1, 10, 2, 5, "Unk")]
+    assert (got[0].x, got[0].y, got[0].z) == pytest.approx((0.016, 0.032, 0.08))
+    (tmp_path / "b.png").write_bytes(b"two")
+    (tmp_path / "a.png").write_bytes(b"one")
+    (tmp_path / "c.txt").write_bytes(b"no")
+    assert [bytes(r.content) for r in readers.images(spark, str(tmp_path)).collect()] == [b"one", b"two"]

@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wiring.functions.numeric import ieee_ratio, ratio, ratio_or_zero
+from wiring.functions.numeric import differs, ieee_ratio, ratio, ratio_or_zero
 
 TAGS = ("spine", "shaft", "soma")
 
 
 def tag_join(synapses: DataFrame, tags: DataFrame, id_col: str = "id_", target_col: str = "target_id") -> DataFrame:
-    """Synapses with the tag of their target; those without one go."""
-    return synapses.join(tags.select(F.col(target_col).alias(id_col), "tag"), id_col)
-
-
-def untagged_targets(tags: DataFrame, target_col: str = "target_id") -> DataFrame:
-    """Targets that are tagged more than once: must be empty before ``tag_join``."""
-    return tags.groupBy(target_col).count().where("count > 1")
+    """Synapses with the tag of their target; those without one go.  A target tagged twice is an error."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(target_col))
+    sure = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("target tagged more than once: "), F.col(target_col).cast("string")))).otherwise(F.col("tag"))
+    once = tags.select(target_col, "tag", n.alias("__n")).select(F.col(target_col).alias(id_col), sure.alias("tag"))
+    return synapses.join(once, id_col)
 
 
 def spine_ratio(tagged: DataFrame, ids: DataFrame, group_by: str = "pre_id", feature: str = "spine") -> DataFrame:
@@ -40,12 +38,19 @@ def _tag_counts(df: DataFrame, key: str, prefix: str) -> DataFrame:
 
 
 def spine_features(neurons: DataFrame, tagged: DataFrame, tags_in: DataFrame, tags_out: DataFrame, in_key: str = "post_pt_root_id", out_key: str = "pre_pt_root_id") -> DataFrame:
-    """Counts and shares by tag and type from local synapses, all incoming tags and all outgoing tags."""
+    """Counts, distinct inputs and shares by tag and type from local synapses, all incoming tags and all outgoing tags.
+
+    Shares have all tagged rows below the line, other and missing tags included; a neuron without
+    rows has counts of 0 and no share.  Names: ``spine``, ``ex_spine`` count synapses, ``spine_neurons``
+    distinct inputs; ``ds_`` stands for all incoming tags, ``ds_out_`` for all outgoing ones.
+    """
     tag, pre = F.col("tag"), F.col("pre_clf_type")
+    types = (("E", "ex"), ("I", "inh"))
     local = tagged.groupBy(F.col("post_id").alias("root_id")).agg(
         *[F.count_if(tag == t).alias(t) for t in TAGS],
-        *[F.count_if((tag == t) & (pre == e)).alias(f"{name}_{t}") for e, name in (("E", "ex"), ("I", "inh")) for t in ("spine", "shaft")],
-        *[F.countDistinct(F.when(tag == t, F.col("pre_id"))).alias(f"{t}_neurons") for t in ("spine", "shaft")],
+        *[F.count_if((tag == t) & (pre == e)).alias(f"{name}_{t}") for e, name in types for t in TAGS],
+        *[F.countDistinct(F.when(tag == t, F.col("pre_id"))).alias(f"{t}_neurons") for t in TAGS],
+        *[F.countDistinct(F.when((tag == "spine") & (pre == e), F.col("pre_id"))).alias(f"{name}_spine_neurons") for e, name in types],
         F.count(F.lit(1)).alias("all"))
     mart = neurons
     for part in (local, _tag_counts(tags_in, in_key, "ds_"), _tag_counts(tags_out, out_key, "ds_out_")):
@@ -53,15 +58,22 @@ def spine_features(neurons: DataFrame, tagged: DataFrame, tags_in: DataFrame, ta
     c = F.col
     counts = [x for x in mart.columns if x not in neurons.columns]
     mart = mart.withColumns({x: F.coalesce(c(x), F.lit(0)) for x in counts})
-    return mart.withColumns({
-        "spine_ratio": ratio(c("spine"), c("all")), "ds_spine_ratio": ratio(c("ds_spine"), c("ds_all")), "ds_out_spine_ratio": ratio(c("ds_out_spine"), c("ds_out_all")),
-        "spine_to_shaft": ratio(c("spine"), c("shaft")), "ds_spine_to_shaft": ratio(c("ds_spine"), c("ds_shaft")), "ds_out_spine_to_shaft": ratio(c("ds_out_spine"), c("ds_out_shaft")),
+    shares = {f"{p}{t}_ratio": ratio(c(f"{p}{t}"), c(f"{p}all")) for p, t in (("", "spine"), ("ds_", "spine"), ("ds_", "shaft"), ("ds_out_", "spine"), ("ds_out_", "shaft"))}
+    return mart.withColumns(shares | {
+        "ex_spine_share": ratio(c("ex_spine"), c("spine")),
+        "spine_to_shaft": share_of(c("spine"), c("shaft")), "ds_spine_to_shaft": share_of(c("ds_spine"), c("ds_shaft")),
+        "spine_to_shaft_neurons": share_of(c("spine_neurons"), c("shaft_neurons")),
         "spine_per_contact": ratio(c("spine"), c("spine_neurons")), "shaft_per_contact": ratio(c("shaft"), c("shaft_neurons")),
         "spine_density": ratio(c("spine"), c("dendrite_length")), "shaft_density": ratio(c("shaft"), c("dendrite_length")),
         "ds_spine_density": ratio(c("ds_spine"), c("dendrite_length")), "ds_shaft_density": ratio(c("ds_shaft"), c("dendrite_length")),
         "ds_out_spine_density": ratio(c("ds_out_spine"), c("axon_length")), "ds_out_shaft_density": ratio(c("ds_out_shaft"), c("axon_length"))})
 
 
+def share_of(a: Column, b: Column) -> Column:
+    """``a`` out of both."""
+    return ratio(a, a + b)
+
+
 def tagged_ratio(mart: DataFrame) -> Column:
     """Share of incoming synapses with one of the three tags; infinite where there are tags but no count."""
     return ieee_ratio(F.col("ds_spine") + F.col("ds_shaft") + F.col("ds_soma"), F.col("ds_num_of_incoming_synapses"))
@@ -85,12 +97,86 @@ def contact_features(deg: DataFrame) -> DataFrame:
 
 
 def type_ratios(deg: DataFrame) -> DataFrame:
-    """Excitatory over inhibitory input by synapses, partners and weight, and excitatory shares."""
+    """Excitatory over inhibitory input and its share, by synapses, weight and partners."""
     c = F.col
     return deg.withColumns({
         "ei_synapses": ratio(c("ex_in_synapses"), c("inh_in_synapses")), "ei_neurons": ratio(c("ex_in_neurons"), c("inh_in_neurons")),
-        "ei_weight": ratio(c("ex_in_weight"), c("inh_in_weight")), "ex_share": ratio(c("ex_in_synapses"), c("ex_in_synapses") + c("inh_in_synapses")),
-        "ex_weight_share": ratio(c("ex_in_weight"), c("ex_in_weight") + c("inh_in_weight"))})
+        "ei_weight": ratio(c("ex_in_weight"), c("inh_in_weight")), "ex_share": share_of(c("ex_in_synapses"), c("inh_in_synapses")),
+        "ex_weight_share": share_of(c("ex_in_weight"), c("inh_in_weight")), "ex_partner_share": share_of(c("ex_in_neurons"), c("inh_in_neurons"))})
+
+
+def volume_features(deg: DataFrame) -> DataFrame:
+    """What of a neuron's whole input lies in the volume, its whole input and output by length, and synapses per contact."""
+    c = F.col
+    return deg.withColumns({
+        "in_volume_share": ratio(c("in_synapses"), c("ds_num_of_incoming_synapses")), "ds_in_density": ratio(c("ds_num_of_incoming_synapses"), c("dendrite_length")),
+        "syn_per_contact": ratio(c("in_synapses"), c("in_neurons")), "ds_out_density": ratio(c("ds_num_of_outgoing_synapses"), c("axon_length"))})
+
+
+def connectivity_features(neurons: DataFrame, edges: DataFrame) -> DataFrame:
+    """Degrees and contact features of ``neurons`` on a graph, real or shuffled; such columns that they had before are made anew."""
+    from wiring.operators.graph import degrees
+
+    names = [f"{p}{d}_{w}" for d in ("in", "out") for p in ("", "ex_", "inh_") for w in ("synapses", "neurons")]
+    names += [f"{p}{n}" for p in ("", "ex_", "inh_") for n in ("syn_density", "partner_density", "contacts")]
+    return contact_features(degrees(edges, neurons.drop(*names)))
+
+
+def valid_network(mart: DataFrame, edges: DataFrame, least: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """The valid neurons with their features on the graph that they induce, and that graph.
+
+    Raises ``ValueError`` where no neuron is left.  ``inconsistent`` tells whether the two agree.
+    """
+    from wiring.operators.graph import induced, require_some
+
+    left = require_some(valid_neurons(mart, least))
+    own = induced(edges, left)
+    return connectivity_features(left, own), own
+
+
+def inconsistent(neurons: DataFrame, edges: DataFrame) -> DataFrame:
+    """Neurons whose degrees differ from the edges' sums, and ends of edges that are no neuron: empty if all agrees."""
+    half = [edges.groupBy(F.col(key).alias("node")).agg(F.sum("n_syn").alias(f"{n}_s"), F.count(F.lit(1)).alias(f"{n}_n")) for key, n in (("post_id", "in"), ("pre_id", "out"))]
+    sums = half[0].join(half[1], "node", "full")
+    both = neurons.select("root_id", "in_synapses", "in_neurons", "out_synapses", "out_neurons").join(sums, F.col("root_id") == F.col("node"), "full")
+    wrong = F.col("root_id").isNull()
+    for have, want in (("in_synapses", "in_s"), ("in_neurons", "in_n"), ("out_synapses", "out_s"), ("out_neurons", "out_n")):
+        wrong |= F.coalesce(F.col(have), F.lit(0)) != F.coalesce(F.col(want), F.lit(0))
+    return both.where(wrong).select(F.coalesce("root_id", "node").alias("root_id"))
+
+
+def placed(neurons: DataFrame, positions: DataFrame, key: str = "pt_root_id") -> DataFrame:
+    """Neurons with the columns of their position, none where it is not known."""
+    return neurons.join(positions.withColumnRenamed(key, "__key"), F.col("root_id") == F.col("__key"), "left").drop("__key")
+
+
+def below(df: DataFrame, column: str, limit: float) -> DataFrame:
+    """Rows under a limit; missing values go."""
+    return df.where(F.col(column) < limit)
+
+
+def above(df: DataFrame, column: str, limit: float) -> DataFrame:
+    return df.where(F.col(column) > limit)
+
+
+def not_tagged(tagged: DataFrame, tag: str = "spine") -> DataFrame:
+    """Synapses of any other tag, those without one included."""
+    return tagged.where(differs(F.col("tag"), tag))
+
+
+def routed(blocks: DataFrame, value: str, ids: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Results by block as columns of the neurons they are about: ``kinds`` names the column of each block.
+
+    A row of a block goes to the neuron ``root_id``; neurons without one in a block have none there.
+    """
+    wide = blocks.groupBy("root_id").agg(*[F.max(F.when(F.col("block") == b, F.col(value))).alias(name) for b, name in kinds.items()])
+    return ids.join(wide, "root_id", "left")
+
+
+def summary(synapses: DataFrame) -> DataFrame:
+    """One row: synapses, distinct neurons on each side and synapses by tag."""
+    return synapses.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("pre_id").alias("n_pre"), F.countDistinct("post_id").alias("n_post"),
+                        *[F.count_if(F.col("tag") == t).alias(f"n_{t}") for t in TAGS])
 
 
 def only_unique(df: DataFrame, key: str) -> DataFrame:
@@ -133,8 +219,6 @@ def subnet_spine_ratio(edges: DataFrame, tagged: DataFrame, ids: DataFrame, pre:
 
 def cleaned_types(types: DataFrame, ids: DataFrame, leave: tuple[str, ...], key: str = "pt_root_id", system: str = "classification_system") -> DataFrame:
     """Annotations of known neurons: systems in ``leave`` go, missing ones stay, key 0 and every repeated key go."""
-    from wiring.functions.numeric import differs
-
     rows = types.where(F.col(key) != 0)
     for value in leave:
         rows = rows.where(differs(F.col(system), value))

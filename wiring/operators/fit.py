@@ -12,9 +12,20 @@ def saturating(d, top, half):
     return top * d / (d + half)
 
 
-def biphasic(d, base, up, rise, down, fall, shift):
-    """A rise and a slower fall that begins at ``shift``."""
-    return base + up * (1 - np.exp(-d / rise)) - down * (1 - np.exp(-np.maximum(d - shift, 0) / fall))
+def biphasic(d, base, top, half, bump, centre, width):
+    """A saturating rise from ``base`` to ``top`` and a Gaussian bump on it."""
+    return base + (top - base) * d / (d + half) + bump * np.exp(-((d - centre) ** 2) / (2 * width**2))
+
+
+#: Fixed values of the biphasic fit: name, least, start and greatest value of each parameter.
+BIPHASIC = (
+    ("base", 0.0, 0.2, 0.5),
+    ("top", 0.5, 0.8, 1.0),
+    ("half", 1.0, 150.0, 1200.0),
+    ("bump", 0.0, 0.15, 0.5),
+    ("centre", 10.0, 50.0, 200.0),
+    ("width", 5.0, 30.0, 150.0),
+)
 
 
 def fit_saturating(d, y, w) -> tuple[float, float]:
@@ -36,32 +47,38 @@ def fit_saturating(d, y, w) -> tuple[float, float]:
     return loss(half)[1], half
 
 
-def fit_bounded(model, d, y, w, start, low, high, rounds: int = 400):
-    """Levenberg-Marquardt with steps clipped to the bounds."""
-    p, mu = np.clip(np.array(start, float), low, high), 1e-2
-    sw = np.sqrt(w)
-    r = sw * (y - model(d, *p))
+def fit_bounded(model, d, y, w, low, start, high, rounds: int = 2000):
+    """Levenberg-Marquardt on parameters scaled to their bounds; one at a bound that wants beyond it rests for the round."""
+    low, high = np.array(low, float), np.array(high, float)
+    span, sw = high - low, np.sqrt(w)
+    p, mu = (np.array(start, float) - low) / span, 1e-2
+
+    def residuals(q: np.ndarray) -> np.ndarray:
+        return sw * (y - model(d, *(low + q * span)))
+
+    r = residuals(p)
     for _ in range(rounds):
-        jac = np.empty((len(d), len(p)))
-        for k in range(len(p)):
-            h = 1e-6 * max(abs(p[k]), 1e-3)
-            q = p.copy()
-            q[k] += h
-            jac[:, k] = sw * (model(d, *q) - model(d, *p)) / h
-        a = jac.T @ jac
-        step = np.linalg.lstsq(a + mu * np.diag(np.maximum(np.diag(a), 1e-12)), jac.T @ r, rcond=None)[0]
-        q = np.clip(p + step, low, high)
-        s = sw * (y - model(d, *q))
+        h = np.where(p < 0.5, 1e-6, -1e-6)
+        jac = np.stack([(r - residuals(p + np.eye(len(p))[k] * h[k])) / h[k] for k in range(len(p))], 1)
+        slope = jac.T @ r
+        free = ~((p <= 0) & (slope < 0) | (p >= 1) & (slope > 0))
+        if not free.any():
+            break
+        a = (jac.T @ jac)[np.ix_(free, free)]
+        step = np.zeros(len(p))
+        step[free] = np.linalg.lstsq(a + mu * np.diag(np.maximum(np.diag(a), 1e-12)), slope[free], rcond=None)[0]
+        q = np.clip(p + step, 0, 1)
+        s = residuals(q)
         if s @ s < r @ r:
             done = r @ r - s @ s < 1e-14 * max(r @ r, 1e-300)
-            p, r, mu = q, s, mu / 3
+            p, r, mu = q, s, max(mu / 3, 1e-12)
             if done:
                 break
         else:
             mu *= 4
             if mu > 1e12:
                 break
-    return p
+    return low + p * span
 
 
 def goodness(y, fitted, w) -> tuple[float, float]:
@@ -75,7 +92,7 @@ def fits(profile: DataFrame, keys: list[str], x: str, y: str, n: str, model: str
     """``keys``, the parameters, weighted error and R² of each group's profile; weights are the counts ``n``."""
     if model not in ("saturating", "biphasic"):
         raise ValueError(f"unknown model {model!r}")
-    names = ["top", "half"] if model == "saturating" else ["base", "up", "rise", "down", "fall", "shift"]
+    names = ["top", "half"] if model == "saturating" else [name for name, *_ in BIPHASIC]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.dropna(subset=[x, y, n]).sort_values(x)
@@ -86,11 +103,27 @@ def fits(profile: DataFrame, keys: list[str], x: str, y: str, n: str, model: str
         if model == "saturating":
             p, f = fit_saturating(d, v, w), saturating
         else:
-            far = max(d.max(), 1.0)
-            p = fit_bounded(biphasic, d, v, w, [v.min(), max(np.ptp(v), 0.1), far / 10, 0.05, far, far / 2], [0, 0, 1e-3, 0, 1e-3, 0], [1, 1, 10 * far, 1, 100 * far, far])
+            p = fit_bounded(biphasic, d, v, w, *zip(*[values for _, *values in BIPHASIC], strict=True))
             f = biphasic
         return pd.DataFrame([[*head, *map(float, p), *goodness(v, f(d, *p), w)]], columns=[*keys, *names, "w_mse", "r2"])
 
     kinds = {f.name: f.dataType.simpleString() for f in profile.schema}
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], *[f"`{c}` double" for c in [*names, "w_mse", "r2"]]])
     return profile.select(*keys, *[F.col(c).cast("double").alias(c) for c in (x, y, n)]).groupBy(*keys).applyInPandas(run, schema)
+
+
+def fit_population(tagged: DataFrame, edges: list[float], model: str = "saturating", key: str = "pre_id") -> DataFrame:
+    """The fit to the mean over neurons of their shares by bin, weighed by the synapses of all neurons in the bin."""
+    from wiring.operators.profiles import macro_profile
+
+    profile = macro_profile(tagged, edges, key=key).withColumn("model", F.lit("population"))
+    return fits(profile, ["model"], "centre", "mean", "n", model)
+
+
+def fit_single(tagged: DataFrame, edges: list[float], model: str = "saturating", key: str = "pre_id", least: int = 0) -> DataFrame:
+    """A fit for each neuron to its own shares, over bins with more than ``least`` synapses."""
+    from wiring.functions.binning import centre
+    from wiring.operators.profiles import by_neuron
+
+    profile = by_neuron(tagged, edges, key=key).where(F.col("n") > least).withColumn("centre", centre(edges, F.col("bin")))
+    return fits(profile, [key], "centre", "share", "n", model)

@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-AXON, DENDRITES = (2,), (3, 4)
+from wiring.functions.numeric import finite
+
+SOMA, AXON, DENDRITES = 1, (2,), (3, 4)
 
 
 def in_box(x: str, y: str, xlim: tuple[float, float], ylim: tuple[float, float]) -> Column:
@@ -54,35 +56,78 @@ def path_length(vertices: DataFrame, compartments: tuple[int, ...] | None = None
 def nearest(points: DataFrame, sites: DataFrame, cell: float, key: str = "vid", site: str = "site_id") -> DataFrame:
     """The nearest site of every point and its squared distance; ties go to the least id.
 
-    Points and sites meet in grid cells of width ``cell``: a first join looks at the 27 cells around a
-    point, which is exact up to a distance of one cell.  Points without a site that near look in
-    cells twice as wide, and so on, until none is left; no pair of all points with all sites is made.
-    """
-
-    def box(c: str, width: float) -> Column:
-        return F.floor(F.col(c) / width).cast("long")
+    Points and sites meet in grid cells: those of width ``cell`` around a point hold every site up to one
+    width away.  Points without a site that near look in cells twice as wide, and so on; the least
+    distance of any point to any site bounds the rounds.  Points and sites of a neighbourhood are
+    brought together whole and compared in pieces, so no pair of them is ever a row; a cell with
+    many points is dealt in blocks, and one with many sites in slices.
 
-    found, rest, width = None, points.select(key, "x", "y", "z"), cell
+    A point without three finite coordinates has no site; such sites are left out; without any site every
+    point has none.  Repeated points each have a row.
+    """
+    finite_all = finite(F.col("x")) & finite(F.col("y")) & finite(F.col("z"))
+    none = F.lit(None).cast("long").alias(site), F.lit(None).cast("double").alias("d2")
+    sites = sites.where(finite_all).select(F.col(site).cast("long").alias(site), *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    rows = points.select(F.monotonically_increasing_id().alias("__row"), key, *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    rows = _cut(rows)  # rows are numbered once
+    odd = rows.where(~finite_all).select(key, *none)
     if sites.isEmpty():
-        return rest.select(key, F.lit(None).cast("long").alias(site), F.lit(None).cast("double").alias("d2"))
+        return rows.select(key, *none)
+    found, rest, width = None, rows.where(finite_all), float(cell)
     while True:
-        around = F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
-        s = sites.select(F.col(site), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"))
-        for c in "xyz":
-            s = s.withColumn("__o", around).withColumn(f"b{c}", box(f"s{c}", width) + F.col("__o")).drop("__o")
-        p = rest.withColumns({f"b{c}": box(c, width) for c in "xyz"})
-        d2 = sum(((F.col(c) - F.col(f"s{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("sx")) ** 2)
-        best = p.join(s, ["bx", "by", "bz"]).groupBy(key).agg(F.min(F.struct(d2.alias("d2"), F.col(site))).alias("m")).select(key, F.col(f"m.{site}").alias(site), F.col("m.d2").alias("d2"))
-        sure = best.where(F.col("d2") <= width * width)
-        found = sure if found is None else found.unionByName(sure)
-        rest = rest.join(sure, key, "left_anti").checkpoint() if _has_checkpoint(rest) else rest.join(sure, key, "left_anti").cache()
+        best = _within(rest, sites, width, site)
+        sure = _cut(best.where(F.col("d2") <= width * width))
+        done = rest.join(sure, "__row").select(key, site, "d2")
+        found = done if found is None else found.unionByName(done)
+        rest = _cut(rest.join(sure, "__row", "left_anti"))
         if rest.isEmpty():
-            return found
+            return found.unionByName(odd)
         width *= 2
 
 
-def _has_checkpoint(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") is not None
+def _within(points: DataFrame, sites: DataFrame, width: float, site: str) -> DataFrame:
+    """``__row``, its nearest site among the 27 cells around it, and the squared distance."""
+
+    def box(c: str) -> Column:
+        return F.floor(F.col(c) / width).cast("long")
+
+    cell = ["bx", "by", "bz"]
+    own = points.withColumns({f"b{c}": box(c) for c in "xyz"})
+    crowded = own.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / _PIECE).cast("int").alias("blocks"))
+    around = sites.withColumns({f"b{c}": box(c) for c in "xyz"})
+    for c in cell:
+        around = around.withColumn(c, F.explode(F.array(*[F.col(c) + k for k in (-1, 0, 1)])))
+    held = around.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / _PIECE).cast("int").alias("slices"))
+    both = crowded.join(held, cell)  # only cells with points keep their sites
+    own = own.join(both, cell).withColumn("block", F.pmod(F.xxhash64("__row"), F.col("blocks")).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    around = around.join(both, cell).withColumn("slice", F.pmod(F.xxhash64(site), F.col("slices")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values(site)  # the first of equal distances has the least id
+        p, s, ids = left[["x", "y", "z"]].to_numpy(float), right[["x", "y", "z"]].to_numpy(float), right[site].to_numpy()
+        at, d2 = [], []
+        step = max(1, 4_000_000 // max(len(s), 1))
+        for k in range(0, len(p), step) if len(s) else ():
+            some = ((p[k : k + step, None, :] - s[None]) ** 2).sum(2)
+            best = some.argmin(1)
+            at.append(ids[best])
+            d2.append(some[np.arange(len(best)), best])
+        if not at:
+            return pd.DataFrame({"__row": [], site: [], "d2": []})
+        return pd.DataFrame({"__row": left["__row"].to_numpy(), site: np.concatenate(at), "d2": np.concatenate(d2)})
+
+    groups = [*cell, "block", "slice"]
+    met = own.select(*groups, "__row", "x", "y", "z").groupBy(*groups).cogroup(around.select(*groups, site, "x", "y", "z").groupBy(*groups)).applyInPandas(run, f"__row long, `{site}` long, d2 double")
+    best = met.groupBy("__row").agg(F.min(F.struct("d2", site)).alias("m"))
+    return best.select("__row", F.col(f"m.{site}").alias(site), F.col("m.d2").alias("d2"))
+
+
+_PIECE = 20_000  # points of a block, and sites of a slice
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Written in the shared folder where the session names one, else kept by the session."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") is not None else df.persist()
 
 
 def copied_flag(points: DataFrame, sites: DataFrame, cell: float, flag: str) -> DataFrame:
@@ -107,15 +152,32 @@ def cropped(tri: DataFrame, xlim: tuple[float, float], ylim: tuple[float, float]
     return tri.where(inside)
 
 
-def shading(tri: DataFrame, light: tuple[float, float, float] = (0.0, 0.0, 1.0), ambient: float = 0.3) -> DataFrame:
-    """Lambert shade of each triangle; one without area has only the ambient part."""
+def shading(tri: DataFrame, light: tuple[float, float, float] = (0.3, 0.5, 1.0), ambient: float = 0.3) -> DataFrame:
+    """Lambert shade of each triangle; one turned away from the light or without area has only the ambient part."""
     a = {c: F.col(f"{c}1") - F.col(f"{c}0") for c in "xyz"}
     b = {c: F.col(f"{c}2") - F.col(f"{c}0") for c in "xyz"}
     n = {"x": a["y"] * b["z"] - a["z"] * b["y"], "y": a["z"] * b["x"] - a["x"] * b["z"], "z": a["x"] * b["y"] - a["y"] * b["x"]}
     size = float(np.linalg.norm(light))
     dot = sum((n[c] * (v / size) for c, v in zip("yz", light[1:], strict=True)), n["x"] * (light[0] / size))
     norm = F.sqrt(n["x"] ** 2 + n["y"] ** 2 + n["z"] ** 2)
-    return tri.withColumn("shade", ambient + (1 - ambient) * F.coalesce(F.try_divide(F.abs(dot), norm), F.lit(0.0)))
+    lit = F.least(F.greatest(F.coalesce(F.try_divide(dot, norm), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return tri.withColumn("shade", ambient + (1 - ambient) * lit)
+
+
+def local_path_length(vertices: DataFrame, neurons: DataFrame) -> DataFrame:
+    """Axon and dendrite length of each neuron inside the x and z extent of the given neurons' positions.
+
+    ``neurons`` has ``root_id, x, z``; a neuron without a skeleton has no lengths, one without cable inside 0.
+    """
+    low, high, near, far = neurons.agg(F.min("x"), F.max("x"), F.min("z"), F.max("z")).first()
+    out = neurons
+    if low is None or near is None:
+        return neurons.withColumns({f"{n}_local_length": F.lit(None).cast("double") for n in ("axon", "dendrite")})
+    for name, compartments in (("axon", AXON), ("dendrite", DENDRITES)):
+        cable = path_length(vertices, (SOMA, *compartments), (low, high), (near, far)).withColumnRenamed("length", "__len")
+        has = vertices.select("root_id").distinct().withColumn("__has", F.lit(True))
+        out = out.join(cable, "root_id", "left").join(has, "root_id", "left").withColumn(f"{name}_local_length", F.coalesce("__len", F.when(F.col("__has"), 0.0))).drop("__len", "__has")
+    return out
 
 
 def polylines(vertices: DataFrame) -> DataFrame:

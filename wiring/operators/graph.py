@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wiring.functions.ranges import running
+
 
 def typed(edges: DataFrame, neurons: DataFrame) -> DataFrame:
     """Edges whose two ends are neurons, with their types."""
@@ -67,6 +69,11 @@ def shared_partners(edges: DataFrame, a: int, b: int) -> DataFrame:
     return pa.intersect(pb).groupBy("clf_type").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
+def nodes(edges: DataFrame) -> DataFrame:
+    """Every id that an edge names, once."""
+    return edges.select(F.col("pre_id").alias("root_id")).union(edges.select("post_id")).distinct()
+
+
 def input_sets(edges: DataFrame) -> DataFrame:
     """Sorted ids of each neuron's inputs, by type; a hub's set is as long as its degree."""
     def one(t: str):
@@ -76,9 +83,6 @@ def input_sets(edges: DataFrame) -> DataFrame:
 
 
 def matrix_index(neurons: DataFrame) -> DataFrame:
-    """A dense index for display: places by id, dealt by range so that no task sorts all ids."""
-    ranged = neurons.select("root_id").repartitionByRange("root_id").withColumn("__p", F.spark_partition_id())
-    inside = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy("root_id")))
-    before = inside.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).withColumn(
-        "__b", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inside.join(F.broadcast(before), "__p").select("root_id", (F.col("__i") + F.col("__b") - 1).alias("matrix_idx"))
+    """A dense index for display: places by id, counted by range so that no task sorts all ids; a repeated id has one place."""
+    ids = neurons.select("root_id").where("root_id IS NOT NULL").distinct().withColumn("one", F.lit(1).cast("long"))
+    return running(ids, "root_id", "one", name="matrix_idx").select("root_id", "matrix_idx")

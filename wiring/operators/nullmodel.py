@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wiring.functions.ranges import running
 from wiring.operators.graph import shared_input
 
 MODES = ("configuration",)
@@ -16,27 +17,48 @@ def stub_table(edges: DataFrame, keep_types: bool) -> DataFrame:
     return edges.select("pre_id", "post_id", "pre_type", "post_type", block.alias("block"), F.concat_ws("-", "pre_id", "post_id").alias("edge"))
 
 
-def shuffled(edges: DataFrame, replicas: int = 1, seed: int = 0, keep_types: bool = True, mode: str = "configuration") -> DataFrame:
+def shuffled(edges: DataFrame, replicas: int = 1, seed: int = 0, keep_types: bool = True, mode: str = "configuration", diagonal_of: DataFrame | None = None) -> DataFrame:
     """Configuration model: sources and targets are put in two seeded random orders and joined place by place.
 
     Orders are by md5 of seed, replicate, side and edge, so every engine and partitioning gives the
-    same graph.  True self-loops go, repeated edges are counted.  Each (replicate, block) is one
-    window group, so parallelism comes from the replicates.
+    same graph.  The first two digits of the md5 part a block into 256 ranges of like size; each is
+    ordered by itself and begins where the ranges before it end, so no task sorts a block.  True
+    self-loops go, repeated edges are counted.  With ``diagonal_of``, the neurons ``root_id, clf_type``, the
+    edges that go are those whose ends have the same place, by id, among the neurons of their own type,
+    as on the diagonal of a block cut out of a matrix: in blocks of two types these are no self-loops.
     """
     if mode not in MODES:
         raise ValueError(f"unknown shuffle mode {mode!r}")
-    spark: SparkSession = edges.sparkSession
-    stubs = stub_table(edges, keep_types).join(F.broadcast(spark.range(replicas).withColumnRenamed("id", "replica")))  # a row for each replicate
+    stubs = stub_table(edges, keep_types).withColumn("replica", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicas - 1).cast("long"))))
+    where = ["replica", "block", "range"]
 
     def side(name: str, ids: str, kind: str) -> DataFrame:
         order = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("replica").cast("string"), F.lit(name), "edge"))
-        place = F.row_number().over(Window.partitionBy("replica", "block").orderBy(order, "edge"))
-        return stubs.select("replica", "block", ids, kind, place.alias("place"))
+        dealt = stubs.select("replica", "block", ids, kind, "edge", order.alias("order")).withColumn("range", F.substring("order", 1, 2))
+        sizes = dealt.groupBy(*where).agg(F.count(F.lit(1)).alias("n"))  # 256 rows at most for each replicate and block
+        before = Window.partitionBy("replica", "block").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        begins = sizes.select(*where, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+        inside = dealt.withColumn("inside", F.row_number().over(Window.partitionBy(*where).orderBy("order", "edge")))
+        return inside.join(begins, where).select("replica", "block", ids, kind, (F.col("begin") + F.col("inside")).alias("place"))
 
     pre, post = side("pre", "pre_id", "pre_type"), side("post", "post_id", "post_type")
-    joined = pre.join(post, ["replica", "block", "place"]).where("pre_id <> post_id")
+    joined = pre.join(post, ["replica", "block", "place"])
+    joined = joined.where("pre_id <> post_id") if diagonal_of is None or not keep_types else _off_diagonal(joined, diagonal_of)
     return joined.groupBy("replica", "block", "pre_id", "post_id", "pre_type", "post_type").agg(F.count(F.lit(1)).alias("n_syn"))
 
 
-def null_shared_input(edges: DataFrame, replicas: int, seed: int = 0, keep_types: bool = True) -> DataFrame:
-    return shared_input(shuffled(edges, replicas, seed, keep_types), ("replica",))
+def _off_diagonal(joined: DataFrame, neurons: DataFrame) -> DataFrame:
+    """Edges whose two ends do not have the same place among the neurons of their types."""
+    ids = neurons.select("root_id", F.col("clf_type").alias("type"), F.lit(1).cast("long").alias("one")).distinct()
+    places = running(ids, "root_id", "one", ("type",), "place_of")
+    a = places.select(F.col("root_id").alias("pre_id"), F.col("type").alias("pre_type"), F.col("place_of").alias("pre_place"))
+    b = places.select(F.col("root_id").alias("post_id"), F.col("type").alias("post_type"), F.col("place_of").alias("post_place"))
+    return joined.join(a, ["pre_id", "pre_type"]).join(b, ["post_id", "post_type"]).where("pre_place <> post_place")
+
+
+def null_shared_input(edges: DataFrame, replicas: int, seed: int = 0, keep_types: bool = True, by_block: bool = False) -> DataFrame:
+    """Shared input on every replicate, over the whole graph or within each pair of types."""
+    graph = shuffled(edges, replicas, seed, keep_types)
+    if not by_block:
+        return shared_input(graph, ("replica",))
+    return shared_input(graph.withColumn("block", F.concat("pre_type", "post_type")), ("replica", "block"))

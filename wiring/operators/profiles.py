@@ -29,11 +29,11 @@ def by_neuron(tagged: DataFrame, edges: list[float], dist: str = "dist", inh_pre
     return binned.groupBy(key, "bin").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("k")).withColumn("share", F.col("k") / F.col("n"))
 
 
-def macro_profile(tagged: DataFrame, edges: list[float], dist: str = "dist", inh_pref: bool = False) -> DataFrame:
-    """Share per neuron and bin, then mean and population deviation over neurons."""
-    one = by_neuron(tagged, edges, dist, inh_pref)
-    found = one.groupBy("bin").agg(F.count(F.lit(1)).alias("n_neurons"), F.avg("share").alias("mean"), F.stddev_pop("share").alias("sd"))
-    return found.select("bin", centre(edges, F.col("bin")).alias("centre"), "n_neurons", "mean", "sd", (F.col("sd") / F.sqrt("n_neurons")).alias("sem"))
+def macro_profile(tagged: DataFrame, edges: list[float], dist: str = "dist", inh_pref: bool = False, key: str = "pre_id") -> DataFrame:
+    """Share per neuron and bin, then mean and population deviation over neurons; ``n`` counts the synapses of all."""
+    one = by_neuron(tagged, edges, dist, inh_pref, key)
+    found = one.groupBy("bin").agg(F.count(F.lit(1)).alias("n_neurons"), F.sum("n").alias("n"), F.avg("share").alias("mean"), F.stddev_pop("share").alias("sd"))
+    return found.select("bin", centre(edges, F.col("bin")).alias("centre"), "n_neurons", "n", "mean", "sd", (F.col("sd") / F.sqrt("n_neurons")).alias("sem"))
 
 
 def crossings(shares: DataFrame, edges: list[float], key: str, at_start: str, level: float = 0.5) -> DataFrame:
@@ -61,6 +61,52 @@ def binned_trend(df: DataFrame, x: str, y: str, edges: list[float], error: str =
     return found.select("bin", centre(edges, F.col("bin")).alias("centre"), "mean", err.alias("error"), "n")
 
 
+def equal_edges(df: DataFrame, x: str, bins: int) -> list[float]:
+    """Edges of ``bins`` bins of equal width between the least and the greatest value: one row comes to the driver."""
+    low, high = df.agg(F.min(F.col(x).cast("double")), F.max(F.col(x).cast("double"))).first()
+    if low is None:
+        raise ValueError(f"no value in {x}")
+    step = (high - low) / bins
+    return [*(low + step * k for k in range(bins)), high]
+
+
+def labelled_trends(df: DataFrame, x: str, ys: list[str], bins: int | list[float], error: str = "sem", least: int = 1) -> DataFrame:
+    """``binned_trends`` with each series' Pearson r, p, stars, slope, intercept and R² beside it.
+
+    A whole number of bins has its edges between the least and the greatest ``x``.
+    """
+    from wiring.operators.stats import regression
+
+    edges = equal_edges(df, x, bins) if isinstance(bins, int) else bins
+    trend = binned_trends(df, x, ys, edges, error, least)
+    long = df.select(F.col(x).cast("double").alias("x"), F.explode(F.array(*[F.struct(F.lit(y).alias("series"), F.col(y).cast("double").alias("y")) for y in ys])).alias("s"))
+    lines = regression(long.select("x", "s.*"), "x", "y", ("series",), with_p=True).select("series", "r", "p", "stars", "slope", "intercept", "r2")
+    return trend.join(lines, "series")
+
+
+#: The edges of the panels by what is on their x axis.
+PANEL_EDGES = {
+    "spine_density": [0.0, 0.001, 0.005, 0.01, 0.02, 0.04, 0.08],
+    "ds_spine_density": [0.125, 0.375, 0.625, 0.875, 1.125, 1.375],
+    "spine": [0.0, 25.0, 50.0, 75.0, 100.0, 125.0, 150.0, 175.0, 200.0],
+}
+PANELS = {"synapses": ("in_synapses", "syn_density"), "contacts": ("contacts", "contacts"), "partners": ("in_neurons", "partner_density")}
+
+
+def panel_trends(df: DataFrame, x: str, density: bool = False, error: str = "sem", least: int = 1, edges: list[float] | None = None) -> DataFrame:
+    """Trends of excitatory and inhibitory input in three panels: synapses, synapses per contact and partners.
+
+    Columns as ``connectivity_features`` names them, raw or by dendrite length; edges by the name of
+    ``x`` unless given.  All six columns are binned in one job.
+    """
+    c = {f"{kind}_{panel}": F.col(f"{kind}_{PANELS[panel][density]}") for panel in PANELS for kind in ("ex", "inh")}
+    if density:
+        c |= {name: ratio(value, F.col("dendrite_length")) for name, value in c.items() if name.endswith("contacts")}
+    rows = df.select(F.col(x).cast("double").alias("__x"), *[value.alias(name) for name, value in c.items()])
+    found = binned_trends(rows, "__x", list(c), edges or PANEL_EDGES[x], error, least)
+    return found.withColumns({"panel": F.substring_index("series", "_", -1), "kind": F.substring_index("series", "_", 1)}).drop("series")
+
+
 def shares(df: DataFrame, x: str, edges: list[float], series: tuple[str, ...] = ()) -> DataFrame:
     """Histogram by series, as counts and as shares of the series' rows in range."""
     found = df.select(*series, histogram_bin(edges, F.col(x)).alias("bin")).where("bin IS NOT NULL").groupBy(*series, "bin").agg(F.count(F.lit(1)).alias("n"))

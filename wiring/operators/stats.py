@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiring.functions.numeric import correlation, finite, stars
+from wiring.functions.ranges import running
 
 
 def p_value_of(r: float, n: int) -> float | None:
@@ -65,20 +66,18 @@ def log_curve(df: DataFrame, x: str, y: str, keys: tuple[str, ...] = ()) -> Data
 
 
 def ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Average ranks by value: distinct values are numbered by range, so no task sorts all rows."""
+    """Average ranks by value: distinct values are counted, then summed by range, so no task sorts all rows."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("__n")).where(F.col(column).isNotNull())
-    ranged = counts.repartitionByRange(column).withColumn("__p", F.spark_partition_id())
-    inside = ranged.withColumn("__b", F.coalesce(F.sum("__n").over(Window.partitionBy("__p").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = ranged.groupBy("__p").agg(F.sum("__n").alias("__t"))
-    before = before.withColumn("__s", F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = inside.join(F.broadcast(before), "__p").select(column, (F.col("__s") + F.col("__b") + (F.col("__n") + 1) / 2).alias(name))
+    placed = running(counts, column, "__n", name="__before").select(column, (F.col("__before") + (F.col("__n") + 1) / 2).alias(name))
     return df.join(placed, column, "left")
 
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, with_p: bool = False) -> DataFrame:
+    """Number of complete pairs, the correlation of their average ranks and, if asked for, its two-sided p and stars."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
     ranked = ranks(ranks(rows, x, "__rx"), y, "__ry")
-    return ranked.agg(F.count(F.lit(1)).alias("n"), correlation(F.col("__rx"), F.col("__ry")).alias("rho"))
+    out = ranked.agg(F.count(F.lit(1)).alias("n"), correlation(F.col("__rx"), F.col("__ry")).alias("rho"))
+    return out.withColumn("p", p_value(F.col("rho"), F.col("n"))).withColumn("stars", stars(F.col("p"))) if with_p else out
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -88,19 +87,49 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])).alias("c")).select("c.*")
 
 
-def correlations_with(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
-    one = df.agg(*[correlation(F.col(c), F.col(target)).alias(c) for c in columns])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("r")) for c in columns])).alias("c")).select("c.*")
+def correlations_with(df: DataFrame, target: str, columns: list[str], with_p: bool = False) -> DataFrame:
+    """Each column's correlation with the target, in one aggregation; with its number of pairs, p and stars if asked for."""
+    both = {c: F.count_if(F.col(c).isNotNull() & F.col(target).isNotNull()) for c in columns}
+    one = df.agg(*[correlation(F.col(c), F.col(target)).alias(c) for c in columns], *[n.alias(f"n|{c}") for c, n in both.items()])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("r"), F.col(f"`n|{c}`").alias("n")) for c in columns])
+    out = one.select(F.explode(rows).alias("c")).select("c.*")
+    return out.withColumn("p", p_value(F.col("r"), F.col("n"))).withColumn("stars", stars(F.col("p"))) if with_p else out.select("feature", "r")
+
+
+def quantiles(counts: DataFrame, value: str, key: str, places: dict[str, float]) -> DataFrame:
+    """Exact quantiles by key of distinct values with their number ``__n``, linear between neighbours."""
+    placed = running(counts, value, "__n", (key,), "__first")
+    total = counts.groupBy(key).agg(F.sum("__n").alias("__total"))
+    rows = placed.join(total, key)
+    aggs = []
+    for name, p in places.items():
+        at = F.lit(p) * (F.col("__total") - 1)
+        for end, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            here = (F.col("__first") <= place) & (place < F.col("__first") + F.col("__n"))
+            aggs.append(F.max(F.when(here, F.col(value))).alias(f"__{name}_{end}"))
+    found = rows.groupBy(key, "__total").agg(*aggs)
+
+    def between(name: str, p: float) -> Column:
+        at = F.lit(p) * (F.col("__total") - 1)
+        lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
+        return lo + (at - F.floor(at)) * (hi - lo)
+
+    return found.select(key, *[between(name, p).alias(name) for name, p in places.items()])
 
 
 def box(df: DataFrame, value: str, key: str) -> DataFrame:
-    """Exact quartiles, whiskers within 1.5 times their range, mean and number of values beyond, by key."""
-    v = F.col(value)
-    q = df.groupBy(key).agg(*[F.percentile(v, p).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))], F.avg(v).alias("mean"))
-    q = q.withColumns({"__lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), "__hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
-    inside = v.between(F.col("__lo"), F.col("__hi"))
-    return df.join(F.broadcast(q), key).groupBy(key, "q1", "median", "q3", "mean").agg(
-        F.min(F.when(inside, v)).alias("low"), F.max(F.when(inside, v)).alias("high"), F.count_if(~inside).alias("beyond"))
+    """Exact quartiles, whiskers within 1.5 times their range, mean and number of values beyond, by key; missing values go.
+
+    Values are counted first and placed by range, so no key's values meet in one buffer.
+    """
+    v, n = F.col(value), F.col("__n")
+    counts = df.where(v.isNotNull() & F.col(key).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("__n"))
+    q = quantiles(counts, value, key, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = v.between(F.col("q1") - reach, F.col("q3") + reach)
+    return counts.join(q, key).groupBy(key, "q1", "median", "q3").agg(
+        (F.sum(v * n) / F.sum(n)).alias("mean"), F.min(F.when(inside, v)).alias("low"), F.max(F.when(inside, v)).alias("high"),
+        F.sum(F.when(inside, 0).otherwise(n)).alias("beyond"))
 
 
 def density(df: DataFrame, value: str, key: str, grid: list[float], bandwidth: float) -> DataFrame:

@@ -13,6 +13,7 @@ from wiring.operators import features as ft
 from wiring.operators import fit, geometry, graph, nullmodel
 from wiring.operators import profiles as pr
 from wiring.operators import stats as st
+from wiring.sources import readers
 from wiring.sources.fixture import SQL, Fixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,33 +76,67 @@ def typed_spine_ratio(fx):
 
 
 def _mart(fx):
-    tags_in = fx.tags.select("tag", F.col("pre_pt_root_id").alias("post_pt_root_id"))
-    counts = fx.tags.groupBy(F.col("pre_pt_root_id").alias("root_id")).agg((F.count(F.lit(1)) + F.pmod(F.col("root_id"), F.lit(3))).alias("ds_num_of_incoming_synapses"))
-    return ft.spine_features(fx.neurons.join(counts, "root_id", "left"), fx.tagged, tags_in, fx.tags)
+    got = fx.tags_in.groupBy(F.col("post_pt_root_id").alias("root_id")).agg((F.count(F.lit(1)) + F.pmod(F.col("root_id"), F.lit(3))).alias("ds_num_of_incoming_synapses"))
+    sent = fx.tags.groupBy(F.col("pre_pt_root_id").alias("root_id")).agg((F.count(F.lit(1)) + F.pmod(F.col("root_id"), F.lit(2))).alias("ds_num_of_outgoing_synapses"))
+    return ft.spine_features(fx.neurons.join(got, "root_id", "left").join(sent, "root_id", "left"), fx.tagged, fx.tags_in, fx.tags)
+
+
+TAGS = ("spine", "shaft", "soma")
+MART = f"""loc AS (SELECT post_id, count(*) AS n, {", ".join(f"count(*) FILTER (tag = '{t}') AS {t}, count(*) FILTER (tag = '{t}' AND pre_clf_type = 'E') AS ex_{t}, count(*) FILTER (tag = '{t}' AND pre_clf_type = 'I') AS inh_{t}, count(DISTINCT pre_id) FILTER (tag = '{t}') AS {t}_neurons" for t in TAGS)},
+  count(DISTINCT pre_id) FILTER (tag = 'spine' AND pre_clf_type = 'E') AS ex_spine_neurons, count(DISTINCT pre_id) FILTER (tag = 'spine' AND pre_clf_type = 'I') AS inh_spine_neurons FROM fx_tagged GROUP BY 1),
+tin AS (SELECT post_pt_root_id AS id, count(*) AS n, {", ".join(f"count(*) FILTER (tag = '{t}') AS {t}" for t in TAGS)} FROM fx_tags_in GROUP BY 1),
+tout AS (SELECT pre_pt_root_id AS id, count(*) AS n, {", ".join(f"count(*) FILTER (tag = '{t}') AS {t}" for t in TAGS)} FROM fx_tags GROUP BY 1),
+mart AS (SELECT root_id, dendrite_length AS dl, axon_length AS al, l.n AS n, i.n AS ds_n, o.n AS ds_out_n, i.n + root_id % 3 AS ds_in_all, o.n + root_id % 2 AS ds_out_all,
+  {", ".join(f"coalesce(l.{c}, 0) AS {c}" for c in [*(p + t for t in TAGS for p in ("", "ex_", "inh_")), *(t + "_neurons" for t in TAGS), "ex_spine_neurons", "inh_spine_neurons"])},
+  {", ".join(f"coalesce(i.{t}, 0) AS ds_{t}, coalesce(o.{t}, 0) AS ds_out_{t}" for t in TAGS)}
+  FROM fx_neurons LEFT JOIN loc l ON root_id = post_id LEFT JOIN tin i ON root_id = i.id LEFT JOIN tout o ON root_id = o.id)"""
+MART_COUNTS = [*(p + t for t in TAGS for p in ("", "ex_", "inh_")), *(t + "_neurons" for t in TAGS), "ex_spine_neurons", "inh_spine_neurons", *(p + t for t in TAGS for p in ("ds_", "ds_out_"))]
+#: Each ratio of the mart with its numerator and denominator.
+MART_RATIOS = {
+    "spine_ratio": ("spine", "n"), "ex_spine_share": ("ex_spine", "spine"),
+    "ds_spine_ratio": ("ds_spine", "ds_n"), "ds_shaft_ratio": ("ds_shaft", "ds_n"), "ds_out_spine_ratio": ("ds_out_spine", "ds_out_n"), "ds_out_shaft_ratio": ("ds_out_shaft", "ds_out_n"),
+    "spine_to_shaft": ("spine", "shaft + spine"), "ds_spine_to_shaft": ("ds_spine", "ds_shaft + ds_spine"), "spine_to_shaft_neurons": ("spine_neurons", "shaft_neurons + spine_neurons"),
+    "spine_per_contact": ("spine", "spine_neurons"), "shaft_per_contact": ("shaft", "shaft_neurons"), "spine_density": ("spine", "dl"), "shaft_density": ("shaft", "dl"),
+    "ds_spine_density": ("ds_spine", "dl"), "ds_shaft_density": ("ds_shaft", "dl"), "ds_out_spine_density": ("ds_out_spine", "al"), "ds_out_shaft_density": ("ds_out_shaft", "al"),
+}
+
+
+@query(f"""SELECT root_id, {", ".join(MART_COUNTS)}, {", ".join(f"round({a}::DOUBLE / nullif({b}, 0), 6) + 0.0 AS {name}" for name, (a, b) in MART_RATIOS.items())} FROM mart""", MART)
+def spine_feature_mart(fx):
+    return _mart(fx).select("root_id", *MART_COUNTS, *r6(*MART_RATIOS))
 
 
-MART = """loc AS (SELECT post_id, count(*) AS n, count(*) FILTER (tag = 'spine') AS spine, count(*) FILTER (tag = 'shaft') AS shaft, count(*) FILTER (tag = 'soma') AS soma,
-  count(*) FILTER (tag = 'spine' AND pre_clf_type = 'E') AS ex_spine, count(*) FILTER (tag = 'shaft' AND pre_clf_type = 'E') AS ex_shaft,
-  count(*) FILTER (tag = 'spine' AND pre_clf_type = 'I') AS inh_spine, count(*) FILTER (tag = 'shaft' AND pre_clf_type = 'I') AS inh_shaft,
-  count(DISTINCT pre_id) FILTER (tag = 'spine') AS spine_neurons, count(DISTINCT pre_id) FILTER (tag = 'shaft') AS shaft_neurons FROM fx_tagged GROUP BY 1),
-tin AS (SELECT pre_pt_root_id AS id, count(*) AS n, count(*) FILTER (tag = 'spine') AS spine, count(*) FILTER (tag = 'shaft') AS shaft, count(*) FILTER (tag = 'soma') AS soma FROM fx_tags GROUP BY 1)"""
+VALID = "root_id IN (SELECT root_id FROM mart WHERE dl > 0 AND al > 0 AND ds_n > 0 AND (ds_spine + ds_shaft + ds_soma)::DOUBLE / ds_in_all > 0.75)"
 
 
-@query("""SELECT root_id, coalesce(l.spine, 0) AS spine, coalesce(l.shaft, 0) AS shaft, coalesce(l.soma, 0) AS soma, coalesce(ex_spine, 0) AS ex_spine, coalesce(ex_shaft, 0) AS ex_shaft,
-  coalesce(inh_spine, 0) AS inh_spine, coalesce(inh_shaft, 0) AS inh_shaft, coalesce(spine_neurons, 0) AS spine_neurons, coalesce(shaft_neurons, 0) AS shaft_neurons,
-  coalesce(t.spine, 0) AS ds_spine, coalesce(t.shaft, 0) AS ds_shaft, coalesce(t.soma, 0) AS ds_soma, coalesce(t.spine, 0) AS ds_out_spine,
-  round(l.spine::DOUBLE / nullif(l.n, 0), 6) AS spine_ratio, round(t.spine::DOUBLE / nullif(t.n, 0), 6) AS ds_spine_ratio, round(t.spine::DOUBLE / nullif(t.n, 0), 6) AS ds_out_spine_ratio,
-  round(l.spine::DOUBLE / nullif(l.shaft, 0), 6) AS spine_to_shaft, round(l.spine::DOUBLE / nullif(spine_neurons, 0), 6) AS spine_per_contact,
-  round(coalesce(t.shaft, 0)::DOUBLE / nullif(dendrite_length, 0), 6) + 0.0 AS ds_shaft_density, round(coalesce(t.spine, 0)::DOUBLE / nullif(axon_length, 0), 6) + 0.0 AS ds_out_spine_density
-  FROM fx_neurons LEFT JOIN loc l ON root_id = post_id LEFT JOIN tin t ON root_id = id""", MART)
-def spine_feature_mart(fx):
-    return _mart(fx).select("root_id", "spine", "shaft", "soma", "ex_spine", "ex_shaft", "inh_spine", "inh_shaft", "spine_neurons", "shaft_neurons", "ds_spine", "ds_shaft", "ds_soma", "ds_out_spine",
-                            *r6("spine_ratio", "ds_spine_ratio", "ds_out_spine_ratio", "spine_to_shaft", "spine_per_contact", "ds_shaft_density", "ds_out_spine_density"))
+@query(f"SELECT root_id FROM mart WHERE {VALID}", MART)
+def valid_neurons(fx):
+    return ft.valid_neurons(_mart(fx), 0.75).select("root_id")
 
 
-@query("SELECT root_id FROM fx_neurons JOIN tin t ON root_id = id WHERE dendrite_length > 0 AND axon_length > 0 AND (t.spine + t.shaft + t.soma)::DOUBLE / (t.n + root_id % 3) > 0.9", MART)
-def valid_neurons(fx):
-    return ft.valid_neurons(_mart(fx)).select("root_id")
+def typed_sums(side: str) -> str:
+    """SQL of the synapses and neurons of each type on one side of edges."""
+    return ", ".join(f"coalesce(sum(n_syn) FILTER ({side} = '{k}'), 0)::BIGINT AS {p}s, count(*) FILTER ({side} = '{k}') AS {p}n" for k, p in (("E", "e"), ("I", "in")))
+
+
+VALID_NET = f"""{MART}, own AS (SELECT * FROM fx_edges WHERE {VALID.replace("root_id IN", "pre_id IN", 1)} AND {VALID.replace("root_id IN", "post_id IN", 1)}),
+vi AS (SELECT post_id AS id, {typed_sums("pre_type")} FROM own GROUP BY 1), vo AS (SELECT pre_id AS id, {typed_sums("post_type")} FROM own GROUP BY 1)"""
+
+
+@query(f"""SELECT root_id, coalesce(a.es + a.ins, 0) AS in_synapses, coalesce(a.en + a.inn, 0) AS in_neurons, coalesce(b.es + b.ins, 0) AS out_synapses, coalesce(b.en + b.inn, 0) AS out_neurons,
+  CASE WHEN coalesce(a.es, 0) = 0 THEN 0.0 ELSE round(a.es::DOUBLE / a.en, 6) END AS ex_contacts, round(coalesce(a.ins, 0)::DOUBLE / nullif(dl, 0), 6) + 0.0 AS inh_syn_density
+  FROM mart LEFT JOIN vi a ON root_id = a.id LEFT JOIN vo b ON root_id = b.id WHERE {VALID}""", VALID_NET)
+def valid_network(fx):
+    neurons, own = ft.valid_network(_mart(fx), fx.edges, 0.75)
+    return neurons.select("root_id", "in_synapses", "in_neurons", "out_synapses", "out_neurons", *r6("ex_contacts", "inh_syn_density"))
+
+
+@query(f"SELECT (SELECT count(*) FROM mart WHERE {VALID}) AS n, 0::BIGINT AS wrong", VALID_NET)
+def valid_network_checked(fx):
+    """The neurons of the valid network, and how many of them have degrees that differ from the edges' sums."""
+    neurons, own = ft.valid_network(_mart(fx), fx.edges, 0.75)
+    found = neurons.agg(F.count(F.lit(1)).alias("n"))
+    return found.join(F.broadcast(ft.inconsistent(neurons, own).agg(F.count(F.lit(1)).alias("wrong"))))  # one row each
 
 
 DEG = """pre AS (SELECT post_id AS id, sum(n_syn)::BIGINT AS s, count(*) AS n, coalesce(sum(n_syn) FILTER (pre_type = 'E'), 0)::BIGINT AS es, count(*) FILTER (pre_type = 'E') AS en,
@@ -110,25 +145,32 @@ post AS (SELECT pre_id AS id, sum(n_syn)::BIGINT AS s, count(*) AS n, coalesce(s
   coalesce(sum(n_syn) FILTER (post_type = 'I'), 0)::BIGINT AS ins, count(*) FILTER (post_type = 'I') AS inn FROM fx_edges GROUP BY 1)"""
 
 
+NINE = ", ".join(
+    f"round(coalesce(a.{s}, 0)::DOUBLE / nullif(dendrite_length, 0), 6) + 0.0 AS {p}syn_density, round(coalesce(a.{n}, 0)::DOUBLE / nullif(dendrite_length, 0), 6) + 0.0 AS {p}partner_density, CASE WHEN coalesce(a.{s}, 0) = 0 THEN 0.0 ELSE round(a.{s}::DOUBLE / a.{n}, 6) END AS {p}contacts"
+    for s, n, p in (("s", "n", ""), ("es", "en", "ex_"), ("ins", "inn", "inh_")))
+
+
 @query("""SELECT root_id, coalesce(a.s, 0) AS in_synapses, coalesce(a.n, 0) AS in_neurons, coalesce(a.es, 0) AS ex_in_synapses, coalesce(a.en, 0) AS ex_in_neurons, coalesce(a.ins, 0) AS inh_in_synapses,
   coalesce(a.inn, 0) AS inh_in_neurons, coalesce(b.s, 0) AS out_synapses, coalesce(b.n, 0) AS out_neurons, coalesce(b.es, 0) AS ex_out_synapses, coalesce(b.en, 0) AS ex_out_neurons,
-  coalesce(b.ins, 0) AS inh_out_synapses, coalesce(b.inn, 0) AS inh_out_neurons, round(coalesce(a.s, 0)::DOUBLE / nullif(dendrite_length, 0), 6) + 0.0 AS syn_density,
-  CASE WHEN coalesce(a.s, 0) = 0 THEN 0.0 ELSE round(a.s::DOUBLE / a.n, 6) END AS contacts
+  coalesce(b.ins, 0) AS inh_out_synapses, coalesce(b.inn, 0) AS inh_out_neurons, """ + NINE + """
   FROM fx_neurons LEFT JOIN pre a ON root_id = a.id LEFT JOIN post b ON root_id = b.id""", DEG)
 def degree_features(fx):
     deg = ft.contact_features(graph.degrees(fx.edges, fx.neurons.select("root_id", "dendrite_length")))
     names = [f"{p}{d}_{w}" for d in ("in", "out") for p in ("", "ex_", "inh_") for w in ("synapses", "neurons")]
-    return deg.select("root_id", *names, *r6("syn_density", "contacts"))
+    return deg.select("root_id", *names, *r6(*[f"{p}{n}" for p in ("", "ex_", "inh_") for n in ("syn_density", "partner_density", "contacts")]))
 
 
 @query("""SELECT root_id, round(coalesce(a.es, 0)::DOUBLE / nullif(a.ins, 0), 6) AS ei_synapses, round(a.en::DOUBLE / nullif(a.inn, 0), 6) AS ei_neurons,
-  round(ew::DOUBLE / nullif(iw, 0), 6) AS ei_weight, round(a.es::DOUBLE / nullif(a.es + a.ins, 0), 6) AS ex_share FROM fx_neurons JOIN pre a ON root_id = a.id
-  JOIN (SELECT post_id, coalesce(sum(size) FILTER (pre_clf_type = 'E'), 0) AS ew, coalesce(sum(size) FILTER (pre_clf_type = 'I'), 0) AS iw FROM fx_tagged GROUP BY 1) w ON root_id = w.post_id""", DEG)
+  round(ew::DOUBLE / nullif(iw, 0), 6) AS ei_weight, round(a.es::DOUBLE / nullif(a.es + a.ins, 0), 6) AS ex_share, round(ew::DOUBLE / nullif(ew + iw, 0), 6) AS ex_weight_share,
+  round(a.en::DOUBLE / nullif(a.en + a.inn, 0), 6) AS ex_partner_share, round(a.s::DOUBLE / nullif(ds_in_all, 0), 6) AS in_volume_share, round(ds_in_all::DOUBLE / nullif(dl, 0), 6) AS ds_in_density,
+  round(a.s::DOUBLE / a.n, 6) AS syn_per_contact, round(ds_out_all::DOUBLE / nullif(al, 0), 6) AS ds_out_density FROM mart JOIN pre a ON root_id = a.id
+  JOIN (SELECT post_id, coalesce(sum(size) FILTER (pre_clf_type = 'E'), 0) AS ew, coalesce(sum(size) FILTER (pre_clf_type = 'I'), 0) AS iw FROM fx_tagged GROUP BY 1) w ON root_id = w.post_id""", MART + ", " + DEG)
 def ei_ratio_features(fx):
     t = F.col("pre_clf_type")
     weight = fx.tagged.groupBy(F.col("post_id").alias("root_id")).agg(*[F.coalesce(F.sum(F.when(t == k, F.col("size"))), F.lit(0.0)).alias(f"{n}_in_weight") for k, n in (("E", "ex"), ("I", "inh"))])
-    deg = graph.degrees(fx.edges, fx.neurons.select("root_id")).where("in_synapses > 0").join(weight, "root_id")
-    return ft.type_ratios(deg).select("root_id", *r6("ei_synapses", "ei_neurons", "ei_weight", "ex_share"))
+    ids = _mart(fx).select("root_id", "dendrite_length", "axon_length", "ds_num_of_incoming_synapses", "ds_num_of_outgoing_synapses")
+    deg = ft.volume_features(graph.degrees(fx.edges, ids).where("in_synapses > 0").join(weight, "root_id"))
+    return ft.type_ratios(deg).select("root_id", *r6("ei_synapses", "ei_neurons", "ei_weight", "ex_share", "ex_weight_share", "ex_partner_share", "in_volume_share", "ds_in_density", "syn_per_contact", "ds_out_density"))
 
 
 # --- graph ------------------------------------------------------------------------------------
@@ -159,9 +201,11 @@ def partners(fx):
     return graph.partners(fx.edges, 10)
 
 
-@query("SELECT a.pre_type AS clf_type, count(*) AS n_shared FROM fx_edges a JOIN fx_edges b ON a.pre_id = b.pre_id WHERE a.post_id = 10 AND b.post_id = 11 GROUP BY 1")
+#: A block of the matrix: neurons whose inputs are pooled, so that any two share some at every scale.
+@query("SELECT pre_type AS clf_type, count(*) AS n_shared FROM (SELECT pre_id, pre_type FROM pool WHERE post_id = 0 INTERSECT SELECT pre_id, pre_type FROM pool WHERE post_id = 1) GROUP BY 1",
+       "pool AS (SELECT pre_id, pre_type, post_id % 10 AS post_id FROM fx_edges)")
 def shared_partners(fx):
-    return graph.shared_partners(fx.edges, 10, 11)
+    return graph.shared_partners(fx.edges.withColumn("post_id", F.col("post_id") % 10), 0, 1)
 
 
 @query("SELECT post_id AS root_id, count(*) FILTER (pre_type = 'E') AS n_ex, count(*) FILTER (pre_type = 'I') AS n_inh, min(pre_id) FILTER (pre_type = 'E') AS first_ex FROM fx_edges GROUP BY 1")
@@ -234,9 +278,9 @@ def micro_profile(fx):
 BYN = E_TAGGED.format(b=hist(PROFILE, "dist")) + ", m AS (SELECT pre_id, bin, count(*) AS n, (count(*) FILTER (tag = 'spine'))::DOUBLE / count(*) AS share FROM t WHERE bin IS NOT NULL GROUP BY ALL)"
 
 
-@query(f"SELECT bin, round({mid(PROFILE, 'bin')}, 6) AS centre, count(*) AS n_neurons, round(avg(share), 6) AS mean, round(stddev_pop(share), 6) AS sd, round(stddev_pop(share) / sqrt(count(*)), 6) AS sem FROM m GROUP BY 1", BYN)
+@query(f"SELECT bin, round({mid(PROFILE, 'bin')}, 6) AS centre, count(*) AS n_neurons, sum(n)::BIGINT AS n, round(avg(share), 6) AS mean, round(stddev_pop(share), 6) AS sd, round(stddev_pop(share) / sqrt(count(*)), 6) AS sem FROM m GROUP BY 1", BYN)
 def macro_profile(fx):
-    return pr.macro_profile(_e(fx), PROFILE).select("bin", *r6("centre"), "n_neurons", *r6("mean", "sd", "sem"))
+    return pr.macro_profile(_e(fx), PROFILE).select("bin", *r6("centre"), "n_neurons", "n", *r6("mean", "sd", "sem"))
 
 
 @query("SELECT bin, n, round(share, 6) AS share FROM m WHERE pre_id = 10 AND n > 1", BYN)
@@ -337,6 +381,7 @@ def predicted_ratio(fx):
 
 # --- null models ------------------------------------------------------------------------------
 
+REPLICAS = 100  # shuffled graphs behind a control distribution
 NULL = """rep AS (SELECT unnest(range(3)) AS replica), s AS (SELECT replica, pre_id, post_id, pre_type, post_type, pre_type || post_type AS block, pre_id || '-' || post_id AS edge FROM fx_edges, rep),
 o AS (SELECT *, row_number() OVER (PARTITION BY replica, block ORDER BY md5('7-' || replica || '-pre-' || edge), edge) AS a, row_number() OVER (PARTITION BY replica, block ORDER BY md5('7-' || replica || '-post-' || edge), edge) AS b FROM s),
 z AS (SELECT p.replica, p.block, p.pre_id, q.post_id, count(*) AS n_syn FROM o p JOIN o q ON p.replica = q.replica AND p.block = q.block AND p.a = q.b WHERE p.pre_id <> q.post_id GROUP BY ALL)"""
@@ -358,10 +403,10 @@ def null_shared_input(fx):
 SHARED = uniform_edges(0, 80, 17)
 
 
-@query("SELECT series, bin, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY series), 6) AS share FROM h", NSH + f""", both_ AS (SELECT 'control' AS series, shared_input AS x FROM v UNION ALL
+@query("SELECT series, bin, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY series), 6) AS share FROM h", NSH.replace("range(3)", f"range({REPLICAS})") + f""", both_ AS (SELECT 'control' AS series, shared_input AS x FROM v UNION ALL
   SELECT 'data', avg(d) FROM fx_edges JOIN (SELECT pre_id, count(*) AS d FROM fx_edges GROUP BY 1) USING (pre_id) GROUP BY post_id), h0 AS (SELECT series, {hist(SHARED, 'x')} AS bin FROM both_), h AS (SELECT series, bin, count(*) AS n FROM h0 WHERE bin IS NOT NULL GROUP BY ALL)""")
 def null_vs_data_hist(fx):
-    control = nullmodel.null_shared_input(fx.edges, 3, 7).select(F.lit("control").alias("series"), "shared_input")
+    control = nullmodel.null_shared_input(fx.edges, REPLICAS, 7).select(F.lit("control").alias("series"), "shared_input")
     data = graph.shared_input(fx.edges).select(F.lit("data").alias("series"), "shared_input")
     return pr.shares(control.unionByName(data), "shared_input", SHARED, ("series",)).select("series", "bin", "n", *r6("share"))
 
@@ -401,14 +446,25 @@ def subnetwork_sweep(fx):
 
 @query()
 def saturating_fit(fx):
-    p = pr.micro_profile(fx.tagged, PROFILE).withColumn("model", F.lit("population"))
-    return fit.fits(p, ["model"], "centre", "share", "n")
+    return fit.fit_population(fx.tagged, PROFILE)
 
 
 @query()
 def biphasic_fit(fx):
-    p = pr.micro_profile(fx.tagged, PROFILE).withColumn("model", F.lit("population"))
-    return fit.fits(p, ["model"], "centre", "share", "n", "biphasic")
+    return fit.fit_population(fx.tagged, PROFILE, "biphasic")
+
+
+@query()
+def single_fits(fx):
+    """A saturating fit for every neuron, over its bins with more than one synapse."""
+    return fit.fit_single(_e(fx), PROFILE, least=1)
+
+
+#: The profile that the population fits take: the mean over neurons, with the synapses of all as weights.
+@query("SELECT bin, n, round(mean, 6) AS mean FROM (SELECT bin, sum(n)::BIGINT AS n, avg(share) AS mean FROM (SELECT pre_id, bin, count(*) AS n, (count(*) FILTER (tag = 'spine'))::DOUBLE / count(*) AS share FROM fb WHERE bin IS NOT NULL GROUP BY ALL) GROUP BY 1)",
+       f"fb AS (SELECT *, {hist(FINE, 'dist')} AS bin FROM fx_tagged)")
+def population_profile(fx):
+    return pr.macro_profile(fx.tagged, FINE).select("bin", "n", *r6("mean"))
 
 
 @query()
@@ -426,11 +482,16 @@ def ribbons(fx):
     return geometry.ribbons(geometry.polylines(_chain(fx)), _chain(fx))
 
 
-@query()
+MESH = """me AS (SELECT user_id AS seg_id, row_number() OVER w - 1 AS vid, value AS x, hour(ts)::DOUBLE AS y, (event_id % 7)::DOUBLE AS z, lag(value) OVER w AS x1, lag(hour(ts)::DOUBLE) OVER w AS y1, lag((event_id % 7)::DOUBLE) OVER w AS z1,
+  lag(value, 2) OVER w AS x0, lag(hour(ts)::DOUBLE, 2) OVER w AS y0, lag((event_id % 7)::DOUBLE, 2) OVER w AS z0 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+cr AS (SELECT seg_id, vid AS fid, (y1 - y0) * (z - z0) - (z1 - z0) * (y - y0) AS nx, (z1 - z0) * (x - x0) - (x1 - x0) * (z - z0) AS ny, (x1 - x0) * (y - y0) - (y1 - y0) * (x - x0) AS nz FROM me WHERE vid >= 2)"""
+
+
+@query("SELECT seg_id, fid, round(0.3 + 0.7 * CASE WHEN nx = 0 AND ny = 0 AND nz = 0 THEN 0.0 ELSE greatest(0.0, (nx * 0.3 + ny * 0.5 + nz) / sqrt(0.3 * 0.3 + 0.5 * 0.5 + 1.0) / sqrt(nx * nx + ny * ny + nz * nz)) END, 6) AS shade FROM cr", MESH)
 def mesh_shading(fx):
     v = _chain(fx).select(F.col("root_id").alias("seg_id"), "vid", "x", "y", "z")
-    faces = v.where("vid >= 2").select("seg_id", F.col("vid").alias("fid"), (F.col("vid") - 2).alias("v0"), (F.col("vid") - 1).alias("v1"), F.col("vid").alias("v2"))
-    return geometry.shading(geometry.triangles(faces, v)).select("seg_id", "fid", "shade")
+    faces = v.where("vid >= 2").select("seg_id", F.col("vid").cast("long").alias("fid"), (F.col("vid") - 2).alias("v0"), (F.col("vid") - 1).alias("v1"), F.col("vid").alias("v2"))
+    return geometry.shading(geometry.triangles(faces, v)).select("seg_id", "fid", *r6("shade"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{y}' AS series, bin, round(avg({y}), 6) AS mean, round(coalesce(stddev_samp({y}), 0), 6) AS error, count(*) AS n FROM gb GROUP BY bin" for y in ("ins", "inn", "outs")),
@@ -463,3 +524,141 @@ def cleaned_types(fx):
 def figure_labels(fx):
     rows = st.regression(_g(fx), "dl", "ins", ("clf_type",), with_p=True)
     return rows.select("clf_type", F.format_string("r = %.2f", "r").alias("r"), st.p_label(F.col("p")).alias("p"), "stars")
+
+
+# --- composites -------------------------------------------------------------------------------
+
+
+@query("SELECT replica, block, root_id, round(avg(d), 6) AS shared_input FROM (SELECT DISTINCT replica, block, pre_id, post_id AS root_id FROM z) JOIN (SELECT replica, block, pre_id, count(DISTINCT post_id) AS d FROM z GROUP BY ALL) USING (replica, block, pre_id) GROUP BY ALL", NULL)
+def null_shared_block(fx):
+    return nullmodel.null_shared_input(fx.edges, 3, 7, by_block=True).select("replica", "block", "root_id", *r6("shared_input"))
+
+
+@query("SELECT replica, pre_id, post_id, n_syn FROM z", NULL.replace("pre_type || post_type AS block", "'all' AS block"))
+def config_model_untyped(fx):
+    return nullmodel.shuffled(fx.edges, 3, 7, keep_types=False).groupBy("replica", "pre_id", "post_id").agg(F.sum("n_syn").alias("n_syn"))
+
+
+@query("SELECT replica, block, z.pre_id, z.post_id, z.n_syn FROM z JOIN pl a ON z.pre_id = a.root_id JOIN pl b ON z.post_id = b.root_id WHERE a.place <> b.place",
+       NULL.replace("p.a = q.b WHERE p.pre_id <> q.post_id GROUP", "p.a = q.b GROUP") + ", pl AS (SELECT root_id, row_number() OVER (PARTITION BY clf_type ORDER BY root_id) AS place FROM fx_neurons)")
+def config_model_diagonal(fx):
+    return nullmodel.shuffled(fx.edges, 3, 7, diagonal_of=fx.neurons).select("replica", "block", "pre_id", "post_id", "n_syn")
+
+
+@query("SELECT replica, root_id, sum(n_syn)::BIGINT AS in_synapses, count(*) AS in_neurons, round(sum(n_syn)::DOUBLE / count(*), 6) AS contacts FROM (SELECT replica, post_id AS root_id, n_syn FROM z) GROUP BY ALL", NULL)
+def shuffled_features(fx):
+    """Degrees and contact features of the neurons on each shuffled graph."""
+    graphs = nullmodel.shuffled(fx.edges, 3, 7)
+    out = None
+    for k in range(3):
+        one = ft.connectivity_features(fx.neurons, graphs.where(F.col("replica") == k)).where("in_synapses > 0").withColumn("replica", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out.select("replica", "root_id", "in_synapses", "in_neurons", *r6("contacts"))
+
+
+@query("SELECT series, bin, round(avg(y), 6) AS mean, count(*) AS n, round(any_value(r), 6) AS r, round(any_value(slope), 6) AS slope FROM (SELECT *, CAST(least(7, greatest(0, floor((dl - lo) / ((hi - lo) / 8)))) AS INTEGER) AS bin FROM long, (SELECT min(dl) AS lo, max(dl) AS hi FROM g)) JOIN (SELECT series, corr(dl, y) AS r, regr_slope(y, dl) AS slope FROM long GROUP BY 1) USING (series) GROUP BY ALL",
+       DEG + ", " + DEGREES + ", long AS (SELECT 'ins' AS series, dl, ins AS y FROM g UNION ALL SELECT 'outs', dl, outs FROM g)")
+def labelled_trends(fx):
+    """Eight bins of equal width, and each series' line."""
+    return pr.labelled_trends(_g(fx), "dl", ["ins", "outs"], 8).select("series", "bin", *r6("mean"), "n", *r6("r", "slope"))
+
+
+PANEL = ", ".join(f"({k!r}, {p!r}, {c})" for p, cs in (("synapses", ("es", "ins")), ("contacts", ("ec", "ic")), ("partners", ("en", "inn"))) for k, c in zip(("ex", "inh"), cs, strict=True))
+
+
+@query(f"SELECT panel, kind, {clamp(pr.PANEL_EDGES['spine'], 'spine')} AS bin, round(avg(y), 6) AS mean, count(*) AS n FROM pd, LATERAL (VALUES {PANEL}) v(kind, panel, y) WHERE y IS NOT NULL GROUP BY ALL",
+       f"{MART}, {DEG}, pd AS (SELECT spine, coalesce(a.es, 0)::DOUBLE AS es, coalesce(a.ins, 0)::DOUBLE AS ins, coalesce(a.en, 0)::DOUBLE AS en, coalesce(a.inn, 0)::DOUBLE AS inn, CASE WHEN coalesce(a.es, 0) = 0 THEN 0.0 ELSE a.es::DOUBLE / a.en END AS ec, CASE WHEN coalesce(a.ins, 0) = 0 THEN 0.0 ELSE a.ins::DOUBLE / a.inn END AS ic FROM mart LEFT JOIN pre a ON root_id = a.id)")
+def panel_trends(fx):
+    rows = ft.connectivity_features(_mart(fx), fx.edges)
+    return pr.panel_trends(rows, "spine").select("panel", "kind", "bin", *r6("mean"), "n")
+
+
+@query("SELECT root_id, max(CASE WHEN block = 'EE' THEN v WHEN block = 'EI' THEN v END) AS from_ex, max(CASE WHEN block = 'IE' THEN v WHEN block = 'II' THEN v END) AS from_inh FROM fx_neurons LEFT JOIN (SELECT e.pre_type || e.post_type AS block, post_id, round(avg(d), 6) AS v FROM fx_edges e JOIN (SELECT pre_id, pre_type || post_type AS block, count(*) AS d FROM fx_edges GROUP BY ALL) o ON e.pre_id = o.pre_id AND e.pre_type || e.post_type = o.block GROUP BY ALL) ON root_id = post_id GROUP BY 1")
+def routed_blocks(fx):
+    """Shared input by block, as two columns of the neurons that receive it."""
+    found = graph.shared_input(graph.blocks(fx.edges), ("block",))
+    found = found.withColumn("block", F.substring("block", 1, 1))
+    return ft.routed(found, "shared_input", fx.neurons.select("root_id"), {"E": "from_ex", "I": "from_inh"}).select("root_id", *r6("from_ex", "from_inh"))
+
+
+@query("SELECT root_id, round(x0 / 1000.0 * 2, 6) AS px, cell_type FROM fx_neurons LEFT JOIN (SELECT c_custkey AS k, c_acctbal AS x0 FROM customer WHERE c_custkey % 3 = 0) ON root_id = k")
+def placed_neurons(fx):
+    """Neurons beside positions of some of them, scaled."""
+    rows = fx.table("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("pt_root_id"), (F.col("c_acctbal") / 1000.0 * 2).alias("px"))
+    return ft.placed(fx.neurons, rows).select("root_id", *r6("px"), "cell_type")
+
+
+@query("SELECT root_id, coalesce(n, 0) AS n FROM fx_neurons LEFT JOIN (SELECT post_id, count(*) AS n FROM fx_tagged WHERE tag IS NULL OR tag <> 'spine' GROUP BY 1) ON root_id = post_id WHERE dendrite_length < 5000")
+def other_tags(fx):
+    n = ft.not_tagged(fx.tagged).groupBy(F.col("post_id").alias("root_id")).agg(F.count(F.lit(1)).alias("n"))
+    return ft.below(fx.neurons, "dendrite_length", 5000).join(n, "root_id", "left").select("root_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT root_id, round(s::DOUBLE / n, 6) AS ratio FROM fx_neurons JOIN (SELECT pre_id, count(*) AS n, count(*) FILTER (tag = 'spine') AS s FROM fx_tagged GROUP BY 1) ON root_id = pre_id WHERE s::DOUBLE / n > 0.3")
+def ratio_above(fx):
+    return ft.above(ft.spine_ratio(fx.tagged, fx.neurons), "ratio", 0.3).select("root_id", *r6("ratio"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT pre_id) AS n_pre, count(DISTINCT post_id) AS n_post, count(*) FILTER (tag = 'spine') AS n_spine, count(*) FILTER (tag = 'shaft') AS n_shaft, count(*) FILTER (tag = 'soma') AS n_soma FROM fx_tagged")
+def synapse_summary(fx):
+    return ft.summary(fx.tagged)
+
+
+@query("SELECT root_id, cell_type, round(v, 4) AS crossing FROM fx_neurons LEFT JOIN f ON root_id = pre_id", CROSS)
+def neurons_with_crossing(fx):
+    """Neurons beside the place where they come to prefer spines; none for those that never do or have no synapse."""
+    c = pr.crossings(pr.by_neuron(_e(fx), PROFILE), PROFILE, "pre_id", "zero").where(F.col("crossing") < float("inf"))
+    return fx.neurons.join(c, F.col("root_id") == F.col("pre_id"), "left").select("root_id", "cell_type", F.round("crossing", 4).alias("crossing"))
+
+
+@query("SELECT root_id, round(sum(len) FILTER (comp IN (1, 2) AND pcomp IN (1, 2)), 4) AS axon, round(sum(len) FILTER (comp IN (1, 3, 4) AND pcomp IN (1, 3, 4)), 4) AS dendrite FROM (SELECT *, sqrt(pow(x - px, 2) + pow(y - py, 2) + pow(z - pz, 2)) AS len FROM lk WHERE px IS NOT NULL AND x BETWEEN 20 AND 400 AND px BETWEEN 20 AND 400 AND z BETWEEN 1 AND 5 AND pz BETWEEN 1 AND 5) GROUP BY 1 HAVING axon IS NOT NULL OR dendrite IS NOT NULL",
+       "le AS (SELECT user_id AS root_id, ts, event_id, value AS x, hour(ts)::DOUBLE AS y, (event_id % 7)::DOUBLE AS z, event_id % 4 + 1 AS comp FROM events), lk AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(z) OVER w AS pz, lag(comp) OVER w AS pcomp FROM le WINDOW w AS (PARTITION BY root_id ORDER BY ts, event_id))")
+def local_path_lengths(fx):
+    """Axon and dendrite cable inside the box that the given neurons' positions span: here x 20 to 400 and z 1 to 5."""
+    chain = _chain(fx)
+    bounds = fx.spark.createDataFrame([(20.0, 1.0), (400.0, 5.0)], "x double, z double")
+    neurons = chain.select("root_id").distinct().crossJoin(F.broadcast(bounds.agg(F.min("x").alias("x"), F.min("z").alias("z"))))  # one row
+    neurons = neurons.unionByName(fx.spark.createDataFrame([(-1, 400.0, 5.0)], neurons.schema))
+    out = geometry.local_path_length(chain, neurons)
+    return out.where("axon_local_length > 0 OR dendrite_local_length > 0").select("root_id", *[F.round(F.nullif(f"{n}_local_length", F.lit(0.0)), 4).alias(n) for n in ("axon", "dendrite")])
+
+
+@query("SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho FROM (SELECT rank() OVER (ORDER BY dl) + (count(*) OVER (PARTITION BY dl) - 1) / 2.0 AS rx, rank() OVER (ORDER BY inn) + (count(*) OVER (PARTITION BY inn) - 1) / 2.0 AS ry FROM g)", DEG + ", " + DEGREES)
+def spearman_with_p(fx):
+    """p is held against known values in the tests."""
+    return st.spearman(_g(fx), "dl", "inn", with_p=True).where("p BETWEEN 0 AND 1").select("n", *r6("rho"))
+
+
+@query("SELECT feature, round(r, 2) AS r FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS feature, corr({a}, dl) AS r FROM g" for a in ("ins", "inn", "outs")) + ")", DEG + ", " + DEGREES)
+def correlation_bars(fx):
+    """Bars of correlations with a target; the stars are held against known values in the tests."""
+    return st.correlations_with(_g(fx), "dl", ["ins", "inn", "outs"], with_p=True).where("stars IS NOT NULL").select("feature", F.round("r", 2).alias("r"))
+
+
+@query("SELECT DISTINCT root_id FROM (SELECT pre_id AS root_id FROM fx_edges UNION ALL SELECT post_id FROM fx_edges)")
+def graph_nodes(fx):
+    return graph.nodes(fx.edges)
+
+
+@query("SELECT pt_root_id AS root_id, list_position(['MACHINERY', 'BUILDING', 'HOUSEHOLD', 'AUTOMOBILE'], t.cell_type)::BIGINT AS place, round(t.x * 2 + 1, 6) AS x, coalesce(a.s, 0) AS in_synapses FROM (SELECT root_id AS pt_root_id, CASE WHEN root_id % 50 <> 0 AND root_id % 7 <> 3 THEN cell_type END AS cell_type, CASE WHEN root_id % 50 <> 0 AND root_id % 7 <> 3 THEN root_id::DOUBLE END AS x FROM fx_neurons) t LEFT JOIN pre a ON pt_root_id = a.id",
+       DEG)
+def full_neurons(fx):
+    """Neurons beside cleaned annotations, moved positions, degrees and the order of their types."""
+    n = fx.neurons
+    types = n.select(F.col("root_id").alias("pt_root_id"), "cell_type", F.when(F.col("root_id") % 7 == 3, "nonneuron").otherwise("neuron").alias("classification_system"),
+                     F.format_string("[%d, 5, -2]", "root_id").alias("pt_position"))
+    types = types.unionByName(types.where("pt_root_id % 50 = 0"))
+    move = [[2.0, 0, 0, 1.0], [0, 1.0, 0, 0], [0, 0, 1.0, 0]]
+    rows = readers.full_neurons(types, n.select("root_id", "dendrite_length"), fx.edges, LEVELS, ("nonneuron",), move)
+    return rows.select("root_id", F.nullif("place", F.lit(0)).cast("long").alias("place"), F.round("x_t", 6).alias("x"), "in_synapses")
+
+
+@query("SELECT event_id AS id_, round(CAST(regexp_extract_all(props, '(-?\\d+(?:\\.\\d+)?)', 1)[1] AS DOUBLE) * 3, 6) AS x_t FROM events")
+def synapse_positions(fx):
+    raw = fx.table("events").select(F.col("event_id").alias("id_"), F.concat("props", F.lit(" 1 2")).alias("center_position"))
+    return readers.synapses(raw, [[3.0, 0, 0, 0], [0, 1.0, 0, 0], [0, 0, 1.0, 0]]).select("id_", *r6("x_t"))
+
+
+@query("SELECT pre_id, post_id, n_syn, 1::BIGINT AS linked FROM fx_edges")
+def both_matrices(fx):
+    return readers.both_matrices(fx.edges).select("pre_id", "post_id", "n_syn", "linked")

@@ -35,6 +35,13 @@ class Fixture:
         return self.table("orders").where("o_orderkey % 10 <> 9").select(
             F.col("o_orderkey").alias("target_id"), F.col("o_custkey").alias("pre_pt_root_id"), F.when(s == "F", "spine").when(s == "O", "shaft").otherwise("soma").alias("tag"))
 
+    @property
+    def tags_in(self) -> DataFrame:
+        """Tags of incoming synapses: another relation, with other keys and tags than ``tags``."""
+        p = F.substring("o_orderpriority", 1, 1)
+        tag = F.when(p.isin("1", "2"), "spine").when(p == "3", "shaft").when(p == "4", "soma").otherwise("other")
+        return self.table("orders").where("o_orderkey % 7 <> 3").select(F.col("o_orderkey").alias("target_id"), (F.col("o_custkey") * 3 % 1501).alias("post_pt_root_id"), tag.alias("tag"))
+
     @property
     def tagged(self) -> DataFrame:
         types = self.neurons.select("root_id", "clf_type")
@@ -60,6 +67,8 @@ fx_synapses AS (SELECT l_orderkey AS id_, o_custkey AS pre_id, l_partkey AS post
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 fx_tags AS (SELECT o_orderkey AS target_id, o_custkey AS pre_pt_root_id,
   CASE o_orderstatus WHEN 'F' THEN 'spine' WHEN 'O' THEN 'shaft' ELSE 'soma' END AS tag FROM orders WHERE o_orderkey % 10 <> 9),
+fx_tags_in AS (SELECT o_orderkey AS target_id, o_custkey * 3 % 1501 AS post_pt_root_id, CASE substr(o_orderpriority, 1, 1)
+  WHEN '1' THEN 'spine' WHEN '2' THEN 'spine' WHEN '3' THEN 'shaft' WHEN '4' THEN 'soma' ELSE 'other' END AS tag FROM orders WHERE o_orderkey % 7 <> 3),
 fx_tagged AS (SELECT s.*, t.tag, a.clf_type AS pre_clf_type, b.clf_type AS post_clf_type FROM fx_synapses s JOIN fx_tags t ON s.id_ = t.target_id
   LEFT JOIN fx_neurons a ON s.pre_id = a.root_id LEFT JOIN fx_neurons b ON s.post_id = b.root_id),
 fx_edges AS (SELECT s.pre_id, s.post_id, a.clf_type AS pre_type, b.clf_type AS post_type, count(*) AS n_syn FROM fx_synapses s

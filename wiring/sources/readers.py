@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +46,8 @@ def swc(spark: SparkSession, path: str) -> DataFrame:
 def sparse_matrix(spark: SparkSession, npz_path: str, mapping: dict[int, int], stored_post_by_pre: bool = True) -> DataFrame:
     """A compressed sparse matrix file as the edge list ``pre_id, post_id, n_syn``; no pickles are read.
 
-    A converter for one-off ingestion on the driver; write the result as Parquet.
+    A converter for one-off ingestion on the driver: arrays go to Arrow as they are, no row is made in
+    Python; write the result as Parquet.
     """
     with np.load(npz_path, allow_pickle=False) as z:
         indptr, indices, data = z["indptr"], z["indices"], z["data"]
@@ -53,14 +55,63 @@ def sparse_matrix(spark: SparkSession, npz_path: str, mapping: dict[int, int], s
     major = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
     rows, cols = (major, indices) if by_row else (indices, major)
     pre, post = (cols, rows) if stored_post_by_pre else (rows, cols)
-    found = [(mapping[int(a)], mapping[int(b)], int(n)) for a, b, n in zip(pre, post, data, strict=True) if n]
-    return spark.createDataFrame(found, "pre_id long, post_id long, n_syn long")
+    ids = np.zeros(max(mapping, default=-1) + 1, np.int64)
+    ids[list(mapping)] = list(mapping.values())
+    some = data != 0
+    return spark.createDataFrame(pa.table({"pre_id": ids[pre[some]], "post_id": ids[post[some]], "n_syn": data[some].astype(np.int64)}))
 
 
 def binarised(edges: DataFrame) -> DataFrame:
     return edges.where("n_syn > 0").withColumn("n_syn", F.lit(1).cast("long"))
 
 
+def both_matrices(edges: DataFrame) -> DataFrame:
+    """Edges with their weight ``n_syn`` and, beside it, the binary matrix' entry ``linked``."""
+    return edges.withColumn("linked", F.least(F.col("n_syn"), F.lit(1)).cast("long"))
+
+
+def neuron_positions(types: DataFrame, neurons: DataFrame, leave: tuple[str, ...], affine: list[list[float]] | None = None,
+                     units: tuple[float, float, float] = (1.0, 1.0, 1.0), position: str = "pt_position") -> DataFrame:
+    """Neurons beside type and position of their annotation, where they have just one.
+
+    Annotations without a neuron, of systems in ``leave``, with key 0 or a repeated key go; positions
+    are scaled and sent through ``affine``.
+    """
+    from wiring.operators.features import cleaned_types, placed
+
+    kept = cleaned_types(types, neurons, leave)
+    moved = positions(kept, position, units, affine).select("pt_root_id", "cell_type", "x_t", "y_t", "z_t")
+    return placed(neurons, moved)
+
+
+def synapses(raw: DataFrame, affine: list[list[float]] | None = None, column: str = "center_position") -> DataFrame:
+    """Synapses with their position string as three columns, sent through ``affine`` without scaling; the string goes."""
+    return positions(raw, column, affine=affine).drop(column)
+
+
+def full_neurons(types: DataFrame, neurons: DataFrame, edges: DataFrame, levels: list[str], leave: tuple[str, ...], affine: list[list[float]] | None = None) -> DataFrame:
+    """Neurons with type, position, degree and contact features, and the place of their type among ``levels``, in that order; other types come last."""
+    from wiring.operators.features import category_order, connectivity_features
+
+    return category_order(connectivity_features(neuron_positions(types, neurons, leave, affine), edges), "cell_type", levels, "root_id")
+
+
+def mesh(spark: SparkSession, path: str, seg_id: int) -> tuple[DataFrame, DataFrame]:
+    """Vertices and faces of one mesh from the Parquet tables ``vertices`` and ``faces`` of a folder; a missing mesh is an error."""
+    vertices = spark.read.schema("seg_id long, vid int, x double, y double, z double").parquet(f"{path}/vertices").where(F.col("seg_id") == seg_id)
+    if vertices.isEmpty():
+        raise FileNotFoundError(f"no mesh {seg_id} in {path}")
+    return vertices, spark.read.schema("seg_id long, fid int, v0 int, v1 int, v2 int").parquet(f"{path}/faces").where(F.col("seg_id") == seg_id)
+
+
+def write_mesh(spark: SparkSession, path: str, seg_id: int, vertices: np.ndarray, faces: np.ndarray) -> None:
+    """Arrays of a mesh, read by whatever tool, as rows of those tables; a converter for one-off ingestion on the driver."""
+    v = pa.table({"seg_id": np.full(len(vertices), seg_id), "vid": np.arange(len(vertices), dtype=np.int32), **{c: vertices[:, k].astype(float) for k, c in enumerate("xyz")}})
+    f = pa.table({"seg_id": np.full(len(faces), seg_id), "fid": np.arange(len(faces), dtype=np.int32), **{f"v{k}": faces[:, k].astype(np.int32) for k in range(3)}})
+    for name, table in (("vertices", v), ("faces", f)):
+        spark.createDataFrame(table).write.mode("append").parquet(f"{path}/{name}")
+
+
 SYNAPSE = T.StructType([T.StructField("id_", T.LongType()), T.StructField("pre_pt_root_id", T.LongType()), T.StructField("post_pt_root_id", T.LongType()),
                         T.StructField("size", T.LongType()), T.StructField("center_position", T.ArrayType(T.DoubleType()))])
 
@@ -88,3 +139,8 @@ def images(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
 def write_figure_data(df: DataFrame, path: str) -> None:
     """The rows behind a figure; drawing is left to the reader's tools."""
     df.write.mode("overwrite").parquet(path)
+
+
+def write_array(df: DataFrame, column: str, order: str, path: str) -> None:
+    """A column of a result of figure size as an array file on the driver, by ``order``."""
+    np.save(path, df.select(column, order).orderBy(order).toPandas()[column].to_numpy(), allow_pickle=False)
