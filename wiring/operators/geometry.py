@@ -233,3 +233,17 @@ def ribbons(lines: DataFrame, vertices: DataFrame) -> DataFrame:
         return pd.DataFrame({"root_id": pdf["root_id"].iloc[0], "line": pdf["line"].iloc[0], "place": range(len(ring)), "x": ring[:, 0], "y": ring[:, 1]})
 
     return points.groupBy("root_id", "line").applyInPandas(run, "root_id long, line long, place long, x double, y double")
+
+
+def branch_view(faces: DataFrame, vertices: DataFrame, xlim: tuple[float, float], ylim: tuple[float, float], light: tuple[float, float, float] = (0.3, 0.5, 1.0)) -> DataFrame:
+    """What a view of a branch shows: the triangles with a corner in the box, with their shades."""
+    return shading(cropped(triangles(faces, vertices), xlim, ylim), light)
+
+
+def overlay(vertices: DataFrame, synapses: DataFrame, colours: dict[str, str], kind: str = "tag") -> DataFrame:
+    """A neuron's drawing as rows ``root_id, layer, x, y, colour``: axon, dendrites, then synapses coloured by kind; kinds without a colour go."""
+    layers = [vertices.where(F.col("compartment").isin(*part)).select("root_id", F.lit(name).alias("layer"), "x", "y", F.lit(None).cast("string").alias("colour"))
+              for name, part in (("axon", AXON), ("dendrite", DENDRITES))]
+    palette = F.create_map(*[F.lit(v) for pair in colours.items() for v in pair])
+    dots = synapses.select("root_id", F.lit("synapse").alias("layer"), "x", "y", F.try_element_at(palette, F.col(kind)).alias("colour")).where("colour IS NOT NULL")
+    return layers[0].unionByName(layers[1]).unionByName(dots)

@@ -122,3 +122,18 @@ def binned_trends(df: DataFrame, x: str, ys: list[str], edges: list[float], erro
     found = rows.groupBy("series", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.coalesce(F.stddev_samp("y"), F.lit(0.0)).alias("std")).where(F.col("n") >= least)
     err = F.col("std") if error == "std" else F.col("std") / F.sqrt("n")
     return found.select("series", "bin", centre(edges, F.col("bin")).alias("centre"), "mean", err.alias("error"), "n")
+
+
+def axon_profile(tagged: DataFrame, edges: list[float], of: list[int], dist: str = "dist", inh_pref: bool = False, least: int = 0, level: float = 0.5) -> DataFrame:
+    """The whole profile along axons: ``series, bin, centre, n, share, sem, crossing``.
+
+    The population (series ``all``) has the mean over neurons, its error and all synapses; each neuron
+    in ``of`` its own shares in bins with more than ``least`` synapses and a binomial error.  ``crossing``
+    is where a series first exceeds ``level``: 0 from its first bin on, infinite if never.
+    """
+    pooled = macro_profile(tagged, edges, dist, inh_pref).select(F.lit("all").alias("series"), "bin", "centre", "n", F.col("mean").alias("share"), "sem")
+    own = by_neuron(tagged.where(F.col("pre_id").isin(*of)), edges, dist, inh_pref).where(F.col("n") > least)
+    p = F.col("share")
+    single = own.select(F.col("pre_id").cast("string").alias("series"), "bin", centre(edges, F.col("bin")).alias("centre"), "n", "share", F.sqrt(p * (1 - p) / F.col("n")).alias("sem"))
+    rows = pooled.unionByName(single)
+    return rows.join(crossings(rows, edges, "series", "zero", level), "series")

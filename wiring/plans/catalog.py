@@ -662,3 +662,58 @@ def synapse_positions(fx):
 @query("SELECT pre_id, post_id, n_syn, 1::BIGINT AS linked FROM fx_edges")
 def both_matrices(fx):
     return readers.both_matrices(fx.edges).select("pre_id", "post_id", "n_syn", "linked")
+
+
+AXON = f"""am AS (SELECT 'all' AS series, bin, sum(n)::BIGINT AS n, avg(share) AS share, stddev_pop(share) / sqrt(count(*)) AS sem FROM m GROUP BY bin UNION ALL
+  SELECT CAST(pre_id AS VARCHAR), bin, n, share, sqrt(share * (1 - share) / n) FROM m WHERE pre_id IN (10, 11, 13) AND n > 1),
+ac AS (SELECT *, {mid(PROFILE, 'bin')} AS x, lag({mid(PROFILE, 'bin')}) OVER w AS x0, lag(share) OVER w AS y0 FROM am WINDOW w AS (PARTITION BY series ORDER BY bin)),
+af AS (SELECT series, arg_min(CASE WHEN y0 IS NULL THEN 0.0 ELSE x0 + (0.3 - y0) / (share - y0 + 1e-9) * (x - x0) END, bin) FILTER (share > 0.3) AS v FROM ac GROUP BY 1)"""
+
+
+@query("SELECT series, bin, round(x, 6) AS centre, n, round(share, 6) AS share, round(sem, 6) AS sem, round(coalesce(v, -1), 4) AS crossing FROM ac JOIN af USING (series)", BYN + ", " + AXON)
+def axon_profile(fx):
+    rows = pr.axon_profile(_e(fx), PROFILE, [10, 11, 13], least=1, level=0.3)
+    return rows.select("series", "bin", *r6("centre"), "n", *r6("share", "sem"), F.round(F.when(F.col("crossing") == float("inf"), -1.0).otherwise(F.col("crossing")), 4).alias("crossing"))
+
+
+@query("SELECT pre_id, post_id, n_syn FROM fx_edges")
+def reassembled_blocks(fx):
+    """The four blocks of types put together again."""
+    typed = graph.blocks(fx.edges)
+    out = None
+    for block in ("EE", "EI", "IE", "II"):
+        one = typed.where(F.col("block") == block)
+        out = one if out is None else out.unionByName(one)
+    return out.select("pre_id", "post_id", "n_syn")
+
+
+@query("SELECT root_id, CASE cell_type WHEN 'MACHINERY' THEN '#1f77b4' WHEN 'BUILDING' THEN '#ff7f0e' END AS colour, CASE WHEN root_id = 10 THEN 1.5 ELSE round(x, 6) END AS x FROM fx_neurons")
+def coloured(fx):
+    """Colours by type, none for types without one, and one position set by hand."""
+    palette = F.create_map(*map(F.lit, ("MACHINERY", "#1f77b4", "BUILDING", "#ff7f0e")))
+    return fx.neurons.select("root_id", F.try_element_at(palette, F.col("cell_type")).alias("colour"), F.when(F.col("root_id") == 10, 1.5).otherwise(F.round("x", 6)).alias("x"))
+
+
+@query("SELECT root_id, round(dendrite_length, 6) AS dendrite_length FROM fx_neurons ORDER BY dendrite_length DESC NULLS LAST, root_id LIMIT 3")
+def longest_dendrites(fx):
+    return fx.neurons.orderBy(F.col("dendrite_length").desc_nulls_last(), "root_id").limit(3).select("root_id", *r6("dendrite_length"))
+
+
+@query("SELECT root_id, round(coalesce(a.s, 0)::DOUBLE / a.n / nullif(dendrite_length, 0), 9) AS contact_density FROM fx_neurons JOIN pre a ON root_id = a.id", DEG)
+def contact_density(fx):
+    deg = graph.degrees(fx.edges, fx.neurons.select("root_id", "dendrite_length")).where("in_synapses > 0")
+    rows = ft.contact_features(deg)
+    return rows.select("root_id", F.round(F.try_divide(F.col("contacts"), F.col("dendrite_length")), 9).alias("contact_density"))
+
+
+@query("SELECT seg_id, fid, round(0.3 + 0.7 * CASE WHEN nx = 0 AND ny = 0 AND nz = 0 THEN 0.0 ELSE greatest(0.0, (nx * 0.3 + ny * 0.5 + nz) / sqrt(0.3 * 0.3 + 0.5 * 0.5 + 1.0) / sqrt(nx * nx + ny * ny + nz * nz)) END, 6) AS shade FROM cr JOIN me USING (seg_id) WHERE fid = vid AND (x BETWEEN 10 AND 30 AND y BETWEEN 3 AND 9 OR x1 BETWEEN 10 AND 30 AND y1 BETWEEN 3 AND 9 OR x0 BETWEEN 10 AND 30 AND y0 BETWEEN 3 AND 9)", MESH)
+def branch_view(fx):
+    v = _chain(fx).select(F.col("root_id").alias("seg_id"), "vid", "x", "y", "z")
+    faces = v.where("vid >= 2").select("seg_id", F.col("vid").cast("long").alias("fid"), (F.col("vid") - 2).alias("v0"), (F.col("vid") - 1).alias("v1"), F.col("vid").alias("v2"))
+    return geometry.branch_view(faces, v, (10, 30), (3, 9)).select("seg_id", "fid", *r6("shade"))
+
+
+@query("SELECT user_id AS root_id, CASE event_id % 4 + 1 WHEN 2 THEN 'axon' ELSE 'dendrite' END AS layer, round(value, 6) AS x, hour(ts)::DOUBLE AS y, NULL::VARCHAR AS colour FROM events WHERE event_id % 4 + 1 IN (2, 3, 4) UNION ALL SELECT post_id, 'synapse', round(dist, 6), size, CASE tag WHEN 'spine' THEN 'red' WHEN 'shaft' THEN 'blue' END FROM fx_tagged WHERE post_id <= 150 AND tag IN ('spine', 'shaft')")
+def neuron_overlay(fx):
+    dots = fx.tagged.where("post_id <= 150").select(F.col("post_id").alias("root_id"), F.col("dist").alias("x"), F.col("size").alias("y"), "tag")
+    return geometry.overlay(_chain(fx), dots, {"spine": "red", "shaft": "blue"}).select("root_id", "layer", *r6("x"), "y", "colour")
