@@ -46,6 +46,30 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents"))
 
 
+#: Windows by their whole content, each against the first place of it; \x0b is white space in Spark's pattern, not in RE2's.
+OP5_SQL = r"""
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+every AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS pos FROM docs),
+bare AS (SELECT doc_id, pos, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM every),
+counted AS (SELECT doc_id, pos, line, len(regexp_split_to_array(line, '[ \t\n\x0b\f\r]+')) AS words FROM bare WHERE line <> ''),
+summed AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS through, sum(words) OVER (PARTITION BY doc_id) AS total FROM counted),
+placed AS (SELECT *, through - words AS before FROM summed),
+around AS (SELECT *,
+  list(line) OVER ahead AS ahead, max(pos) OVER ahead AS last, list(line) OVER behind AS behind, min(pos) OVER behind AS start, min(before) OVER behind AS start_before,
+  lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS next_pos FROM placed
+  WINDOW ahead AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING), behind AS (PARTITION BY doc_id ORDER BY through RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+windows AS (
+  SELECT doc_id, line AS key, pos AS first, pos AS last FROM around WHERE words >= 50
+  UNION ALL SELECT doc_id, line || chr(10) || next, pos, next_pos FROM around WHERE words >= 50 AND next IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(ahead, chr(10)), pos, last FROM around WHERE words < 50 AND total - before >= 50
+  UNION ALL SELECT doc_id, array_to_string(behind, chr(10)), start, pos FROM around WHERE words < 50 AND through >= 50),
+firsts AS (SELECT key, min((doc_id, first)) AS place FROM windows GROUP BY key),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS pos FROM windows JOIN firsts USING (key) WHERE (doc_id, first) <> place),
+left_over AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (gone.pos IS NULL) AS text, count(*) AS n_lines, count(gone.pos) AS n_removed FROM every LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n_removed > 0 THEN coalesce(l.text, '') ELSE d.text END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM docs d LEFT JOIN left_over l USING (doc_id)
+"""
+
+
 def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -66,7 +90,22 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4).drop("text_hash")
+
+
+#: All pairs of sets that share a shingle, and what their links reach.
+OP8_SQL = r"""
+WITH RECURSIVE cut AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 2, 2)), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS s FROM cut),
+firsts AS (SELECT s, min(doc_id) AS doc_id, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+items AS (SELECT doc_id, n, unnest(s) AS item FROM firsts),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.item = b.item AND a.doc_id <> b.doc_id WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM firsts UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+named AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
+SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM sets d LEFT JOIN firsts f ON d.s = f.s AND len(d.s) > 0 LEFT JOIN named n ON n.a = f.doc_id
+"""
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,4 +147,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_chat_format": OP4_SQL,
+    "op5_line_dedup": OP5_SQL,
+    "op8_near_duplicates": OP8_SQL,
 }
