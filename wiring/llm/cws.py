@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wiring.llm.common import materialise
+from wiring.llm.common import discard, materialise
 
 SAMPLES = 64
 #: White space between words.
@@ -204,7 +204,10 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not again.isEmpty():
         every = drawn(edited(df, id_col, text_col, order=order, only=again)[0], None)
         every = every.groupBy("key", "th").agg(*[F.min(p).alias(f"all_{p}") for p in prints])
+        most = found
         found = materialise(found.join(every, ["key", "th"], "left").withColumns({p: F.when(F.col("whole"), F.col(p)).otherwise(F.col(f"all_{p}")) for p in prints}).select(*keys, *prints), "fingerprints")
+        discard(most)
+    discard(again)
     after = found.groupBy("key").agg(F.min_by("fingerprint", "th").alias("next_print"))
     after = order.join(after, order["next_key"] == after["key"]).select(order["key"].alias("before"), "next_print")
     done = found.join(after, found["key"] == after["before"])

@@ -195,29 +195,40 @@ def components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     Each round hooks every label to the least one that a link leads to and jumps pointers, until no
     link joins two labels.  Classes without links are their own component and have no row.
     """
-    links = materialise(links, "links")
+    made: list[DataFrame] = []
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        made.append(materialise(df, name))
+        return made[-1]
+
+    links = write(links, "links")
     ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
+    before = labels
     if labels is None:
         labels = ends.withColumn("label", F.col("id"))
     else:
         labels = labels.unionByName(ends.join(labels, "id", "left_anti").withColumn("label", F.col("id")))
-    labels = materialise(labels, "labels")
+    labels = write(labels, "labels")
     while True:
-        open_links = materialise(between(links, labels), "open")
+        open_links = write(between(links, labels), "open")
         if open_links.isEmpty():
-            return labels
+            break
         hooked = (
             open_links.select(F.greatest("la", "lb").alias("label"), F.least("la", "lb").alias("to"))
             .groupBy("label").agg(F.min("to").alias("to"))
         )
-        parents = materialise(hooked, "parents")
+        parents = write(hooked, "parents")
         while True:  # pointer jumping: as many rounds as the depth has binary digits
             up = parents.select(F.col("label").alias("to"), F.col("to").alias("next"))
-            jumped = materialise(parents.join(up, "to", "left").select("label", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "parents")
+            jumped = write(parents.join(up, "to", "left").select("label", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "parents")
             parents = jumped.select("label", "to")
             if jumped.where("moved").isEmpty():
                 break
-        labels = materialise(labels.join(parents, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+        labels = write(labels.join(parents, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+    for old in (before, *made):  # a round reads only the tables of the last one
+        if old is not None and old is not labels:
+            discard(old)
+    return labels
 
 
 def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
