@@ -76,5 +76,25 @@ def test_long_line_copies_and_odd_rows(spark):
     assert [t for t in run(spark, many).values() if t] == ["p q r\ns t u v\nend of it"]
 
 
+def test_repeated_rows_and_rows_without_id(spark):
+    run_of = "a b c\nd e f g"
+    rows = [(None, f"x\n{run_of}"), (None, f"x\n{run_of}"), (2, f"{run_of}\nq"), (2, f"{run_of}\nq"), (2, f"other\n{run_of}"), (3, None), (None, None)]
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=T).collect()
+    # without an id comes first; rows that repeat id and text share its fate
+    assert sorted(((r.doc_id or 0, r.text or "") for r in got)) == sorted([(0, f"x\n{run_of}")] * 2 + [(2, "q")] * 2 + [(2, "other"), (3, ""), (0, "")])
+
+
+def test_one_document_that_repeats_a_line_and_one_with_many_runs(spark):
+    line = "p q r s t u v"
+    single = [" ".join(f"w{k}_{j}" for j in range(7)) for k in range(10_000)]
+    mixed = [x for k, y in enumerate(single) for x in (y, f"own {k}")]
+    docs = [(1, "\n".join([line] * 50_000)), (2, "\n".join(single)), (3, "\n".join(mixed))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert lines.window_table(df, "doc_id", "text", T).count() < 250_000
+    got = {r.doc_id: r for r in lines.dedup(df, min_words=T).collect()}
+    assert got[1].text == line and got[1].n_removed == 49_999
+    assert got[2].n_removed == 0 and got[3].text == "\n".join(f"own {k}" for k in range(10_000))
+
+
 def test_empty_table(spark):
     assert lines.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -53,3 +53,21 @@ def test_run_is_the_stages_in_turn(spark):
         docs = pipeline.materialise(stage(spark, docs, SF), "test-stage")
     got = {(r.doc_id, r.n_tokens) for r in pipeline.run(spark, SF).collect()}
     assert got == {(r.doc_id, r.n_tokens) for r in docs.collect()} and got
+
+
+def test_odd_rows_pass_every_stage(spark):
+    """Nulls in any column, empty and repeated rows, rows without id, an empty table and columns of other names."""
+    docs = table(spark, SF, "documents").limit(60)
+    words = "the old house stood by the river and " * 30
+    odd = spark.createDataFrame(
+        [(None, words + "one", "en", "s", 1), (None, words + "one", "en", "s", 1), (None, None, None, None, None), (10**9, None, "en", "s", None), (10**9 + 1, "", None, None, 0),
+         (10**9 + 2, words + "two", None, "s", None), (10**9 + 2, words + "two", None, "s", None), (10**9 + 3, "x" * 200_000, "en", None, 5)], docs.select(*pipeline.COLUMNS).schema)
+    extra = docs.select(*pipeline.COLUMNS).unionByName(odd).selectExpr("*", "doc_id AS id", "text AS th", "1 AS key", "2 AS kept", "3 AS label")
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, extra, SF)
+        rows = out.collect()
+        assert len(rows) <= 68 and (name == "byte-level BPE" or out.columns == list(pipeline.COLUMNS)), name
+        assert stage(spark, extra.limit(0), SF).count() == 0, name
+    near = pipeline.near_dedup(spark, extra, SF).collect()
+    assert sum(r.doc_id is None and bool(r.text) for r in near) + sum(r.doc_id == 10**9 + 2 for r in near) == 2  # one document, of two rows
+    assert sum(r.doc_id is None and r.text is None for r in near) == 1

@@ -80,7 +80,7 @@ def _stretches(runs: DataFrame) -> DataFrame:
     begins = F.coalesce(F.col("first") > F.col("reach") + 1, F.lit(True)).cast("int")
     dealt = runs.withColumn("reach", reach).withColumn("stretch", F.sum(begins).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     each = dealt.groupBy(*_DOC, "stretch").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return each.groupBy(*_DOC).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    return each.groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
@@ -88,9 +88,15 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: t
     """The columns in ``keep``, ``text`` without repeated runs, ``n_lines`` and ``n_removed``."""
     runs = _stretches(repeated_runs(df, id_col, text_col, min_words))
     docs = df.select(*_keys(df, id_col, text_col), df[text_col].cast("string").alias("__text"), *[df[c].alias(f"__keep_{c}") for c in keep])
-    both = docs.join(runs.hint("merge"), _DOC, "left")
-    lines = F.split("__text", "\n")
-    kept = F.filter(lines, lambda line, i: ~F.exists("runs", lambda r: i.between(r["first"], r["last"])))
+    both = docs.join(runs.hint("merge"), _DOC, "left").withColumn("__lines", F.split("__text", "\n"))
+    lines = F.col("__lines")
+
+    def before(run: Column, i: Column) -> Column:  # the lines between a run and the one before
+        begin = F.coalesce(F.get(F.col("runs"), i - 1)["last"], F.lit(-1)) + 1
+        return F.slice(lines, begin + 1, run["first"] - begin)
+
+    end = F.element_at("runs", -1)["last"] + 1
+    kept = F.concat(F.flatten(F.transform("runs", before)), F.slice(lines, end + 1, F.greatest(F.size(lines) - end, F.lit(0))))
     text = F.when(F.col("runs").isNull(), F.col("__text")).otherwise(F.array_join(kept, "\n"))
     done = both.select(*[F.col(f"__keep_{c}").alias(c) for c in keep if c != text_col], text.alias("text"),
                        F.when(F.col("__text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
