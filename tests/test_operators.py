@@ -167,10 +167,12 @@ def test_geometry(spark, tmp_path):
     assert geometry.cropped(tri, (0.5, 2), (-1, 0.5)).count() == 2 and geometry.cropped(tri, (5, 6), (5, 6)).count() == 0
 
 
-def test_nearest_is_that_of_all_pairs(spark):
+@pytest.mark.parametrize("last", [0, 5, 1000])
+def test_nearest_is_that_of_all_pairs(spark, monkeypatch, last):
+    monkeypatch.setattr(geometry, "_LAST", last)
     rng = np.random.default_rng(2)
     p, s = rng.uniform(0, 10, (60, 3)), rng.uniform(0, 10, (25, 3))
-    p[0] = [90, 90, 90]
+    p[0] = [30, 30, 30]
     points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "vid long, x double, y double, z double")
     sites = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(s)], "site_id long, x double, y double, z double")
     got = {r.vid: r.site_id for r in geometry.nearest(points, sites, 1.0).collect()}
@@ -179,9 +181,11 @@ def test_nearest_is_that_of_all_pairs(spark):
 
 def test_nearest_with_odd_rows_and_dense_cells(spark, monkeypatch):
     monkeypatch.setattr(geometry, "_PIECE", 7)
+    monkeypatch.setattr(geometry, "_FEW", 9)
+    monkeypatch.setattr(geometry, "_LAST", 3)
     rng = np.random.default_rng(4)
     p, s = rng.normal(0, 0.01, (60, 3)), rng.normal(0, 0.01, (50, 3))
-    p[:3] = [[50, 50, 50], [-20, 0, 3], [0, 0, 0]]
+    p[:3] = [[5, 5, 5], [-2, 0, 3], [0, 0, 0]]
     rows = [(i, *map(float, x)) for i, x in enumerate(p)] + [(5, *map(float, p[5])), (100, None, 1.0, 1.0), (101, math.nan, 1.0, 1.0), (102, 1.0, math.inf, 1.0)]
     points = spark.createDataFrame(rows, "vid long, x double, y double, z double")
     sites = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(s)] + [(77, None, 0.0, 0.0), (78, math.nan, 0.0, 0.0)], "site_id long, x double, y double, z double")

@@ -57,10 +57,11 @@ def nearest(points: DataFrame, sites: DataFrame, cell: float, key: str = "vid",
     """The nearest site of every point and its squared distance; ties go to the least id.
 
     Points and sites meet in grid cells: those of width ``cell`` around a point hold every site up to one
-    width away.  Points without a site that near look in cells twice as wide, and so on; the least
-    distance of any point to any site bounds the rounds.  Points and sites of a neighbourhood are
-    brought together whole and compared in pieces, so no pair of them is ever a row; a cell with
-    many points is dealt in blocks, and one with many sites in slices.
+    width away.  Points without a site that near look in cells twice as wide, and so on, until ``_LAST``
+    points at most are left; these are sent to all sites.  Where the cells around hold ``_FEW`` sites at
+    most, points are joined with them.  Elsewhere points and sites are brought together whole and
+    compared in pieces, so no pair of them is ever a row; a cell with many points is dealt in blocks,
+    and one with many sites in slices.
 
     A point without three finite coordinates has no site; such sites are left out; without any site every
     point has none.  Repeated points each have a row.
@@ -73,18 +74,40 @@ def nearest(points: DataFrame, sites: DataFrame, cell: float, key: str = "vid",
     odd = rows.where(~finite_all).select(key, *none)
     if sites.isEmpty():
         return rows.select(key, *none)
-    found, rest, width = None, rows.where(finite_all), float(cell)
+    found, rest, width = odd, rows.where(finite_all), float(cell)
     while True:
+        few = rest.limit(_LAST + 1).toPandas()
+        if len(few) <= _LAST:
+            return found.unionByName(rest.join(_to_all(few, sites, site), "__row").select(key, site, "d2"))
         best = _within(rest, sites, width, site)
         sure = _cut(best.where(F.col("d2") <= width * width))
-        done = rest.join(sure, "__row").select(key, site, "d2")
-        found = done if found is None else found.unionByName(done)
+        found = found.unionByName(rest.join(sure, "__row").select(key, site, "d2"))
         rest = _cut(rest.join(sure, "__row", "left_anti"))
-        if rest.isEmpty():
-            return found.unionByName(odd)
         width *= 2
 
 
+def _to_all(few: pd.DataFrame, sites: DataFrame, site: str) -> DataFrame:
+    """``__row``, its nearest of all sites, and the squared distance, for ``_LAST`` points at most: each task of sites gives one row for each."""
+    numbers, p = few["__row"].to_numpy(), few[["x", "y", "z"]].to_numpy(float)
+
+    def run(batches):
+        best, at = np.full(len(p), np.inf), np.zeros(len(p), np.int64)
+        for rows in batches:
+            rows = rows.sort_values(site)
+            s, ids = rows[["x", "y", "z"]].to_numpy(float), rows[site].to_numpy()
+            for k in range(0, len(s), 2048):
+                d2 = ((p[:, None, :] - s[None, k : k + 2048]) ** 2).sum(2)
+                place = d2.argmin(1)
+                near, who = d2[np.arange(len(p)), place], ids[k + place]
+                closer = (near < best) | (near == best) & (who < at)
+                best[closer], at[closer] = near[closer], who[closer]
+        some = best < np.inf
+        yield pd.DataFrame({"__row": numbers[some], site: at[some], "d2": best[some]})
+
+    met = sites.select(site, "x", "y", "z").mapInPandas(run, f"__row long, `{site}` long, d2 double")
+    return met.groupBy("__row").agg(F.min(F.struct("d2", site)).alias("m")).select("__row", F.col(f"m.{site}").alias(site), F.col("m.d2").alias("d2"))
+
+
 def _within(points: DataFrame, sites: DataFrame, width: float, site: str) -> DataFrame:
     """``__row``, its nearest site among the 27 cells around it, and the squared distance."""
 
@@ -97,8 +120,14 @@ def _within(points: DataFrame, sites: DataFrame, width: float, site: str) -> Dat
     around = sites.withColumns({f"b{c}": box(c) for c in "xyz"})
     for c in cell:
         around = around.withColumn(c, F.explode(F.array(*[F.col(c) + k for k in (-1, 0, 1)])))
-    held = around.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / _PIECE).cast("int").alias("slices"))
-    both = crowded.join(held, cell)  # only cells with points keep their sites
+    held = around.groupBy(*cell).agg(F.count(F.lit(1)).alias("sites"))
+    both = crowded.join(held, cell).withColumn("slices", F.ceil(F.col("sites") / _PIECE).cast("int"))  # only cells with points keep their sites
+
+    few = around.join(both.where(F.col("sites") <= _FEW).select(*cell), cell).select(*cell, site, *[F.col(c).alias(f"s{c}") for c in "xyz"])
+    d2 = (F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2 + (F.col("z") - F.col("sz")) ** 2
+    joined = own.join(few, cell).select("__row", F.col(site), d2.alias("d2"))
+
+    both = both.where(F.col("sites") > _FEW)
     own = own.join(both, cell).withColumn("block", F.pmod(F.xxhash64("__row"), F.col("blocks")).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     around = around.join(both, cell).withColumn("slice", F.pmod(F.xxhash64(site), F.col("slices")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
@@ -118,11 +147,13 @@ def _within(points: DataFrame, sites: DataFrame, width: float, site: str) -> Dat
 
     groups = [*cell, "block", "slice"]
     met = own.select(*groups, "__row", "x", "y", "z").groupBy(*groups).cogroup(around.select(*groups, site, "x", "y", "z").groupBy(*groups)).applyInPandas(run, f"__row long, `{site}` long, d2 double")
-    best = met.groupBy("__row").agg(F.min(F.struct("d2", site)).alias("m"))
+    best = met.unionByName(joined).groupBy("__row").agg(F.min(F.struct("d2", site)).alias("m"))
     return best.select("__row", F.col(f"m.{site}").alias(site), F.col("m.d2").alias("d2"))
 
 
 _PIECE = 20_000  # points of a block, and sites of a slice
+_FEW = 128  # sites that points are joined with
+_LAST = 1000  # points that are sent to all sites
 
 
 def _cut(df: DataFrame) -> DataFrame:
