@@ -46,12 +46,11 @@ def spine_features(neurons: DataFrame, tagged: DataFrame, tags_in: DataFrame, ta
     """
     tag, pre = F.col("tag"), F.col("pre_clf_type")
     types = (("E", "ex"), ("I", "inh"))
-    local = tagged.groupBy(F.col("post_id").alias("root_id")).agg(
-        *[F.count_if(tag == t).alias(t) for t in TAGS],
-        *[F.count_if((tag == t) & (pre == e)).alias(f"{name}_{t}") for e, name in types for t in TAGS],
-        *[F.countDistinct(F.when(tag == t, F.col("pre_id"))).alias(f"{t}_neurons") for t in TAGS],
-        *[F.countDistinct(F.when((tag == "spine") & (pre == e), F.col("pre_id"))).alias(f"{name}_spine_neurons") for e, name in types],
-        F.count(F.lit(1)).alias("all"))
+    # by pair of neurons first: a pair is one input, so distinct inputs are counted without expanding the rows
+    sums = {t: tag == t for t in TAGS} | {f"{name}_{t}": (tag == t) & (pre == e) for e, name in types for t in TAGS} | {"all": F.lit(True)}
+    pairs = tagged.groupBy(F.col("post_id").alias("root_id"), "pre_id").agg(*[F.count_if(when).alias(name) for name, when in sums.items()])
+    inputs = [*TAGS, *[f"{name}_spine" for _, name in types]]
+    local = pairs.groupBy("root_id").agg(*[F.sum(name).alias(name) for name in sums], *[F.count_if((F.col(t) > 0) & F.col("pre_id").isNotNull()).alias(f"{t}_neurons") for t in inputs])
     mart = neurons
     for part in (local, _tag_counts(tags_in, in_key, "ds_"), _tag_counts(tags_out, out_key, "ds_out_")):
         mart = mart.join(part, "root_id", "left")
