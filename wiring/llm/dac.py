@@ -25,7 +25,9 @@ columns, whatever their names, are not carried along.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -51,6 +53,10 @@ _PIECE = re.compile(r"[ \n\r\t]+[^ \n\r\t]*|[^ \n\r\t]+")
 _WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+#: The signs that end a word, without the apostrophe.
+_SIGNS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+
+
 def _shown() -> dict[int, int]:
     """Byte to the character that stands for it in byte-level vocabularies: itself if printable, else from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -59,6 +65,8 @@ def _shown() -> dict[int, int]:
 
 
 _SHOWN = _shown()
+_BLANK = chr(_SHOWN[32])
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
 # --- encoding of texts ------------------------------------------------------------------------
@@ -74,53 +82,57 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class PieceEncoder:
+class PieceEncoder(dict):
     """Ids of whole texts, with the ids of pieces kept.
 
     A byte-level tokenizer never joins white space to what stands before it, so a text may be cut
     before each run of white space; a piece is given to the library once and then looked up.
     """
 
-    LIMIT = 700_000  # pieces kept; then the store starts anew
+    LIMIT = 700_000  # pieces kept; beyond, those met first stay
     LONGEST = 64
 
     def __init__(self, path: str):
+        super().__init__()
         self.library = tokenizer(path)
-        self.kept: dict[str, bytes] = {}
+        self.model = self.library.model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        """A word with at most one blank before it is one pre-token, so the model can be asked at once; signs after it are another."""
+        word = piece[1:] if piece[0] == " " else piece
+        if word.isalpha() and word.isascii():
+            ids = self._packed(piece if word is piece else _BLANK + word)
+        elif _letters(word):
+            ids = self._word(piece)
+        elif piece[-1] in _SIGNS and _letters(word[:-1]):
+            ids = self[piece[:-1]] + self._word(piece[-1])
+        elif (m := _WORD.fullmatch(piece)) is not None:
+            ids = self[m[1]] + self._word(m[2])
+        else:
+            ids = np.asarray(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(piece) <= self.LONGEST:
+            self[piece] = ids
+        return ids
+
+    def _packed(self, shown: str) -> bytes:
+        ids = [t.id for t in self.model(shown)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        """Of a word with at most one blank before it: one pre-token, so the model can be asked at once."""
-        got = self.kept.get(word)
-        if got is None:
-            tokens = self.library.model.tokenize(word.encode().decode("latin-1").translate(_SHOWN))
-            got = self.kept[word] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
-        return got
-
-    def _ask(self, pieces: list[str]) -> None:
-        """Learn the ids of pieces; a word and the signs after it are two pre-tokens and are kept apart."""
-        rest = []
-        for p in pieces:
-            m = _WORD.fullmatch(p)
-            if m is None:
-                rest.append(p)
-            else:
-                self.kept[p] = self._word(m[1]) + (self._word(m[2]) if m[2] else b"")
-        for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.kept[p] = np.asarray(e.ids, "<u4").tobytes()
+        return self._packed(word.encode().decode("latin-1").translate(_SHOWN))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Of each text the ids as little-endian unsigned 32-bit integers."""
+        if len(self) > self.LIMIT:
+            first = list(itertools.islice(self.items(), self.LIMIT // 3))
+            self.clear()
+            self.update(first)
         cut = [_PIECE.findall(t) if t and not _ODD.search(t) else [t] if t else [] for t in texts]
-        if len(self.kept) > self.LIMIT:
-            self.kept = {}
-        new = [p for p in set().union(*cut).difference(self.kept) if p]
-        kept = self.kept
-        self._ask(new)
-        out = [b"".join(map(kept.__getitem__, c)) for c in cut]
-        for p in new:
-            if len(p) > self.LONGEST:
-                del kept[p]
-        return out
+        return [b"".join(map(self.__getitem__, c)) for c in cut]
+
+
+def _letters(word: str) -> bool:
+    return word.isalpha() and (word.isascii() or max(word) <= "\u024f")
 
 
 @functools.lru_cache(maxsize=2)
