@@ -53,6 +53,8 @@ _PIECE = re.compile(r"[ \n\r\t]+[^ \n\r\t]*|[^ \n\r\t]+")
 _WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+#: Where one of these stands, white space comes in runs or is of other kinds.
+_RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 #: The signs that end a word, without the apostrophe.
 _SIGNS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 
@@ -96,24 +98,27 @@ class PieceEncoder(dict):
         super().__init__()
         self.library = tokenizer(path)
         self.model = self.library.model.tokenize
+        self.later = _Later(self)
 
     def __missing__(self, piece: str) -> bytes:
-        """A word with at most one blank before it is one pre-token, so the model can be asked at once; signs after it are another."""
-        word = piece[1:] if piece[0] == " " else piece
-        if word.isalpha() and word.isascii():
-            ids = self._packed(piece if word is piece else _BLANK + word)
-        elif _letters(word):
-            ids = self._word(piece)
-        elif piece[-1] in _SIGNS and _letters(word[:-1]):
-            ids = self[piece[:-1]] + self._word(piece[-1])
-        elif (m := _WORD.fullmatch(piece)) is not None:
-            ids = self[m[1]] + self._word(m[2])
-        else:
-            ids = np.asarray(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.learn(piece)
         if len(piece) <= self.LONGEST:
             self[piece] = ids
         return ids
 
+    def learn(self, piece: str) -> bytes:
+        """A word with at most one blank before it is one pre-token, so the model can be asked at once; signs after it are another."""
+        word = piece[1:] if piece[0] == " " else piece
+        if word.isalpha() and word.isascii():
+            return self._packed(piece if word is piece else _BLANK + word)
+        if _letters(word):
+            return self._word(piece)
+        if piece[-1] in _SIGNS and _letters(word[:-1]):
+            return (self.later[word[:-1]] if word is not piece else self[word[:-1]]) + self[piece[-1]]
+        if (m := _WORD.fullmatch(piece)) is not None:
+            return self.learn(m[1]) + self._word(m[2])
+        return np.asarray(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _packed(self, shown: str) -> bytes:
         ids = [t.id for t in self.model(shown)]
         return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
@@ -123,12 +128,38 @@ class PieceEncoder(dict):
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Of each text the ids as little-endian unsigned 32-bit integers."""
-        if len(self) > self.LIMIT:
-            first = list(itertools.islice(self.items(), self.LIMIT // 3))
-            self.clear()
-            self.update(first)
-        cut = [_PIECE.findall(t) if t and not _ODD.search(t) else [t] if t else [] for t in texts]
-        return [b"".join(map(self.__getitem__, c)) for c in cut]
+        for kept in (self, self.later):
+            if len(kept) > self.LIMIT:
+                first = list(itertools.islice(kept.items(), self.LIMIT // 3))
+                kept.clear()
+                kept.update(first)
+        return [self._text(t) if t else b"" for t in texts]
+
+    def _text(self, text: str) -> bytes:
+        if _ODD.search(text):
+            return self[text]
+        if any(run in text for run in _RUNS) or text[0] in " \n" or text[-1] in " \n":
+            return b"".join(map(self.__getitem__, _PIECE.findall(text)))
+        # words with one blank or one line end between them: a line end before a word is a pre-token by itself
+        parts, later, end = [], self.later.__getitem__, self["\n"]
+        for line in text.split("\n"):
+            head, *rest = line.split(" ")
+            parts += (end, self[head], *map(later, rest))
+        return b"".join(parts[1:])
+
+
+class _Later(dict):
+    """Ids of words that one blank stands before, by the word alone."""
+
+    def __init__(self, encoder: PieceEncoder):
+        super().__init__()
+        self.learn = encoder.learn
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.learn(" " + word)
+        if len(word) < PieceEncoder.LONGEST:
+            self[word] = ids
+        return ids
 
 
 def _letters(word: str) -> bool:
