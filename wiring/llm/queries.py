@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wiring.llm import bpe, chat, cws, dac, decontam, html, langid, lines, neardup, pii
+from wiring.llm import annulus, bpe, chat, cws, dac, decontam, exact, html, langid, lines, neardup, periodic, pii
 from wiring.llm.common import table
 
 
@@ -132,6 +132,73 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.digests(spark, path)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.exact_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+OP11_SQL = """
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(text) AS text_sha256
+FROM t WINDOW same AS (PARTITION BY text)
+"""
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.summary(periodic.find(table(spark, sf_dir, "documents"), change=periodic.planted))
+
+
+#: Pairs of equal words of a document, gaps and islands along each lag; crc32 by its bits over the digits of the id.
+OP12_SQL = r"""
+WITH split AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w,
+  xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) AS h FROM documents),
+numbered AS (SELECT *, len(w) AS n, h // 10 AS g, h % 10 = 0 AND len(w) > 0 AS plant FROM split),
+placed AS (SELECT *, CASE WHEN plant THEN g % n ELSE n END AS a FROM numbered),
+measured AS (SELECT *, CASE WHEN plant THEN 1 + (n - a) // (3 + g % 8) ELSE 1 END AS p FROM placed),
+words AS MATERIALIZED (SELECT doc_id, n, i, w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM measured)),
+same AS (SELECT x.doc_id, y.i - x.i AS lag, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS island FROM same),
+stretches AS (SELECT doc_id, lag, min(i) AS start, count(*) + lag AS length FROM islands GROUP BY doc_id, lag, island HAVING count(*) + lag >= greatest(6, 4 * lag)),
+runs AS MATERIALIZED (SELECT doc_id, start, length, min(lag) AS period FROM stretches GROUP BY doc_id, start, length),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines, min((-length, start, period)) AS best FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best[2] AS start, -best[1] AS length, best[3] AS period, 1000 * -best[1] // best[3] AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM split LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annulus.report(table(spark, sf_dir, "embeddings"))
+
+
+def _centroid_sql(k: int, rounds: int, dim: int, scale: int) -> str:
+    """Every vector against every centroid, round by round."""
+    def nearest(r: int) -> str:
+        away = "list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        return f"""near{r} AS MATERIALIZED (SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, min((d, number)) AS best FROM
+  (SELECT x.row, x.vec_id, x.v, c.number, CAST({away} AS BIGINT) AS d FROM x CROSS JOIN c{r} c) GROUP BY row)"""
+
+    parts = [f"""x AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: CAST(floor({scale} * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dim})""",
+             f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS number, v FROM x ORDER BY number LIMIT {k})"]
+    for r in range(rounds):
+        parts.append(nearest(r))
+        parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT c.number, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN
+  (SELECT number, list(q ORDER BY pos) AS v FROM (SELECT number, pos, (sum(s) - ((sum(s) % count(*)) + count(*)) % count(*)) // count(*) AS q FROM
+    (SELECT best[2] AS number, unnest(v) AS s, generate_subscripts(v, 1) AS pos FROM near{r}) GROUP BY number, pos) GROUP BY number) m USING (number))""")
+    parts.append(nearest(rounds))
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT n.vec_id, CAST(n.best[2] AS INTEGER) AS cluster, n.best[1] AS distance, CAST(sum(n.best[1]) OVER (PARTITION BY n.best[2]) AS BIGINT) AS cluster_inertia,
+  CAST(sum(n.best[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM near{rounds} n JOIN c{rounds} c ON c.number = n.best[2]
+"""
+
+
+OP13_SQL = _centroid_sql(annulus.K, annulus.ROUNDS, annulus.DIM, annulus.SCALE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_store": op2_token_store,
@@ -143,10 +210,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_main_text": op9_main_text,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_chat_format": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
     "op8_near_duplicates": OP8_SQL,
+    "op11_exact_dedup": OP11_SQL,
+    "op12_periodic_runs": OP12_SQL,
+    "op13_centroids": OP13_SQL,
 }
