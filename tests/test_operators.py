@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wiring.functions import binning, numeric
-from wiring.operators import features, fit, geometry, graph, nullmodel, profiles, stats
+from wiring.operators import features, fit, geometry, graph, nearest, nullmodel, profiles, stats
 from wiring.sources import readers
 from wiring.streaming import incremental
 
@@ -129,10 +129,14 @@ def test_fits_recover_their_parameters(spark):
         fit.fits(df, ["k"], "x", "y", "n", "cubic")
 
 
-def test_p_values_are_those_of_the_t_table():
-    for t, df, p in ((2.228, 10, 0.05), (3.169, 10, 0.01), (1.984, 100, 0.05)):
-        assert stats.p_value_of(t / math.sqrt(df + t * t), df + 2) == pytest.approx(p, rel=2e-3)
-    assert stats.p_value_of(0.0, 20) == pytest.approx(1.0) and stats.p_value_of(0.5, 2) is None
+def test_p_values_are_those_of_the_t_table(spark):
+    table = [(2.228, 10, 0.05), (3.169, 10, 0.01), (1.984, 100, 0.05), (12.706, 1, 0.05), (1.0, 2, 0.42264973), (4.0, 998, 6.8019510e-05), (2.0, 10**9 - 2, 0.0455002)]
+    rows = [(t / math.sqrt(df + t * t), df + 2, p) for t, df, p in table] + [(0.0, 20, 1.0), (1.0, 9, 0.0), (-1.0000000001, 9, 0.0), (0.5, 2, None), (None, 9, None), (math.nan, 9, None)]
+    rows += [(-r, n, p) for r, n, p in rows[:7]]
+    df = spark.createDataFrame(rows, "r double, n long, want double").select("want", stats.p_value(F.col("r"), F.col("n")).alias("p"))
+    for r in df.collect():
+        assert r.p == (r.want if r.want is None else pytest.approx(r.want, rel=2e-3, abs=1e-12))
+    assert "Python" not in df._jdf.queryExecution().toString()
 
 
 def test_spearman_with_ties_and_missing(spark):
@@ -167,33 +171,30 @@ def test_geometry(spark, tmp_path):
     assert geometry.cropped(tri, (0.5, 2), (-1, 0.5)).count() == 2 and geometry.cropped(tri, (5, 6), (5, 6)).count() == 0
 
 
-@pytest.mark.parametrize("last", [0, 5, 1000])
-def test_nearest_is_that_of_all_pairs(spark, monkeypatch, last):
-    monkeypatch.setattr(geometry, "_LAST", last)
+@pytest.mark.parametrize("region", [3, 10, 200_000])
+def test_nearest_is_that_of_all_pairs(spark, region):
     rng = np.random.default_rng(2)
     p, s = rng.uniform(0, 10, (60, 3)), rng.uniform(0, 10, (25, 3))
     p[0] = [30, 30, 30]
     points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "vid long, x double, y double, z double")
     sites = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(s)], "site_id long, x double, y double, z double")
-    got = {r.vid: r.site_id for r in geometry.nearest(points, sites, 1.0).collect()}
+    got = {r.vid: r.site_id for r in geometry.nearest(points, sites, region=region).collect()}
     assert got == {i: int(((s - x) ** 2).sum(1).argmin()) for i, x in enumerate(p)}
 
 
 def test_nearest_with_odd_rows_and_dense_cells(spark, monkeypatch):
-    monkeypatch.setattr(geometry, "_PIECE", 7)
-    monkeypatch.setattr(geometry, "_FEW", 9)
-    monkeypatch.setattr(geometry, "_LAST", 3)
+    monkeypatch.setattr(nearest, "SAMPLE", 12)
     rng = np.random.default_rng(4)
     p, s = rng.normal(0, 0.01, (60, 3)), rng.normal(0, 0.01, (50, 3))
     p[:3] = [[5, 5, 5], [-2, 0, 3], [0, 0, 0]]
     rows = [(i, *map(float, x)) for i, x in enumerate(p)] + [(5, *map(float, p[5])), (100, None, 1.0, 1.0), (101, math.nan, 1.0, 1.0), (102, 1.0, math.inf, 1.0)]
     points = spark.createDataFrame(rows, "vid long, x double, y double, z double")
     sites = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(s)] + [(77, None, 0.0, 0.0), (78, math.nan, 0.0, 0.0)], "site_id long, x double, y double, z double")
-    got = sorted((r.vid, -1 if r.site_id is None else r.site_id) for r in geometry.nearest(points, sites, 1.0).collect())
+    got = sorted((r.vid, -1 if r.site_id is None else r.site_id) for r in geometry.nearest(points, sites, region=7).collect())
     want = [(i, int(((s - x) ** 2).sum(1).argmin())) for i, x in enumerate(p)]
     assert got == sorted([*want, want[5], (100, -1), (101, -1), (102, -1)])
-    assert {r.site_id for r in geometry.nearest(points, sites.limit(0), 1.0).collect()} == {None}
-    assert geometry.nearest(points.limit(0), sites, 1.0).count() == 0
+    assert {r.site_id for r in geometry.nearest(points, sites.limit(0)).collect()} == {None}
+    assert geometry.nearest(points.limit(0), sites).count() == 0
 
 
 def test_places_do_not_hang_on_the_number_of_partitions(spark):
@@ -264,7 +265,9 @@ def test_sources_and_stream(spark, tmp_path):
 
 def test_meshes_and_arrays(spark, tmp_path):
     vertices, faces = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0.5]]), np.array([[0, 1, 2]])
-    readers.write_mesh(spark, str(tmp_path / "m"), 7, vertices, faces)
+    np.save(tmp_path / "v.npy", vertices)
+    np.save(tmp_path / "f.npy", faces)
+    readers.ingest_mesh(spark, str(tmp_path / "m"), 7, str(tmp_path / "v.npy"), str(tmp_path / "f.npy"), split=2)
     v, f = readers.mesh(spark, str(tmp_path / "m"), 7)
     assert [tuple(r) for r in v.orderBy("vid").collect()] == [(7, k, *map(float, x)) for k, x in enumerate(vertices)] and f.collect() == [(7, 0, 0, 1, 2)]
     with pytest.raises(FileNotFoundError):

@@ -112,13 +112,21 @@ def volume_features(deg: DataFrame) -> DataFrame:
         "syn_per_contact": ratio(c("in_synapses"), c("in_neurons")), "ds_out_density": ratio(c("ds_num_of_outgoing_synapses"), c("axon_length"))})
 
 
-def connectivity_features(neurons: DataFrame, edges: DataFrame) -> DataFrame:
-    """Degrees and contact features of ``neurons`` on a graph, real or shuffled; such columns that they had before are made anew."""
+def connectivity_features(neurons: DataFrame, edges: DataFrame, replicas: int | None = None) -> DataFrame:
+    """Degrees and contact features of ``neurons`` on a graph, real or shuffled; such columns that they had before are made anew.
+
+    With ``replicas``, ``edges`` holds the graphs ``replica`` 0, 1, ... up to that number and every neuron
+    has a row for each of them, with degrees of 0 where the graph has no edge of it: one plan for all.
+    """
     from wiring.operators.graph import degrees
 
     names = [f"{p}{d}_{w}" for d in ("in", "out") for p in ("", "ex_", "inh_") for w in ("synapses", "neurons")]
     names += [f"{p}{n}" for p in ("", "ex_", "inh_") for n in ("syn_density", "partner_density", "contacts")]
-    return contact_features(degrees(edges, neurons.drop(*names)))
+    own = neurons.drop(*names)
+    if replicas is None:
+        return contact_features(degrees(edges, own))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicas - 1).cast("long")))
+    return contact_features(degrees(edges, own.drop("replica").withColumn("replica", every), ("replica",)))
 
 
 def valid_network(mart: DataFrame, edges: DataFrame, least: float = 0.9) -> tuple[DataFrame, DataFrame]:

@@ -29,22 +29,32 @@ BIPHASIC = (
 
 
 def fit_saturating(d, y, w) -> tuple[float, float]:
-    """Least weighted squares with ``top`` in [0, 1] and ``half`` at least 1e-5: for each ``half`` the best ``top`` is closed, so one search remains."""
-
-    def loss(half: float) -> tuple[float, float]:
-        f = d / (d + half)
-        top = float(np.clip((w * f * y).sum() / max((w * f * f).sum(), 1e-300), 0, 1))
-        return float((w * (y - top * f) ** 2).sum()), top
-
-    grid = np.geomspace(1e-5, max(10 * d.max(), 1.0), 400)
-    k = int(np.argmin([loss(h)[0] for h in grid]))
-    lo, hi = grid[max(k - 1, 0)], grid[min(k + 1, len(grid) - 1)]
-    g = (5**0.5 - 1) / 2
-    for _ in range(100):
-        a, b = hi - g * (hi - lo), lo + g * (hi - lo)
-        lo, hi = (lo, b) if loss(a)[0] < loss(b)[0] else (a, hi)
-    half = (lo + hi) / 2
-    return loss(half)[1], half
+    """Least weighted squares with ``top`` in [0, 1] and ``half`` from 1e-5 up, without an upper bound.
+
+    For each ``half`` the best ``top`` is closed, so one search remains, over its logarithm.  Far beyond the
+    greatest distance the curve is the line ``d * top / half``; the line that fits best has a slope of
+    ``s``, so with ``top`` at most 1 no fit has its ``half`` far above ``1 / s`` and the search goes well past that.
+    Shares that are all 0 have ``top`` 0 and the least ``half``.
+    """
+
+    slope = (w * d * y).sum() / max((w * d * d).sum(), 1e-300)
+    if slope <= 0:
+        return 0.0, 1e-5
+
+    def losses(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        f = d / (d + np.exp(logs)[:, None])
+        top = np.clip((w * f * y).sum(1) / np.maximum((w * f * f).sum(1), 1e-300), 0, 1)
+        return (w * (y - top[:, None] * f) ** 2).sum(1), top
+
+    low, high = np.log(1e-5), np.log(max(10 * d.max(), 1.0, 1000 / slope))
+    steps = max(400, int(20 * (high - low)))
+    while True:  # a grid, then finer ones between the neighbours of the best
+        grid = np.linspace(low, high, steps + 1)
+        found, top = losses(grid)
+        k = int(found.argmin())
+        if high - low < 1e-12:
+            return float(top[k]), float(np.exp(grid[k]))
+        low, high, steps = grid[max(k - 1, 0)], grid[min(k + 1, steps)], 32
 
 
 def fit_bounded(model, d, y, w, low, start, high, rounds: int = 2000):

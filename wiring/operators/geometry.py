@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wiring.functions.numeric import finite
+from wiring.operators.nearest import nearest, nearest_within
 
 SOMA, AXON, DENDRITES = 1, (2,), (3, 4)
 
@@ -53,117 +53,34 @@ def path_length(vertices: DataFrame, compartments: tuple[int, ...] | None = None
     return v.join(up, ["root_id", "parent"]).groupBy("root_id").agg(F.sum(step).alias("length"))
 
 
-def nearest(points: DataFrame, sites: DataFrame, cell: float, key: str = "vid", site: str = "site_id") -> DataFrame:
-    """The nearest site of every point and its squared distance; ties go to the least id.
+def copied_flag(points: DataFrame, sites: DataFrame, flag: str) -> DataFrame:
+    """Points with the flag of their nearest site."""
+    return points.join(nearest(points, sites), "vid").join(sites.select("site_id", flag), "site_id")
+
 
-    Points and sites meet in grid cells: those of width ``cell`` around a point hold every site up to one
-    width away.  Points without a site that near look in cells twice as wide, and so on, until ``_LAST``
-    points at most are left; these are sent to all sites.  Where the cells around hold ``_FEW`` sites at
-    most, points are joined with them.  Elsewhere points and sites are brought together whole and
-    compared in pieces, so no pair of them is ever a row; a cell with many points is dealt in blocks,
-    and one with many sites in slices.
+def dendrite_mesh(vertices: DataFrame, faces: DataFrame, skeletons: DataFrame, leave: tuple[int, ...] = AXON, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Meshes without the parts whose nearest skeleton vertex is of a compartment in ``leave``.
 
-    A point without three finite coordinates has no site; such sites are left out; without any site every
-    point has none.  Repeated points each have a row.
+    ``vertices`` has ``seg_id, vid, x, y, z``, ``faces`` ``seg_id, fid, v0, v1, v2`` and ``skeletons`` ``root_id, vid,
+    compartment, x, y, z`` in units of 1 / ``scale``; each segment meets its own skeleton.  A vertex copies
+    the compartment of the nearest skeleton vertex (the least ``vid`` of several); a face stays if its three
+    corners do.  What stays is numbered anew from 0 in its old order, segment by segment, ``old_vid`` and
+    ``old_fid`` beside it.  A segment without a skeleton, and a vertex without a place, stay whole; empty
+    tables give empty tables.
     """
-    finite_all = finite(F.col("x")) & finite(F.col("y")) & finite(F.col("z"))
-    none = F.lit(None).cast("long").alias(site), F.lit(None).cast("double").alias("d2")
-    sites = sites.where(finite_all).select(F.col(site).cast("long").alias(site), *[F.col(c).cast("double").alias(c) for c in "xyz"])
-    rows = points.select(F.monotonically_increasing_id().alias("__row"), key, *[F.col(c).cast("double").alias(c) for c in "xyz"])
-    rows = _cut(rows)  # rows are numbered once
-    odd = rows.where(~finite_all).select(key, *none)
-    if sites.isEmpty():
-        return rows.select(key, *none)
-    found, rest, width = odd, rows.where(finite_all), float(cell)
-    while True:
-        few = rest.limit(_LAST + 1).toPandas()
-        if len(few) <= _LAST:
-            return found.unionByName(rest.join(_to_all(few, sites, site), "__row").select(key, site, "d2"))
-        best = _within(rest, sites, width, site)
-        sure = _cut(best.where(F.col("d2") <= width * width))
-        found = found.unionByName(rest.join(sure, "__row").select(key, site, "d2"))
-        rest = _cut(rest.join(sure, "__row", "left_anti"))
-        width *= 2
-
-
-def _to_all(few: pd.DataFrame, sites: DataFrame, site: str) -> DataFrame:
-    """``__row``, its nearest of all sites, and the squared distance, for ``_LAST`` points at most: each task of sites gives one row for each."""
-    numbers, p = few["__row"].to_numpy(), few[["x", "y", "z"]].to_numpy(float)
-
-    def run(batches):
-        best, at = np.full(len(p), np.inf), np.zeros(len(p), np.int64)
-        for rows in batches:
-            rows = rows.sort_values(site)
-            s, ids = rows[["x", "y", "z"]].to_numpy(float), rows[site].to_numpy()
-            for k in range(0, len(s), 2048):
-                d2 = ((p[:, None, :] - s[None, k : k + 2048]) ** 2).sum(2)
-                place = d2.argmin(1)
-                near, who = d2[np.arange(len(p)), place], ids[k + place]
-                closer = (near < best) | (near == best) & (who < at)
-                best[closer], at[closer] = near[closer], who[closer]
-        some = best < np.inf
-        yield pd.DataFrame({"__row": numbers[some], site: at[some], "d2": best[some]})
-
-    met = sites.select(site, "x", "y", "z").mapInPandas(run, f"__row long, `{site}` long, d2 double")
-    return met.groupBy("__row").agg(F.min(F.struct("d2", site)).alias("m")).select("__row", F.col(f"m.{site}").alias(site), F.col("m.d2").alias("d2"))
-
-
-def _within(points: DataFrame, sites: DataFrame, width: float, site: str) -> DataFrame:
-    """``__row``, its nearest site among the 27 cells around it, and the squared distance."""
-
-    def box(c: str) -> Column:
-        return F.floor(F.col(c) / width).cast("long")
-
-    cell = ["bx", "by", "bz"]
-    own = points.withColumns({f"b{c}": box(c) for c in "xyz"})
-    crowded = own.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / _PIECE).cast("int").alias("blocks"))
-    around = sites.withColumns({f"b{c}": box(c) for c in "xyz"})
-    for c in cell:
-        around = around.withColumn(c, F.explode(F.array(*[F.col(c) + k for k in (-1, 0, 1)])))
-    held = around.groupBy(*cell).agg(F.count(F.lit(1)).alias("sites"))
-    both = crowded.join(held, cell).withColumn("slices", F.ceil(F.col("sites") / _PIECE).cast("int"))  # only cells with points keep their sites
-
-    few = around.join(both.where(F.col("sites") <= _FEW).select(*cell), cell).select(*cell, site, *[F.col(c).alias(f"s{c}") for c in "xyz"])
-    d2 = (F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2 + (F.col("z") - F.col("sz")) ** 2
-    joined = own.join(few, cell).select("__row", F.col(site), d2.alias("d2"))
-
-    both = both.where(F.col("sites") > _FEW)
-    own = own.join(both, cell).withColumn("block", F.pmod(F.xxhash64("__row"), F.col("blocks")).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    around = around.join(both, cell).withColumn("slice", F.pmod(F.xxhash64(site), F.col("slices")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values(site)  # the first of equal distances has the least id
-        p, s, ids = left[["x", "y", "z"]].to_numpy(float), right[["x", "y", "z"]].to_numpy(float), right[site].to_numpy()
-        at, d2 = [], []
-        step = max(1, 4_000_000 // max(len(s), 1))
-        for k in range(0, len(p), step) if len(s) else ():
-            some = ((p[k : k + step, None, :] - s[None]) ** 2).sum(2)
-            best = some.argmin(1)
-            at.append(ids[best])
-            d2.append(some[np.arange(len(best)), best])
-        if not at:
-            return pd.DataFrame({"__row": [], site: [], "d2": []})
-        return pd.DataFrame({"__row": left["__row"].to_numpy(), site: np.concatenate(at), "d2": np.concatenate(d2)})
-
-    groups = [*cell, "block", "slice"]
-    met = own.select(*groups, "__row", "x", "y", "z").groupBy(*groups).cogroup(around.select(*groups, site, "x", "y", "z").groupBy(*groups)).applyInPandas(run, f"__row long, `{site}` long, d2 double")
-    best = met.unionByName(joined).groupBy("__row").agg(F.min(F.struct("d2", site)).alias("m"))
-    return best.select("__row", F.col(f"m.{site}").alias(site), F.col("m.d2").alias("d2"))
-
-
-_PIECE = 20_000  # points of a block, and sites of a slice
-_FEW = 128  # sites that points are joined with
-_LAST = 1000  # points that are sent to all sites
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Written in the shared folder where the session names one, else kept by the session."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") is not None else df.persist()
-
-
-def copied_flag(points: DataFrame, sites: DataFrame, cell: float, flag: str) -> DataFrame:
-    """Points with the flag of their nearest site."""
-    return points.join(nearest(points, sites, cell), "vid").join(sites.select("site_id", flag), "site_id")
+    bones = skeletons.select(F.col("root_id").alias("seg_id"), F.col("vid").cast("long").alias("site_id"), "compartment", *[(F.col(c) * float(scale)).alias(c) for c in "xyz"])
+    kind = bones.select("seg_id", "site_id", F.col("compartment").isin(*leave).alias("gone"))
+    near = nearest_within(vertices, bones, "seg_id").select("seg_id", "vid", "site_id")
+    flagged = vertices.join(near, ["seg_id", "vid"]).join(kind, ["seg_id", "site_id"], "left").drop("site_id")
+    in_order = Window.partitionBy("seg_id").orderBy("old_vid")
+    kept = flagged.where(~F.coalesce("gone", F.lit(False))).drop("gone").withColumnRenamed("vid", "old_vid").withColumn("vid", F.row_number().over(in_order) - 1)
+    left = faces.withColumnRenamed("fid", "old_fid")
+    for k in range(3):
+        corner = kept.select("seg_id", F.col("old_vid").alias(f"v{k}"), F.col("vid").alias(f"__v{k}"))
+        left = left.join(corner, ["seg_id", f"v{k}"])
+    by_face = Window.partitionBy("seg_id").orderBy("old_fid")
+    left = left.select("seg_id", "old_fid", (F.row_number().over(by_face) - 1).alias("fid"), *[F.col(f"__v{k}").alias(f"v{k}") for k in range(3)])
+    return kept.select("seg_id", "old_vid", "vid", "x", "y", "z"), left
 
 
 def triangles(faces: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -266,6 +183,25 @@ def ribbons(lines: DataFrame, vertices: DataFrame) -> DataFrame:
     return points.groupBy("root_id", "line").applyInPandas(run, "root_id long, line long, place long, x double, y double")
 
 
+def drawing(vertices: DataFrame, coords: tuple[str, str] = ("x", "y"), width: float = 1.0, skip_root: bool = True) -> DataFrame:
+    """Skeletons as filled lines, ready to draw: ``root_id, line, place, x, y, vid``, the corners of each line's polygon in turn.
+
+    Lines are those of ``polylines``; with ``skip_root`` vertex 0 is taken out of them, and lines of fewer than two
+    points go.  ``coords`` names the axes drawn, radii are times ``width``; lines are numbered as
+    ``polylines`` has them.  A polygon goes along its left side and back along its right, moved by the radius along
+    the mean normal of the two segments at each point; ``vid`` is the vertex that a corner belongs to.
+    """
+    lines = polylines(vertices)
+    if skip_root:
+        lines = lines.withColumn("vids", F.filter("vids", lambda v: v != 0))
+    lines = lines.where(F.size("vids") > 1)
+    # the two axes take the names that ribbons draws
+    flat = vertices.select("root_id", "vid", F.col(coords[0]).alias("x"), F.col(coords[1]).alias("y"), (F.col("radius") * float(width)).alias("radius"))
+    n = F.size("vids")
+    corners = lines.select("root_id", "line", F.posexplode(F.concat("vids", F.reverse("vids"))).alias("place", "vid"), n.alias("n"))
+    return ribbons(lines, flat).join(corners.select("root_id", "line", F.col("place").cast("long").alias("place"), "vid"), ["root_id", "line", "place"])
+
+
 def branch_view(faces: DataFrame, vertices: DataFrame, xlim: tuple[float, float], ylim: tuple[float, float], light: tuple[float, float, float] = (0.3, 0.5, 1.0)) -> DataFrame:
     """What a view of a branch shows: the triangles with a corner in the box, with their shades."""
     return shading(cropped(triangles(faces, vertices), xlim, ylim), light)

@@ -124,16 +124,23 @@ def binned_trends(df: DataFrame, x: str, ys: list[str], edges: list[float], erro
     return found.select("series", "bin", centre(edges, F.col("bin")).alias("centre"), "mean", err.alias("error"), "n")
 
 
-def axon_profile(tagged: DataFrame, edges: list[float], of: list[int], dist: str = "dist", inh_pref: bool = False, least: int = 0, level: float = 0.5) -> DataFrame:
-    """The whole profile along axons: ``series, bin, centre, n, share, sem, crossing``.
-
-    The population (series ``all``) has the mean over neurons, its error and all synapses; each neuron
-    in ``of`` its own shares in bins with more than ``least`` synapses and a binomial error.  ``crossing``
-    is where a series first exceeds ``level``: 0 from its first bin on, infinite if never.
+def axon_profile(tagged: DataFrame, edges: list[float], of: list[int], own_edges: list[float] | None = None, average: str = "macro", dist: str = "dist",
+                 inh_pref: bool = False, least: int = 0, level: float = 0.5) -> DataFrame:
+    """The whole profile along axons: ``series, bin, centre, n, share, sd, sem, crossing``.
+
+    The population (series ``all``) is binned by ``edges``: with ``macro`` the mean over neurons with its
+    deviation, with ``micro`` the share of all synapses, either over bins with any.  Each neuron in ``of`` has its
+    own shares in bins by ``own_edges`` (``edges`` unless given) with more than ``least`` synapses, and
+    binomial errors.  ``crossing`` is where a series first exceeds ``level``: from its first bin on that
+    is the bin's centre for the population and 0 for a neuron; infinite if never.
     """
-    pooled = macro_profile(tagged, edges, dist, inh_pref).select(F.lit("all").alias("series"), "bin", "centre", "n", F.col("mean").alias("share"), "sem")
-    own = by_neuron(tagged.where(F.col("pre_id").isin(*of)), edges, dist, inh_pref).where(F.col("n") > least)
-    p = F.col("share")
-    single = own.select(F.col("pre_id").cast("string").alias("series"), "bin", centre(edges, F.col("bin")).alias("centre"), "n", "share", F.sqrt(p * (1 - p) / F.col("n")).alias("sem"))
-    rows = pooled.unionByName(single)
-    return rows.join(crossings(rows, edges, "series", "zero", level), "series")
+    if average not in ("macro", "micro"):
+        raise ValueError(f"unknown average {average!r}")
+    own_edges = own_edges or edges
+    pooled = macro_profile(tagged, edges, dist, inh_pref).withColumnRenamed("mean", "share") if average == "macro" else micro_profile(tagged, edges, dist, inh_pref)
+    pooled = pooled.select(F.lit("all").alias("series"), "bin", "centre", "n", "share", "sd", "sem")
+    own = by_neuron(tagged.where(F.col("pre_id").isin(*of)), own_edges, dist, inh_pref).where(F.col("n") > least)
+    spread = F.sqrt(F.col("share") * (1 - F.col("share")))
+    single = own.select(F.col("pre_id").cast("string").alias("series"), "bin", centre(own_edges, F.col("bin")).alias("centre"), "n", "share", spread.alias("sd"), (spread / F.sqrt("n")).alias("sem"))
+    parts = [rows.join(crossings(rows, bins, "series", start, level), "series") for rows, bins, start in ((pooled, edges, "centre"), (single, own_edges, "zero"))]
+    return parts[0].unionByName(parts[1])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wiring.functions.binning import uniform_edges
 from wiring.functions.numeric import numbers_in
+from wiring.functions.scratch import scratch_path
 from wiring.operators import features as ft
 from wiring.operators import fit, geometry, graph, nullmodel
 from wiring.operators import profiles as pr
@@ -131,7 +132,9 @@ def valid_network(fx):
     return neurons.select("root_id", "in_synapses", "in_neurons", "out_synapses", "out_neurons", *r6("ex_contacts", "inh_syn_density"))
 
 
-@query(f"SELECT (SELECT count(*) FROM mart WHERE {VALID}) AS n, 0::BIGINT AS wrong", VALID_NET)
+@query(f"""SELECT (SELECT count(*) FROM mart WHERE {VALID}) AS n, count(*) AS wrong FROM (SELECT id, sum(s) AS s, sum(n) AS n FROM (SELECT post_id AS id, sum(n_syn) AS s, count(*) AS n FROM own GROUP BY 1
+  UNION ALL SELECT id, -(es + ins), -(en + inn) FROM vi) GROUP BY 1 UNION ALL SELECT id, sum(s), sum(n) FROM (SELECT pre_id AS id, sum(n_syn) AS s, count(*) AS n FROM own GROUP BY 1 UNION ALL SELECT id, -(es + ins), -(en + inn) FROM vo) GROUP BY 1)
+  WHERE s <> 0 OR n <> 0 OR id NOT IN (SELECT root_id FROM mart WHERE {VALID})""", VALID_NET)
 def valid_network_checked(fx):
     """The neurons of the valid network, and how many of them have degrees that differ from the edges' sums."""
     neurons, own = ft.valid_network(_mart(fx), fx.edges, 0.75)
@@ -434,7 +437,7 @@ def path_length(fx):
 def nearest_vertex(fx):
     e = fx.table("embeddings").select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate("xyz")])
     mesh = e.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "vid")
-    return geometry.nearest(mesh, e.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "site_id"), 0.1).select("vid", "site_id")
+    return geometry.nearest(mesh, e.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "site_id")).select("vid", "site_id")
 
 
 @query(" UNION ALL ".join(f"SELECT {k} AS network, count(*) AS n, round(avg(v), 6) AS mean_shared FROM (SELECT post_id, avg(d) AS v FROM w{k} JOIN (SELECT pre_id, count(*) AS d FROM w{k} GROUP BY 1) USING (pre_id) GROUP BY 1)" for k in (1, 2, 4, 8, 16)),
@@ -444,9 +447,25 @@ def subnetwork_sweep(fx):
     return graph.shared_input(nets, ("network",)).groupBy("network").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("shared_input"), 6).alias("mean_shared"))
 
 
-@query()
+def fit_sql(rows: str, key: str) -> str:
+    """SQL of saturating fits to ``rows`` (key, d, y, w): a grid over the logarithm of ``half``, twice refined around the best; ``top`` in closed form."""
+    parts = [f"sr AS MATERIALIZED ({rows})", f"sb AS (SELECT {key}, count(*) AS n, ln(1e-5) AS lo, ln(greatest(10 * max(d), 1, 1000 * sum(w * d * d) / nullif(sum(w * d * y), 0))) AS hi FROM sr GROUP BY 1)"]
+    for level, steps in enumerate((1200, 200, 200)):
+        grid = f"SELECT {key}, lo, hi, lo + (hi - lo) * k / {steps} AS h FROM sb{level or ''}, (SELECT unnest(range({steps} + 1)) AS k)"
+        sums = f"SELECT {key}, lo, hi, h, sum(w * y * y) AS yy, sum(w * y * d / (d + exp(h))) AS fy, sum(w * d * d / (d + exp(h)) / (d + exp(h))) AS ff FROM ({grid}) JOIN sr USING ({key}) GROUP BY ALL"
+        best = f"SELECT {key}, lo, hi, arg_min(h, (loss, h)) AS h FROM (SELECT *, least(1, greatest(0, fy / ff)) AS top, yy - 2 * top * fy + top * top * ff AS loss FROM ({sums})) GROUP BY ALL"
+        parts.append(f"sb{level + 1} AS MATERIALIZED (SELECT {key}, h, greatest(lo, h - (hi - lo) / {steps}) AS lo, least(hi, h + (hi - lo) / {steps}) AS hi FROM ({best}))")
+    parts.append(f"st AS (SELECT {key}, exp(h) AS half, least(1, greatest(0, sum(w * y * d / (d + exp(h))) / sum(w * d * d / (d + exp(h)) / (d + exp(h))))) AS top, sum(w * y) / sum(w) AS mean FROM sb3 JOIN sr USING ({key}) GROUP BY {key}, h)")
+    parts.append(f"fitted AS (SELECT {key}, top, half, avg(w * (y - top * d / (d + half)) * (y - top * d / (d + half))) AS w_mse, 1 - sum(w * (y - top * d / (d + half)) * (y - top * d / (d + half))) / nullif(sum(w * (y - mean) * (y - mean)), 0) AS r2, count(*) AS n FROM st JOIN sr USING ({key}) GROUP BY ALL)")
+    return ", ".join(parts)
+
+
+POPULATION = f"SELECT 'population' AS model, {mid(PROFILE, 'bin')} AS d, avg(share) AS y, sum(n)::DOUBLE AS w FROM (SELECT pre_id, bin, count(*) AS n, (count(*) FILTER (tag = 'spine'))::DOUBLE / count(*) AS share FROM (SELECT *, {hist(PROFILE, 'dist')} AS bin FROM fx_tagged) WHERE bin IS NOT NULL GROUP BY ALL) GROUP BY bin"
+
+
+@query("SELECT model, round(top, 4) AS top, round(half, 2) AS half, round(w_mse, 6) AS w_mse, round(r2, 5) AS r2 FROM fitted", fit_sql(POPULATION, "model"))
 def saturating_fit(fx):
-    return fit.fit_population(fx.tagged, PROFILE)
+    return fit.fit_population(fx.tagged, PROFILE).select("model", F.round("top", 4).alias("top"), F.round("half", 2).alias("half"), *r6("w_mse"), F.round("r2", 5).alias("r2"))
 
 
 @query()
@@ -454,10 +473,29 @@ def biphasic_fit(fx):
     return fit.fit_population(fx.tagged, PROFILE, "biphasic")
 
 
-@query()
+@query("SELECT pre_id, n >= 2 AS fitted, round(CASE WHEN n >= 2 THEN w_mse END, 6) AS w_mse, round(CASE WHEN n >= 2 THEN top * 600 / (600 + half) END, 4) AS middle FROM fitted",
+       BYN + ", " + fit_sql(f"SELECT pre_id, {mid(PROFILE, 'bin')} AS d, share AS y, n::DOUBLE AS w FROM m WHERE n > 1", "pre_id"))
 def single_fits(fx):
-    """A saturating fit for every neuron, over its bins with more than one synapse."""
-    return fit.fit_single(_e(fx), PROFILE, least=1)
+    """A saturating fit for every neuron, over its bins with more than one synapse: its error and its share at 600."""
+    rows = fit.fit_single(_e(fx), PROFILE, least=1)
+    return rows.select("pre_id", F.col("top").isNotNull().alias("fitted"), *r6("w_mse"), F.round(F.col("top") * 600 / (600 + F.col("half")), 4).alias("middle"))
+
+
+#: Parameters that neurons are given by their ids: some halve far beyond the greatest distance.
+KNOWN_HALF = [0.5, 20.0, 150.0, 1000.0, 30000.0]
+
+
+@query(f"SELECT pre_id, round(0.5 + pre_id % 5 / 10.0, 3) AS top, round(log10({edge_array(KNOWN_HALF)}[1 + pre_id // 5 % 5]), 3) AS log_half FROM m GROUP BY pre_id HAVING count(*) > 2", BYN)
+def saturating_recovery(fx):
+    """Fits to exact curves over the bins and weights of each neuron's synapses give back the curves' parameters."""
+    from wiring.functions.binning import centre
+
+    top = F.lit(0.5) + F.pmod(F.col("pre_id"), F.lit(5)) / 10
+    half = F.get(F.array(*map(F.lit, KNOWN_HALF)), F.pmod(F.floor(F.col("pre_id") / 5), F.lit(5)).cast("int"))
+    rows = pr.by_neuron(_e(fx), PROFILE).withColumn("centre", centre(PROFILE, F.col("bin")))
+    rows = rows.withColumn("share", top * F.col("centre") / (F.col("centre") + half))
+    found = fit.fits(rows, ["pre_id"], "centre", "share", "n").join(rows.groupBy("pre_id").agg(F.count(F.lit(1)).alias("bins")).where("bins > 2"), "pre_id")
+    return found.select("pre_id", F.round("top", 3).alias("top"), F.round(F.log10("half"), 3).alias("log_half"))
 
 
 #: The profile that the population fits take: the mean over neurons, with the synapses of all as weights.
@@ -467,9 +505,24 @@ def population_profile(fx):
     return pr.macro_profile(fx.tagged, FINE).select("bin", "n", *r6("mean"))
 
 
-@query()
+def with_p(rows: str, r: str = "r") -> str:
+    """SQL of ``rows`` with p and stars: the two-sided tail of r's density, (1 - r²)^((n - 4) / 2), by Simpson's rule over the angle whose sine is r."""
+    steps = 20000
+    term = f"CASE WHEN k IN (0, {steps}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    return f"""pq AS MATERIALIZED ({rows}),
+pw AS (SELECT pq.*, asin(abs({r})) AS a, k FROM pq, (SELECT unnest(range({steps} + 1)) AS k)),
+px AS (SELECT * EXCLUDE (k, a), any_value(pi() / 2 - a) * sum({term} * pow(cos(a + k * (pi() / 2 - a) / {steps}), n - 3)) / (pi() / 2 * sum({term} * pow(cos(k * pi() / 2 / {steps}), n - 3))) AS p FROM pw GROUP BY ALL),
+withp AS (SELECT *, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM px)"""
+
+
+LINES = "SELECT clf_type, count(*) AS n, corr(dl, ins) AS r, regr_slope(ins, dl) AS slope, regr_intercept(ins, dl) AS intercept, regr_r2(ins, dl) AS r2, min(dl) AS x_min, max(dl) AS x_max FROM g GROUP BY 1"
+
+
+@query("SELECT clf_type, n, round(r, 6) AS r, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, x_min, x_max, round(slope * x_min + intercept, 5) AS y_min, round(slope * x_max + intercept, 5) AS y_max, round(p, 6) AS p, stars FROM withp",
+       DEG + ", " + DEGREES + ", " + with_p(LINES))
 def regression_with_p(fx):
-    return st.regression(_g(fx), "dl", "ins", ("clf_type",), with_p=True)
+    rows = st.regression(_g(fx), "dl", "ins", ("clf_type",), with_p=True)
+    return rows.select("clf_type", "n", *r6("r", "slope", "intercept", "r2"), "x_min", "x_max", F.round("y_min", 5).alias("y_min"), F.round("y_max", 5).alias("y_max"), *r6("p"), "stars")
 
 
 @query()
@@ -520,7 +573,7 @@ def cleaned_types(fx):
     return ft.cleaned_types(types, fx.neurons.where("root_id % 7 <> 0"), ("nonneuron", "unclear")).select("pt_root_id", "cell_type")
 
 
-@query()
+@query("SELECT clf_type, printf('r = %.2f', r) AS r, CASE WHEN p < 0.001 THEN printf('p = %.1e', p) ELSE printf('p = %.3f', p) END AS p, stars FROM withp", DEG + ", " + DEGREES + ", " + with_p(LINES))
 def figure_labels(fx):
     rows = st.regression(_g(fx), "dl", "ins", ("clf_type",), with_p=True)
     return rows.select("clf_type", F.format_string("r = %.2f", "r").alias("r"), st.p_label(F.col("p")).alias("p"), "stars")
@@ -548,12 +601,20 @@ def config_model_diagonal(fx):
 @query("SELECT replica, root_id, sum(n_syn)::BIGINT AS in_synapses, count(*) AS in_neurons, round(sum(n_syn)::DOUBLE / count(*), 6) AS contacts FROM (SELECT replica, post_id AS root_id, n_syn FROM z) GROUP BY ALL", NULL)
 def shuffled_features(fx):
     """Degrees and contact features of the neurons on each shuffled graph."""
-    graphs = nullmodel.shuffled(fx.edges, 3, 7)
-    out = None
-    for k in range(3):
-        one = ft.connectivity_features(fx.neurons, graphs.where(F.col("replica") == k)).where("in_synapses > 0").withColumn("replica", F.lit(k))
-        out = one if out is None else out.unionByName(one)
-    return out.select("replica", "root_id", "in_synapses", "in_neurons", *r6("contacts"))
+    rows = ft.connectivity_features(fx.neurons, nullmodel.shuffled(fx.edges, 3, 7), replicas=3).where("in_synapses > 0")
+    return rows.select("replica", "root_id", "in_synapses", "in_neurons", *r6("contacts"))
+
+
+@query("""SELECT e.replica, e.root_id, coalesce(a.s, 0) AS in_synapses, coalesce(a.n, 0) AS in_neurons, coalesce(a.es, 0) AS ex_in_synapses, coalesce(b.inn, 0) AS inh_out_neurons,
+  CASE WHEN coalesce(a.s, 0) = 0 THEN 0.0 ELSE round(a.s::DOUBLE / a.n, 6) END AS contacts, round(coalesce(a.en, 0)::DOUBLE / nullif(dl, 0), 6) + 0.0 AS ex_partner_density
+  FROM (SELECT root_id, dendrite_length AS dl, unnest(range(100)) AS replica FROM fx_neurons) e LEFT JOIN ri a USING (replica, root_id) LEFT JOIN ro b USING (replica, root_id)""",
+       NULL.replace("range(3)", f"range({REPLICAS})") + """, zt AS (SELECT *, substr(block, 1, 1) AS pre_type, substr(block, 2, 1) AS post_type FROM z),
+ri AS (SELECT replica, post_id AS root_id, sum(n_syn)::BIGINT AS s, count(*) AS n, coalesce(sum(n_syn) FILTER (pre_type = 'E'), 0)::BIGINT AS es, count(*) FILTER (pre_type = 'E') AS en FROM zt GROUP BY ALL),
+ro AS (SELECT replica, pre_id AS root_id, count(*) FILTER (post_type = 'I') AS inn FROM zt GROUP BY ALL)""")
+def replica_features(fx):
+    """Every neuron on each of the shuffled graphs behind a control, with or without edges there: one plan."""
+    rows = ft.connectivity_features(fx.neurons, nullmodel.shuffled(fx.edges, REPLICAS, 7), replicas=REPLICAS)
+    return rows.select("replica", "root_id", "in_synapses", "in_neurons", "ex_in_synapses", "inh_out_neurons", *r6("contacts", "ex_partner_density"))
 
 
 @query("SELECT series, bin, round(avg(y), 6) AS mean, count(*) AS n, round(any_value(r), 6) AS r, round(any_value(slope), 6) AS slope FROM (SELECT *, CAST(least(7, greatest(0, floor((dl - lo) / ((hi - lo) / 8)))) AS INTEGER) AS bin FROM long, (SELECT min(dl) AS lo, max(dl) AS hi FROM g)) JOIN (SELECT series, corr(dl, y) AS r, regr_slope(y, dl) AS slope FROM long GROUP BY 1) USING (series) GROUP BY ALL",
@@ -623,16 +684,18 @@ def local_path_lengths(fx):
     return out.where("axon_local_length > 0 OR dendrite_local_length > 0").select("root_id", *[F.round(F.nullif(f"{n}_local_length", F.lit(0.0)), 4).alias(n) for n in ("axon", "dendrite")])
 
 
-@query("SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho FROM (SELECT rank() OVER (ORDER BY dl) + (count(*) OVER (PARTITION BY dl) - 1) / 2.0 AS rx, rank() OVER (ORDER BY inn) + (count(*) OVER (PARTITION BY inn) - 1) / 2.0 AS ry FROM g)", DEG + ", " + DEGREES)
+RANKED = "SELECT count(*) AS n, corr(rx, ry) AS rho FROM (SELECT rank() OVER (ORDER BY dl) + (count(*) OVER (PARTITION BY dl) - 1) / 2.0 AS rx, rank() OVER (ORDER BY inn) + (count(*) OVER (PARTITION BY inn) - 1) / 2.0 AS ry FROM g)"
+
+
+@query("SELECT n, round(rho, 6) AS rho, round(p, 6) AS p, stars FROM withp", DEG + ", " + DEGREES + ", " + with_p(RANKED, "rho"))
 def spearman_with_p(fx):
-    """p is held against known values in the tests."""
-    return st.spearman(_g(fx), "dl", "inn", with_p=True).where("p BETWEEN 0 AND 1").select("n", *r6("rho"))
+    return st.spearman(_g(fx), "dl", "inn", with_p=True).select("n", *r6("rho", "p"), "stars")
 
 
-@query("SELECT feature, round(r, 2) AS r FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS feature, corr({a}, dl) AS r FROM g" for a in ("ins", "inn", "outs")) + ")", DEG + ", " + DEGREES)
+@query("SELECT feature, round(r, 2) AS r, n, round(p, 6) AS p, stars FROM withp", DEG + ", " + DEGREES + ", " + with_p(" UNION ALL ".join(f"SELECT '{a}' AS feature, corr({a}, dl) AS r, count(*) FILTER ({a} IS NOT NULL AND dl IS NOT NULL) AS n FROM g" for a in ("ins", "inn", "outs"))))
 def correlation_bars(fx):
-    """Bars of correlations with a target; the stars are held against known values in the tests."""
-    return st.correlations_with(_g(fx), "dl", ["ins", "inn", "outs"], with_p=True).where("stars IS NOT NULL").select("feature", F.round("r", 2).alias("r"))
+    """Bars of correlations with a target, with p and stars."""
+    return st.correlations_with(_g(fx), "dl", ["ins", "inn", "outs"], with_p=True).select("feature", F.round("r", 2).alias("r"), "n", *r6("p"), "stars")
 
 
 @query("SELECT DISTINCT root_id FROM (SELECT pre_id AS root_id FROM fx_edges UNION ALL SELECT post_id FROM fx_edges)")
@@ -664,16 +727,38 @@ def both_matrices(fx):
     return readers.both_matrices(fx.edges).select("pre_id", "post_id", "n_syn", "linked")
 
 
-AXON = f"""am AS (SELECT 'all' AS series, bin, sum(n)::BIGINT AS n, avg(share) AS share, stddev_pop(share) / sqrt(count(*)) AS sem FROM m GROUP BY bin UNION ALL
-  SELECT CAST(pre_id AS VARCHAR), bin, n, share, sqrt(share * (1 - share) / n) FROM m WHERE pre_id IN (10, 11, 13) AND n > 1),
-ac AS (SELECT *, {mid(PROFILE, 'bin')} AS x, lag({mid(PROFILE, 'bin')}) OVER w AS x0, lag(share) OVER w AS y0 FROM am WINDOW w AS (PARTITION BY series ORDER BY bin)),
-af AS (SELECT series, arg_min(CASE WHEN y0 IS NULL THEN 0.0 ELSE x0 + (0.3 - y0) / (share - y0 + 1e-9) * (x - x0) END, bin) FILTER (share > 0.3) AS v FROM ac GROUP BY 1)"""
+COARSE = uniform_edges(0, 1200, 10)
+
+
+def axon_sql(pooled: str, level: float) -> str:
+    """SQL of a profile with a population in bins of ``PROFILE`` and single neurons in ``COARSE``; only the population crosses at a bin's centre."""
+    return f"""ab AS (SELECT *, {hist(PROFILE, 'dist')} AS bin, {hist(COARSE, 'dist')} AS own FROM fx_tagged WHERE pre_clf_type = 'E'),
+an AS (SELECT pre_id, bin, count(*) AS n, (count(*) FILTER (tag = 'spine'))::DOUBLE / count(*) AS share FROM ab WHERE bin IS NOT NULL GROUP BY ALL),
+ap AS (SELECT 'all' AS series, bin, {mid(PROFILE, 'bin')} AS x, {pooled}),
+ao AS (SELECT pre_id::VARCHAR AS series, own AS bin, {mid(COARSE, 'own')} AS x, count(*) AS n, (count(*) FILTER (tag = 'spine'))::DOUBLE / count(*) AS share FROM ab WHERE own IS NOT NULL AND pre_id IN (10, 11, 13) GROUP BY ALL HAVING count(*) > 1),
+am AS (SELECT series, bin, x, n, share, sd, sem FROM ap UNION ALL SELECT series, bin, x, n, share, sqrt(share * (1 - share)), sqrt(share * (1 - share) / n) FROM ao),
+ac AS (SELECT *, lag(x) OVER w AS x0, lag(share) OVER w AS y0 FROM am WINDOW w AS (PARTITION BY series ORDER BY bin)),
+af AS (SELECT series, arg_min(CASE WHEN y0 IS NOT NULL THEN x0 + ({level} - y0) / (share - y0 + 1e-9) * (x - x0) WHEN series = 'all' THEN x ELSE 0.0 END, bin) FILTER (share > {level}) AS v FROM ac GROUP BY 1)"""
+
 
+AXON_ROWS = "SELECT series, bin, round(x, 6) AS centre, n, round(share, 6) AS share, round(sd, 6) AS sd, round(sem, 6) AS sem, round(coalesce(v, -1), 4) AS crossing FROM ac JOIN af USING (series)"
+MACRO = "sum(n)::BIGINT AS n, avg(share) AS share, stddev_pop(share) AS sd, stddev_pop(share) / sqrt(count(*)) AS sem FROM an GROUP BY bin"
+MICRO = "count(*) AS n, (count(*) FILTER (tag = 'spine'))::DOUBLE / count(*) AS share, sqrt(share * (1 - share)) AS sd, sqrt(share * (1 - share) / count(*)) AS sem FROM ab WHERE bin IS NOT NULL GROUP BY bin"
 
-@query("SELECT series, bin, round(x, 6) AS centre, n, round(share, 6) AS share, round(sem, 6) AS sem, round(coalesce(v, -1), 4) AS crossing FROM ac JOIN af USING (series)", BYN + ", " + AXON)
+
+def _axon(fx, average: str, level: float) -> DataFrame:
+    rows = pr.axon_profile(_e(fx), PROFILE, [10, 11, 13], COARSE, average, least=1, level=level)
+    return rows.select("series", "bin", *r6("centre"), "n", *r6("share", "sd", "sem"), F.round(F.when(F.col("crossing") == float("inf"), -1.0).otherwise(F.col("crossing")), 4).alias("crossing"))
+
+
+@query(AXON_ROWS, axon_sql(MACRO, 0.3))
 def axon_profile(fx):
-    rows = pr.axon_profile(_e(fx), PROFILE, [10, 11, 13], least=1, level=0.3)
-    return rows.select("series", "bin", *r6("centre"), "n", *r6("share", "sem"), F.round(F.when(F.col("crossing") == float("inf"), -1.0).otherwise(F.col("crossing")), 4).alias("crossing"))
+    return _axon(fx, "macro", 0.3)
+
+
+@query(AXON_ROWS, axon_sql(MICRO, 0.5))
+def axon_profile_pooled(fx):
+    return _axon(fx, "micro", 0.5)
 
 
 @query("SELECT pre_id, post_id, n_syn FROM fx_edges")
@@ -717,3 +802,144 @@ def branch_view(fx):
 def neuron_overlay(fx):
     dots = fx.tagged.where("post_id <= 150").select(F.col("post_id").alias("root_id"), F.col("dist").alias("x"), F.col("size").alias("y"), "tag")
     return geometry.overlay(_chain(fx), dots, {"spine": "red", "shaft": "blue"}).select("root_id", "layer", *r6("x"), "y", "colour")
+
+
+# --- results beside the main ones ---------------------------------------------------------------
+
+
+@query("SELECT pre_id AS root_id, round(v, 4) AS crossing, v IS NULL AS never FROM f", CROSS.replace(edge_array(PROFILE), edge_array(FINE)).replace(hist(PROFILE, "dist"), hist(FINE, "dist")))
+def crossing_fine(fx):
+    """Crossings over the 159 bins of the figures."""
+    c = pr.crossings(pr.by_neuron(_e(fx), FINE), FINE, "pre_id", "zero")
+    never = F.col("crossing") == float("inf")
+    return c.select(F.col("pre_id").alias("root_id"), F.when(~never, F.round("crossing", 4)).alias("crossing"), never.alias("never"))
+
+
+BOX = "bx AS (SELECT clf_type, quantile_cont(ins, 0.25) AS q1, quantile_cont(ins, 0.75) AS q3 FROM g GROUP BY 1)"
+
+
+@query("SELECT clf_type, ins, count(*) AS n FROM g JOIN bx USING (clf_type) WHERE ins NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY ALL", DEG + ", " + DEGREES + ", " + BOX)
+def box_fliers(fx):
+    """The values beyond the whiskers of ``box_stats``, and how often each occurs."""
+    return st.fliers(_g(fx), "ins", "clf_type")
+
+
+@query(f"SELECT cell_type, x, round(sum(exp(-((x - v) / bw) * ((x - v) / bw) / 2)) / (count(*) * sqrt(2 * pi())), 5) AS scaled FROM (SELECT cell_type, dendrite_length AS v FROM fx_neurons WHERE dendrite_length IS NOT NULL) JOIN (SELECT cell_type, stddev_samp(dendrite_length) * pow(count(dendrite_length), -0.2) AS bw FROM fx_neurons GROUP BY 1) USING (cell_type), (SELECT unnest({edge_array(GRID)}) AS x) GROUP BY cell_type, x, bw")
+def density_by_group(fx):
+    """Densities with a bandwidth for each type by Scott's rule, times that bandwidth."""
+    rows = st.density(fx.neurons, "dendrite_length", "cell_type", GRID)
+    spread = fx.neurons.groupBy("cell_type").agg((F.stddev_samp("dendrite_length") * F.count("dendrite_length") ** -0.2).alias("bw"))
+    return rows.join(spread, "cell_type").select("cell_type", "x", F.round(F.col("density") * F.col("bw"), 5).alias("scaled"))
+
+
+@query("SELECT n.*, e.n_syn FROM (SELECT root_id, clf_type, cell_type, round(dendrite_length, 6) AS dendrite_length FROM fx_neurons) n JOIN fx_edges e ON n.root_id = e.pre_id WHERE e.post_id = 10 AND e.pre_type = 'E'")
+def partner_rows(fx):
+    """The whole rows of one neuron's excitatory partners."""
+    return graph.partner_rows(fx.edges, fx.neurons, 10, "E").select("root_id", "clf_type", "cell_type", *r6("dendrite_length"), "n_syn")
+
+
+INDEXED = """mp AS (SELECT root_id, root_id * 7919 % 1000003 AS idx FROM fx_neurons), cl AS (SELECT a.idx AS row, b.idx AS col, n_syn FROM fx_edges JOIN mp a ON a.root_id = pre_id JOIN mp b ON b.root_id = post_id),
+nw AS (SELECT idx AS was, root_id, row_number() OVER (ORDER BY idx) - 1 AS idx FROM mp JOIN fx_neurons USING (root_id) WHERE root_id % 3 = 0 AND dendrite_length > 0)"""
+
+
+def _reindexed(fx):
+    mapping = fx.neurons.select("root_id", (F.col("root_id") * 7919 % 1000003).alias("idx"))
+    row, col = (mapping.select(F.col("root_id").alias(end), F.col("idx").alias(name)) for end, name in (("pre_id", "row"), ("post_id", "col")))
+    cells = fx.edges.join(row, "pre_id").join(col, "post_id").select("row", "col", "n_syn")
+    return graph.reindexed(cells, mapping, fx.neurons.where("root_id % 3 = 0 AND dendrite_length > 0"))
+
+
+@query("SELECT a.idx AS row, b.idx AS col, n_syn FROM cl JOIN nw a ON a.was = row JOIN nw b ON b.was = col", INDEXED)
+def reindexed_cells(fx):
+    """A matrix cut down to some neurons, in the old order."""
+    return _reindexed(fx)[0]
+
+
+@query("SELECT idx, root_id FROM nw", INDEXED)
+def reindexed_mapping(fx):
+    return _reindexed(fx)[1]
+
+
+@query("SELECT pre_id AS row, sum(n_syn)::DOUBLE AS value, count(*) AS cells, min(post_id) AS first_col FROM fx_edges GROUP BY 1")
+def matrix_file_sums(fx):
+    """The edges written as matrix files and read again in ranges: the sums of its rows."""
+    path = scratch_path(fx.spark, "matrix")
+    readers.write_matrix(fx.edges.select(F.col("pre_id").alias("row"), F.col("post_id").alias("col"), F.col("n_syn").alias("value")), path)
+    cells = readers.matrix_cells(fx.spark, path, 5000)
+    return cells.groupBy("row").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("cells"), F.min("col").alias("first_col"))
+
+
+DENDRITE = """ev AS (SELECT user_id AS seg_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS vid, value AS x, hour(ts)::DOUBLE AS y, (event_id % 7)::DOUBLE AS z, event_id % 4 + 1 AS comp FROM events),
+nv AS (SELECT v.seg_id, v.vid, arg_min(s.comp, (pow(v.x - (s.x + 0.5), 2) + pow(v.y - s.y, 2) + pow(v.z - s.z, 2), s.vid)) AS comp FROM ev v JOIN ev s ON v.seg_id = s.seg_id AND s.vid % 4 = 0 GROUP BY ALL),
+kv AS (SELECT seg_id, vid AS old_vid, row_number() OVER (PARTITION BY seg_id ORDER BY vid) - 1 AS vid FROM nv WHERE comp <> 2)"""
+
+
+def _dendrite(fx):
+    chain = _chain(fx)
+    v = chain.select(F.col("root_id").alias("seg_id"), F.col("vid").cast("long").alias("vid"), "x", "y", "z")
+    faces = v.where("vid >= 2").select("seg_id", F.col("vid").alias("fid"), (F.col("vid") - 2).alias("v0"), (F.col("vid") - 1).alias("v1"), F.col("vid").alias("v2"))
+    bones = chain.where("vid % 4 = 0").withColumn("x", F.col("x") + 0.5)
+    return geometry.dendrite_mesh(v, faces, bones)
+
+
+@query("SELECT seg_id, old_vid, vid FROM kv", DENDRITE)
+def dendrite_vertices(fx):
+    """Mesh vertices whose nearest skeleton vertex is no axon, numbered anew."""
+    return _dendrite(fx)[0].select("seg_id", "old_vid", F.col("vid").cast("long").alias("vid"))
+
+
+@query("SELECT a.seg_id, c.old_vid AS old_fid, row_number() OVER (PARTITION BY a.seg_id ORDER BY c.old_vid) - 1 AS fid, a.vid AS v0, b.vid AS v1, c.vid AS v2 FROM kv a JOIN kv b ON a.seg_id = b.seg_id AND b.old_vid = a.old_vid + 1 JOIN kv c ON a.seg_id = c.seg_id AND c.old_vid = a.old_vid + 2", DENDRITE)
+def dendrite_faces(fx):
+    """The faces with three such corners, by the new numbers."""
+    return _dendrite(fx)[1].select("seg_id", "old_fid", *[F.col(c).cast("long").alias(c) for c in ("fid", "v0", "v1", "v2")])
+
+
+RIBBON = """rv AS (SELECT user_id AS root_id, row_number() OVER w - 1 AS vid, count(*) OVER (PARTITION BY user_id) AS n, value AS x, (event_id % 7)::DOUBLE AS y FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+rs AS (SELECT *, x - lag(x) OVER w AS bx, y - lag(y) OVER w AS byy, lead(x) OVER w - x AS ax, lead(y) OVER w - y AS ay FROM rv WHERE vid > 0 AND n > 2 WINDOW w AS (PARTITION BY root_id ORDER BY vid)),
+rn AS (SELECT *, coalesce(-byy / greatest(sqrt(bx * bx + byy * byy), 1e-12), 0) + coalesce(-ay / greatest(sqrt(ax * ax + ay * ay), 1e-12), 0) AS nx, coalesce(bx / greatest(sqrt(bx * bx + byy * byy), 1e-12), 0) + coalesce(ax / greatest(sqrt(ax * ax + ay * ay), 1e-12), 0) AS ny FROM rs),
+ru AS (SELECT *, 2 * nx / greatest(sqrt(nx * nx + ny * ny), 1e-12) AS ux, 2 * ny / greatest(sqrt(nx * nx + ny * ny), 1e-12) AS uy FROM rn)"""
+
+
+@query("SELECT root_id, 0::BIGINT AS line, vid - 1 AS place, vid, round(x + ux, 6) AS x, round(y + uy, 6) AS y FROM ru UNION ALL SELECT root_id, 0, 2 * (n - 1) - vid, vid, round(x - ux, 6), round(y - uy, 6) FROM ru", RIBBON)
+def skeleton_drawing(fx):
+    """The polygons of unbranched skeletons without their first vertex, on the x and z axes, twice as wide."""
+    rows = geometry.drawing(_chain(fx), ("x", "z"), 2.0)
+    return rows.select("root_id", "line", "place", F.col("vid").cast("long").alias("vid"), *r6("x", "y"))
+
+
+@query("SELECT root_id, coalesce(n, 0) AS n, n IS NOT NULL AS found FROM fx_neurons LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) ON root_id = user_id")
+def wanted_skeletons(fx):
+    """A row for each neuron asked for, whether it has a skeleton or not."""
+    rows = readers.wanted(fx.neurons, _chain(fx))
+    return rows.groupBy("root_id").agg(F.count("vid").alias("n"), F.bool_and("found").alias("found"))
+
+
+@query("SELECT root_id, round(sum(sqrt(pow(0.5 * dx + 2 * dy, 2) + pow(dy, 2) + pow(3 * dz, 2))), 4) AS length FROM (SELECT root_id, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, z - lag(z) OVER w AS dz FROM (SELECT user_id AS root_id, ts, event_id, value AS x, hour(ts)::DOUBLE AS y, (event_id % 7)::DOUBLE AS z FROM events) WINDOW w AS (PARTITION BY root_id ORDER BY ts, event_id)) WHERE dx IS NOT NULL GROUP BY 1")
+def moved_skeletons(fx):
+    """Cable lengths of skeletons sent through a 3 x 4 map."""
+    moved = geometry.affine(_chain(fx), ["x", "y", "z"], [[0.5, 2, 0, 7], [0, 1, 0, -1], [0, 0, 3, 0]])
+    return geometry.path_length(moved).select("root_id", F.round("length", 4).alias("length"))
+
+
+DENSE = ", ".join(f"({k!r}, {p!r}, {c})" for p, cs in (("synapses", ("es / dl", "ins / dl")), ("contacts", ("ec / dl", "ic / dl")), ("partners", ("en / dl", "inn / dl"))) for k, c in zip(("ex", "inh"), cs, strict=True))
+
+
+def dense_panels(x: str) -> tuple[str, str]:
+    return (f"SELECT panel, kind, {clamp(pr.PANEL_EDGES[x], 'x')} AS bin, round(avg(y), 9) AS mean, count(*) AS n FROM (SELECT * FROM pd WHERE x IS NOT NULL), LATERAL (VALUES {DENSE}) v(kind, panel, y) WHERE y IS NOT NULL GROUP BY ALL",
+            f"{MART}, {DEG}, pd AS (SELECT nullif(dl, 0) AS dl, {MART_RATIOS[x][0]}::DOUBLE / nullif(dl, 0) AS x, coalesce(a.es, 0)::DOUBLE AS es, coalesce(a.ins, 0)::DOUBLE AS ins, coalesce(a.en, 0)::DOUBLE AS en, coalesce(a.inn, 0)::DOUBLE AS inn, CASE WHEN coalesce(a.es, 0) = 0 THEN 0.0 ELSE a.es::DOUBLE / a.en END AS ec, CASE WHEN coalesce(a.ins, 0) = 0 THEN 0.0 ELSE a.ins::DOUBLE / a.inn END AS ic FROM mart LEFT JOIN pre a ON root_id = a.id)")
+
+
+def _dense_panel(fx, x: str) -> DataFrame:
+    rows = pr.panel_trends(ft.connectivity_features(_mart(fx), fx.edges), x, density=True)
+    return rows.select("panel", "kind", "bin", F.round("mean", 9).alias("mean"), "n")
+
+
+@query(*dense_panels("spine_density"))
+def panel_by_spine_density(fx):
+    """Input by dendrite length in panels over spine density."""
+    return _dense_panel(fx, "spine_density")
+
+
+@query(*dense_panels("ds_spine_density"))
+def panel_by_all_spine_density(fx):
+    return _dense_panel(fx, "ds_spine_density")

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wiring.functions.numeric import numbers_in
+from wiring.sources import arrays
 
 SWC = "vid_raw long, compartment int, x double, y double, z double, radius double, parent_raw long"
 
@@ -43,22 +43,35 @@ def swc(spark: SparkSession, path: str) -> DataFrame:
         "root_id", "vid", F.coalesce("parent", F.lit(-1)).cast("int").alias("parent"), "x", "y", "z", "radius", "compartment")
 
 
-def sparse_matrix(spark: SparkSession, npz_path: str, mapping: dict[int, int], stored_post_by_pre: bool = True) -> DataFrame:
+def wanted(ids: DataFrame, vertices: DataFrame) -> DataFrame:
+    """The skeletons of the neurons asked for; one without a file has a row without a vertex that says so in ``found``."""
+    return ids.select("root_id").distinct().join(vertices.withColumn("found", F.lit(True)), "root_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def matrix_cells(spark: SparkSession, path: str, split: int = 1_000_000) -> DataFrame:
+    """``row, col, value`` of a compressed sparse matrix file, or of a folder of its parts, read in ranges of ``split`` entries."""
+    arrays.register(spark)
+    return spark.read.format("sparse_matrix").option("rowsPerPartition", split).load(path).select("row", "col", "value")
+
+
+def write_matrix(cells: DataFrame, path: str) -> None:
+    """``row, col, value`` as matrix files, a range of rows each."""
+    arrays.register(cells.sparkSession)
+    rows = cells.select(F.lit("").alias("file"), F.col("row").cast("long"), F.col("col").cast("long"), F.col("value").cast("double"))
+    rows.repartitionByRange("row").write.format("sparse_matrix").mode("append").save(path)
+
+
+def sparse_matrix(spark: SparkSession, npz_path: str, mapping: dict[int, int] | DataFrame, stored_post_by_pre: bool = True, split: int = 1_000_000) -> DataFrame:
     """A compressed sparse matrix file as the edge list ``pre_id, post_id, n_syn``; no pickles are read.
 
-    A converter for one-off ingestion on the driver: arrays go to Arrow as they are, no row is made in
-    Python; write the result as Parquet.
+    ``mapping`` gives the id of each index, as a dictionary or a table ``idx, root_id``; cells of an index
+    that it lacks go.  The file is read in ranges by the tasks.
     """
-    with np.load(npz_path, allow_pickle=False) as z:
-        indptr, indices, data = z["indptr"], z["indices"], z["data"]
-        by_row = z["format"].item() in (b"csr", "csr")
-    major = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
-    rows, cols = (major, indices) if by_row else (indices, major)
-    pre, post = (cols, rows) if stored_post_by_pre else (rows, cols)
-    ids = np.zeros(max(mapping, default=-1) + 1, np.int64)
-    ids[list(mapping)] = list(mapping.values())
-    some = data != 0
-    return spark.createDataFrame(pa.table({"pre_id": ids[pre[some]], "post_id": ids[post[some]], "n_syn": data[some].astype(np.int64)}))
+    if isinstance(mapping, dict):
+        mapping = spark.createDataFrame([*mapping.items()], "idx long, root_id long")
+    cells = matrix_cells(spark, npz_path, split).withColumnsRenamed({"row": "post_at", "col": "pre_at"} if stored_post_by_pre else {"row": "pre_at", "col": "post_at"})
+    pre, post = (mapping.select(F.col("idx").alias(f"{n}_at"), F.col("root_id").alias(f"{n}_id")) for n in ("pre", "post"))
+    return cells.join(pre, "pre_at").join(post, "post_at").select("pre_id", "post_id", F.col("value").cast("long").alias("n_syn"))
 
 
 def binarised(edges: DataFrame) -> DataFrame:
@@ -104,12 +117,21 @@ def mesh(spark: SparkSession, path: str, seg_id: int) -> tuple[DataFrame, DataFr
     return vertices, spark.read.schema("seg_id long, fid int, v0 int, v1 int, v2 int").parquet(f"{path}/faces").where(F.col("seg_id") == seg_id)
 
 
-def write_mesh(spark: SparkSession, path: str, seg_id: int, vertices: np.ndarray, faces: np.ndarray) -> None:
-    """Arrays of a mesh, read by whatever tool, as rows of those tables; a converter for one-off ingestion on the driver."""
-    v = pa.table({"seg_id": np.full(len(vertices), seg_id), "vid": np.arange(len(vertices), dtype=np.int32), **{c: vertices[:, k].astype(float) for k, c in enumerate("xyz")}})
-    f = pa.table({"seg_id": np.full(len(faces), seg_id), "fid": np.arange(len(faces), dtype=np.int32), **{f"v{k}": faces[:, k].astype(np.int32) for k in range(3)}})
-    for name, table in (("vertices", v), ("faces", f)):
-        spark.createDataFrame(table).write.mode("append").parquet(f"{path}/{name}")
+def array_rows(spark: SparkSession, path: str, columns: dict[str, str], member: str | None = None, split: int = 1_000_000) -> DataFrame:
+    """The rows of an array file as ``row`` and a column of the type named for each place, read in ranges of ``split`` rows."""
+    arrays.register(spark)
+    reader = spark.read.format("array_rows").option("rowsPerPartition", split)
+    rows = (reader.option("member", member) if member else reader).load(path)
+    return rows.select("row", *[F.get("values", F.lit(k)).cast(kind).alias(c) for k, (c, kind) in enumerate(columns.items())])
+
+
+def ingest_mesh(spark: SparkSession, path: str, seg_id: int, vertices: str, faces: str, split: int = 1_000_000) -> None:
+    """Add the mesh in the array files ``vertices`` (n x 3) and ``faces`` (m x 3) to the tables that ``mesh`` reads."""
+    seg = F.lit(seg_id).cast("long").alias("seg_id")
+    v = array_rows(spark, vertices, dict.fromkeys("xyz", "double"), split=split).select(seg, F.col("row").cast("int").alias("vid"), *"xyz")
+    f = array_rows(spark, faces, {f"v{k}": "int" for k in range(3)}, split=split).select(seg, F.col("row").cast("int").alias("fid"), "v0", "v1", "v2")
+    for name, rows in (("vertices", v), ("faces", f)):
+        rows.write.mode("append").parquet(f"{path}/{name}")
 
 
 SYNAPSE = T.StructType([T.StructField("id_", T.LongType()), T.StructField("pre_pt_root_id", T.LongType()), T.StructField("post_pt_root_id", T.LongType()),
