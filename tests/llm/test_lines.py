@@ -90,7 +90,7 @@ def test_one_document_that_repeats_a_line_and_one_with_many_runs(spark):
     mixed = [x for k, y in enumerate(single) for x in (y, f"own {k}")]
     docs = [(1, "\n".join([line] * 50_000)), (2, "\n".join(single)), (3, "\n".join(mixed))]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert lines.window_table(df, "doc_id", "text", T).count() < 250_000
+    assert lines.selected(lines.line_hashes(df, "doc_id", "text", T), T).count() < 250_000
     got = {r.doc_id: r for r in lines.dedup(df, min_words=T).collect()}
     assert got[1].text == line and got[1].n_removed == 49_999
     assert got[2].n_removed == 0 and got[3].text == "\n".join(f"own {k}" for k in range(10_000))
@@ -98,3 +98,27 @@ def test_one_document_that_repeats_a_line_and_one_with_many_runs(spark):
 
 def test_empty_table(spark):
     assert lines.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_places_are_few_and_those_of_copies_agree(spark):
+    random.seed(11)
+    body = [" ".join(random.choices("abcdefghij", k=random.randint(2, 6))) for _ in range(400)]
+    docs = [(1, "\n".join(body)), (2, "\n".join([*random.sample(body, 60), *body[100:180], "an end"]))]
+    hashes = lines.line_hashes(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 40)
+    every = lines.selected(hashes, 40).distinct().collect()
+    mine = {(r["at"], r.fp) for r in every if r.id == 1}
+    assert len(mine) < 0.5 * len(body)  # windows are ten lines long
+    inside = {(r["at"] - 60 + 100, r.fp) for r in every if r.id == 2 and 70 <= r["at"] < 130}
+    assert inside and inside <= mine
+
+
+def test_equals_brute_force_on_many_small_corpora(spark):
+    """Twenty corpora in one job: documents of different corpora share no line."""
+    docs = []
+    for corpus in range(20):
+        random.seed(100 + corpus)
+        pool = [" ".join(f"{w}{corpus}" for w in random.choices("abc", k=random.choice([1, 1, 2, 2, 3, 5, 7, 9]))) for _ in range(8)] + ["", " "]
+        docs.append([(1000 * corpus + i, "\n".join(random.choices(pool, k=random.randint(0, 16)))) for i in range(25)])
+    got = run(spark, [d for corpus in docs for d in corpus])
+    for corpus in docs:
+        assert {i: got[i] for i, _ in corpus} == brute(corpus)

@@ -1,15 +1,23 @@
-"""Line dedup: windows of lines that stand earlier in the corpus.
-
-DataFrame functions only.  A window is a run of lines that are not blank with ``min_words`` words; its
-key is a hash of its lines in turn.  Windows of just as many lines as make up ``min_words`` words, two
-at least, start at every line and end at every line; a line of ``min_words`` words is a window by itself.
-Any two neighbouring lines of a repeated run lie in one of these windows inside the run, and every such
-window has the key of its earlier copy, whatever stands around it or elsewhere.  So the lines from first
-to last of every window that is not the first place of its key, by (id, text hash, line), are just the
-runs of at least ``min_words`` words that stand earlier; these are deleted.  A line goes only where an
-equal one stands earlier, so the first of its kind always stays.
-
-No key's rows are collected, and the join on keys is left to be split where one key has many rows.
+"""Line dedup by winnowing over line hashes: runs of lines that stand earlier in the corpus go.
+
+DataFrame functions only.  A window is a least run of lines that are not blank with ``min_words`` words: one begins
+at every line, one ends at every line, a line of ``min_words`` words is a window by itself, and two such lines in
+turn are one.  Any run of ``min_words`` words is covered by the windows inside it.
+
+1. Winnowing.  Each two neighbouring lines have a fingerprint, the hash of both; a window selects the least one
+   in it, the first of equal ones (a window of one line selects that line's hash).  The choice hangs on the window's
+   lines alone, so two copies of a window always select the same fingerprint at the same line: no repeated run is
+   missed.  Neighbouring windows mostly select the same place, so few places are kept.
+2. Selected places are joined by fingerprint; those whose fingerprint stands at one place only go.
+3. A match is extended both ways from its place: of the windows that selected it, from the one that ends there to
+   the one that begins there, each is held against all earlier ones by the 128-bit hash of its lines in
+   turn.  The lines from first to last of every window that is not the first place of its content, by (id, text
+   hash, line), are the repeated runs; later ones go.
+
+So a line goes only where an equal one stands earlier (but for collisions of 128 bits), and the first of its kind
+always stays.  No key's rows are collected, and the joins on fingerprints and contents are left to be split where
+one has many rows.  Lines are hashed once; their hashes, the selected places and the windows with a shared
+fingerprint are written, and deleted when the runs are known.
 
 Defined results: a null text stays null and has no lines; blank lines never make a run and go only
 inside one; rows that repeat id and text count as one document and share its fate; lines compare
@@ -19,10 +27,12 @@ table; of other columns only those named in ``keep`` are carried along.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wiring.llm.common import materialise
+from wiring.llm.common import discard, materialise
 
 MIN_WORDS = 50
 _DOC = ["id", "th"]
@@ -32,45 +42,97 @@ def _keys(df: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
     return F.coalesce(df[id_col].cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(df[text_col]).alias("th")
 
 
-def window_table(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """A row for each window: its document, first and last line and key; no window comes twice."""
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used and in whatever loop."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def one(line: Column) -> Column:
+
+def line_hashes(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """Of each document's lines that are not blank the places, words (``min_words`` at most) and two hashes."""
+
+    def one(line: Column, pos: Column) -> Column:
         bare = F.btrim(line, F.lit(" \t\n\x0b\f\r"))
-        return F.struct(F.xxhash64(bare).alias("h"), F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"\s+"))).alias("words"))
-
-    found = df.where(df[text_col].isNotNull()).select(*_keys(df, id_col, text_col), F.transform(F.split(df[text_col], "\n"), one).alias("lines"))
-    rows = found.select(*_DOC, F.posexplode("lines").alias("pos", "line")).select(*_DOC, "pos", "line.h", "line.words").where("words > 0")
-    rows = rows.repartition(*_DOC).dropDuplicates([*_DOC, "pos"])
-    doc = Window.partitionBy(*_DOC)
-    through = F.sum("words").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumns({"through": through, "total": F.sum("words").over(doc)}).withColumn("before", F.col("through") - F.col("words"))
-    ahead, behind = doc.orderBy("before").rangeBetween(0, min_words - 1), doc.orderBy("through").rangeBetween(1 - min_words, 0)
-    following = doc.orderBy("before")
-    rows = rows.withColumns({
-        "ahead": F.collect_list("h").over(ahead), "end": F.max("pos").over(ahead),
-        "next": F.lead("h").over(following), "next_pos": F.lead("pos").over(following)})
-    rows = rows.withColumns({"behind": F.collect_list("h").over(behind), "start": F.min("pos").over(behind), "start_before": F.min("before").over(behind)})
-    long = F.col("words") >= min_words
-
-    def window(when: Column, hashes: Column, first: str, last: str) -> Column:
-        return F.when(when, F.struct(F.xxhash64(hashes).alias("key"), F.col(first).alias("first"), F.col(last).alias("last")))
-
-    windows = F.array(
-        window(long, F.array("h"), "pos", "pos"),
-        window(long & F.col("next").isNotNull(), F.array("h", "next"), "pos", "next_pos"),
-        window(~long & (F.col("total") - F.col("before") >= min_words), F.col("ahead"), "pos", "end"),
-        # a window that ends here, if none of the others starts and ends with it
-        window(~long & (F.col("through") >= min_words) & (F.size("behind") > 2) & (F.col("before") - F.col("start_before") >= min_words), F.col("behind"), "start", "pos"))
-    return rows.select(*_DOC, F.explode(F.array_compact(windows)).alias("window")).select(*_DOC, "window.*")
+        words = F.least(F.size(F.split(bare, r"\s+")), F.lit(min_words))
+        return F.when(bare != "", F.struct(pos.alias("pos"), words.alias("words"), F.xxhash64(bare).alias("h"), F.xxhash64(F.lit(1), bare).alias("g")))
+
+    found = df.where(df[text_col].isNotNull()).select(*_keys(df, id_col, text_col), F.array_compact(F.transform(F.split(df[text_col], "\n"), one)).alias("lines"))
+    return found.select(*_DOC, "lines.pos", "lines.words", "lines.h", "lines.g")
+
+
+def _windows(min_words: int) -> Column:
+    """The windows of a row of ``line_hashes``: ``first`` and ``last`` line, the line ``at`` which it selects its fingerprint ``fp``."""
+
+    def build(owner: Column) -> Column:  # the line of each word
+        start = F.filter(F.transform(owner, lambda line, k: F.when((k == 0) | (F.get(owner, k - 1) != line), k)), lambda k: k.isNotNull())
+        return _with(F.struct(owner.alias("owner"), start.alias("start"), pairs.alias("pairs")), each)
+
+    pairs = F.transform("h", lambda h, k: F.xxhash64(h, F.get("h", k + 1)))
+
+    def each(s: Column) -> Column:
+        def ends(first: Column) -> Column:
+            return F.get(s["owner"], F.get(s["start"], first) + min_words - 1)
+
+        def begins(last: Column) -> Column:
+            return F.get(s["owner"], F.coalesce(F.get(s["start"], last + 1), F.size(s["owner"])) - min_words)
+
+        def window(first: Column, last: Column) -> Column:
+            inside = F.slice(s["pairs"], first + 1, last - first)
+            several = F.struct(first.alias("first"), last.alias("last"), (first + F.array_position(inside, F.array_min(inside)).cast("int") - 1).alias("at"), F.array_min(inside).alias("fp"))
+            single = F.struct(first.alias("first"), last.alias("last"), first.alias("at"), F.get("h", first).alias("fp"))
+            return F.when(last > first, several).when(last == first, single)
+
+        lines = F.sequence(F.lit(0), F.size("words") - 1)
+        ahead = F.transform(lines, lambda k: window(k, ends(k)))
+        behind = F.transform(lines, lambda k: F.when(ends(begins(k)) != k, window(begins(k), k)))
+        # blank lines between two long ones go with both
+        both = F.transform(lines, lambda k: F.when((F.get("words", k) >= min_words) & (F.get("words", k + 1) >= min_words), window(k, k + 1)))
+        return F.array_compact(F.concat(ahead, behind, both))
+
+    owner = F.flatten(F.transform("words", lambda n, k: F.array_repeat(k, n)))
+    return _with(owner, build)
+
+
+def selected(hashes: DataFrame, min_words: int) -> DataFrame:
+    """``id, th, at, fp``: the places that the windows of each document select; a place may come twice."""
+
+    def fresh(windows: Column) -> Column:
+        return F.filter(windows, lambda w, k: (k == 0) | (F.get(windows, k - 1)["at"] != w["at"]) | (F.get(windows, k - 1)["fp"] != w["fp"]))
+
+    return hashes.select(*_DOC, F.explode(_with(_windows(min_words), fresh)).alias("w")).select(*_DOC, "w.at", "w.fp")
+
+
+def shared_windows(hashes: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
+    """``id, th, first, last`` and content key ``k1, k2`` of the windows whose fingerprint stands at several places."""
+    place = F.xxhash64(*_DOC, "at")
+    several = places.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp")
+    marked = places.join(several.hint("merge"), "fp").groupBy(*_DOC).agg(F.sort_array(F.collect_set("at")).alias("marks"))
+    # a flag for each line, by filling the gaps between the marks
+    mark = F.col("marks")
+    flags = F.flatten(F.transform(mark, lambda at, k: F.concat(F.array_repeat(F.lit(False), at - F.coalesce(F.get(mark, k - 1), F.lit(-1)) - 1), F.array(F.lit(True)))))
+    near = _with(flags, lambda flag: F.filter(_windows(min_words), lambda w: F.coalesce(F.get(flag, w["at"]), F.lit(False))))
+
+    def content(w: Column) -> Column:
+        size = w["last"] - w["first"] + 1
+        return F.struct(F.get("pos", w["first"]).alias("first"), F.get("pos", w["last"]).alias("last"),
+                        F.xxhash64(F.slice("h", w["first"] + 1, size)).alias("k1"), F.xxhash64(F.slice("g", w["first"] + 1, size)).alias("k2"))
+
+    rows = hashes.join(marked.hint("merge"), _DOC)
+    return rows.select(*_DOC, F.explode(F.transform(near, content)).alias("w")).select(*_DOC, "w.*")
 
 
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``id, th, first, last`` (line numbers from 0) and ``src_id`` of every window that stands earlier too."""
-    windows = materialise(window_table(df, id_col, text_col, min_words), "windows")
-    first = windows.groupBy("key").agg(F.min(F.struct("id", "th", "first")).alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "src")
-    again = windows.join(first.hint("merge"), "key").where(F.struct("id", "th", "first") != F.col("src"))
-    return again.select(*_DOC, "first", "last", F.col("src.id").alias("src_id"))
+    hashes = materialise(line_hashes(df, id_col, text_col, min_words), "line-hashes")
+    places = materialise(selected(hashes, min_words), "places")
+    windows = materialise(shared_windows(hashes, places, min_words), "windows")
+    discard(hashes)
+    discard(places)
+    key = ["k1", "k2"]
+    first = windows.groupBy(*key).agg(F.min(F.struct("id", "th", "first")).alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*key, "src")
+    again = windows.join(first.hint("merge"), key).where(F.struct("id", "th", "first") != F.col("src"))
+    runs = materialise(again.select(*_DOC, "first", "last", F.col("src.id").alias("src_id")).distinct(), "runs")
+    discard(windows)
+    return runs
 
 
 def _stretches(runs: DataFrame) -> DataFrame:
