@@ -2,6 +2,8 @@
 
 import hashlib
 
+import pytest
+
 import corpus_pipeline as pipeline
 from tests.llm import test_neardup
 from wiring.llm import bpe, langid
@@ -71,3 +73,15 @@ def test_odd_rows_pass_every_stage(spark):
     near = pipeline.near_dedup(spark, extra, SF).collect()
     assert sum(r.doc_id is None and bool(r.text) for r in near) + sum(r.doc_id == 10**9 + 2 for r in near) == 2  # one document, of two rows
     assert sum(r.doc_id is None and r.text is None for r in near) == 1
+
+
+def test_only_scratch_tables_are_discarded(spark, tmp_path):
+    from wiring.llm.common import discard, materialise
+
+    spark.range(3).write.parquet(str(tmp_path / "own"))
+    with pytest.raises(ValueError):
+        discard(spark.read.parquet(str(tmp_path / "own")))
+    assert spark.read.parquet(str(tmp_path / "own")).count() == 3
+    made = materialise(spark.range(3).toDF("n"), "three")
+    assert made.count() == 3
+    discard(made)

@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wiring.functions.scratch import scratch_path, shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests, local
-    mode) a temporary folder is made and kept for the session.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="wiring-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/wiring/{name}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -43,9 +25,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by ``materialise`` that no later step reads."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
+    """Delete the files of a table made by ``materialise`` that no later step reads; any other table is an error."""
+    spark = df.sparkSession
+    own = urlsplit(f"{shared_dir(spark)}/wiring/").path
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    if not all(urlsplit(folder).path.startswith(own) for folder in folders):
+        raise ValueError(f"not scratch tables: {sorted(folders)}")
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
