@@ -129,9 +129,11 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     discard(places)
     key = ["k1", "k2"]
     first = windows.groupBy(*key).agg(F.min(F.struct("id", "th", "first")).alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*key, "src")
+    first = materialise(first, "first-places")  # a table of its own, so that the join deals a hot content among tasks
     again = windows.join(first.hint("merge"), key).where(F.struct("id", "th", "first") != F.col("src"))
     runs = materialise(again.select(*_DOC, "first", "last", F.col("src.id").alias("src_id")).distinct(), "runs")
     discard(windows)
+    discard(first)
     return runs
 
 
