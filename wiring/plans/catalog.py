@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from wiring.operators import features as ft
 from wiring.operators import fit, geometry, graph, nullmodel
 from wiring.operators import profiles as pr
 from wiring.operators import stats as st
-from wiring.sources import readers
+from wiring.sources import arrays, readers
 from wiring.sources.fixture import SQL, Fixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -525,14 +526,10 @@ def regression_with_p(fx):
     return rows.select("clf_type", "n", *r6("r", "slope", "intercept", "r2"), "x_min", "x_max", F.round("y_min", 5).alias("y_min"), F.round("y_max", 5).alias("y_max"), *r6("p"), "stars")
 
 
-@query()
+@query("SELECT user_id AS root_id, 0::BIGINT AS line, array_to_string(range(count(*)), ',') AS vids FROM events GROUP BY 1 HAVING count(*) > 1")
 def polylines(fx):
-    return geometry.polylines(_chain(fx))
-
-
-@query()
-def ribbons(fx):
-    return geometry.ribbons(geometry.polylines(_chain(fx)), _chain(fx))
+    """Skeletons without a branch are one line each; branches and cycles are in the tests."""
+    return geometry.polylines(_chain(fx)).select("root_id", "line", F.array_join(F.col("vids").cast("array<string>"), ",").alias("vids"))
 
 
 MESH = """me AS (SELECT user_id AS seg_id, row_number() OVER w - 1 AS vid, value AS x, hour(ts)::DOUBLE AS y, (event_id % 7)::DOUBLE AS z, lag(value) OVER w AS x1, lag(hour(ts)::DOUBLE) OVER w AS y1, lag((event_id % 7)::DOUBLE) OVER w AS z1,
@@ -900,6 +897,12 @@ rn AS (SELECT *, coalesce(-byy / greatest(sqrt(bx * bx + byy * byy), 1e-12), 0)
 ru AS (SELECT *, 2 * nx / greatest(sqrt(nx * nx + ny * ny), 1e-12) AS ux, 2 * ny / greatest(sqrt(nx * nx + ny * ny), 1e-12) AS uy FROM rn)"""
 
 
+@query("SELECT root_id, 0::BIGINT AS line, vid AS place, round(x + ux / 2, 6) AS x, round(y + uy / 2, 6) AS y FROM ru UNION ALL SELECT root_id, 0, 2 * n - 1 - vid, round(x - ux / 2, 6), round(y - uy / 2, 6) FROM ru",
+       RIBBON.replace("(event_id % 7)::DOUBLE AS y", "hour(ts)::DOUBLE AS y").replace("WHERE vid > 0 AND n > 2", "WHERE n > 1"))
+def ribbons(fx):
+    return geometry.ribbons(geometry.polylines(_chain(fx)), _chain(fx)).select("root_id", "line", "place", *r6("x", "y"))
+
+
 @query("SELECT root_id, 0::BIGINT AS line, vid - 1 AS place, vid, round(x + ux, 6) AS x, round(y + uy, 6) AS y FROM ru UNION ALL SELECT root_id, 0, 2 * (n - 1) - vid, vid, round(x - ux, 6), round(y - uy, 6) FROM ru", RIBBON)
 def skeleton_drawing(fx):
     """The polygons of unbranched skeletons without their first vertex, on the x and z axes, twice as wide."""
@@ -943,3 +946,139 @@ def panel_by_spine_density(fx):
 @query(*dense_panels("ds_spine_density"))
 def panel_by_all_spine_density(fx):
     return _dense_panel(fx, "ds_spine_density")
+
+
+# --- files ------------------------------------------------------------------------------------
+# written from the tables into the scratch folder, read with the library's readers
+
+
+def _written(fx, name: str) -> str:
+    return scratch_path(fx.spark, name)
+
+
+@query("SELECT root_id, cell_type, (root_id * 2 + 1)::DOUBLE AS x_t, round(5 - dendrite_length / 100.0, 4) AS y_t FROM fx_neurons")
+def csv_neurons(fx):
+    """A table of neurons from CSV files with an index column, its position strings parsed and moved."""
+    path = _written(fx, "csv")
+    place = F.concat(F.lit("["), F.col("root_id").cast("string"), F.lit(", "), F.col("dendrite_length").cast("decimal(18,2)").cast("string"), F.lit(", -2]"))
+    fx.neurons.select(F.monotonically_increasing_id().alias("_c0"), "root_id", "cell_type", place.alias("pt_position")).write.option("header", True).csv(path)
+    rows = readers.csv(fx.spark, path, "root_id long, cell_type string, pt_position string", index_column=True)
+    rows = readers.positions(rows, "pt_position", affine=[[2.0, 0, 0, 1.0], [0, -0.01, 0, 5.0], [0, 0, 1.0, 0]])
+    return rows.select("root_id", "cell_type", F.round("x_t", 6).alias("x_t"), F.round("y_t", 4).alias("y_t"))
+
+
+@query("SELECT target_id, tag FROM fx_tags")
+def csv_tags(fx):
+    """A table with a plain header."""
+    path = _written(fx, "csv")
+    fx.tags.select("target_id", "tag").write.option("header", True).csv(path)
+    return readers.csv(fx.spark, path, "target_id long, tag string")
+
+
+@query("SELECT user_id AS root_id, row_number() OVER w - 1 AS vid, row_number() OVER w - 2 AS parent, round(value, 6) AS x, event_id % 4 + 1 AS compartment FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def swc_skeletons(fx):
+    """Skeleton files whose raw ids have gaps, read with dense ones."""
+    path = _written(fx, "swc")
+    chain = _chain(fx)
+    raw = chain.withColumn("parent", F.when(F.col("parent") >= 0, F.col("parent") * 10 + 3).otherwise(-1)).withColumn("vid", F.col("vid") * 10 + 3)
+    readers.write_swc(raw, path).write.format("noop").mode("overwrite").save()
+    rows = readers.swc(fx.spark, path)
+    return rows.select("root_id", F.col("vid").cast("long").alias("vid"), F.col("parent").cast("long").alias("parent"), *r6("x"), F.col("compartment").cast("long").alias("compartment"))
+
+
+@query("SELECT post_id AS root_id, id_, pre_id, size::BIGINT AS size, round(dist * 4 / 1000, 6) AS x, round(size * 40 / 1000, 6) AS z, 'Unk' AS cell_type FROM fx_synapses")
+def nested_synapses(fx):
+    """Nested records of neurons with their incoming synapses, opened."""
+    one = F.struct("id_", F.col("pre_id").alias("pre_pt_root_id"), F.col("post_id").alias("post_pt_root_id"), F.col("size").cast("long").alias("size"), F.array("dist", F.lit(0.0), "size").alias("center_position"))
+    path = _written(fx, "objects")
+    fx.synapses.groupBy(F.col("post_id").alias("root_id")).agg(F.collect_list(one).alias("pre_synapses")).write.parquet(path)
+    rows = readers.incoming_synapses(fx.spark.read.parquet(path))
+    return rows.select("root_id", "id_", F.col("pre_pt_root_id").alias("pre_id"), "size", *r6("x", "z"), "cell_type")
+
+
+@query("SELECT clf_type, round(median, 6) AS median FROM (SELECT clf_type, quantile_cont(ins, 0.5) AS median FROM g GROUP BY 1)", DEG + ", " + DEGREES)
+def figure_rows(fx):
+    """The rows behind a figure, written and read again."""
+    path = _written(fx, "figure")
+    readers.write_figure_data(st.box(_g(fx), "ins", "clf_type"), path)
+    return fx.spark.read.parquet(path).select("clf_type", *r6("median"))
+
+
+@query("SELECT row_number() OVER (ORDER BY bin) - 1 AS row, round(avg(y), 6) AS mean FROM d GROUP BY bin HAVING count(*) >= 2", DEG + ", " + TR)
+def array_column(fx):
+    """A curve written as an array file and read again in ranges of three."""
+    path = _written(fx, "array")
+    deg = graph.degrees(fx.edges, fx.neurons.select("root_id", "dendrite_length")).where("in_synapses > 0")
+    found = pr.binned_trend(deg.withColumn("in_synapses", F.col("in_synapses").cast("double")), "dendrite_length", "in_synapses", TREND, "sem", 2)
+    file = arrays.mounted(path) + ".npy"
+    os.makedirs(os.path.dirname(file), exist_ok=True)
+    readers.write_array(found, "mean", "bin", file)
+    return readers.array_rows(fx.spark, file, {"mean": "double"}, split=3).select("row", *r6("mean"))
+
+
+# --- more of the inventory ----------------------------------------------------------------------
+
+
+@query("SELECT s.id_, s.pre_id, s.post_id, t.tag FROM fx_synapses s JOIN fx_tags t ON s.id_ = t.target_id")
+def tagged_checked(fx):
+    """Synapses with their tags, where no target may have two."""
+    return ft.tag_join(fx.synapses, fx.tags).select("id_", "pre_id", "post_id", "tag")
+
+
+@query(f"SELECT bin, n, round(p, 6) AS share, round(sqrt(p * (1 - p) / n), 6) AS sem FROM (SELECT bin, count(*) AS n, (count(*) FILTER (post_clf_type = 'E'))::DOUBLE / count(*) AS p FROM t WHERE bin IS NOT NULL GROUP BY 1)", E_TAGGED.format(b=hist(PROFILE, "dist")))
+def preference_for_excitatory(fx):
+    """The profile of the share of excitatory targets instead of spines."""
+    return pr.micro_profile(_e(fx), PROFILE, inh_pref=True).select("bin", "n", *r6("share", "sem"))
+
+
+BONES = """bo AS (SELECT user_id AS root_id, row_number() OVER w AS k, value AS x, hour(ts)::DOUBLE AS y, (event_id % 7)::DOUBLE AS z, event_id % 4 + 1 AS comp, first_value(value) OVER w AS rx, first_value(hour(ts)::DOUBLE) OVER w AS ry, first_value((event_id % 7)::DOUBLE) OVER w AS rz FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+bm AS (SELECT root_id, k, comp, CASE comp WHEN 2 THEN rx ELSE x END AS cx, CASE comp WHEN 2 THEN ry ELSE y END AS cy, CASE comp WHEN 2 THEN rz ELSE z END AS cz, x, y, z FROM bo),
+bl AS (SELECT *, lag(comp) OVER w AS pc, lag(cx) OVER w AS px, lag(cy) OVER w AS py, lag(cz) OVER w AS pz, lag(x) OVER w AS ox, lag(y) OVER w AS oy, lag(z) OVER w AS oz FROM bm WINDOW w AS (PARTITION BY root_id ORDER BY k))"""
+
+
+@query("SELECT root_id, round(sum(sqrt(pow(cx - px, 2) + pow(cy - py, 2) + pow(cz - pz, 2))), 4) AS length FROM bl WHERE px IS NOT NULL GROUP BY 1", BONES)
+def collapsed_lengths(fx):
+    """Cable with the axon drawn together on the root."""
+    return geometry.path_length(geometry.collapsed(_chain(fx), geometry.AXON)).select("root_id", F.round("length", 4).alias("length"))
+
+
+@query("SELECT root_id, count(*) AS n, count(*) FILTER (pc IS NULL OR pc = 2) AS roots, round(coalesce(sum(sqrt(pow(x - ox, 2) + pow(y - oy, 2) + pow(z - oz, 2))) FILTER (pc <> 2), 0), 4) AS length FROM bl WHERE comp <> 2 GROUP BY 1", BONES)
+def masked_lengths(fx):
+    """Skeletons without their axons: vertices left, roots among them and cable."""
+    left = geometry.masked(_chain(fx), ~F.col("compartment").isin(*geometry.AXON))
+    sums = left.groupBy("root_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("parent") == -1).alias("roots"))
+    return sums.join(geometry.path_length(left), "root_id", "left").select("root_id", "n", "roots", F.round(F.coalesce("length", F.lit(0.0)), 4).alias("length"))
+
+
+@query("SELECT m.vec_id AS vid, arg_min(s.label, (d, s.vec_id)) AS label FROM (SELECT * FROM pt WHERE vec_id % 2 = 0) m, LATERAL (SELECT b.vec_id, b.label, pow(m.x - b.x, 2) + pow(m.y - b.y, 2) + pow(m.z - b.z, 2) AS d FROM pt b WHERE b.vec_id % 2 = 1) s GROUP BY 1",
+       "pt AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)")
+def copied_labels(fx):
+    """Points with the label of their nearest site."""
+    e = fx.table("embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate("xyz")])
+    points = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("vid"), "x", "y", "z")
+    return geometry.copied_flag(points, e.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "site_id"), "label").select("vid", "label")
+
+
+@query("SELECT id_, post_id, tag, round(10 + 90 * (size - lo) / (hi - lo), 6) AS area FROM fx_tagged, (SELECT min(size) AS lo, max(size) AS hi FROM fx_tagged)")
+def synapse_dots(fx):
+    """Synapses as dots on a skeleton, their areas by their sizes."""
+    return ft.min_max_scaled(fx.tagged, "size", 10, 100, "area").select("id_", "post_id", "tag", *r6("area"))
+
+
+#: Curves by the place of a neuron, each well inside the bounds.
+BUMPS = {"base": (0.1, 0.02), "top": (0.7, 0.03), "half": (100.0, 30.0), "bump": (0.2, 0.03), "centre": (40.0, 10.0), "width": (20.0, 4.0)}
+
+
+@query("SELECT place, " + ", ".join(f"round(({low} + {step} * (place % 5))::DOUBLE, 2) AS {name}" for name, (low, step) in BUMPS.items()) + " FROM (SELECT DISTINCT CAST(x AS BIGINT) AS place FROM fx_neurons JOIN (SELECT DISTINCT pre_id FROM fx_synapses) ON root_id = pre_id)")
+def biphasic_recovery(fx):
+    """Fits to exact curves over the fine bins, with the synapses of the neurons of each place as weights, give back the curves' parameters."""
+    from wiring.functions.binning import centre
+
+    places = fx.neurons.select(F.col("root_id").alias("pre_id"), F.col("x").cast("long").alias("place"))
+    sums = pr.by_neuron(fx.synapses.withColumns({"tag": F.lit("spine")}).join(places, "pre_id"), FINE, key="place")
+    p = {name: F.lit(low) + F.lit(step) * (F.col("place") % 5) for name, (low, step) in BUMPS.items()}
+    d = centre(FINE, F.col("bin"))
+    share = p["base"] + (p["top"] - p["base"]) * d / (d + p["half"]) + p["bump"] * F.exp(-((d - p["centre"]) ** 2) / (2 * p["width"] ** 2))
+    rows = sums.select("place", "n", d.alias("centre"), share.alias("share"))
+    found = fit.fits(rows.withColumnRenamed("centre", "d"), ["place"], "d", "share", "n", "biphasic")
+    return found.select("place", *[F.round(name, 2).alias(name) for name in BUMPS])

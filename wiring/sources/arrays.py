@@ -29,14 +29,15 @@ _PIECE = 1 << 16
 _SPLIT = 1_000_000
 
 
-def _local(path: str) -> str:
+def mounted(path: str) -> str:
+    """The place of a file that tasks open themselves."""
     if "://" in path and not path.startswith("file://"):
         raise ValueError(f"array files are read from mounted storage, not from {path}")
     return path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
 
 
 def _files(path: str, ending: str) -> list[str]:
-    path = _local(path)
+    path = mounted(path)
     if os.path.isdir(path):
         return sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(ending) and f[0] not in "._")
     if not os.path.exists(path):
@@ -171,7 +172,7 @@ class _MatrixWriter(DataSourceArrowWriter):
     """One file a task, with the rows it was given; files of a task that fails are taken away."""
 
     def __init__(self, options: dict[str, str]):
-        self.path = _local(options["path"])
+        self.path = mounted(options["path"])
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         message, some = WriterCommitMessage(), [b for b in batches if b.num_rows]

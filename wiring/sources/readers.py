@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,6 +167,30 @@ def write_figure_data(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_array(df: DataFrame, column: str, order: str, path: str) -> None:
-    """A column of a result of figure size as an array file on the driver, by ``order``."""
-    np.save(path, df.select(column, order).orderBy(order).toPandas()[column].to_numpy(), allow_pickle=False)
+def write_array(df: DataFrame, column: str | list[str], order: str, path: str) -> None:
+    """A column of a result of figure size, or several as the columns of a table, as an array file on the driver, by ``order``."""
+    rows = df.orderBy(order).toPandas()
+    np.save(path, rows[column].to_numpy(), allow_pickle=False)
+
+
+def write_swc(vertices: DataFrame, path: str) -> DataFrame:
+    """Skeletons as files ``<root_id>.swc`` in a folder that all executors mount, one task a skeleton; gives ``root_id, n`` when it runs.
+
+    Raw ids are ``vid``, so vertices taken out leave gaps that ``swc`` closes; a vertex without a parent has -1.
+    """
+    folder = arrays.mounted(path)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("vid")
+        os.makedirs(folder, exist_ok=True)
+        root = int(rows["root_id"].iloc[0])
+        held = os.path.join(folder, f"_{root}-{uuid.uuid4().hex}")  # a task that runs twice leaves one whole file
+        with open(held, "w") as f:
+            f.write("# id type x y z radius parent\n")
+            for r in rows.itertuples():
+                f.write(f"{r.vid} {r.compartment} {r.x!r} {r.y!r} {r.z!r} {r.radius!r} {r.parent}\n")
+        os.replace(held, os.path.join(folder, f"{root}.swc"))
+        return pd.DataFrame({"root_id": [root], "n": [len(rows)]})
+
+    own = vertices.select("root_id", F.col("vid").cast("long"), "compartment", *[F.col(c).cast("double") for c in ("x", "y", "z", "radius")], F.col("parent").cast("long"))
+    return own.groupBy("root_id").applyInPandas(run, "root_id long, n long")
