@@ -2,13 +2,16 @@
 
 A page becomes a tree of block elements; stretches of text and inline elements between them are its
 leaves (runs).  Each node has features of its subtree (length, link and sign density, share of the
-page), its tag and the words of its class, id and role, its ancestors, depth and siblings.  Gradient-
-boosted trees give the chance that a node holds main text.  Decoding maximises the likelihood of all
-nodes together where a node may hold main text only if its parent does, by one pass up and one down
-the tree.  Kept runs are the blocks of the text, in page order.
+page), its tag, its ancestors, depth and siblings; and, hashed into ``BUCKETS`` yes-or-no features each, the
+words of the class, id and role of the node itself and of its two nearest ancestors that have any.
+Gradient-boosted trees give the chance that a node holds main text; which words matter they learn.  Decoding
+maximises the likelihood of all nodes together where a node may hold main text only if its parent does,
+by one pass up and one down the tree.  Kept runs are the blocks of the text, in page order.
 
-The trees are fitted once, on pages made here by a seeded generator that knows which runs are main
-text; no table is needed for that.
+The trees are fitted (``fit``) on pages made here by a seeded generator that knows which runs are main text, some
+of them with misleading words on the article; ``trees.npz`` beside this module holds the fitted ones.
+Reading a page takes time in proportion to its length, whatever its markup: tags that never end, elements that
+are never closed, deep nesting and stray end tags included.
 
 Defined results: a null or empty page, or one without main text, has the empty text; markup that is
 never closed or wrongly nested is read as browsers do in the common cases; pages of any length are
@@ -18,11 +21,13 @@ other columns only those in ``keep`` are carried along.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html as entities
-import math
+import os
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +37,9 @@ from pyspark.sql import types as T
 
 # --- tree -------------------------------------------------------------------------------------
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_APART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_HEAD = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+_REST = re.compile(r"((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _TOKEN = re.compile(r"[A-Za-z]+")
 #: Elements whose content is never text of the page: code, form fields, drawings and what only shows where media fail.
@@ -49,13 +55,9 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 #: A start tag of the key ends an open element of the value, up to a container.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CONTAIN = frozenset("ul ol dl table body html div section article main aside nav header footer form td th blockquote".split())
+_PARAGRAPH = {"p"}
 _SPACE = re.compile(r"\s+")
 
-#: Words of class, id and role that tend to name what is not main text, and what is.
-APART = frozenset("nav menu navbar header masthead footer sidebar aside ad ads advert advertisement sponsor sponsored promo cookie cookies notice banner consent gdpr alert popup modal overlay form subscribe newsletter signup login search comment comments reply replies respond disqus discussion share sharing social related recommended more breadcrumb breadcrumbs pagination pager widget widgets copyright legal toolbar tags meta byline author toc skip hidden".split())
-MAIN = frozenset("article content post entry story main body text prose copy page single".split())
-REMARKS = frozenset("comment comments reply replies respond disqus discussion remark remarks feedback".split())
-
 TAGS = ("p", "h1", "h2", "li", "ul", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "td", "body", "blockquote", "pre", "figure", "other")
 _ALIAS = {"h3": "h2", "h4": "h2", "h5": "h2", "h6": "h2", "ol": "ul", "dl": "ul", "dt": "li", "dd": "li", "th": "td", "table": "td", "tr": "td", "tbody": "td", "html": "body", "figcaption": "figure", "button": "form", "fieldset": "form"}
 _CODE = {t: k for k, t in enumerate(TAGS)}
@@ -70,108 +72,193 @@ class Node:
     def __init__(self, tag: str | None, parent: Node | None, tokens: frozenset[str] = frozenset(), hidden: bool = False):
         self.tag, self.parent, self.tokens, self.hidden = tag, parent, tokens, hidden
         self.children: list[Node] = []
-        self.parts: list[str] = []
+        self.parts: list[str] | None = [] if tag is None else None
         self.linked, self.text, self.label = 0, "", None
 
 
+class _Ends:
+    """Where the tag whose name ends at a place ends itself, as ``_REST`` has it, for all places of a page in one pass from its end."""
+
+    def __init__(self, page: str):
+        found = [(m.start(), m[0]) for m in re.finditer("[\"'>]", page)]
+        self.places = [at for at, _ in found]
+        self.ends: list[int | None] = [None] * (len(found) + 1)
+        last: dict[str, int] = {}
+        for k in range(len(found) - 1, -1, -1):
+            at, sign = found[k]
+            if sign == ">":
+                self.ends[k] = at
+            else:
+                if sign in last:  # goes on behind the closing quote
+                    self.ends[k] = self.ends[last[sign] + 1]
+                last[sign] = k
+
+    def after(self, place: int) -> int | None:
+        return self.ends[bisect.bisect_left(self.places, place)]
+
+
+class _Open:
+    """The open elements, with what is open counted so that no question walks through them."""
+
+    def __init__(self, root: Node):
+        self.stack: list[tuple[str, Node]] = [("html", root)]  # inline elements stand on it with their block
+        self.blocks: dict[str, int] = {}
+        self.inline: list[dict[str, int] | None] = [None]  # of each open block, the inline elements open right inside
+        self.boxes: list[tuple[int, dict[str, int]]] = [(0, {})]  # of each open container, its place and the blocks open right inside
+        self.links = 0
+
+    def push(self, tag: str, node: Node | None = None) -> None:
+        if node is None:
+            self.links += tag == "a"
+            inside = self.inline[-1] = self.inline[-1] or {}
+            inside[tag] = inside.get(tag, 0) + 1
+            self.stack.append((tag, self.stack[-1][1]))
+            return
+        self.blocks[tag] = self.blocks.get(tag, 0) + 1
+        self.inline.append(None)
+        if tag in _CONTAIN:
+            self.boxes.append((len(self.stack), {}))
+        else:
+            inside = self.boxes[-1][1]
+            inside[tag] = inside.get(tag, 0) + 1
+        self.stack.append((tag, node))
+
+    def pop(self, to: int) -> bool:
+        """Close all from a place on; whether a block was among them."""
+        block = False
+        while len(self.stack) > to:
+            tag, _ = self.stack.pop()
+            if tag in _INLINE:
+                self.links -= tag == "a"
+                self.inline[-1][tag] -= 1
+                continue
+            block = True
+            self.blocks[tag] -= 1
+            self.inline.pop()
+            if self.boxes[-1][0] == len(self.stack):
+                self.boxes.pop()
+            else:
+                self.boxes[-1][1][tag] -= 1
+        return block
+
+    def _top(self, tags: frozenset[str] | set[str]) -> int:
+        k = len(self.stack) - 1
+        while self.stack[k][0] not in tags:
+            k -= 1  # all of these are closed next
+        return k
+
+    def end(self, tag: str) -> int | None:
+        """The place of the element that an end tag closes; an inline one does not close blocks."""
+        some = self.inline[-1] if tag in _INLINE else self.blocks
+        return self._top({tag}) if some and some.get(tag) else None
+
+    def ended(self, tags: set[str]) -> int | None:
+        """The place of the last open element among ``tags``, up to the last container, itself included."""
+        place, inside = self.boxes[-1]
+        for t in tags:
+            if inside.get(t):
+                return self._top(tags)
+        return place if place and self.stack[place][0] in tags else None
+
+
 def parse(page: str) -> Node:
     """The tree of block elements and runs."""
     root = Node("body", None)
-    stack: list[tuple[str, Node]] = [("html", root)]  # inline elements stand on it with their block
+    held = _Open(root)
     run: Node | None = None
-    links = 0
+    ends: _Ends | None = None  # made when the first tag without an end is met
+    unclosed: set[str] = set()
 
     def say(text: str) -> None:
         nonlocal run
         if not text or (run is None and text.isspace()):
             return
-        block = stack[-1][1]
         if run is None:
-            run = Node(None, block)
-            block.children.append(run)
+            run = Node(None, held.stack[-1][1])
+            run.parent.children.append(run)
         text = entities.unescape(text)
         run.parts.append(text)
-        if links:
+        if held.links:
             run.linked += len(text.strip())
 
-    def pop(to: int) -> None:
-        nonlocal run, links
-        while len(stack) > to:
-            tag, _ = stack.pop()
-            if tag == "a":
-                links -= 1
-            if tag not in _INLINE:
-                run = None
-
-    at = 0
-    while at < len(page):
-        m = _MARKUP.search(page, at)
-        if m is None:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    said = at = 0  # what is said, and where the next markup is sought
+    while (less := page.find("<", at)) >= 0:
+        if page[less + 1 : less + 2] in ("!", "?"):
+            m = _APART.match(page, less)
+            say(page[said:less])
+            said = at = m.end()
             if m[0].startswith("<![CDATA["):
                 say(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
-        tag = m[2].lower()
-        if m[1]:
+        head = _HEAD.match(page, less)
+        if head is None:
+            at = less + 1
+            continue
+        if ends is None:
+            rest = _REST.match(page, head.end())
+            end = rest.end() - 1 if rest else None
+            if rest is None:
+                ends = _Ends(page)
+        else:
+            end = ends.after(head.end())
+        if end is None:  # no tag, but text
+            at = less + 1
+            continue
+        attributes_text = page[head.end() : end]
+        say(page[said:less])
+        said = at = end + 1
+        tag = head[2].lower()
+        if head[1]:
             if tag == "head":
                 continue
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if tag in _INLINE and depth and any(stack[k][0] not in _INLINE for k in range(depth, len(stack))):
-                depth = 0  # an inline end tag does not close blocks
-            if depth:
-                pop(depth)
+            to = held.end(tag)
+            if to is not None:
+                if held.pop(to):
+                    run = None
             elif tag == "p":
                 run = None
             continue
-        if tag == "svg" and m[3].endswith("/") or tag in _CLEAR or tag == "noscript" and stack[-1][1].tag in _SAYING:
+        if tag == "svg" and attributes_text.endswith("/") or tag in _CLEAR or tag == "noscript" and held.stack[-1][1].tag in _SAYING:
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            if end is not None:
-                at = end.end()
+            close = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if close is not None:
+                said = at = close.end()
             elif tag in _TO_END:
-                at = len(page)
+                said = at = len(page)
+            else:
+                unclosed.add(tag)
             if tag in ("head", "title"):
                 run = None
             continue
         if tag in ("html", "body"):
-            attributes = _ATTRIBUTE.findall(m[3])
-            root.tokens |= _tokens(attributes)
+            root.tokens |= _tokens(_ATTRIBUTE.findall(attributes_text))
             continue
         if tag in _VOID:
-            if tag == "br" or tag == "wbr":
-                say(" " if tag == "br" else "")
+            if tag == "br":
+                say(" ")
             elif tag == "hr":
                 run = None
             continue
         if tag in _INLINE:
-            if tag == "a":
-                links += 1
-            stack.append((tag, stack[-1][1]))
+            held.push(tag)
             continue
-        ends = _ENDS.get(tag, {"p"})
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in ends:
-                pop(k)
-                break
-            if stack[k][0] in _CONTAIN:
-                break
-        if tag not in _ENDS:
-            pass
-        elif any(t == "p" for t, _ in stack):
-            k = max(k for k, (t, _) in enumerate(stack) if t == "p")
-            if not any(t in _CONTAIN for t, _ in stack[k:]):
-                pop(k)
-        attributes = _ATTRIBUTE.findall(m[3]) if m[3] else ()
-        node = Node(tag, stack[-1][1], _tokens(attributes), _hidden(attributes))
-        stack[-1][1].children.append(node)
+        to = held.ended(_ENDS.get(tag, _PARAGRAPH))
+        if to is not None:
+            held.pop(to)
+        if tag in _ENDS and held.boxes[-1][1].get("p"):
+            held.pop(held.ended(_PARAGRAPH))
+        above = held.stack[-1][1]
+        if attributes_text:
+            attributes = _ATTRIBUTE.findall(attributes_text)
+            node = Node(tag, above, _tokens(attributes), _hidden(attributes))
+        else:
+            node = Node(tag, above)
+        above.children.append(node)
         run = None
-        if not m[3].rstrip().endswith("/"):
-            stack.append((tag, node))
+        if not attributes_text.rstrip().endswith("/"):
+            held.push(tag, node)
+    say(page[said:])
     return root
 
 
@@ -189,13 +276,44 @@ def _hidden(attributes) -> bool:
 
 # --- features ---------------------------------------------------------------------------------
 
-_N_SELF = 18
-N_FEATURES = _N_SELF + len(TAGS) + len(_INSIDE)
+BUCKETS = 512
+_N_SELF = 13
+N_DENSE = _N_SELF + len(TAGS) + len(_INSIDE)
 
 
-def nodes_of(root: Node) -> tuple[list[Node], list[int], np.ndarray]:
-    """All nodes in page order, the place of each one's parent, and their features."""
-    nodes, parents = [], []
+class Features:
+    """Rows of numbers, and the yes-or-no features from ``N_DENSE`` on as pairs of row and feature."""
+
+    def __init__(self, dense: np.ndarray, rows: np.ndarray, cols: np.ndarray):
+        self.dense, self.rows, self.cols = dense, rows, cols
+
+    def __len__(self) -> int:
+        return len(self.dense)
+
+    @staticmethod
+    def joined(parts: list[Features]) -> Features:
+        begins = np.cumsum([0, *(len(p) for p in parts[:-1])])
+        return Features(np.concatenate([p.dense for p in parts]), np.concatenate([p.rows + b for p, b in zip(parts, begins, strict=True)]), np.concatenate([p.cols for p in parts]))
+
+    def columns(self, wanted: np.ndarray, begin: int, end: int) -> np.ndarray:
+        """The features numbered ``wanted`` (ascending) of some rows as a table."""
+        out = np.zeros((end - begin, len(wanted)), np.float32)
+        dense = wanted[wanted < N_DENSE]
+        out[:, : len(dense)] = self.dense[begin:end, dense]
+        lo, hi = np.searchsorted(self.rows, (begin, end))
+        at = np.searchsorted(wanted, self.cols[lo:hi]).clip(0, max(len(wanted) - 1, 0))
+        known = wanted[at] == self.cols[lo:hi] if len(wanted) else np.zeros(hi - lo, bool)
+        out[self.rows[lo:hi][known] - begin, at[known]] = 1
+        return out
+
+
+def _bucket(token: str) -> int:
+    return zlib.crc32(token.encode()) % BUCKETS
+
+
+def nodes_of(root: Node) -> tuple[list[Node], list[int], Features]:
+    """All nodes that hold text, in page order, the place of each one's parent, and their features."""
+    every, ups = [], []
     todo = [(root, -1)]
     while todo:
         node, up = todo.pop()
@@ -203,13 +321,24 @@ def nodes_of(root: Node) -> tuple[list[Node], list[int], np.ndarray]:
             node.text = _SPACE.sub(" ", "".join(node.parts)).strip()
             if not node.text:
                 continue
-        k = len(nodes)
-        nodes.append(node)
-        parents.append(up)
+        k = len(every)
+        every.append(node)
+        ups.append(up)
         todo += [(c, k) for c in reversed(node.children)]
+    full = [node.tag is None for node in every]
+    for k in range(len(every) - 1, 0, -1):
+        if full[k]:
+            full[ups[k]] = True
+    full[0] = True
+    places, nodes, parents = [0] * len(every), [], []
+    for k, node in enumerate(every):
+        if full[k]:
+            places[k] = len(nodes)
+            nodes.append(node)
+            parents.append(places[ups[k]] if k else -1)
     n = len(nodes)
-    chars, linked, signs, runs, longest, kids = (np.zeros(n) for _ in range(6))
-    before, total = np.zeros(n), 0
+    chars, linked, signs, runs, longest, kids, before = ([0] * n for _ in range(7))
+    total = 0
     for k, node in enumerate(nodes):
         before[k] = total
         if node.tag is None:
@@ -223,36 +352,48 @@ def nodes_of(root: Node) -> tuple[list[Node], list[int], np.ndarray]:
         linked[up] += linked[k]
         signs[up] += signs[k]
         runs[up] += runs[k]
-        longest[up] = max(longest[up], longest[k])
         kids[up] += 1
-    x = np.zeros((n, N_FEATURES), np.float32)
-    children: list[list[int]] = [[] for _ in range(n)]
-    for k in range(1, n):
-        children[parents[k]].append(k)
-    depth, apart, main, remarks = ([0] * n for _ in range(4))
-    inside = np.zeros((n, len(_INSIDE)), np.float32)
+        if longest[k] > longest[up]:
+            longest[up] = longest[k]
+    depth, inside, hidden, code = ([0] * n for _ in range(4))
+    told: list[tuple[tuple[int, ...], ...]] = [()] * n  # the buckets of the two nearest ancestors that have words
+    rows, cols = [], []
     for k, node in enumerate(nodes):
         up = parents[k]
-        own = node.tokens
-        a, b, r = bool(own & APART), bool(own & MAIN), bool(own & REMARKS)
-        if up >= 0:
-            depth[k] = depth[up] + 1
-            apart[k], main[k], remarks[k] = apart[up] + a, main[up] + b, remarks[up] + r
-            inside[k] = inside[up]
-        else:
-            apart[k], main[k], remarks[k] = 0, 0, 0
+        own = tuple(sorted({_bucket(t) for t in node.tokens})) if node.tokens else ()
         tag = node.tag or nodes[up].tag
         tag = _ALIAS.get(tag, tag)
+        code[k] = _CODE.get(tag, len(TAGS) - 1)
+        hidden[k] = node.hidden
+        if up >= 0:
+            depth[k], inside[k], hidden[k] = depth[up] + 1, inside[up], node.hidden or nodes[up].hidden
+            above = told[up]
+            cols += own
+            around = {b for part in above for b in part}
+            cols += [BUCKETS + b for b in sorted(around)]
+            rows += [k] * (len(own) + len(around))
+            told[k] = (own, *above)[:2] if own else above
         if node.tag and tag in _INSIDE:
-            inside[k, _INSIDE.index(tag)] = 1
-        around = children[up] if up >= 0 else [k]
-        x[k, :_N_SELF] = (
-            node.tag is None, a, b, apart[k], main[k], remarks[k], node.hidden or (up >= 0 and nodes[up].hidden), math.log1p(chars[k]),
-            linked[k] / max(chars[k], 1), signs[k] / max(chars[k], 1), chars[k] / max(total, 1), chars[k] / max(chars[up], 1) if up >= 0 else 1,
-            before[k] / max(total, 1), math.log1p(kids[k]), depth[k], math.log1p(longest[k]), math.log1p(runs[k]), math.log1p(len(around)))
-        x[k, _N_SELF + _CODE.get(tag, len(TAGS) - 1)] = 1
-    x[:, _N_SELF + len(TAGS) :] = inside
-    return nodes, parents, x
+            inside[k] |= 1 << _INSIDE.index(tag)
+    x = np.zeros((n, N_DENSE), np.float32)
+    size, up = np.array(chars, float), np.array(parents)
+    whole = max(total, 1)
+    x[:, 0] = [node.tag is None for node in nodes]
+    x[:, 1] = hidden
+    x[:, 2] = np.log1p(size)
+    x[:, 3] = np.array(linked) / np.maximum(size, 1)
+    x[:, 4] = np.array(signs) / np.maximum(size, 1)
+    x[:, 5] = size / whole
+    x[:, 6] = np.where(up >= 0, size / np.maximum(size[up], 1), 1)
+    x[:, 7] = np.array(before) / whole
+    x[:, 8] = np.log1p(kids)
+    x[:, 9] = depth
+    x[:, 10] = np.log1p(longest)
+    x[:, 11] = np.log1p(runs)
+    x[:, 12] = np.log1p(np.where(up >= 0, np.array(kids)[up], 1))
+    x[np.arange(n), _N_SELF + np.array(code)] = 1
+    x[:, _N_SELF + len(TAGS) :] = (np.array(inside)[:, None] >> np.arange(len(_INSIDE))) & 1
+    return nodes, parents, Features(x, np.array(rows, np.int64), np.array(cols, np.int64) + N_DENSE)
 
 
 # --- boosted trees ----------------------------------------------------------------------------
@@ -264,10 +405,13 @@ class Boosted:
     def __init__(self, n_trees: int = 60, depth: int = 4, rate: float = 0.3, bins: int = 32, least: float = 1.0):
         self.n_trees, self.depth, self.rate, self.bins, self.least = n_trees, depth, rate, bins, least
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
+    def fit(self, features: Features, y: np.ndarray) -> Boosted:
+        x = features.dense
         n, m = x.shape
         cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(m)]
         binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)
+        words = 2 * BUCKETS
+        rows, cols = features.rows, features.cols - N_DENSE
         inner = (1 << self.depth) - 1
         self.feature = np.zeros((self.n_trees, inner), np.int64)
         self.threshold = np.full((self.n_trees, inner), np.inf, np.float32)
@@ -280,38 +424,69 @@ class Boosted:
             place = np.zeros(n, np.int64)
             for level in range(self.depth):
                 first, width = (1 << level) - 1, 1 << level
+
+                def gains(gl, hl, gs, hs):
+                    gr, hr = gs - gl, hs - hl
+                    value = gl**2 / (hl + self.least) + gr**2 / (hr + self.least) - gs**2 / (hs + self.least)
+                    value[(hl < 0.5) | (hr < 0.5)] = -np.inf
+                    return value
+
+                all_g, all_h = np.bincount(place, g, width)[:, None], np.bincount(place, h, width)[:, None]
                 gain = np.full((width, m, self.bins), -np.inf)
                 for j in range(m):
                     key = place * self.bins + binned[:, j]
-                    gs = np.bincount(key, g, width * self.bins).reshape(width, -1)
-                    hs = np.bincount(key, h, width * self.bins).reshape(width, -1)
-                    gl, hl = gs.cumsum(1), hs.cumsum(1)
-                    gr, hr = gl[:, -1:] - gl, hl[:, -1:] - hl
-                    value = gl**2 / (hl + self.least) + gr**2 / (hr + self.least) - gl[:, -1:] ** 2 / (hl[:, -1:] + self.least)
-                    value[(hl < 0.5) | (hr < 0.5)] = -np.inf
-                    gain[:, j, : len(cuts[j])] = value[:, : len(cuts[j])]
-                best = gain.reshape(width, -1).argmax(1)
+                    gl = np.bincount(key, g, width * self.bins).reshape(width, -1).cumsum(1)
+                    hl = np.bincount(key, h, width * self.bins).reshape(width, -1).cumsum(1)
+                    gain[:, j, : len(cuts[j])] = gains(gl, hl, all_g, all_h)[:, : len(cuts[j])]
+                key = place[rows] * words + cols  # all words at once: those that have them, against the rest
+                has = gains(np.bincount(key, g[rows], width * words).reshape(width, -1), np.bincount(key, h[rows], width * words).reshape(width, -1), all_g, all_h)
+                best, word = gain.reshape(width, -1).argmax(1), has.argmax(1)
+                right = np.zeros(n, bool)
                 for q in range(width):
                     j, b = divmod(int(best[q]), self.bins)
-                    if gain[q, j, b] > 1e-6:
+                    here = place == q
+                    if max(gain[q, j, b], has[q, word[q]]) <= 1e-6:
+                        continue
+                    if has[q, word[q]] > gain[q, j, b]:
+                        self.feature[t, first + q], self.threshold[t, first + q] = N_DENSE + word[q], 0.5
+                        with_word = np.zeros(n, bool)
+                        with_word[rows[cols == word[q]]] = True
+                        right |= here & with_word
+                    else:
                         self.feature[t, first + q], self.threshold[t, first + q] = j, cuts[j][b]
-                f = self.feature[t, first + place]
-                place = 2 * place + (x[np.arange(n), f] > self.threshold[t, first + place])
+                        right |= here & (x[:, j] > np.float32(cuts[j][b]))
+                place = 2 * place + right
             gl, hl = np.bincount(place, g, inner + 1), np.bincount(place, h, inner + 1)
             self.leaf[t] = -self.rate * gl / (hl + self.least)
             score += self.leaf[t, place]
         return self
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
+    def predict(self, features: Features) -> np.ndarray:
         """The chance of each row."""
-        rows, score = np.arange(len(x)), np.full(len(x), self.start)
-        for feature, threshold, leaf in zip(self.feature, self.threshold, self.leaf, strict=True):
-            place = np.zeros(len(x), np.int64)
-            for level in range(self.depth):
-                k = (1 << level) - 1 + place
-                place = 2 * place + (x[rows, feature[k]] > threshold[k])
-            score += leaf[place]
-        return 1 / (1 + np.exp(-score))
+        used, at = np.unique(self.feature, return_inverse=True)
+        at = at.reshape(self.feature.shape)
+        parts = []
+        for begin in range(0, len(features), 50_000):
+            x = features.columns(used, begin, min(len(features), begin + 50_000))
+            rows, score = np.arange(len(x)), np.full(len(x), self.start)
+            for feature, threshold, leaf in zip(at, self.threshold, self.leaf, strict=True):
+                place = np.zeros(len(x), np.int64)
+                for level in range(self.depth):
+                    k = (1 << level) - 1 + place
+                    place = 2 * place + (x[rows, feature[k]] > threshold[k])
+                score += leaf[place]
+            parts.append(1 / (1 + np.exp(-score)))
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def save(self, path: str) -> None:
+        np.savez_compressed(path, feature=self.feature.astype(np.int16), threshold=self.threshold, leaf=self.leaf, start=self.start)
+
+    @staticmethod
+    def load(path: str) -> Boosted:
+        with np.load(path, allow_pickle=False) as z:
+            trees = Boosted(*z["feature"].shape[:1], int(z["feature"].shape[1] + 1).bit_length() - 1)
+            trees.feature, trees.threshold, trees.leaf, trees.start = z["feature"].astype(np.int64), z["threshold"], z["leaf"], float(z["start"])
+        return trees
 
 
 def decode(parents: list[int], chance: np.ndarray) -> np.ndarray:
@@ -356,6 +531,15 @@ class Maker:
         kind = self.r.choice(["class", "class", "id"])
         return f' {kind}="{self.r.choice(names)}{self.r.choice(["", "", "-box", " c1", "-wrap"])}"'
 
+    def misled(self, *names: str, sure: float = 0.8) -> str:
+        """As ``cls`` for an article, at times with a word that elsewhere names what is not main text."""
+        if self.r.random() > 0.3:
+            return self.cls(*names, sure=sure)
+        odd = self.r.choice("comment comments reply ad ads advert promo share social related sidebar header footer menu nav notice banner cookie widget newsletter subscribe login breadcrumbs copyright".split())
+        odd = odd + self.r.choice(["-policy", "-free", "-guide", "-history", "-page", ""]) if self.r.random() < 0.5 else self.r.choice(["no-", "our-", "about-", "the-"]) + odd
+        words = self.r.sample([odd, self.r.choice(names)], 2) if self.r.random() < 0.7 else [odd]
+        return f' class="{" ".join(words)}"'
+
     def links(self, low: int = 2, high: int = 9) -> str:
         items = [f'<a href="/{k}">{self.words(1, 4).rstrip(".?")}</a>' for k in range(self.r.randint(low, high))]
         return self.r.choice(["<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>", " ".join(items), "<div>" + " | ".join(items) + "</div>"])
@@ -420,15 +604,15 @@ class Maker:
         prose = self.prose()
         inner = r.choice(["", "", "", "</m>" + self.remarks() + "<m>"])
         body = r.choice([
-            lambda: f"<article>{prose}{inner}</article>", lambda: f"<article>{prose}</article>", lambda: f"<main><article{self.cls('post', 'entry')}>{prose}{inner}</article></main>",
-            lambda: f"<div{self.cls('content', 'main', 'post', 'story', sure=0.9)}>{prose}{inner}</div>", lambda: f"<main>{prose}</main>",
+            lambda: f"<article{self.misled('content', 'article', sure=0.3)}>{prose}{inner}</article>", lambda: f"<article>{prose}</article>", lambda: f"<main><article{self.misled('post', 'entry')}>{prose}{inner}</article></main>",
+            lambda: f"<div{self.misled('content', 'main', 'post', 'story', 'article', 'body', 'text', 'prose', sure=0.9)}>{prose}{inner}</div>", lambda: f"<main>{prose}</main>",
             lambda: f"<div{self.cls('page', sure=0.5)}><section{self.cls('content', 'text', sure=0.7)}>{prose}</section></div>"])()
         body = body.replace("</m><m>", "")
         wrap = r.choice([("", ""), ("", ""), ("<div>", "</div>"), ('<div id="wrapper">', "</div>")])
         return "<html><body>" + wrap[0] + "".join(f() for f in top) + body + "".join(f() for f in low) + wrap[1] + "</body></html>"
 
 
-def labelled(seed: int) -> tuple[list[Node], list[int], np.ndarray, np.ndarray]:
+def labelled(seed: int) -> tuple[list[Node], list[int], Features, np.ndarray]:
     """A made page's nodes, parents, features and whether each holds main text."""
     marked = Maker(seed).page()
     # private-use marks survive parsing as text, so runs know where they stand
@@ -453,10 +637,16 @@ def labelled(seed: int) -> tuple[list[Node], list[int], np.ndarray, np.ndarray]:
     return nodes, parents, x, y
 
 
-@functools.lru_cache(maxsize=2)
-def model(pages: int = 700, seed: int = 1) -> Boosted:
+def fit(pages: int = 1000, seed: int = 1) -> Boosted:
+    """Trees fitted on that many made pages."""
     found = [labelled(seed * 1_000_003 + k) for k in range(pages)]
-    return Boosted().fit(np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found]))
+    return Boosted().fit(Features.joined([f[2] for f in found]), np.concatenate([f[3] for f in found]))
+
+
+@functools.lru_cache(maxsize=1)
+def model() -> Boosted:
+    """The trees of ``fit()``, as they are kept beside this module."""
+    return Boosted.load(os.path.join(os.path.dirname(__file__), "trees.npz"))
 
 
 # --- operator ---------------------------------------------------------------------------------
@@ -466,7 +656,7 @@ def main_texts(pages: list[str | None], trees: Boosted) -> list[str]:
     """The main text of each page."""
     read = [nodes_of(parse(p)) if p else None for p in pages]
     some = [r for r in read if r]
-    chance = trees.predict(np.concatenate([r[2] for r in some])) if some else np.zeros(0)
+    chance = trees.predict(Features.joined([r[2] for r in some])) if some else np.zeros(0)
     out, at = [], 0
     for r in read:
         if r is None:
