@@ -127,3 +127,19 @@ def test_encode_then_decode(spark):
     back = bpe.decode(bpe.encode(df)).collect()
     assert {r.doc_id: bytes(r.decoded).decode() for r in back} == {i: t or "" for i, t in enumerate(ODD)}
     assert bpe.encode(df.limit(0)).count() == 0
+
+
+def test_other_tokenizers_get_whole_texts(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert dac.cut_like_bytes(public_tokenizers.path("byte_bpe_50k.json")) and not dac.cut_like_bytes(path)
+    some, other = texts()[:300], Tokenizer.from_file(path)
+    store = dac.write(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), dac.new_store(spark), tokenizer_path=path, end_id=None)
+    assert {r.doc_id: r.ids for r in dac.read(spark, store).collect()} == {k: other.encode(t or "", add_special_tokens=False).ids for k, t in enumerate(some)}
+
+
+def test_lookup_joins_by_equal_bins(spark):
+    store = dac.write(spark.createDataFrame([(k, "a b " * (k % 40)) for k in range(300)], "doc_id long, text string"), dac.new_store(spark), shard_ids=50)
+    every = [i for r in dac.read(spark, store).orderBy("start").collect() for i in r.ids]
+    found = dac.lookup(spark, store, spark.createDataFrame([(p,) for p in [*range(0, len(every), 3), -7, len(every)]], "place long"))
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.place: r.id for r in found.collect()} == {p: every[p] if 0 <= p < len(every) else None for p in [*range(0, len(every), 3), -7, len(every)]}

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import re
 import struct
 import zlib
@@ -166,9 +167,30 @@ def _letters(word: str) -> bool:
     return word.isalpha() and (word.isascii() or max(word) <= "\u024f")
 
 
+class WholeEncoder:
+    """Ids of whole texts by the library alone, for tokenizers whose texts cannot be cut by the rules of ``PieceEncoder``."""
+
+    def __init__(self, path: str):
+        self.library = tokenizer(path)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        found = self.library.encode_batch([t or "" for t in texts], add_special_tokens=False)
+        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+
+
+def cut_like_bytes(path: str) -> bool:
+    """Whether a tokenizer file is byte-level BPE as ``PieceEncoder`` cuts it: nothing normalised, the library's own split, no blank put before a text."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = spec.get("normalizer") is None and spec.get("truncation") is None and spec.get("padding") is None
+    ordinary = model.get("type", "BPE") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+    return plain and ordinary and split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
+
+
 @functools.lru_cache(maxsize=2)
-def piece_encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+def piece_encoder(path: str) -> PieceEncoder | WholeEncoder:
+    return PieceEncoder(path) if cut_like_bytes(path) else WholeEncoder(path)
 
 
 # --- the format -------------------------------------------------------------------------------
@@ -335,8 +357,11 @@ def lookup(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
     """
     own = shards(spark, path)
     wanted = places.select(F.col("place").cast("long").alias("place")).where("place IS NOT NULL")
-    index = own.select("start", (F.col("start") + F.col("n_ids")).alias("stop"))
-    held = wanted.join(F.broadcast(index), (F.col("place") >= F.col("start")) & (F.col("place") < F.col("stop")))  # 16 bytes for each shard
+    # bins as wide as a shard is on average: a shard lies in few of them and a bin has few shards
+    width = max(1, int(spark.read.schema("n_ids long").parquet(path).agg(F.avg("n_ids")).first()[0] or 1))
+    stop = F.col("start") + F.col("n_ids")
+    index = own.where("n_ids > 0").select("start", stop.alias("stop"), F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(start + n_ids - 1) div {width}"))).alias("bin"))
+    held = wanted.withColumn("bin", F.when(F.col("place") >= 0, F.expr(f"place div {width}"))).join(index, "bin").where("place >= start AND place < stop")
     asked = held.groupBy("start", F.floor(F.col("place") / _ASKED).alias("piece")).agg(F.collect_set("place").alias("places"))
 
     def run(batches):
