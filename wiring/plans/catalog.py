@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wiring.functions.binning import uniform_edges
@@ -1016,6 +1016,23 @@ def array_column(fx):
     return readers.array_rows(fx.spark, file, {"mean": "double"}, split=3).select("row", *r6("mean"))
 
 
+@query("SELECT 'vertex' AS kind, 7::BIGINT AS seg_id, (row_number() OVER (ORDER BY event_id) - 1)::INTEGER AS id, round(value, 6) AS a, hour(ts)::DOUBLE AS b, (event_id % 7)::DOUBLE AS c FROM events UNION ALL SELECT 'face', 7, k::INTEGER, k, k + 1, k + 2 FROM (SELECT unnest(range(count(*) - 2)) AS k FROM events)")
+def mesh_files(fx):
+    """A mesh from two array files, read in ranges into the tables of meshes and from there."""
+    path = _written(fx, "mesh")
+    folder = arrays.mounted(path)
+    os.makedirs(folder, exist_ok=True)
+    v = fx.table("events").select("event_id", F.col("value").alias("x"), F.hour("ts").cast("double").alias("y"), (F.col("event_id") % 7).cast("double").alias("z"))
+    faces = fx.table("events").select((F.row_number().over(Window.orderBy("event_id")) - 1).alias("k")).select("k", F.col("k").alias("v0"), (F.col("k") + 1).alias("v1"), (F.col("k") + 2).alias("v2"))
+    # one mesh of figure size: the arrays are written on the driver, as tools that make meshes do
+    readers.write_array(v, ["x", "y", "z"], "event_id", f"{folder}/v.npy")
+    readers.write_array(faces.where(F.col("k") < v.count() - 2), ["v0", "v1", "v2"], "k", f"{folder}/f.npy")
+    readers.ingest_mesh(fx.spark, f"{path}/tables", 7, f"{folder}/v.npy", f"{folder}/f.npy", split=1000)
+    vertices, triangles = readers.mesh(fx.spark, f"{path}/tables", 7)
+    rows = vertices.select(F.lit("vertex").alias("kind"), "seg_id", F.col("vid").alias("id"), F.round("x", 6).alias("a"), F.col("y").alias("b"), F.col("z").alias("c"))
+    return rows.unionByName(triangles.select(F.lit("face").alias("kind"), "seg_id", F.col("fid").alias("id"), *[F.col(f"v{k}").cast("double").alias(n) for k, n in enumerate("abc")]))
+
+
 # --- more of the inventory ----------------------------------------------------------------------
 
 

@@ -170,7 +170,7 @@ def write_figure_data(df: DataFrame, path: str) -> None:
 def write_array(df: DataFrame, column: str | list[str], order: str, path: str) -> None:
     """A column of a result of figure size, or several as the columns of a table, as an array file on the driver, by ``order``."""
     rows = df.orderBy(order).toPandas()
-    np.save(path, rows[column].to_numpy(), allow_pickle=False)
+    np.save(path, np.ascontiguousarray(rows[column].to_numpy()), allow_pickle=False)
 
 
 def write_swc(vertices: DataFrame, path: str) -> DataFrame:
