@@ -133,18 +133,22 @@ def held_out(id_col: str) -> Column:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400) -> Model:
-    """Learn every language present from a sample of its rows whose id is not held out."""
+    """Learn every language present from a sample of its rows whose id is not held out.
+
+    The sample has about ``per_language`` different rows of each language, by a hash of id and text, whatever the
+    number of rows, of one id or of equal ones: a bound on what the driver reads.
+    """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row for each language
     if not counts:
         return learn([])
-    # the share of a language's documents that gives about per_language, by a hash of the id
+    # the share of a language's rows that gives about per_language
     shares = {r["lang"]: min(1.0, per_language / r["count"]) for r in counts}
     wanted = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
-    found = rows.where(place < F.coalesce(F.try_element_at(wanted, F.col("lang")), F.lit(0.0)))
-    return learn([(r["lang"], r["text"]) for r in found.select("lang", "text").limit(2 * per_language * len(shares)).toLocalIterator()])
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
+    found = rows.select("id", "lang", "text", place.alias("place")).where(F.col("place") < F.coalesce(F.try_element_at(wanted, F.col("lang")), F.lit(0.0)) * float(1 << 30))
+    return learn([(r["lang"], r["text"]) for r in found.dropDuplicates(["lang", "id", "place"]).select("lang", "text").toLocalIterator()])
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
