@@ -1,4 +1,11 @@
-"""Per-neuron feature marts: one aggregation per relation, joined to the neurons once."""
+"""Per-neuron feature marts: one aggregation per relation, joined to the neurons once.
+
+Defined results: a neuron without rows in a relation has counts of 0 there and no ratio; a ratio over 0 or over a
+missing number is NULL, unless its function says otherwise; rows without a key belong to no neuron; a missing
+or unknown tag counts among all tags and under none of its own; repeated rows count each, repeated neurons have a row
+each; ties in an order go to the least id; empty tables give neurons without anything, no neurons an empty
+table.  Other columns of the neurons are carried along, those of the same name as a feature are made anew.
+"""
 
 from __future__ import annotations
 

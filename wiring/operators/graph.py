@@ -1,4 +1,9 @@
-"""Graph operators on edge lists ``pre_id, post_id, n_syn`` with the types of both ends; never a matrix."""
+"""Graph operators on edge lists ``pre_id, post_id, n_syn`` with the types of both ends; never a matrix.
+
+Defined results: an edge list has a row for each pair, and repeated rows count each unless a function says otherwise; self-loops
+are edges; a type other than E and I counts among all and under neither; edges whose ends are not
+neurons go where neurons are joined; empty edges give degrees of 0 and otherwise empty tables.
+"""
 
 from __future__ import annotations
 

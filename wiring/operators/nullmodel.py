@@ -1,4 +1,10 @@
-"""Degree-preserving null models: all replicates are one plan with a ``replica`` column."""
+"""Degree-preserving null models: all replicates are one plan with a ``replica`` column.
+
+Defined results: every replicate has the degrees of the graph but for the edges that go (self-loops); a repeated
+edge is a stub each, edges that meet are counted in ``n_syn``; an edge with a missing end goes, one with a missing type
+where types are kept; two edges alike in both ends take their places in either order, which gives the same graph; an empty
+graph has empty replicates.
+"""
 
 from __future__ import annotations
 

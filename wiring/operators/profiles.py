@@ -1,4 +1,11 @@
-"""Distance profiles, histograms and binned trends; every bin comes from ``functions.binning``."""
+"""Distance profiles, histograms and binned trends; every bin comes from ``functions.binning``.
+
+Defined results: a row whose distance is missing, NaN or out of range is in no bin of a profile; trends put values
+out of range into the outer bins and leave out rows without one of their two values; a bin without rows has no row; a
+missing flag is false; the deviation of a single row is 0 in trends and profiles over neurons; a series
+that never exceeds its level crosses at infinity; repeated rows count each; empty tables give empty tables, and
+``ValueError`` where bins are to be laid out between values that do not exist.
+"""
 
 from __future__ import annotations
 

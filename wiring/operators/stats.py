@@ -1,4 +1,10 @@
-"""Correlations, lines, curves and box statistics as single aggregations."""
+"""Correlations, lines, curves and box statistics as single aggregations.
+
+Defined results: a pair with a missing value takes no part (lines and densities leave out infinite ones too); a constant
+side has no correlation, fewer than three pairs no p; equal values share their average rank; quantiles
+are linear between neighbours; a key that is missing has no box, flier or density; empty tables give empty tables, or one row
+of NULLs where a single row is asked for.
+"""
 
 from __future__ import annotations
 
