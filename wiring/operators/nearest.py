@@ -71,6 +71,31 @@ class KdTree:
         gap = np.maximum(np.maximum(self.low[node] - p, p - self.high[node]), 0.0)
         return gap[:, 0] * gap[:, 0] + gap[:, 1] * gap[:, 1] + gap[:, 2] * gap[:, 2]
 
+    def fit_boxes(self, boxes: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        """Take other boxes for the leaves, none for those that ``boxes`` lacks, and give every node the one around its leaves."""
+        none = np.full(3, np.inf), np.full(3, -np.inf)
+        for node in range(len(self.low) - 1, -1, -1):  # children come after their parents
+            if self.sites[node] is not None:
+                self.low[node], self.high[node] = boxes.get(node, none)
+            else:
+                a, b = self.children[node]
+                self.low[node], self.high[node] = np.minimum(self.low[a], self.low[b]), np.maximum(self.high[a], self.high[b])
+
+    def within(self, p: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of points and leaves whose boxes are no farther than the point's ``reach`` (squared)."""
+        rows_found, leaves_found, todo = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [(0, np.arange(len(p)))]
+        while todo:
+            node, rows = todo.pop()
+            rows = rows[self.away(node, p[rows]) <= reach[rows]]
+            if not len(rows):
+                continue
+            if self.sites[node] is None:
+                todo += [(child, rows) for child in self.children[node]]
+            else:
+                rows_found.append(rows)
+                leaves_found.append(np.full(len(rows), node))
+        return np.concatenate(rows_found), np.concatenate(leaves_found)
+
     def _compare(self, node: int, p: np.ndarray, rows: np.ndarray, best: np.ndarray, at: np.ndarray) -> None:
         sites = self.sites[node]
         step = max(1, 2_000_000 // len(sites))
@@ -140,7 +165,8 @@ def nearest(points: DataFrame, sites: DataFrame, key: str = "vid", site: str = "
     some = sites.sample(min(1.0, SAMPLE / number), seed=1).select(site, *XYZ).toPandas()
     if not len(some):
         some = sites.select(site, *XYZ).limit(1).toPandas()
-    layout = KdTree(some[XYZ].to_numpy(float), some[site].to_numpy(), leaf=max(1, len(some) * region // number))
+    leaf = max(1, len(some) * region // number)
+    layout = KdTree(some[XYZ].to_numpy(float), some[site].to_numpy(), leaf=leaf)
 
     def homes(frames):
         for pdf in frames:
@@ -149,32 +175,27 @@ def nearest(points: DataFrame, sites: DataFrame, key: str = "vid", site: str = "
 
     dealt = sites.select(site, *XYZ).mapInPandas(homes, f"`{site}` long, x double, y double, z double, region long")
     boxes = dealt.groupBy("region").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in XYZ]).toPandas()
-    numbers, low, high = boxes["region"].to_numpy(), boxes[[f"min_{c}" for c in XYZ]].to_numpy(float), boxes[[f"max_{c}" for c in XYZ]].to_numpy(float)
+    low, high = boxes[[f"min_{c}" for c in XYZ]].to_numpy(float), boxes[[f"max_{c}" for c in XYZ]].to_numpy(float)
+    around = KdTree(some[XYZ].to_numpy(float), some[site].to_numpy(), leaf=leaf)
+    around.fit_boxes({int(k): (low[i], high[i]) for i, k in enumerate(boxes["region"])})
     bounds = KdTree(some[XYZ].to_numpy(float), some[site].to_numpy())
 
     def visits(frames):
         for pdf in frames:
             p = pdf[XYZ].to_numpy(float)
-            reach = bounds.nearest(p)[1]
-            for k in range(0, len(p), max(1, 1_000_000 // len(numbers))):
-                part = p[k : k + max(1, 1_000_000 // len(numbers))]
-                away = np.zeros((len(part), len(numbers)))
-                for c in range(3):
-                    gap = np.maximum(np.maximum(low[None, :, c] - part[:, None, c], part[:, None, c] - high[None, :, c]), 0.0)
-                    away += gap * gap
-                row, at = np.nonzero(away <= reach[k : k + len(part), None])
-                out = pdf.iloc[k + row].copy()
-                out["region"] = numbers[at]
-                yield out
+            row, at = around.within(p, bounds.nearest(p)[1])
+            out = pdf.iloc[row].copy()
+            out["region"] = at
+            yield out
 
     sent = points.where(there).select(key, *XYZ).mapInPandas(visits, f"`{key}` {kind}, x double, y double, z double, region long")
     blocks = sent.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / region).cast("int").alias("blocks"))  # a row a region
     left = sent.join(blocks, "region").withColumn("block", F.pmod(F.xxhash64(key, *XYZ), F.col("blocks")).cast("int"))
     right = dealt.join(blocks, "region").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
-    def search(own: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+    def search(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = own[[key, *XYZ]].copy()
-        ids, d2 = KdTree(around[XYZ].to_numpy(float), around[site].to_numpy()).nearest(own[XYZ].to_numpy(float)) if len(own) and len(around) else (np.zeros(0, np.int64), np.zeros(0))
+        ids, d2 = KdTree(held[XYZ].to_numpy(float), held[site].to_numpy()).nearest(own[XYZ].to_numpy(float)) if len(own) and len(held) else (np.zeros(0, np.int64), np.zeros(0))
         out = out.iloc[: len(ids)]
         out[site], out["d2"] = ids, d2
         return out
@@ -201,14 +222,14 @@ def nearest_within(points: DataFrame, sites: DataFrame, by: str, key: str = "vid
     own = sites.where(there).select(by, F.col(site).cast("long").alias(site), *[F.col(c).cast("double").alias(c) for c in XYZ])
     right = own.join(sizes, by).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
-    def search(mine: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+    def search(mine: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = mine[[by, key]].copy()
         p = mine[XYZ].to_numpy(float)
         ids, d2 = np.full(len(p), -1, object), np.full(len(p), np.nan)
         ids[:] = None
         ok = np.isfinite(p).all(1)
-        if len(around) and ok.any():
-            ids[ok], d2[ok] = KdTree(around[XYZ].to_numpy(float), around[site].to_numpy()).nearest(p[ok])
+        if len(held) and ok.any():
+            ids[ok], d2[ok] = KdTree(held[XYZ].to_numpy(float), held[site].to_numpy()).nearest(p[ok])
         out[site], out["d2"] = pd.array(ids, "Int64"), d2
         return out
 
