@@ -4,6 +4,8 @@ import hashlib
 import random
 import zlib
 
+import pytest
+
 from wiring.llm import periodic
 
 
@@ -47,7 +49,9 @@ def by_lag(words):
     return sorted((s, length, lag) for (s, length), lag in found.items())
 
 
-def test_long_texts_and_every_lag():
+@pytest.mark.parametrize("long", [0, 10**9])
+def test_long_texts_and_every_lag(monkeypatch, long):
+    monkeypatch.setattr(periodic, "_LONG", long)  # offsets asked first for all texts, and for none
     random.seed(5)
     for n in (200, 1500):
         words = random.choices([f"w{k}" for k in range(40)], k=n)

@@ -7,7 +7,7 @@ A stretch with period p and length m is m - p such zeros in a row: AND of the in
 shifted by 1, 2, 4, ... up to that number, leaves a bit only where a long enough stretch begins.
 
 A run of length 4p holds, for any offset, four words in a row that lie p apart, and all are equal.
-That is asked of a few offsets first, so most of the lags of a long text never touch the planes.
+In long texts that is asked of a few offsets first, so most of their lags never touch the planes.
 
 A stretch found with a lag has a smaller period only if that divides the lag (it is at least four lags
 long), and then the smaller lag has found the same stretch before.
@@ -33,6 +33,7 @@ WORD = re.compile(r"[^ \t-\r]+")
 #: A run has this many periods and this many words at least.
 PERIODS, LEAST = 4, 6
 _OFFSETS = 4
+_LONG = 8_000  # words of a text from which asking a few offsets first costs less than the planes
 _TEXTS = 64
 
 
@@ -79,7 +80,7 @@ def runs(words: list[str]) -> list[tuple[int, int, int]]:
     ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, n)
     every, found = planes(ids), {}
     for lag in range(1, n // PERIODS + 1):
-        if not _may_repeat(ids, lag):
+        if n >= _LONG and not _may_repeat(ids, lag):
             continue
         size = n - lag
         differ = 0
