@@ -213,3 +213,22 @@ def test_wanted_skeletons(spark):
     got = readers.wanted(spark.createDataFrame([(1,), (2,), (2,)], "root_id long"), v).collect()
     assert sorted((r.root_id, r.vid, r.found) for r in got if r.found) == [(1, 0, True), (1, 1, True)]
     assert [(r.root_id, r.vid, r.found) for r in got if not r.found] == [(2, None, False)]
+
+
+def test_replicates_in_batches_are_those_of_one_plan_and_leave_no_shuffles(spark):
+    edges = spark.createDataFrame([(k % 13, k % 17, "EI"[k % 13 % 2], "EI"[k % 17 % 2], 1) for k in range(150)], "pre_id long, post_id long, pre_type string, post_type string, n_syn long")
+    neurons = spark.createDataFrame([(k, "EI"[k % 2], 10.0) for k in range(17)], "root_id long, clf_type string, dendrite_length double")
+    whole = features.connectivity_features(neurons, nullmodel.shuffled(edges, 5, 3), replicas=5)
+    parts = nullmodel.by_batches(edges, 5, 3, lambda graphs, first, n: features.connectivity_features(neurons, graphs, n, first), size=300)
+    assert sorted(map(str, parts.select(whole.columns).collect())) == sorted(map(str, whole.collect()))
+    assert len({f.rsplit("/", 1)[0] for f in parts.inputFiles()}) == 3  # two replicates at once
+    assert spark.conf.get(nullmodel._CLEANUP, "false") == "false"
+
+
+def test_shuffled_edges_are_dealt_once_for_both_sides(spark):
+    edges = spark.createDataFrame([(k % 13, k % 17, "EI"[k % 13 % 2], "EI"[k % 17 % 2], 1) for k in range(150)], "pre_id long, post_id long, pre_type string, post_type string, n_syn long")
+    plan = graph.shared_input(nullmodel.shuffled(edges, 3, 7), ("replica",))._jdf.queryExecution().executedPlan().toString()
+    every = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    # dealing, places, sources, targets; sizes of ranges, their sums and the pairs of types are small
+    small = [line for line in every if "lane" in line or "block" in line]
+    assert len(every) - len(small) == 4
