@@ -232,3 +232,23 @@ def test_shuffled_edges_are_dealt_once_for_both_sides(spark):
     # dealing, places, sources, targets; sizes of ranges, their sums and the pairs of types are small
     small = [line for line in every if "lane" in line or "block" in line]
     assert len(every) - len(small) == 4
+
+
+def test_array_files_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refuse(*_):
+        raise AssertionError("rows on the driver")
+
+    monkeypatch.setattr(DataFrame, "toPandas", refuse)
+    rows = spark.range(5000).select(((F.col("id") * 7 + 3) % 5000).alias("k"), (F.col("id") / 2).alias("x"), "id").repartition(6)
+    readers.write_rows(rows, ["x", "id"], "k", 5000, str(tmp_path / "a.npy"))
+    readers.write_rows(rows, ["id", "k"], "k", 5000, str(tmp_path / "b.npy"))
+    ids = np.arange(5000)
+    want = np.empty((5000, 2))
+    want[(ids * 7 + 3) % 5000] = np.stack([ids / 2, ids], 1)
+    assert (np.load(tmp_path / "a.npy") == want).all()
+    assert np.load(tmp_path / "b.npy").dtype == np.int64 and (np.load(tmp_path / "b.npy")[:, 1] == ids).all()
+    with pytest.raises(ValueError, match="4999 of 5000"):
+        readers.write_rows(rows.where("k <> 7"), ["x"], "k", 5000, str(tmp_path / "c.npy"))
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["a.npy", "b.npy"]

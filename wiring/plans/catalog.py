@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from wiring.functions.binning import uniform_edges
 from wiring.functions.numeric import numbers_in
-from wiring.functions.scratch import scratch_path
+from wiring.functions.ranges import running
+from wiring.functions.scratch import scratch_path, written
 from wiring.operators import features as ft
 from wiring.operators import fit, geometry, graph, nullmodel
 from wiring.operators import profiles as pr
@@ -1022,12 +1023,14 @@ def mesh_files(fx):
     path = _written(fx, "mesh")
     folder = arrays.mounted(path)
     os.makedirs(folder, exist_ok=True)
-    v = fx.table("events").select("event_id", F.col("value").alias("x"), F.hour("ts").cast("double").alias("y"), (F.col("event_id") % 7).cast("double").alias("z"))
-    faces = fx.table("events").select((F.row_number().over(Window.orderBy("event_id")) - 1).alias("k")).select("k", F.col("k").alias("v0"), (F.col("k") + 1).alias("v1"), (F.col("k") + 2).alias("v2"))
-    # one mesh of figure size: the arrays are written on the driver, as tools that make meshes do
-    readers.write_array(v, ["x", "y", "z"], "event_id", f"{folder}/v.npy")
-    readers.write_array(faces.where(F.col("k") < v.count() - 2), ["v0", "v1", "v2"], "k", f"{folder}/f.npy")
-    readers.ingest_mesh(fx.spark, f"{path}/tables", 7, f"{folder}/v.npy", f"{folder}/f.npy", split=1000)
+    v = fx.table("events").select("event_id", F.col("value").alias("x"), F.hour("ts").cast("double").alias("y"), (F.col("event_id") % 7).cast("double").alias("z"), F.lit(1).cast("long").alias("one"))
+    v = written(running(v, "event_id", "one", name="k"), "vertices")
+    n = v.count()
+    faces = v.where(F.col("k") < n - 2).select("k", F.col("k").alias("v0"), (F.col("k") + 1).alias("v1"), (F.col("k") + 2).alias("v2"))
+    readers.write_rows(v, ["x", "y", "z"], "k", n, f"{folder}/v.npy")
+    readers.write_rows(faces, ["v0", "v1", "v2"], "k", max(0, n - 2), f"{folder}/f.npy")
+    # ranges of 1,000 rows, longer ones where these would be more than 1,000 tasks
+    readers.ingest_mesh(fx.spark, f"{path}/tables", 7, f"{folder}/v.npy", f"{folder}/f.npy", split=max(1000, n // 1000))
     vertices, triangles = readers.mesh(fx.spark, f"{path}/tables", 7)
     rows = vertices.select(F.lit("vertex").alias("kind"), "seg_id", F.col("vid").alias("id"), F.round("x", 6).alias("a"), F.col("y").alias("b"), F.col("z").alias("c"))
     return rows.unionByName(triangles.select(F.lit("face").alias("kind"), "seg_id", F.col("fid").alias("id"), *[F.col(f"v{k}").cast("double").alias(n) for k, n in enumerate("abc")]))

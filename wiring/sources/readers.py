@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -173,6 +174,46 @@ def write_array(df: DataFrame, column: str | list[str], order: str, path: str) -
     np.save(path, np.ascontiguousarray(rows[column].to_numpy()), allow_pickle=False)
 
 
+def write_rows(df: DataFrame, columns: list[str], row: str, n: int, path: str) -> None:
+    """``columns`` of a table of any size as the ``n`` rows of an array file, by the row numbers ``row``, each once.
+
+    The driver lays out the empty file, in storage that all executors mount, and every task writes its own rows
+    in place; whole numbers are kept as such, other columns make all double.  A row number that is missing or
+    too many raises ``ValueError`` and leaves no file.
+    """
+    whole = all(isinstance(df.schema[c].dataType, T.IntegralType) for c in columns)
+    kind, path = np.dtype(np.int64 if whole else np.float64), arrays.mounted(path)
+    held = f"{path}.{uuid.uuid4().hex}"
+    with open(held, "wb") as f:
+        np.lib.format.write_array_header_1_0(f, {"descr": np.lib.format.dtype_to_descr(kind), "fortran_order": False, "shape": (n, len(columns))})
+        start = f.tell()
+        f.truncate(start + n * kind.itemsize * len(columns))
+
+    def run(batches):
+        with open(held, "r+b") as out:
+            for batch in batches:
+                at = batch.column(0).to_numpy(zero_copy_only=False)
+                values = np.stack([c.to_numpy(zero_copy_only=False).astype(kind) for c in batch.columns[1:]], 1)
+                order = np.argsort(at, kind="stable")
+                at, values = at[order], values[order]
+                breaks = np.flatnonzero(np.diff(at) != 1) + 1  # each run of rows that follow each other is one write
+                for begin, end in zip(np.r_[0, breaks], np.r_[breaks, len(at)], strict=True):
+                    if begin < end:
+                        out.seek(start + int(at[begin]) * kind.itemsize * len(columns))
+                        out.write(values[begin:end].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([len(at)]), pa.array([int(at.sum())])], ["n", "total"])
+
+    try:
+        inside = df.where(F.col(row).between(0, n - 1)).select(F.col(row).cast("long").alias("__row"), *columns)
+        done = inside.mapInArrow(run, "n long, total long").agg(F.sum("n"), F.sum("total")).first()
+        if (done[0] or 0, done[1] or 0) != (n, n * (n - 1) // 2):
+            raise ValueError(f"{done[0] or 0} of {n} rows for {path}")
+        os.replace(held, path)
+    finally:
+        if os.path.exists(held):
+            os.remove(held)
+
+
 def write_swc(vertices: DataFrame, path: str) -> DataFrame:
     """Skeletons as files ``<root_id>.swc`` in a folder that all executors mount, one task a skeleton; gives ``root_id, n`` when it runs.
 
