@@ -252,3 +252,19 @@ def test_array_files_are_written_by_tasks(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError, match="4999 of 5000"):
         readers.write_rows(rows.where("k <> 7"), ["x"], "k", 5000, str(tmp_path / "c.npy"))
     assert sorted(f.name for f in tmp_path.iterdir()) == ["a.npy", "b.npy"]
+
+
+def test_many_neurons_are_fitted_side_by_side_as_each_alone():
+    rng = np.random.default_rng(5)
+    d = np.sort(rng.uniform(1, 1200, (3000, 8)), 1)
+    top, half = rng.uniform(0.1, 1, 3000), 10 ** rng.uniform(0, 4, 3000)
+    y = top[:, None] * d / (d + half[:, None])
+    y[:5], w = 0, rng.integers(1, 9, d.shape).astype(float)
+    began = time.time()
+    found = fit.fit_saturating_all(d, y, w)
+    together = time.time() - began
+    began = time.time()
+    alone = [fit.fit_saturating(*one) for one in zip(d[:300], y[:300], w[:300], strict=True)]
+    assert np.allclose(np.stack(found, 1)[:300], alone, rtol=1e-6)
+    assert found[0][5:] == pytest.approx(top[5:], rel=1e-3) and set(found[1][:5]) == {1e-5}
+    assert together / 3000 < (time.time() - began) / 300

@@ -1,9 +1,9 @@
-"""Weighted curve fits to binned profiles: a group is at most its bins, so NumPy solves it whole."""
+"""Weighted curve fits to binned profiles: a group is at most its bins, so NumPy solves many at once."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,32 +29,53 @@ BIPHASIC = (
 
 
 def fit_saturating(d, y, w) -> tuple[float, float]:
-    """Least weighted squares with ``top`` in [0, 1] and ``half`` from 1e-5 up, without an upper bound.
+    """``fit_saturating_all`` for one series."""
+    top, half = fit_saturating_all(*(np.asarray(v, float)[None] for v in (d, y, w)))
+    return float(top[0]), float(half[0])
+
+
+#: Numbers of a grid that are tried at once: they stay in the processor's cache.
+_AT_ONCE = 1 << 17
+
+
+def fit_saturating_all(d: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least weighted squares with ``top`` in [0, 1] and ``half`` from 1e-5 up, without an upper bound, for each row.
 
     For each ``half`` the best ``top`` is closed, so one search remains, over its logarithm.  Far beyond the
     greatest distance the curve is the line ``d * top / half``; the line that fits best has a slope of
     ``s``, so with ``top`` at most 1 no fit has its ``half`` far above ``1 / s`` and the search goes well past that.
-    Shares that are all 0 have ``top`` 0 and the least ``half``.
+    Shares that are all 0 have ``top`` 0 and the least ``half``.  Rows are searched side by side, each as it
+    would be alone.
     """
-
-    slope = (w * d * y).sum() / max((w * d * d).sum(), 1e-300)
-    if slope <= 0:
-        return 0.0, 1e-5
-
-    def losses(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        f = d / (d + np.exp(logs)[:, None])
-        top = np.clip((w * f * y).sum(1) / np.maximum((w * f * f).sum(1), 1e-300), 0, 1)
-        return (w * (y - top[:, None] * f) ** 2).sum(1), top
-
-    low, high = np.log(1e-5), np.log(max(10 * d.max(), 1.0, 1000 / slope))
-    steps = max(400, int(20 * (high - low)))
-    while True:  # a grid, then finer ones between the neighbours of the best
-        grid = np.linspace(low, high, steps + 1)
-        found, top = losses(grid)
-        k = int(found.argmin())
-        if high - low < 1e-12:
-            return float(top[k]), float(np.exp(grid[k]))
-        low, high, steps = grid[max(k - 1, 0)], grid[min(k + 1, steps)], 32
+    slope = (w * d * y).sum(1) / np.maximum((w * d * d).sum(1), 1e-300)
+    tops, halves = np.zeros(len(d)), np.full(len(d), 1e-5)
+    left = np.flatnonzero(~(slope <= 0))  # rows without an answer
+    low = np.full(len(left), np.log(1e-5))
+    high = np.log(np.maximum(np.maximum(10 * d[left].max(1, initial=0), 1.0), 1000 / slope[left]))
+    steps = np.maximum(400, (20 * (high - low)).astype(int))
+    while len(left):  # a grid, then finer ones between the neighbours of the best
+        best, k = np.empty(len(left)), np.empty(len(left), int)
+        below, above, at = np.empty(len(left)), np.empty(len(left)), np.empty(len(left))
+        n = max(1, _AT_ONCE // (int(steps.max() + 1) * d.shape[1]))
+        for begin in range(0, len(left), n):
+            some = slice(begin, begin + n)
+            own, last = left[some], steps[some]
+            places = np.arange(last.max() + 1)
+            grid = places * ((high[some] - low[some]) / last)[:, None] + low[some][:, None]
+            grid[places >= last[:, None]] = np.repeat(high[some], (places >= last[:, None]).sum(1))
+            dd, yy, ww = d[own, None], y[own, None], w[own, None]
+            f = dd / (dd + np.exp(grid)[:, :, None])
+            wf = ww * f
+            top = np.clip((wf * yy).sum(2) / np.maximum((wf * f).sum(2), 1e-300), 0, 1)
+            loss = (ww * (yy - top[:, :, None] * f) ** 2).sum(2)
+            rows = np.arange(len(own))
+            k[some] = loss.argmin(1)
+            best[some], at[some] = top[rows, k[some]], grid[rows, k[some]]
+            below[some], above[some] = grid[rows, np.maximum(k[some] - 1, 0)], grid[rows, np.minimum(k[some] + 1, last)]
+        done = high - low < 1e-12
+        tops[left[done]], halves[left[done]] = best[done], np.exp(at[done])
+        left, low, high, steps = left[~done], below[~done], above[~done], np.full((~done).sum(), 32)
+    return tops, halves
 
 
 def fit_bounded(model, d, y, w, low, start, high, rounds: int = 2000):
@@ -91,35 +112,54 @@ def fit_bounded(model, d, y, w, low, start, high, rounds: int = 2000):
     return low + p * span
 
 
-def goodness(y, fitted, w) -> tuple[float, float]:
-    """Weighted mean squared error and R²: 1 without residuals, 0 without spread."""
-    mean = (w * y).sum() / w.sum()
-    res, tot = (w * (y - fitted) ** 2).sum(), (w * (y - mean) ** 2).sum()
-    return float((w * (y - fitted) ** 2).mean()), 1.0 if res == 0 else 0.0 if tot == 0 else float(1 - res / tot)
+def goodness(y, fitted, w) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted mean squared error and R² of each row: 1 without residuals, 0 without spread."""
+    mean = (w * y).sum(1) / w.sum(1)
+    res, tot = (w * (y - fitted) ** 2).sum(1), (w * (y - mean[:, None]) ** 2).sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (w * (y - fitted) ** 2).mean(1), np.where(res == 0, 1.0, np.where(tot == 0, 0.0, 1 - res / tot))
 
 
 def fits(profile: DataFrame, keys: list[str], x: str, y: str, n: str, model: str = "saturating") -> DataFrame:
-    """``keys``, the parameters, weighted error and R² of each group's profile; weights are the counts ``n``."""
+    """``keys``, the parameters, weighted error and R² of each group's profile; weights are the counts ``n``.
+
+    A group is one row with its bins; groups with as many bins are fitted side by side.
+    """
     if model not in ("saturating", "biphasic"):
         raise ValueError(f"unknown model {model!r}")
     names = ["top", "half"] if model == "saturating" else [name for name, *_ in BIPHASIC]
+    width = len(keys)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.dropna(subset=[x, y, n]).sort_values(x)
-        d, v, w = (rows[c].to_numpy(float) for c in (x, y, n))
-        head = [pdf[k].iloc[0] for k in keys]
-        if len(d) < len(names):
-            return pd.DataFrame([[*head, *[None] * (len(names) + 2)]], columns=[*keys, *names, "w_mse", "r2"])
+    def solve(d: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         if model == "saturating":
-            p, f = fit_saturating(d, v, w), saturating
+            p, f = np.stack(fit_saturating_all(d, v, w), 1), saturating
         else:
-            p = fit_bounded(biphasic, d, v, w, *zip(*[values for _, *values in BIPHASIC], strict=True))
+            p = np.stack([fit_bounded(biphasic, *one, *zip(*[values for _, *values in BIPHASIC], strict=True)) for one in zip(d, v, w, strict=True)])
             f = biphasic
-        return pd.DataFrame([[*head, *map(float, p), *goodness(v, f(d, *p), w)]], columns=[*keys, *names, "w_mse", "r2"])
+        return np.column_stack([p, *goodness(v, f(d, *(c[:, None] for c in p.T)), w)])
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.columns[width:]
+            group = np.repeat(np.arange(batch.num_rows), np.diff(lists[0].offsets.to_numpy()))
+            d, v, w = (c.flatten().to_numpy(zero_copy_only=False).astype(float) for c in lists)
+            known = ~(np.isnan(d) | np.isnan(v) | np.isnan(w))
+            group, d, v, w = (c[known] for c in (group, d, v, w))
+            order = np.lexsort((d, group))
+            d, v, w = d[order], v[order], w[order]
+            bins = np.bincount(group, minlength=batch.num_rows)
+            starts = np.cumsum(bins) - bins
+            found = np.full((batch.num_rows, len(names) + 2), np.nan)
+            for size in np.unique(bins[bins >= len(names)]):
+                own = np.flatnonzero(bins == size)
+                at = starts[own][:, None] + np.arange(size)
+                found[own] = solve(d[at], v[at], w[at])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array(c, pa.float64(), from_pandas=True) for c in found.T)], [*keys, *names, "w_mse", "r2"])
 
     kinds = {f.name: f.dataType.simpleString() for f in profile.schema}
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], *[f"`{c}` double" for c in [*names, "w_mse", "r2"]]])
-    return profile.select(*keys, *[F.col(c).cast("double").alias(c) for c in (x, y, n)]).groupBy(*keys).applyInPandas(run, schema)
+    rows = profile.groupBy(*keys).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(a) for c, a in ((x, "x"), (y, "y"), (n, "n"))])).alias("__bins"))
+    return rows.select(*keys, *[F.col(f"__bins.{c}").alias(f"__{c}") for c in "xyn"]).mapInArrow(run, schema)
 
 
 def fit_population(tagged: DataFrame, edges: list[float], model: str = "saturating", key: str = "pre_id") -> DataFrame:
