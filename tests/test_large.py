@@ -268,3 +268,16 @@ def test_many_neurons_are_fitted_side_by_side_as_each_alone():
     assert np.allclose(np.stack(found, 1)[:300], alone, rtol=1e-6)
     assert found[0][5:] == pytest.approx(top[5:], rel=1e-3) and set(found[1][:5]) == {1e-5}
     assert together / 3000 < (time.time() - began) / 300
+
+
+def test_edges_are_counted_in_tasks_whose_rows_do_not_grow(spark, monkeypatch):
+    from wiring.functions import scratch
+    from wiring.plans import catalog
+    from wiring.sources.fixture import Fixture
+
+    monkeypatch.setattr(scratch, "TASK_ROWS", 500)
+    fx = Fixture(spark, "/root/testdata/sf0.001")
+    want = -(-fx.table("lineitem").count() // 500)
+    assert fx.parts == want > 4
+    plan = catalog.QUERIES["reassembled_blocks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert f", {want}), REPARTITION_BY_NUM" in plan and "Union" not in plan and plan.count("lineitem.parquet") == 1

@@ -762,11 +762,8 @@ def axon_profile_pooled(fx):
 @query("SELECT pre_id, post_id, n_syn FROM fx_edges")
 def reassembled_blocks(fx):
     """The four blocks of types put together again."""
-    typed = graph.blocks(fx.edges)
-    out = None
-    for block in ("EE", "EI", "IE", "II"):
-        one = typed.where(F.col("block") == block)
-        out = one if out is None else out.unionByName(one)
+    # one pass: a union of four filters holds what all four need in one task
+    out = graph.blocks(fx.edges).where(F.col("block").isin("EE", "EI", "IE", "II"))
     return out.select("pre_id", "post_id", "n_syn")
 
 

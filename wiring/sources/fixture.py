@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wiring.functions.scratch import parts_for
+
 
 class Fixture:
-    """Lazily planned views; nothing is read until a query runs."""
+    """Lazily planned views; until a query runs only the number of synapses is read, from the footers of their file."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -15,6 +19,11 @@ class Fixture:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @cached_property
+    def parts(self) -> int:
+        """Partitions of the synapses, so that a task's share of them does not grow."""
+        return parts_for(self.spark, self.table("lineitem").count())
+
     @property
     def neurons(self) -> DataFrame:
         c = F.col
@@ -24,7 +33,7 @@ class Fixture:
 
     @property
     def synapses(self) -> DataFrame:
-        rows = self.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
+        rows = self.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice").repartition(self.parts, "l_orderkey")
         return rows.join(self.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(
             F.col("l_orderkey").alias("id_"), F.col("o_custkey").alias("pre_id"), F.col("l_partkey").alias("post_id"), F.col("l_quantity").alias("size"),
             (F.col("l_extendedprice") / 100.0).alias("dist"))
@@ -55,7 +64,8 @@ class Fixture:
         types = self.neurons.where("dendrite_length > 0").select("root_id", "clf_type")
         pre = types.select(F.col("root_id").alias("pre_id"), F.col("clf_type").alias("pre_type"))
         post = types.select(F.col("root_id").alias("post_id"), F.col("clf_type").alias("post_type"))
-        pairs = self.synapses.groupBy("pre_id", "post_id").agg(F.count(F.lit(1)).alias("n_syn"))  # shrink before the joins
+        ends = self.synapses.select("pre_id", "post_id").repartition(self.parts, "pre_id", "post_id")
+        pairs = ends.groupBy("pre_id", "post_id").agg(F.count(F.lit(1)).alias("n_syn"))  # shrink before the joins
         return pairs.join(pre, "pre_id").join(post, "post_id").select("pre_id", "post_id", "pre_type", "post_type", "n_syn")
 
 
