@@ -281,3 +281,5 @@ def test_edges_are_counted_in_tasks_whose_rows_do_not_grow(spark, monkeypatch):
     assert fx.parts == want > 4
     plan = catalog.QUERIES["reassembled_blocks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert f", {want}), REPARTITION_BY_NUM" in plan and "Union" not in plan and plan.count("lineitem.parquet") == 1
+    sweep = catalog.QUERIES["subnetwork_sweep"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert any("network" in line and f", {want}), REPARTITION_BY_NUM" in line for line in sweep.splitlines())
