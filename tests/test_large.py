@@ -270,6 +270,32 @@ def test_many_neurons_are_fitted_side_by_side_as_each_alone():
     assert together / 3000 < (time.time() - began) / 300
 
 
+def test_fits_over_common_bins_cost_less_than_one_grid_of_curves():
+    rng = np.random.default_rng(6)
+    d = np.tile(np.arange(15.0, 1200, 30), (2000, 1))
+    w = rng.integers(2, 9, d.shape)
+    y = rng.binomial(w, 0.5) / w
+    halves = np.exp(np.linspace(np.log(1e-5), np.log(12_000), 420))
+    began = time.time()
+    for k in range(0, 2000, 8):
+        f = d[k : k + 8, None] / (d[k : k + 8, None] + halves[:, None])
+        top = (w[k : k + 8, None] * y[k : k + 8, None] * f).sum(2) / (w[k : k + 8, None] * f * f).sum(2)
+        (w[k : k + 8, None] * (y[k : k + 8, None] - np.clip(top, 0, 1)[:, :, None] * f) ** 2).sum(2)
+    grid = time.time() - began
+    began = time.time()
+    top, half = fit.fit_saturating_all(d, y, w)
+    assert time.time() - began < grid / 2
+    loss = [(w * (y - top[:, None] * d / (d + half[:, None] * by)) ** 2).sum(1) for by in (0.999, 1, 1.001)]
+    inside = (half > 1e-5) & (half < 12_000)  # no fit at an end of the search
+    assert inside.sum() > 300 and (loss[1] <= np.minimum(loss[0], loss[2]) + 1e-12)[inside].all()
+
+
+def test_a_bin_takes_each_edge_once(spark):
+    bins = profiles.histogram_bin(list(map(float, range(41))), F.col("id"))
+    plan = spark.range(9).select(bins.alias("bin")).where("bin IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(">=") <= 45  # the filter and the bin; three times the edges each make code too long to be compiled
+
+
 def test_edges_are_counted_in_tasks_whose_rows_do_not_grow(spark, monkeypatch):
     from wiring.functions import scratch
     from wiring.plans import catalog

@@ -17,7 +17,7 @@ def centre(edges: list[float], k: Column) -> Column:
     return (F.get(e, k) + F.get(e, k + 1)) / 2
 
 
-def below(edges: list[float], x: Column) -> Column:
+def _at_most(edges: list[float], x: Column) -> Column:
     """How many edges are at most ``x``, by bisection over the literals: a few comparisons, no lambda."""
 
     def pick(lo: int, hi: int) -> Column:
@@ -26,16 +26,22 @@ def below(edges: list[float], x: Column) -> Column:
         mid = (lo + hi) // 2
         return F.when(x >= float(edges[mid]), pick(mid + 1, hi)).otherwise(pick(lo, mid))
 
-    return F.when(x.isNotNull(), pick(0, len(edges)))
+    return pick(0, len(edges))
+
+
+def below(edges: list[float], x: Column) -> Column:
+    """How many edges are at most ``x``."""
+    return F.when(x.isNotNull(), _at_most(edges, x))
 
 
 def histogram_bin(edges: list[float], x: Column) -> Column:
-    """Half-open bins, the last closed; NULL out of range and for missing values."""
-    k = below(edges, x)
-    n = len(edges) - 1
-    return F.when(F.isnan(x), None).when((k >= 1) & (k <= n), k - 1).when(x == float(edges[-1]), n - 1).cast("int")
+    """Half-open bins, the last closed; NULL out of range and for missing values.
+
+    The bisection stands in it once, so that the code made of it stays small enough for the JVM to compile.
+    """
+    return F.when((x >= float(edges[0])) & (x <= float(edges[-1])), _at_most(edges[1:-1], x)).cast("int")
 
 
 def clamped_bin(edges: list[float], x: Column) -> Column:
     """Bins with out-of-range values in the outer ones."""
-    return F.greatest(F.lit(0), F.least(F.lit(len(edges) - 2), below(edges, x) - 1)).cast("int")
+    return F.when(x.isNotNull(), _at_most(edges[1:-1], x)).cast("int")

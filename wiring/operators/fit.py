@@ -34,8 +34,8 @@ def fit_saturating(d, y, w) -> tuple[float, float]:
     return float(top[0]), float(half[0])
 
 
-#: Numbers of a grid that are tried at once: they stay in the processor's cache.
-_AT_ONCE = 1 << 17
+#: Least distances that rows searched together have between them, and rows that are searched together.
+_PLACES, _ROWS = 256, 1024
 
 
 def fit_saturating_all(d: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,35 +49,67 @@ def fit_saturating_all(d: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.
     """
     slope = (w * d * y).sum(1) / np.maximum((w * d * d).sum(1), 1e-300)
     tops, halves = np.zeros(len(d)), np.full(len(d), 1e-5)
-    left = np.flatnonzero(~(slope <= 0))  # rows without an answer
-    low = np.full(len(left), np.log(1e-5))
-    high = np.log(np.maximum(np.maximum(10 * d[left].max(1, initial=0), 1.0), 1000 / slope[left]))
-    steps = np.maximum(400, (20 * (high - low)).astype(int))
-    while len(left):  # a grid, then finer ones between the neighbours of the best
-        best, k = np.empty(len(left)), np.empty(len(left), int)
-        below, above, at = np.empty(len(left)), np.empty(len(left)), np.empty(len(left))
-        n = max(1, _AT_ONCE // (int(steps.max() + 1) * d.shape[1]))
-        for begin in range(0, len(left), n):
-            some = slice(begin, begin + n)
-            own, last = left[some], steps[some]
-            places = np.arange(last.max() + 1)
-            grid = places * ((high[some] - low[some]) / last)[:, None] + low[some][:, None]
-            grid[places >= last[:, None]] = np.repeat(high[some], (places >= last[:, None]).sum(1))
-            dd, yy, ww = d[own, None], y[own, None], w[own, None]
-            f = dd / (dd + np.exp(grid)[:, :, None])
-            wf = ww * f
-            top = np.clip((wf * yy).sum(2) / np.maximum((wf * f).sum(2), 1e-300), 0, 1)
-            loss = (ww * (yy - top[:, :, None] * f) ** 2).sum(2)
-            rows = np.arange(len(own))
-            k[some] = loss.argmin(1)
-            best[some], at[some] = top[rows, k[some]], grid[rows, k[some]]
-            below[some], above[some] = grid[rows, np.maximum(k[some] - 1, 0)], grid[rows, np.minimum(k[some] + 1, last)]
-        done = high - low < 1e-12
-        tops[left[done]], halves[left[done]] = best[done], np.exp(at[done])
-        left, low, high, steps = left[~done], below[~done], above[~done], np.full((~done).sum(), 32)
+    tops[np.isnan(slope)] = halves[np.isnan(slope)] = np.nan
+    left = np.flatnonzero(slope > 0)  # rows with more to find
+    rows = _ROWS if len(np.unique(d[left])) <= _PLACES else max(1, _PLACES // d.shape[1])
+    for begin in range(0, len(left), rows):
+        own = left[begin : begin + rows]
+        high = np.log(np.maximum(np.maximum(10 * d[own].max(1), 1.0), 1000 / slope[own]))
+        tops[own], halves[own] = _search(d[own], y[own], w[own], high)
     return tops, halves
 
 
+def _search(d: np.ndarray, y: np.ndarray, w: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``top`` and ``half`` of each row, ``half`` up to ``exp(high)``.
+
+    The slope of the loss over a grid takes four products of matrices over the rows' distances, and every place where
+    it turns from falling to rising is then found in its own row.  These and the two ends are all that can be least.
+    """
+    low = np.log(1e-5)
+    grid = low + 0.05 * np.arange(int((high.max() - low) / 0.05) + 2)
+    places, at = np.unique(d, return_inverse=True)
+    row = np.repeat(np.arange(len(d)), d.shape[1]) * len(places) + at.ravel()
+    weight, value = (np.bincount(row, v.ravel(), len(d) * len(places)).reshape(len(d), -1) for v in (w, w * y))
+    half = np.exp(grid)
+    f, rest = places[:, None] / (places[:, None] + half), half / (places[:, None] + half)
+    top = np.clip((value @ f) / np.maximum(weight @ (f * f), 1e-300), 0, 1)
+    falls = top * (value @ (f * rest) - top * (weight @ (f * f * rest))) < 0
+    own, k = np.nonzero(falls[:, :-1] & ~falls[:, 1:] & (grid[:-1] < high[:, None]))
+
+    def tried(own: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``top``, loss and its slope (as far as its sign and its roots go) of rows at ``h``."""
+        half = np.exp(h)[:, None]
+        f, rest = d[own] / (d[own] + half), half / (d[own] + half)
+        wf = w[own] * f
+        top = np.clip((wf * y[own]).sum(1) / np.maximum((wf * f).sum(1), 1e-300), 0, 1)
+        off = y[own] - top[:, None] * f
+        return top, (w[own] * off * off).sum(1), top * (wf * rest * off).sum(1)
+
+    a, b = grid[k], np.minimum(grid[k + 1], high[own])
+    ga, gb = tried(own, a)[2], tried(own, b)[2]
+    turn, left = b.copy(), np.flatnonzero((ga < 0) & (gb > 0))
+    side = np.zeros(len(own), int)
+    for _ in range(100):  # false position; an end that stays has its slope halved
+        if not len(left):
+            break
+        x = np.clip(b[left] - gb[left] * (b[left] - a[left]) / (gb[left] - ga[left]), a[left], b[left])
+        g = tried(own[left], x)[2]
+        done = (g == 0) | (np.abs(x - turn[left]) < 1e-13) | (b[left] - a[left] < 1e-13)
+        turn[left] = x
+        up, down = left[g > 0], left[g <= 0]
+        ga[up[side[up] > 0]] /= 2
+        gb[down[side[down] < 0]] /= 2
+        b[up], gb[up], side[up] = x[g > 0], g[g > 0], 1
+        a[down], ga[down], side[down] = x[g <= 0], g[g <= 0], -1
+        left = left[~done]
+    every = np.arange(len(d))
+    own, h = np.concatenate([own, every, every]), np.concatenate([turn, np.full(len(d), low), high])
+    top, loss, _ = tried(own, h)
+    order = np.lexsort((h, loss, own))
+    first = order[np.r_[True, own[order][1:] != own[order][:-1]]]
+    return top[first], np.exp(h[first])
+
+
 def fit_bounded(model, d, y, w, low, start, high, rounds: int = 2000):
     """Levenberg-Marquardt on parameters scaled to their bounds; one at a bound that wants beyond it rests for the round."""
     low, high = np.array(low, float), np.array(high, float)
