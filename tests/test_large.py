@@ -70,6 +70,36 @@ def test_nearest_within_groups(spark):
     assert got == want
 
 
+def test_nearest_within_many_groups_across_batches(spark):
+    rng = np.random.default_rng(8)
+    sizes = [(1, 3), (5, 0), (0, 4), (30, 70), (4, 2), (9, 2), (1, 1)] * 3  # points and sites; 70 are searched with a tree
+    rows = [(f"n{g}", i, *map(float, rng.integers(0, 4, 3))) for g, (n, _) in enumerate(sizes) for i in range(n)]
+    sites = [(f"n{g}", int(i), *map(float, rng.integers(0, 4, 3))) for g, (_, n) in enumerate(sizes) for i in rng.permutation(n)]
+    want = {}
+    for g, i, *p in rows:
+        near = [(sum((a - b) ** 2 for a, b in zip(p, s, strict=True)), k) for h, k, *s in sites if h == g]
+        want[g, i] = min(near) if near else (None, None)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = nearest_within(spark.createDataFrame(rows, "seg string, " + POINT), spark.createDataFrame(sites, "seg string, " + SITE), "seg").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(found) == len(rows) and {(r.seg, r.vid): (r.d2, r.site_id) for r in found} == want
+
+
+def test_nearest_within_takes_no_longer_for_many_small_groups(spark):
+    def took(groups: int) -> float:
+        points, sites = (spark.range(32_000).selectExpr(f"id % {groups} AS seg", f"id AS {name}", "rand(1) AS x", "rand(2) AS y", "rand(3) AS z") for name in ("vid", "site_id"))
+        found = nearest_within(points, sites, "seg")
+        began = time.time()
+        assert found.count() == 32_000
+        return time.time() - began
+
+    took(4)
+    assert took(8000) < 5 * took(4) + 2
+
+
 def test_dendrite_mesh_by_hand(spark):
     v = spark.createDataFrame([(7, k, float(x), 0.0, 0.0) for k, x in enumerate((0, 1, 2, 10, 11))] + [(8, 0, 5.0, 5.0, 5.0)], "seg_id long, vid long, x double, y double, z double")
     f = spark.createDataFrame([(7, 0, 0, 1, 2), (7, 1, 1, 2, 3), (7, 2, 2, 1, 0)], "seg_id long, fid long, v0 long, v1 long, v2 long")

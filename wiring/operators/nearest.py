@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,11 +209,47 @@ def nearest(points: DataFrame, sites: DataFrame, key: str = "vid", site: str = "
     return found.drop("copy").unionByName(none.where("NOT placed").drop("copy", "placed"))
 
 
+#: Sites of a group that are compared one by one, and pairs of points and sites that are compared at once.
+_FEW, _PAIRS = 64, 1_000_000
+
+
+def _in_own_groups(first: np.ndarray, is_point: np.ndarray, xyz: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Id (-1 without any) and squared distance of the nearest site of each point in its group.
+
+    Groups begin at rows ``first``; in each the sites come before the points and by their ids.  Groups with as
+    many sites, few of them, are searched side by side, the others each with a tree.
+    """
+    ends = np.append(first[1:], len(xyz))
+    sites = np.add.reduceat(~is_point, first, dtype=np.int64)
+    points = ends - first - sites
+    at, d2 = np.full(len(xyz), -1, np.int64), np.full(len(xyz), np.nan)
+    whole = is_point & np.isfinite(xyz).all(1)
+    group = np.repeat(np.arange(len(first)), ends - first)
+    many = (sites > _FEW) | (points * sites > _PAIRS)
+    for g in np.flatnonzero(many & (points > 0)):
+        held = slice(first[g], first[g] + sites[g])
+        rows = first[g] + sites[g] + np.flatnonzero(whole[first[g] + sites[g] : ends[g]])
+        at[rows], d2[rows] = KdTree(xyz[held], ids[held]).nearest(xyz[rows])
+    for n in np.unique(sites[~many & (sites > 0)]):
+        own = np.flatnonzero(whole & (~many & (sites == n))[group])
+        for k in range(0, len(own), _PAIRS // n):
+            rows = own[k : k + _PAIRS // n]
+            held = first[group[rows]][:, None] + np.arange(n)
+            far = np.zeros(held.shape)
+            for c in range(3):  # summed in the order of the tree
+                gap = xyz[rows, c, None] - xyz[held, c]
+                far += gap * gap
+            best = far.argmin(1)
+            at[rows], d2[rows] = ids[held[np.arange(len(rows)), best]], far[np.arange(len(rows)), best]
+    return at[is_point], d2[is_point]
+
+
 def nearest_within(points: DataFrame, sites: DataFrame, by: str, key: str = "vid", site: str = "site_id", block: int = REGION) -> DataFrame:
     """``by, key``, the nearest site of the same ``by`` and its squared distance.
 
     For groups whose sites fit a task each (the skeleton of one neuron); a group's points are dealt in
-    blocks.  Odd rows as in ``nearest``; a group without sites has none.
+    blocks.  A task reads its groups one after the other and searches those of a batch together.  Odd rows as in
+    ``nearest``; a group without sites has none.
     """
     there = finite(F.col("x")) & finite(F.col("y")) & finite(F.col("z"))
     kinds = {c: points.schema[c].dataType.simpleString() for c in (by, key)}
@@ -222,17 +259,35 @@ def nearest_within(points: DataFrame, sites: DataFrame, by: str, key: str = "vid
     own = sites.where(there).select(by, F.col(site).cast("long").alias(site), *[F.col(c).cast("double").alias(c) for c in XYZ])
     right = own.join(sizes, by).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
-    def search(mine: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = mine[[by, key]].copy()
-        p = mine[XYZ].to_numpy(float)
-        ids, d2 = np.full(len(p), -1, object), np.full(len(p), np.nan)
-        ids[:] = None
-        ok = np.isfinite(p).all(1)
-        if len(held) and ok.any():
-            ids[ok], d2[ok] = KdTree(held[XYZ].to_numpy(float), held[site].to_numpy()).nearest(p[ok])
-        out[site], out["d2"] = pd.array(ids, "Int64"), d2
-        return out
-
-    left, right = left.select(by, "block", key, *XYZ), right.select(by, "block", site, *XYZ)
-    met = left.groupBy(by, "block").cogroup(right.groupBy(by, "block")).applyInPandas(search, f"`{by}` {kinds[by]}, `{key}` {kinds[key]}, `{site}` long, d2 double")
-    return met.withColumn("d2", F.when(~F.isnan("d2"), F.col("d2")))
+    def search(rows: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        is_point = rows["__point"].to_numpy()
+        xyz = np.stack([rows[c].to_numpy() for c in XYZ], 1)
+        at, d2 = _in_own_groups(first, is_point, xyz, rows[site].fill_null(-1).to_numpy())
+        rows, none = rows.filter(pa.array(is_point)), np.isnan(d2)
+        found = [*[rows[c].combine_chunks() for c in (by, key)], pa.array(at, mask=none), pa.array(d2, mask=none)]
+        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in found], [by, key, site, "d2"])
+
+    def run(batches):
+        held, name = [], None  # batches of the group that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = [batch[c].dictionary_encode().indices.to_numpy() for c in (by, "block")]
+            first = np.flatnonzero(np.r_[True, (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])])
+            names = [repr([batch[c][int(row)].as_py() for c in (by, "block")]) for row in (0, first[-1])]
+            if held and names[0] != name:
+                yield search(pa.Table.from_batches(held), np.zeros(1, int))
+                held = []
+            if len(first) > 1:
+                before = sum(b.num_rows for b in held)
+                yield search(pa.Table.from_batches([*held, batch.slice(0, first[-1])]), np.r_[0, before + first[1:-1]])
+                held = []
+            held.append(batch.slice(first[-1]))
+            name = names[1]
+        if held:
+            yield search(pa.Table.from_batches(held), np.zeros(1, int))
+
+    left = left.select(by, "block", key, F.lit(None).cast("long").alias(site), F.lit(True).alias("__point"), *XYZ)
+    right = right.select(by, "block", F.lit(None).cast(kinds[key]).alias(key), site, F.lit(False).alias("__point"), *XYZ)
+    dealt = left.unionByName(right).repartition(by, "block").sortWithinPartitions(by, "block", "__point", site)
+    return dealt.mapInArrow(run, f"`{by}` {kinds[by]}, `{key}` {kinds[key]}, `{site}` long, d2 double")
