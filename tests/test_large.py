@@ -1,5 +1,6 @@
 """Operators that replace all pairs, whole arrays and exploded grids: the same answers as those, on more rows."""
 
+import hashlib
 import math
 import random
 import time
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wiring.functions import md5
 from wiring.operators import features, fit, geometry, graph, nullmodel, profiles, stats
 from wiring.operators.nearest import KdTree, nearest_within
 from wiring.sources import readers
@@ -339,3 +341,26 @@ def test_edges_are_counted_in_tasks_whose_rows_do_not_grow(spark, monkeypatch):
     assert f", {want}), REPARTITION_BY_NUM" in plan and "Union" not in plan and plan.count("lineitem.parquet") == 1
     sweep = catalog.QUERIES["subnetwork_sweep"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert any("network" in line and f", {want}), REPARTITION_BY_NUM" in line for line in sweep.splitlines())
+
+
+ODD_EDGES = [(k % 13 * 7**(k % 9), k % 17 * 7**(k % 7), "EIX"[k % 13 % 3], "EI"[k % 17 % 2], 1) for k in range(400)] + [
+    (None, 5, "E", "I", 1), (6, None, "E", "I", 2), (3, 3, "E", "E", 1), (-(2**62), 2**62, "E", "I", 1), (1, 4, None, "I", 1), (1, 40, "X", None, 1), (0, 2, "E", "E", 1), (0, 2, "E", "E", 3), (0, 99, "I", "E", 3)]
+
+
+@pytest.mark.parametrize("keep_types, by_block", [(True, False), (True, True), (False, False), (False, True)])
+def test_shared_input_of_whole_replicates_is_that_of_dealt_ones(spark, monkeypatch, keep_types, by_block):
+    edges = spark.createDataFrame(ODD_EDGES, "pre_id long, post_id long, pre_type string, post_type string, n_syn long")
+    got = nullmodel.null_shared_input(edges, 5, 3, keep_types, by_block)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()  # nothing of a replicate is sent
+    monkeypatch.setattr(nullmodel.replicates, "WHOLE_EDGES", 0)
+    want = nullmodel.null_shared_input(edges, 5, 3, keep_types, by_block)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert nullmodel.null_shared_input(edges.limit(0), 5, 3, keep_types, by_block).count() == 0
+
+
+@pytest.mark.parametrize("length", [0, 1, 13, 46, 47, 80])
+def test_md5_side_by_side(length):
+    texts = np.random.default_rng(length).integers(0, 256, (40, length), dtype=np.uint8)
+    want = [hashlib.md5(b"7-1-pre-" + t.tobytes()).hexdigest() for t in texts]
+    assert [f"{a:016x}{b:016x}" for a, b in zip(md5.digests(b"7-1-pre-", texts), md5.digests(b"7-1-pre-", texts, low=True))] == want
