@@ -359,6 +359,18 @@ def test_shared_input_of_whole_replicates_is_that_of_dealt_ones(spark, monkeypat
     assert nullmodel.null_shared_input(edges.limit(0), 5, 3, keep_types, by_block).count() == 0
 
 
+def test_features_of_whole_replicates_are_those_of_dealt_ones(spark, monkeypatch):
+    edges = spark.createDataFrame(ODD_EDGES, "pre_id long, post_id long, pre_type string, post_type string, n_syn long")
+    neurons = edges.select(F.col("pre_id").alias("root_id"), F.lit("E").alias("clf_type"), F.lit(10.0).alias("dendrite_length"), F.lit(9).alias("in_synapses"))
+    got = nullmodel.replica_features(neurons, edges, 5, 3)
+    none = nullmodel.replica_features(neurons, edges.limit(0), 2, 3)
+    monkeypatch.setattr(nullmodel.replicates, "WHOLE_EDGES", 0)
+    want = nullmodel.replica_features(neurons, edges, 5, 3)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert none.count() == 2 * neurons.count() and none.where("in_synapses + out_neurons > 0").count() == 0
+
+
 @pytest.mark.parametrize("length", [0, 1, 13, 46, 47, 80])
 def test_md5_side_by_side(length):
     texts = np.random.default_rng(length).integers(0, 256, (40, length), dtype=np.uint8)
