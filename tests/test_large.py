@@ -376,3 +376,18 @@ def test_md5_side_by_side(length):
     texts = np.random.default_rng(length).integers(0, 256, (40, length), dtype=np.uint8)
     want = [hashlib.md5(b"7-1-pre-" + t.tobytes()).hexdigest() for t in texts]
     assert [f"{a:016x}{b:016x}" for a, b in zip(md5.digests(b"7-1-pre-", texts), md5.digests(b"7-1-pre-", texts, low=True))] == want
+
+
+@pytest.mark.parametrize("keep_types, diagonal", [(True, False), (False, False), (True, True)])
+def test_replicates_joined_by_parts_in_batches_are_those_of_one_plan(spark, monkeypatch, keep_types, diagonal):
+    edges = spark.createDataFrame(ODD_EDGES, "pre_id long, post_id long, pre_type string, post_type string, n_syn long")
+    neurons = edges.select(F.col("pre_id").alias("root_id"), F.col("pre_type").alias("clf_type")).union(edges.select("post_id", "post_type")).where("root_id IS NOT NULL AND root_id <> 3").distinct()
+    of = neurons if diagonal else None
+    want = nullmodel.shuffled(edges, 4, 3, keep_types, diagonal_of=of)
+    monkeypatch.setattr(nullmodel.replicates, "PART_ROWS", 20)
+    monkeypatch.setattr(nullmodel.replicates, "BUCKETS", 2)  # buckets that lie on cuts, and empty ones
+    got = nullmodel.shuffled(edges, 4, 3, keep_types, diagonal_of=of, size=900)
+    assert got.schema.simpleString() == want.schema.simpleString() and want.count() > 900
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert len({f.rsplit("/", 1)[0] for f in got.inputFiles()}) == 2  # written by batches, so their shuffles are gone
+    assert spark.conf.get(nullmodel._CLEANUP, "false") == "false"
